@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from trajgraph.llm import decontaminate, mixing, sharding
+from trajgraph.llm import decontaminate, langid, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op6_sharding": sharding.op6_sharding,
+    "op7_langid": langid.op7_langid,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
