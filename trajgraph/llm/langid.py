@@ -60,7 +60,8 @@ def _keys(chars: np.ndarray) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         for length in range(1, LONGEST_PIECE + 1):
             before = np.zeros_like(codes)
-            before[length - 1 :] = codes[: len(codes) - length + 1]
+            if length <= len(codes):
+                before[length - 1 :] = codes[: len(codes) - length + 1]
             total = total + before * np.uint64(pow(0x9E3779B97F4A7C15, length, 1 << 64))
             out.append(splitmix(total + np.uint64(length)))
     return out
