@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trajgraph.llm import decontaminate, langid, mixing, quality, sharding, toxicity
+from trajgraph.llm import decontaminate, langid, mixing, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op6_sharding": sharding.op6_sharding,
     "op7_langid": langid.op7_langid,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
