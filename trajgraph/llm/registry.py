@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trajgraph.llm import decontaminate, langid, mixing, near_dedup, quality, sharding, toxicity
+from trajgraph.llm import decontaminate, langid, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_langid": langid.op7_langid,
     "op9_near_dedup": near_dedup.op9_near_dedup,
