@@ -8,7 +8,6 @@ of a fixed number of words, one automaton is broadcast for each block, and each
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from trajgraph.llm import decontaminate, langid, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity
+from trajgraph.llm import decontaminate, fingerprints, langid, mixing, near_dedup, pii, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_langid": langid.op7_langid,
+    "op8_pii": pii.op8_pii,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
