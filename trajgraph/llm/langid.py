@@ -70,7 +70,7 @@ def _keys(chars: np.ndarray) -> list[np.ndarray]:
 class Pieces:
     """The vocabulary as a hash table: looks up all stretches of many words at once."""
 
-    BITS = 20
+    BITS = 17
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
