@@ -51,7 +51,7 @@ def mask_background(label: Column, n: int) -> Column:
 def label_dimension(spark: SparkSession, n: int, symmetric: bool = True) -> DataFrame:
     """(label, a, b, name) of all pairs."""
     ids = spark.range(n).withColumnRenamed("id", "a")
-    pairs = ids.select("a", F.explode(F.sequence(F.col("a") if symmetric else F.lit(0), F.lit(n - 1))).cast("long").alias("b"))
+    pairs = ids.select("a", F.explode(F.sequence(F.col("a") if symmetric else F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("b"))
     encode = encode_symmetric if symmetric else encode_ordered
     return pairs.select(encode(F.col("a"), F.col("b"), n).alias("label"), "a", "b", F.concat_ws("_", "a", "b").alias("name"))
 

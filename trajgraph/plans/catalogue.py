@@ -1,4 +1,10 @@
 """Every query of the library with its SQL twin."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from trajgraph.plans import queries_labels, queries_polylines
+
+QUERIES, ORACLES = {}, {}
+for _module in (queries_labels, queries_polylines):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.SQL

@@ -48,7 +48,7 @@ def parse_metric(text: DataFrame, expected: DataFrame) -> DataFrame:
     number = F.col("token").try_cast("double")
     numbered = tokens.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line", "k")) - 1).alias("ordinal"), F.when(~F.isnan(number), number).alias("value"))
     n = numbered.groupBy("file").agg(F.count(F.lit(1)).alias("_got"))
-    all_ = expected.select("file", "n", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))).cast("int").alias("ordinal"))
+    all_ = expected.select("file", "n", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).alias("ordinal"))
     joined = all_.join(numbered, ["file", "ordinal"], "left").join(n, "file", "left")
     return joined.select("file", "ordinal", F.when(F.coalesce("_got", F.lit(0)) >= 0.5 * F.col("n"), F.col("value")).alias("value"))
 
