@@ -5,10 +5,11 @@ as many signature values. Bands of BAND values put documents of like sets into c
 meets in none of them with a chance of 5e-8. Documents of equal sets are one class and stand as one node. Links are confirmed on
 the full sets:
 
-1. a node is compared with one partner, the one of the smallest id in its buckets to which its signature is most alike;
+1. a node is compared with one partner: of the smallest nodes of its buckets the one that it shares most buckets with;
 2. confirmed links give components;
-3. where a bucket still holds several components, pairs across them are compared, as far as their signatures don't rule out
-   a link; pairs within a component need no comparison. This yields every link that can join two components.
+3. where a bucket still holds several components, nodes across them are compared; pairs within a component need no comparison.
+   In small buckets these are pairs that sizes and signatures don't rule out; in large ones the nodes outside a cluster's largest
+   component are queries against all its nodes, in blocks. This yields every link that can join two components.
 
 So groups of thousands of copies never make all their pairs.
 """
@@ -29,6 +30,8 @@ PERMUTATIONS, BAND = 64, 4
 BANDS = 2 * PERMUTATIONS // BAND
 #: Pairs whose signatures agree in fewer of 128 values than this are no links (5.4 standard deviations below 0.8).
 LEAST_ALIKE = 0.61
+#: Buckets of more nodes are worked as clusters in blocks; both ways find every link.
+LARGE, BLOCK = 64, 1024
 _ODD = splitmix(np.arange(PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = splitmix(np.arange(PERMUTATIONS, 2 * PERMUTATIONS, dtype=np.uint64))
 _WHITE = np.zeros(256, dtype=bool)
@@ -176,6 +179,73 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     return stars.union(edges.select("v").distinct().select("v", F.col("v").alias("component")).join(stars.select(F.col("node").alias("v")), "v", "left_anti"))
 
 
+def across_buckets(small: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes of different components in one small bucket that sizes and signatures don't rule out."""
+    left = small.select("band", "key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_component"))
+    right = small.select("band", "key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
+    sized = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    pairs = left.join(right, ["band", "key"]).where((F.col("a") > F.col("b")) & (F.col("a_component") != F.col("b_component")) & sized).select("a", "b").distinct()
+    own = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"))
+    other = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("b_sketch"))
+    return pairs.join(other, "b").join(own, "a").where(alike("a_sketch", "b_sketch") >= LEAST_ALIKE).select("a", "b")
+
+
+def across_clusters(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components of the clusters that large buckets make.
+
+    The query set of a cluster are its nodes outside its largest component; they are held against all nodes of the cluster, in
+    blocks of BLOCK by BLOCK, and only links leave a block: for each query one to each other component.
+    """
+    nodes = stored(large.groupBy("node").agg(F.min("component").alias("component")))
+    cluster = stored(components(large.select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    placed = stored(nodes.join(cluster.select("node", F.col("component").alias("cluster")), "node"))
+    sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.max("c").alias("c"), F.sum("c").alias("m"))
+    block = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    plan = main.select("cluster", "main", block(F.col("m") - F.col("c")).alias("queries"), block(F.col("m")).alias("blocks"))
+    full = placed.join(plan, "cluster").join(sets, "node")
+    hashed = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    asked = full.where(F.col("component") != F.col("main")).select("cluster", "node", "component", "set", F.lit(True).alias("query"), hashed(F.col("queries")).alias("q"), F.explode(upto(F.col("blocks"))).alias("b"))
+    held = full.where(F.col("queries") > 0).select("cluster", "node", "component", "set", F.lit(False).alias("query"), F.explode(upto(F.col("queries"))).alias("q"), hashed(F.col("blocks")).alias("b"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["query"]], pdf[~pdf["query"]]
+        out: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            both = _intersections([np.frombuffer(v, dtype=np.uint64) for v in x["set"]], [np.frombuffer(v, dtype=np.uint64) for v in y["set"]])
+            n, m = x["set"].str.len().to_numpy() // 8, y["set"].str.len().to_numpy() // 8
+            cx, cy, ids_x, ids_y = (v.to_numpy() for v in (x["component"], y["component"], x["node"], y["node"]))
+            ok = (100 * both >= percent * (n[:, None] + m[None, :] - both)) & (cx[:, None] != cy[None, :])
+            for r in np.flatnonzero(ok.any(1)):
+                cols = np.flatnonzero(ok[r])
+                out += [(ids_x[r], ids_y[cols[k]]) for k in np.unique(cy[cols], return_index=True)[1]]
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    return asked.union(held).groupBy("cluster", "q", "b").applyInPandas(compare, "a long, b long")
+
+
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y, by products of slices of their incidence matrices."""
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    rows_x, rows_y = (np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y))
+    common = np.intersect1d(fx, fy)
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    at_x, at_y = np.searchsorted(common, fx), np.searchsorted(common, fy)
+    for a in range(0, len(common), 4096):
+        part = common[a : a + 4096]
+        mats = []
+        for flat, rows, at, n in ((fx, rows_x, at_x, len(x)), (fy, rows_y, at_y, len(y))):
+            inside = np.flatnonzero((at >= a) & (at < a + len(part)))
+            inside = inside[common[at[inside]] == flat[inside]]
+            m = np.zeros((n, len(part)), dtype=np.float32)
+            m[rows[inside], at[inside] - a] = 1
+            mats.append(m)
+        out += mats[0] @ mats[1].T
+    return out.astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
@@ -193,34 +263,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # The count of a bucket first: most buckets hold one node and end here.
     crowded = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).where(F.col("m") > 1)
     buckets = stored(banded.join(crowded, ["band", "key"]).select("band", "key", "node", "n", "least"))
-    sketches = own.select(F.col("doc_id").alias("node"), "sketch", "n")
-    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("a_sketch"))
-    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("b_sketch"), F.col("n").alias("b_n"))
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, n of a) that sizes and signatures don't rule out, with their likeness."""
-        near = pairs.join(right, "b").where(100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n"))
-        return near.join(left, "a").withColumn("alike", alike("a_sketch", "b_sketch")).where(F.col("alike") >= LEAST_ALIKE).select("a", "b", "alike")
-
+    sketches = own.select(F.col("doc_id").alias("node"), "sketch")
     wanted = stored(buckets.select("node").distinct())
     texts = docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts, k))
-    stars = buckets.where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b"), "n").distinct()
-    best = likely(stars).groupBy("a").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
+    stars = buckets.where(F.col("node") != F.col("least")).groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     links = stored(confirm(best, sets, percent))
     found = stored(components(links))
     placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("band", "key")
-    open_ = stored(placed.join(split, ["band", "key"]).select("band", "key", "node", "n", "component"))
-    # In each bucket the largest component meets the nodes outside it, and these meet each other.
-    sizes = open_.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("m", -F.col("component"))).alias("main"))
-    ranked = open_.join(main, ["band", "key"])
-    outside = ranked.where(F.col("component") != F.col("main")).select("band", "key", F.col("node").alias("a"), "n", F.col("component").alias("a_component"))
-    others = ranked.select("band", "key", F.col("node").alias("b"), F.col("component").alias("b_component"), F.col("n").alias("m"))
-    across = outside.join(others, ["band", "key"]).where((F.col("a_component") != F.col("b_component")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("n")).otherwise(F.col("m")).alias("n")).distinct()
-    more = stored(confirm(likely(across), sets, percent))
+    split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+    split = split.where(F.col("lo") != F.col("hi")).select("band", "key", "m")
+    open_ = stored(placed.join(split, ["band", "key"]).select("band", "key", "node", "n", "least", "component", "m"))
+    few = across_buckets(open_.where(F.col("m") <= LARGE), sketches, percent)
+    many = across_clusters(open_.where(F.col("m") > LARGE), sets, percent)
+    more = stored(confirm(few, sets, percent).union(many))
     if more.limit(1).count():
         found = stored(components(links.union(more)))
     member = stands.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")).dropDuplicates(["doc_id"])
