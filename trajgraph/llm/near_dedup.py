@@ -92,7 +92,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [_encoded(t) for t in pdf["text"]]
-            for a, b in groups_of([len(t) for t in texts], 2_000_000):
+            for a, b in groups_of([len(t) for t in texts], 700_000):
                 sets = shingles(texts[a:b], k)
                 n = np.fromiter(map(len, sets), dtype=np.int64, count=b - a)
                 some = np.flatnonzero(n)
@@ -123,7 +123,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [_encoded(t) for t in pdf["text"]]
-            for a, b in groups_of([len(t) for t in texts], 2_000_000):
+            for a, b in groups_of([len(t) for t in texts], 700_000):
                 yield pd.DataFrame({"node": pdf["node"].iloc[a:b].to_numpy(), "set": [x.tobytes() for x in shingles(texts[a:b], k)]})
 
     return docs.select("node", "text").mapInPandas(take, docs.select("node", F.lit(b"").alias("set")).schema)

@@ -31,7 +31,7 @@ MAP_BITS = 27
 #: Leading bytes of a suffix by which ranges are cut.
 LEAD = 16
 _PLACE = np.uint64(24)
-_GROUP = 2_000_000
+_GROUP = 500_000
 _PIECE = 8_000_000
 
 
