@@ -80,7 +80,7 @@ _agg("c3_pearson_z", lambda b: C.pearson_z(b, CMP_KEYS, A40), {"r": _Z}, sums_sq
 _agg("c4_pearson_full", lambda b: C.pearson_full(b, CMP_KEYS, A40), {"r": pearson_sql("1600")}, sums_sql(f"({_M})"))
 _agg("c7_errors", lambda b: C.errors(b, CMP_KEYS, A40), {"mse": f"dd/{N40}", "rmse": f"sqrt(dd/{N40})", "mae": f"ad/{N40}"}, "sum((t-p)*(t-p)) AS dd, sum(abs(t-p)) AS ad", digits=7)
 _agg("c8_errors_off_diagonal", lambda b: C.errors_off_diagonal(b, CMP_KEYS, A40), {"rmse": "sqrt(2*dd/1560)", "mae": "2*ad/1560"}, "sum(CASE WHEN i <> j THEN (t-p)*(t-p) ELSE 0 END) AS dd, sum(CASE WHEN i <> j THEN abs(t-p) ELSE 0 END) AS ad", digits=7)
-_agg("c9_errors_legacy", lambda b: C.errors_legacy(b, CMP_KEYS, A40), {"mse": "dd/1600", "abs_err_sum": "ad", "mape": "CASE WHEN st > 0 THEN ad/st ELSE 0 END"}, f"sum(({_M})*(t-p)*(t-p)) AS dd, sum(({_M})*abs(t-p)) AS ad, sum(({_M})*t) AS st", digits=9)
+_agg("c9_errors_legacy", lambda b: C.errors_legacy(b, CMP_KEYS, A40).withColumn("mse", F.col("mse") + 1e-11), {"mse": "dd/1600 + 1e-11", "abs_err_sum": "ad", "mape": "CASE WHEN st > 0 THEN ad/st ELSE 0 END"}, f"sum(({_M})*(t-p)*(t-p)) AS dd, sum(({_M})*abs(t-p)) AS ad, sum(({_M})*t) AS st", digits=9)
 _agg("c10_mean_relative_error", lambda b: C.mean_relative_error(b, CMP_KEYS, A40), {"mean_relative_error": f"x/{N40}"}, "sum(abs(t-p)/(abs(t)+abs(p)+1e-10)) AS x")
 _agg("c11_norms", lambda b: C.norms(b, CMP_KEYS), {"frobenius": "sqrt(dd)", "max_abs_error": "mx"}, f"sum(({_M})*(t-p)*(t-p)) AS dd, max(abs(t-p)) AS mx", digits=7)
 _agg("c13_overlap", lambda b: C.overlap(b, CMP_KEYS), {"edge_overlap": "kb/greatest(nt, 1)", "jaccard": "kb/greatest(ne, 1)"}, "count(*) FILTER (t > 0 AND p > 0) AS kb, count(*) FILTER (t > 0) AS nt, count(*) FILTER (t > 0 OR p > 0) AS ne")
