@@ -13,12 +13,25 @@ from pyspark.sql import functions as F
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch: whole texts, of which some are very long, so that a Python worker holds a few MB of most batches.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows that a Python worker holds at once, for this session, unless a smaller bound is set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which the whole cluster sees; a temporary one where it is unset (local runs)."""
+    small_batches(spark)
     there = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if there is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
