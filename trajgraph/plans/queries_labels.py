@@ -33,7 +33,7 @@ def _lines(df, file, order, value):
     return df.select(file.cast("string").alias("file"), (F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1).alias("line"), value.alias("value"))
 
 
-ORDER = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "length_mm", "fa", "sift2")]
+ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "length_mm", "fa", "sift2"]
 NUM = "row_number() OVER (PARTITION BY subject_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, length_mm, fa NULLS FIRST, sift2) - 1"
 
 
