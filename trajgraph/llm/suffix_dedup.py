@@ -6,8 +6,10 @@ anchors (about one in seventy bytes) must be sorted to find all repeats:
 
 1. the grams at anchors are counted over all documents; those seen once start no repeated string. The others go into a bit
    map of a fixed size, which is broadcast;
-2. around each anchor in the map goes a segment: all strings that have this anchor. Equal segments are summed before the shuffle;
-3. sampled splitters over the leading bytes of the suffixes deal the segments to ranges. Within a range they are sorted by
+2. around each anchor in the map goes a segment: all strings that have this anchor. Segments are counted by digest, without
+   their bytes. All strings of a segment seen twice are repeats; a segment seen once must be compared with the others of its
+   gram, and only such segments, one of each kind, send their bytes;
+3. sampled splitters over the leading bytes of the suffixes deal these segments to ranges. Within a range they are sorted by
    successive keys (leading bytes, gram, then the digest of each string), and equal neighbours are repeats. Suffixes with the same
    leading bytes fall into the same range, so no repeat crosses a boundary;
 4. segments get a bit for each of their strings; documents collect these and cut out what they cover.
@@ -95,8 +97,11 @@ def repeated_grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("gram")
 
 
-def bit_map(grams: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """A map of 2^bits bits with those of the grams set. It comes to the driver in blocks, 2^bits / 8 bytes in all."""
+def bit_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """A map of 2^bits bits with those of the hashes (one long column) set, by their upper bits.
+
+    It comes to the driver in blocks, 2^bits / 8 bytes in all.
+    """
     block = 16
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,8 +109,8 @@ def bit_map(grams: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
         marks[pdf["low"]] = True
         return pd.DataFrame({"block": [key[0]], "marks": [np.packbits(marks, bitorder="little").tobytes()]})
 
-    slot = F.shiftrightunsigned("gram", 64 - bits)
-    low = grams.select(F.shiftright(slot, block).cast("int").alias("block"), slot.bitwiseAND(F.lit((1 << block) - 1)).cast("int").alias("low")).distinct()
+    slot = F.shiftrightunsigned(hashes.columns[0], 64 - bits)
+    low = hashes.select(F.shiftright(slot, block).cast("int").alias("block"), slot.bitwiseAND(F.lit((1 << block) - 1)).cast("int").alias("low")).distinct()
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for r in low.groupBy("block").applyInPandas(pack, "block int, marks binary").toLocalIterator():
         size = 1 << (block - 3)
@@ -113,37 +118,72 @@ def bit_map(grams: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
     return out
 
 
-def segments(docs: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int = MAP_BITS) -> DataFrame:
-    """(key_a, key_b, start, strings, gram, digest, lead, segment) of each anchor whose gram is in the map."""
+def _marked(marks: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return ((marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _place_hash(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of (document, place), for the map of segments that send their bytes."""
+    with np.errstate(over="ignore"):
+        return splitmix(splitmix(doc.astype(np.int64).view(np.uint64)) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def places(docs: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int = MAP_BITS) -> DataFrame:
+    """(doc, print, start, strings, gram, digest, place) of the segment of each anchor whose gram is in the map."""
+    held = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            doc, print_ = pdf["doc"].to_numpy(), pdf["print"].to_numpy()
+            for _, rolling, text, start, place, count, _, h in anchors(_raw(pdf["text"]), length, gram):
+                ok = np.flatnonzero(_marked(held.value, h, bits))
+                digest = rolling.stretches(start[ok], start[ok] + count[ok] - 1 + length)
+                yield pd.DataFrame({"doc": doc[text[ok]], "print": print_[text[ok]], "start": place[ok], "strings": count[ok].astype(np.int16), "gram": h[ok].view(np.int64), "digest": digest.view(np.int64), "place": _place_hash(doc[text[ok]], place[ok]).view(np.int64)})
+
+    return docs.select("doc", "print", "text").mapInPandas(cut, "doc long, print int, start long, strings short, gram long, digest long, place long")
+
+
+def segment_bytes(docs: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int = MAP_BITS) -> DataFrame:
+    """(gram, digest, strings, lead, segment) of the segments whose place is in the map."""
     held = docs.sparkSession.sparkContext.broadcast(marks)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            key_a, key_b = pdf["key_a"].to_numpy(), pdf["key_b"].to_numpy()
+            doc = pdf["doc"].to_numpy()
             for flat, rolling, text, start, place, count, at, h in anchors(_raw(pdf["text"]), length, gram):
-                slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-                ok = np.flatnonzero((held.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-                if not len(ok):
-                    continue
+                ok = np.flatnonzero(_marked(held.value, _place_hash(doc[text], place), bits))
                 end = start[ok] + count[ok] - 1 + length
                 raw = flat.tobytes()
-                yield pd.DataFrame(
-                    {
-                        "key_a": key_a[text[ok]], "key_b": key_b[text[ok]], "start": place[ok], "strings": count[ok].astype(np.int32), "gram": h[ok].view(np.int64),
-                        "digest": rolling.stretches(start[ok], end).view(np.int64), "lead": [raw[p : p + LEAD] for p in at[ok]], "segment": [raw[s:e] for s, e in zip(start[ok], end, strict=True)],
-                    }
-                )
+                yield pd.DataFrame({"gram": h[ok].view(np.int64), "digest": rolling.stretches(start[ok], end).view(np.int64), "strings": count[ok].astype(np.int16), "lead": [raw[p : p + LEAD] for p in at[ok]], "segment": [raw[x:y] for x, y in zip(start[ok], end, strict=True)]})
 
-    return docs.select("key_a", "key_b", "text").mapInPandas(cut, "key_a long, key_b long, start long, strings int, gram long, digest long, lead binary, segment binary")
+    return docs.select("doc", "text").mapInPandas(cut, "gram long, digest long, strings short, lead binary, segment binary")
 
 
-def repeats(found: DataFrame, length: int) -> DataFrame:
-    """(gram, digest, strings, mask): for each segment a bit for each of its strings that begins elsewhere too."""
-    kinds = found.groupBy("gram", "digest", "strings").agg(F.count(F.lit(1)).alias("n"), F.first("lead").alias("lead"), F.first("segment").alias("segment"))
-    ranges = kinds.repartitionByRange("lead").sortWithinPartitions("lead", "gram")
+KIND = ["gram", "digest", "strings"]
+
+
+def kinds_of(found: DataFrame) -> DataFrame:
+    """(gram, digest, strings, n, place): how often each segment stands, and the place of one of them."""
+    return found.groupBy(*KIND).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+
+
+def compared(kinds: DataFrame) -> DataFrame:
+    """The kinds of grams that have several, one of them seen once: no other gram needs a comparison."""
+    mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where((F.col("k") > 1) & (F.col("least") == 1)).select("gram")
+    return kinds.join(mixed, "gram", "left_semi")
+
+
+def repeats(kinds: DataFrame, segments: DataFrame, length: int) -> DataFrame:
+    """(gram, digest, strings, mask): for each kind seen once a bit for each of its strings that begins elsewhere too.
+
+    kinds: those to compare; segments: their bytes.
+    """
+    own = segments.join(kinds.select(*KIND, "n"), KIND).dropDuplicates(KIND)
+    ranges = own.repartitionByRange("lead").sortWithinPartitions("lead", "gram")
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        counts, n, gram = rows["strings"].to_numpy(), rows["n"].to_numpy(), rows["gram"].to_numpy().view(np.uint64)
+        counts, n, gram = rows["strings"].to_numpy().astype(np.int64), rows["n"].to_numpy(), rows["gram"].to_numpy().view(np.uint64)
         flat = np.frombuffer(b"".join(rows["segment"]), dtype=np.uint8)
         sizes = counts + length - 1
         begin = np.cumsum(sizes) - sizes
@@ -160,9 +200,9 @@ def repeats(found: DataFrame, length: int) -> DataFrame:
         width = int(counts.max())
         bits = np.zeros((len(rows), -(-width // 8) * 8), dtype=bool)
         bits[row, inner] = again
-        some = np.flatnonzero(bits.any(1))
+        some = np.flatnonzero(bits.any(1) & (n == 1))
         masks = np.packbits(bits, axis=1, bitorder="little")
-        return pd.DataFrame({"gram": rows["gram"].to_numpy()[some], "digest": rows["digest"].to_numpy()[some], "strings": counts[some], "mask": [masks[i].tobytes() for i in some]})
+        return pd.DataFrame({"gram": rows["gram"].to_numpy()[some], "digest": rows["digest"].to_numpy()[some], "strings": counts[some].astype(np.int16), "mask": [masks[i].tobytes() for i in some]})
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -182,33 +222,43 @@ def repeats(found: DataFrame, length: int) -> DataFrame:
         if held:
             yield work(pd.concat(held, ignore_index=True))
 
-    return ranges.select("gram", "digest", "strings", "n", "segment").mapInPandas(sort, "gram long, digest long, strings int, mask binary")
+    return ranges.select("gram", "digest", "strings", "n", "segment").mapInPandas(sort, "gram long, digest long, strings short, mask binary")
 
 
 def removed_spans(found: DataFrame, masks: DataFrame, length: int) -> DataFrame:
-    """(key_a, key_b, spans): maximal covered runs [start, end) of each document, ascending; flat pairs of places."""
-    places = found.select("key_a", "key_b", "start", "gram", "digest", "strings").join(masks, ["gram", "digest", "strings"])
+    """(doc, print, spans): maximal covered runs [start, end) of each document, ascending; flat pairs of places.
+
+    masks: (gram, digest, strings, mask); a null mask stands for all strings.
+    """
+    places_ = found.select("doc", "print", "start", *KIND).join(masks, KIND).select("doc", "print", "start", "strings", "mask")
 
-    def runs(starts: list[int], marks: list[bytes]) -> list[int]:
-        """Strings' places of all segments, grown to their bytes and merged."""
+    def runs(got) -> list[int]:
+        """The strings' places of all segments, grown to their bytes and merged."""
         out: list[int] = []
-        for start, mask in sorted(zip(starts, marks, strict=True)):
-            bits = np.flatnonzero(np.unpackbits(np.frombuffer(mask, dtype=np.uint8), bitorder="little"))
+
+        def add(a: int, b: int) -> None:
+            if out and a <= out[-1]:
+                out[-1] = max(out[-1], b)
+            else:
+                out.extend((a, b))
+
+        for x in sorted(got, key=lambda x: x["start"]):
+            start = int(x["start"])
+            if x["mask"] is None:
+                add(start, start + int(x["strings"]) - 1 + length)
+                continue
+            bits = np.flatnonzero(np.unpackbits(np.frombuffer(x["mask"], dtype=np.uint8), bitorder="little"))
             gap = np.flatnonzero(np.diff(bits) > length)
             for a, b in zip(np.append(bits[0], bits[gap + 1]), np.append(bits[gap], bits[-1]), strict=True):
-                a, b = start + int(a), start + int(b) + length
-                if out and a <= out[-1]:
-                    out[-1] = max(out[-1], b)
-                else:
-                    out += [a, b]
+                add(start + int(a), start + int(b) + length)
         return out
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"key_a": pdf["key_a"], "key_b": pdf["key_b"], "spans": [runs([x["start"] for x in got], [x["mask"] for x in got]) for got in pdf["got"]]})
+            yield pd.DataFrame({"doc": pdf["doc"], "print": pdf["print"], "spans": [runs(got) for got in pdf["got"]]})
 
-    lists = places.groupBy("key_a", "key_b").agg(F.collect_list(F.struct("start", "mask")).alias("got"))
-    return lists.mapInPandas(merge, "key_a long, key_b long, spans array<long>")
+    lists = places_.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "strings", "mask")).alias("got"))
+    return lists.mapInPandas(merge, "doc long, print int, spans array<long>")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -219,10 +269,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     docs are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("key_a"), F.xxhash64(text, F.lit(1), "doc_id").alias("key_b"))
-    marks = bit_map(repeated_grams(keyed, length, gram))
-    found = stored(segments(keyed, marks, length, gram))
-    spans = removed_spans(found, stored(repeats(found, length)), length)
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), (F.crc32(text) - (1 << 31)).cast("int").alias("print"))
+    found = stored(places(keyed, bit_map(repeated_grams(keyed, length, gram)), length, gram))
+    kinds = stored(kinds_of(found))
+    asked = stored(compared(kinds))
+    own = repeats(asked, segment_bytes(keyed, bit_map(asked.select("place")), length, gram), length)
+    masks = kinds.where(F.col("n") > 1).select(*KIND, F.lit(None).cast("binary").alias("mask")).union(own)
+    spans = removed_spans(found, masks, length)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -235,7 +288,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             n, gone, runs, digest, kept = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": np.array(n, dtype=np.int64), "n_removed": np.array(gone, dtype=np.int64), "n_spans": np.array(runs, dtype=np.int64), "kept_sha256": np.array(digest, dtype=object), "kept": np.array(kept, dtype=object)})
 
-    joined = keyed.join(spans, ["key_a", "key_b"], "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans, ["doc", "print"], "left").select("doc_id", "text", "spans")
     shape = joined.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")], F.lit("").alias("kept_sha256"), F.lit(b"").alias("kept"))
     return joined.mapInPandas(keep, shape.schema)
 
