@@ -16,7 +16,7 @@ from trajgraph.llm.common import SPACE_WORD, read, stored
 
 #: Weights of the sources in code point order, repeating.
 CYCLE = (5.0, 2.0, 1.0)
-BINS = 1 << 16
+BINS = 1 << 12
 
 
 def size_of(text: Column) -> Column:
