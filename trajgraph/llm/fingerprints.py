@@ -66,11 +66,12 @@ def walk(texts: list[str]) -> list[bytes]:
         together = codes.copy()
         for k in range(1, WIDTH):
             together[:-k] += codes[k:] * np.uint64(2 * k + 1)
-    symbol = (splitmix(together) >> np.uint64(56)).astype(np.uint8)
+    symbol = np.maximum((splitmix(together) >> np.uint64(56)).astype(np.uint8), 1)
     choice = codes >> np.uint64(58)
     del codes, together
     begin = np.cumsum(n[order] + WIDTH) - n[order] - WIDTH
     last = begin + n[order]
+    symbol[last] = 0  # written by a walk that is through
     at = begin.copy()
     coins = splitmix(np.arange(int(steps.max(initial=0)), dtype=np.uint64))
     all_levels = levels(len(coins))
@@ -113,7 +114,10 @@ def fingerprints(texts: list[str]) -> list[str]:
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of equal bytes over the steps that the longer walk takes, at the level that both keep; 1 for two empty texts."""
+    """Share of equal bytes over the steps that the longer walk takes, at the level that both keep; 1 for two empty texts.
+
+    Steps at which both walks are through say nothing and are left out.
+    """
     if a == b:
         return 1.0
     n, m = int(a[:8], 16), int(b[:8], 16)
@@ -127,7 +131,8 @@ def likeness(a: str, b: str) -> float:
     x = np.frombuffer(bytes.fromhex(a[8:]), dtype=np.uint8)
     y = np.frombuffer(bytes.fromhex(b[8:]), dtype=np.uint8)
     y = y[lv[:short][lv[:short] >= level_of(short)] >= level]
-    return float((x[: len(y)] == y).sum() / max(1, len(x)))
+    through = int(((x[: len(y)] == 0) & (y == 0)).sum())
+    return float(((x[: len(y)] == y).sum() - through) / max(1, len(x) - through))
 
 
 def edited(text: str, following: str) -> str:
