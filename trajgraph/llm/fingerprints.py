@@ -175,8 +175,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     one. Null texts are empty; a row without an id comes before all others; repeated rows have the same next document; a single
     document is its own next one; an empty table gives no rows. Other columns of docs are not read.
     """
-    parted, _ = in_order(docs)
-    dealt = parted.repartition("part").sortWithinPartitions("part", F.col("own").desc(), "doc_id", "text")
+    parted, parts = in_order(docs)
+    dealt = parted.repartitionByRange(max(1, parts), "part").sortWithinPartitions("part", F.col("own").desc(), "doc_id", "text")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
