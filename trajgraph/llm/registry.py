@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trajgraph.llm import decontaminate, fingerprints, langid, mixing, near_dedup, pii, quality, sharding, suffix_dedup, toxicity
+from trajgraph.llm import decontaminate, fingerprints, langid, mixing, near_dedup, oracles, pii, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
-ORACLES = {}
+ORACLES = {"op4_mixing": oracles.OP4, "op9_near_dedup": oracles.OP9, "op10_decontamination": oracles.OP10}
