@@ -163,6 +163,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     Alternating large-star and small-star steps; a step is grouping and windows over the links, and their number never grows.
     """
     edges = stored(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before: tuple | None = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -170,11 +171,12 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("v", "m").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = stored(small)
-        same = after.exceptAll(edges).limit(1).count() == 0 and edges.exceptAll(after).limit(1).count() == 0
-        edges = after
-        if same:
+        edges = stored(small)
+        # A set of distinct links is told by its size and the sums of two hashes.
+        now = tuple(edges.agg(F.count(F.lit(1)), *[F.sum(F.pmod(F.xxhash64(F.lit(k), "u", "v"), F.lit(1 << 40))) for k in (1, 2)]).first())
+        if now == before:
             break
+        before = now
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.union(edges.select("v").distinct().select("v", F.col("v").alias("component")).join(stars.select(F.col("node").alias("v")), "v", "left_anti"))
 
