@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trajgraph.functions.tables import kept
 from trajgraph.operators import compare as C
 from trajgraph.operators import edges as E
 from trajgraph.operators import similarity as S
@@ -146,7 +147,9 @@ _K1 = ["ctype", "subject_id"]
 
 
 def _one(spark, d):
-    return _sides(spark, d, A40, ["subject_id"])
+    # Several comparisons read the same graphs: they are built and written once.
+    e = kept(edge_table(spark, d, A40, ["subject_id"]))
+    return side(e, "true"), side(e, "pred")
 
 
 _MOM = f"mo AS (SELECT ctype, version, subject_id, sum(w)/{N40} AS m, sqrt(greatest(sum(w*w)/{N40} - (sum(w)/{N40})*(sum(w)/{N40}), 0)) + 1e-10 AS sd FROM f_edges GROUP BY ALL)"
