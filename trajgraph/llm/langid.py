@@ -26,8 +26,8 @@ STRETCH = 24
 LONGEST_PIECE = 12
 #: Probability of a character that stands in no piece, and the count added to every piece.
 UNKNOWN, PRIOR = 1e-7, 0.01
-STEPS = 3
-HELD_WORDS = 200_000
+STEPS = 2
+HELD_WORDS = 300_000
 
 
 def public_pieces(path: str | None = None) -> list[str]:
@@ -87,11 +87,18 @@ class Pieces:
             ids, keys = ids[rest], keys[rest]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
+        """The piece of each key, or -1. A key can be in a further layer only if another piece holds its slot."""
         out = np.full(len(keys), -1, dtype=np.int32)
+        rest = np.arange(len(keys))
         for k, (table, check) in enumerate(self.layers):
-            slots = (keys >> np.uint64(64 - self.BITS)).astype(np.int64) ^ (k * 77_777)
-            hit = (table[slots] >= 0) & (check[slots] == keys)
-            out[hit] = table[slots[hit]]
+            slots = (keys[rest] >> np.uint64(64 - self.BITS)).astype(np.int64) ^ (k * 77_777)
+            held = table[slots]
+            taken = np.flatnonzero(held >= 0)
+            same = check[slots[taken]] == keys[rest[taken]]
+            out[rest[taken[same]]] = held[taken[same]]
+            rest = rest[taken[~same]]
+            if not len(rest):
+                break
         return out
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +151,9 @@ def expected(lengths: np.ndarray, ids: np.ndarray, p: np.ndarray, counts: np.nda
             got = ids[length, :, end]
             rows = np.flatnonzero((got >= 0) & (lengths >= end))
             if len(rows):
-                np.add.at(out, got[rows], alpha[rows, end - length] * p[got[rows]] * beta[rows, end] * weight[rows])
+                share = alpha[rows, end - length] * p[got[rows]] * beta[rows, end] * weight[rows]
+                for lang in range(p.shape[1]):
+                    np.add.at(out[:, lang], got[rows], share[:, lang])
     return out
 
 
@@ -212,12 +221,12 @@ def train(docs: DataFrame, keep, vocabulary: str | None = None, steps: int = STE
                 at = {x: k for k, x in enumerate(languages)}
                 for pdf in batches:
                     pdf = pdf.assign(size=pdf["word"].str.len()).sort_values("size")
-                    for a in range(0, len(pdf), 20_000):
-                        part = pdf.iloc[a : a + 20_000]
-                        lengths, ids = look.value.lattice(part["word"].tolist())
-                        counts = np.zeros((len(part), len(languages)))
-                        counts[np.arange(len(part)), part["lang"].map(at)] = part["n"]
-                        total += expected(lengths, ids, held.value, counts)
+                    for lang, own in pdf.groupby("lang"):  # a word counts for its own language alone
+                        k = at[lang]
+                        for a in range(0, len(own), 20_000):
+                            part = own.iloc[a : a + 20_000]
+                            lengths, ids = look.value.lattice(part["word"].tolist())
+                            total[:, k] += expected(lengths, ids, held.value[:, k : k + 1], part["n"].to_numpy(dtype=float)[:, None])[:, 0]
                 piece, lang = np.nonzero(total)
                 yield pd.DataFrame({"piece": piece.astype(np.int32), "lang": lang.astype(np.int32), "n": total[piece, lang]})
 
