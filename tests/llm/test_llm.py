@@ -320,6 +320,39 @@ def test_toxicity_learns_rare_words(spark):
     assert (got["predicted"] == (got["doc_id"] % 4 == 0)).mean() > 0.95
 
 
+def test_toxicity_tables_grow(spark, monkeypatch):
+    # Many ordinary n-grams against a few rare toxic ones: none is dropped, however small the tables of a fixed size were.
+    monkeypatch.setattr(toxicity, "GRAM_SLOTS", 64, raising=False)
+    monkeypatch.setattr(toxicity, "CONTEXT_SLOTS", 64, raising=False)
+    rng = np.random.default_rng(2)
+    made = ["".join(rng.choice(list("abcdefghiklmnoprstuv"), int(rng.integers(4, 9)))) for _ in range(2000)]
+    rows = [(i, " ".join([*rng.choice(made, 40), *(["xyzzyx"] if i % 20 == 0 else [])])) for i in range(800)]
+    labs = [(i, int(i % 20 == 0)) for i in range(800)]
+    held = F.col("doc_id") % 3 == 0
+    got = toxicity.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labs, "doc_id long, toxic int"), held).where("held_out").toPandas()
+    assert (got["predicted"] == (got["doc_id"] % 20 == 0)).all()
+
+
+def test_toxicity_word_values_against_plain_sums(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_ITEMS", 50)
+    rng = np.random.default_rng(4)
+    counts = spark.createDataFrame([(w, *map(int, rng.integers(0, 5, 4))) for w in WORDS], "word string, toxic long, ordinary long, toxic_apart long, ordinary_apart long")
+    table = toxicity.by_context(counts)
+    grams, contexts = ({r[0]: r["ratio"] for r in t.collect()} for t in toxicity.ratios(counts))
+    texts = [sentence(rng, int(n)) for n in rng.integers(0, 30, 25)] + ["", None, "quicker foxes", "zz"]
+
+    def value(word):
+        return sum(grams.get(g, contexts.get(g[:-1], 0.0)) for g in toxicity.grams_of(word))
+
+    parts = toxicity.blocks(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string"), toxicity.words_of)
+    got = toxicity.told(parts, toxicity.word_values(parts, table, "ratio"), toxicity.measures, ["a", "b", "c"]).toPandas()
+    for row in got.itertuples():
+        v = [value(w) for w in toxicity.words_of(texts[int(row.id)])]
+        want = (np.mean(v), max(v), max(sum(v[i : i + 3]) for i in range(max(1, len(v) - 2)))) if v else (0, 0, 0)
+        assert np.allclose((row.a, row.b, row.c), want)
+    assert len(got) == len(texts)
+
+
 def brute_forward(word, p, index):
     total = [1.0] + [0.0] * len(word)
     for end in range(1, len(word) + 1):

@@ -3,16 +3,22 @@
 For each class the probability of a character after its context (up to ORDER - 1 characters of the word) is the discounted
 count in the class plus a share of one backoff model, whose continuation counts both classes share, so an expression that is rare
 in both moves no score. The counts come from all labelled documents of the learning folds. What scoring needs of them is the
-log-ratio toxic to ordinary of each counted n-gram and of each context, packed into hash tables of a fixed size that are
-broadcast. A document is judged by its length-normalised log-likelihood ratio and by the largest one of its words and of stretches
-of three words; a logistic curve over these, fitted on labelled rows that weren't counted, gives the score.
+log-ratio toxic to ordinary of each counted n-gram and of each context; these are tables that grow with the corpus, and so are the
+words to score. Documents are kept as blocks of word numbers; the distinct words of all blocks, themselves in blocks of n-gram
+numbers, meet the ratios in a join, and the sums of the words meet the blocks of documents in another one. A document is judged by
+its length-normalised log-likelihood ratio and by the largest one of its words and of stretches of three words. A logistic curve
+over these gives the score; it is fitted on labelled rows by counts that leave these rows out.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,22 +26,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajgraph.llm.common import fold, labelled_ids, read, splitmix, stored
+from trajgraph.llm.common import fold, read, stored
 
 ORDER = 6
 #: Taken off counts of 1, of 2 and of more in a class (a single sight in a class says nothing), and off continuation counts.
 DISCOUNTS = (1.0, 1.5, 2.0)
 SHARED_DISCOUNT = 0.75
-#: Slots of the broadcast tables: 6 bytes each. Where n-grams meet in a slot, the one with most counts keeps it.
-GRAM_SLOTS = 1 << 21
-CONTEXT_SLOTS = 1 << 20
+#: Words of documents, or n-grams of words, in a block (a longer text is a block of its own).
+BLOCK_ITEMS = 2_000_000
 #: Most labelled rows that the final curve is fitted on; the counts take all.
 MAX_ROWS = 20_000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-#: Words held in a Python worker with their ratios before it starts afresh; counts held before they are sent on.
+#: Counts held in a Python worker before they are sent on.
 HELD_WORDS = 300_000
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,38 +47,44 @@ def words_of(text: str | None) -> list[str]:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(text, toxic boolean) -> (word, toxic, ordinary): counts over all texts, summed in each task before the shuffle."""
+    """(text, toxic boolean, apart boolean) -> (word, toxic, ordinary, toxic_apart, ordinary_apart): counts over all texts, summed
+    in each task before the shuffle.
+    """
+    names = ("ordinary", "toxic", "ordinary_apart", "toxic_apart")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = (Counter(), Counter())
+        held = [Counter() for _ in names]
 
         def flush() -> pd.DataFrame:
-            words = list(held[0].keys() | held[1].keys())
-            out = pd.DataFrame({"word": np.array(words, dtype=object), "toxic": [held[1][w] for w in words], "ordinary": [held[0][w] for w in words]})
-            held[0].clear()
-            held[1].clear()
+            words = list(set().union(*held))
+            out = pd.DataFrame({"word": np.array(words, dtype=object)} | {n: np.array([c[w] for w in words], dtype=np.int64) for n, c in zip(names, held, strict=True)})
+            for c in held:
+                c.clear()
             return out
 
         for pdf in batches:
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                held[bool(toxic)].update(words_of(text))
-                if len(held[0]) + len(held[1]) > HELD_WORDS:
+            for text, toxic, apart in zip(pdf["text"], pdf["toxic"], pdf["apart"], strict=True):
+                held[bool(toxic) + 2 * bool(apart)].update(words_of(text))
+                if sum(map(len, held)) > HELD_WORDS:
                     yield flush()
         yield flush()
 
-    counts = texts.mapInPandas(count, "word string, toxic long, ordinary long")
-    return counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counts = texts.mapInPandas(count, "word string, " + ", ".join(f"{n} long" for n in names))
+    return counts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def ratios(words: DataFrame, order: int = ORDER, discounts: tuple[float, float, float] = DISCOUNTS, shared: float = SHARED_DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """Word counts -> (gram, ratio, weight) and (context, ratio, weight); ratios are natural logarithms, toxic to ordinary.
+    """Word counts -> (gram, ratio, rest) and (context, ratio, rest): natural logarithms, toxic to ordinary.
 
-    A word is read as ^word$; an n-gram is a character with up to order - 1 characters before it.
+    ratio is of all counts, rest of those that aren't apart; what both classes share is of all. A word is read as ^word$; an n-gram
+    is a character with up to order - 1 characters before it.
     """
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    places = words.select("toxic", "ordinary", marked.alias("m"), F.explode(F.sequence(F.lit(2), F.length(marked))).alias("end"))
+    counts = [(F.col("toxic") + F.col("toxic_apart")).alias("t"), (F.col("ordinary") + F.col("ordinary_apart")).alias("o"), F.col("toxic").alias("tr"), F.col("ordinary").alias("or")]
+    names = ("t", "o", "tr", "or")
+    places = words.select(*counts, marked.alias("m"), F.explode(F.sequence(F.lit(2), F.length(marked))).alias("end"))
     begin = F.greatest(F.col("end") - (order - 1), F.lit(1))
-    top = places.groupBy(F.col("m").substr(begin, F.col("end") - begin + 1).alias("gram")).agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
+    top = places.groupBy(F.col("m").substr(begin, F.col("end") - begin + 1).alias("gram")).agg(*(F.sum(c).alias(c) for c in names))
     top = stored(top)
     # Continuation counts, shared: how many different characters stand before a shorter n-gram.
     n = F.length("gram")
@@ -89,120 +99,124 @@ def ratios(words: DataFrame, order: int = ORDER, discounts: tuple[float, float,
     backoff = chain.select("gram", F.aggregate("chain", F.lit(1e-6), lambda p, x: x["a"] + x["b"] * p).alias("q"))
     history = F.expr("substr(gram, 1, length(gram) - 1)")
     off = lambda c: F.when(F.col(c) <= 0, 0.0).when(F.col(c) == 1, discounts[0]).when(F.col(c) == 2, discounts[1]).otherwise(discounts[2])
-    by_class = lambda c: (F.sum(c).alias(f"{c}_sum"), F.sum(off(c)).alias(f"{c}_off"))
-    contexts = top.withColumn("h", history).groupBy("h").agg(*by_class("t"), *by_class("o"))
+    contexts = top.withColumn("h", history).groupBy("h").agg(*(x for c in names for x in (F.sum(c).alias(f"{c}_sum"), F.sum(off(c)).alias(f"{c}_off"))))
     share = lambda c: F.when(F.col(f"{c}_sum") > 0, F.col(f"{c}_off") / F.greatest(F.col(f"{c}_sum"), F.lit(1))).otherwise(F.lit(1.0))
-    contexts = stored(contexts.select("h", "t_sum", "o_sum", share("t").alias("t_share"), share("o").alias("o_share")))
+    contexts = stored(contexts.select("h", *(f"{c}_sum" for c in names), *(share(c).alias(f"{c}_share") for c in names)))
     p = lambda c: (F.col(c) - off(c)) / F.greatest(F.col(f"{c}_sum"), F.lit(1)) + F.col(f"{c}_share") * F.coalesce("q", F.lit(1e-6))
     grams = top.withColumn("h", history).join(contexts, "h").join(backoff, "gram", "left")
-    grams = grams.select("gram", F.log(p("t") / p("o")).alias("ratio"), (F.col("t") + F.col("o")).alias("weight"))
-    return grams, contexts.select(F.col("h").alias("gram"), F.log(F.col("t_share") / F.col("o_share")).alias("ratio"), (F.col("t_sum") + F.col("o_sum")).alias("weight"))
+    grams = grams.select("gram", F.log(p("t") / p("o")).alias("ratio"), F.log(p("tr") / p("or")).alias("rest"))
+    return grams, contexts.select(F.col("h").alias("context"), F.log(F.col("t_share") / F.col("o_share")).alias("ratio"), F.log(F.col("tr_share") / F.col("or_share")).alias("rest"))
+
+
+def by_context(words: DataFrame) -> DataFrame:
+    """Word counts -> (context, backed, after): ratio and rest of each context, and those of the characters counted after it."""
+    grams, contexts = ratios(words)
+    both = F.struct("ratio", "rest")
+    last = F.struct(F.expr("substr(gram, length(gram), 1)").alias("k"), both.alias("v"))
+    after = grams.groupBy(F.expr("substr(gram, 1, length(gram) - 1)").alias("context")).agg(F.map_from_entries(F.collect_list(last)).alias("after"))
+    return stored(contexts.select("context", both.alias("backed")).join(after, "context", "left"))
 
 
-def hash_grams(chars: np.ndarray, first: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of marked words laid end to end: hashes of its n-gram and of the context in it.
+def grams_of(word: str) -> list[str]:
+    """The n-gram of each character of ^word$ but the first."""
+    m = f"^{word}$"
+    return [m[max(0, end - ORDER) : end] for end in range(2, len(m) + 1)]
 
-    first: the place at which the word of each place begins.
+
+def blocks(rows: DataFrame, split: Callable[[str | None], list[str]]) -> DataFrame:
+    """(id string, text) -> stored blocks of rows: ids with the number of their text, how many items each different text has, the
+    distinct items and the number of each.
     """
-    where = np.arange(len(chars))
-    codes = splitmix(chars.astype(np.uint64))
-    gram, context = codes.copy(), np.full(len(chars), 7, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for back in range(1, order):
-            inside = where - back >= first
-            before = np.where(inside, codes[np.maximum(where - back, 0)], np.uint64(0))
-            scale = np.uint64(pow(int(_MULTIPLIER), back, 1 << 64))
-            gram += before * scale
-            context += before * scale
-    return splitmix(gram), splitmix(context)
-
-
-def lay(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of ^word$ end to end, the beginning of each place's word, and of each word."""
-    lengths = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
-    starts = np.cumsum(lengths) - lengths
-    chars = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return chars, np.repeat(starts, lengths), starts
-
-
-def grams_hashed(df: DataFrame, slots: int, last_is_context: bool) -> DataFrame:
-    """(slot, check, ratio) of (gram, ratio, weight): the heaviest of each slot."""
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            grams = [g + "." if last_is_context else g for g in pdf["gram"]]
-            if not grams:
-                continue
-            lengths = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
-            ends = np.cumsum(lengths)
-            chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            gram, context = hash_grams(chars, np.repeat(ends - lengths, lengths), ORDER)
-            h = (context if last_is_context else gram)[ends - 1]
-            yield pd.DataFrame({"slot": (h % np.uint64(slots)).astype(np.int32), "check": ((h >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.int32), "ratio": pdf["ratio"].to_numpy(), "weight": pdf["weight"].to_numpy()})
 
-    rows = df.mapInPandas(number, "slot int, check int, ratio float, weight long")
-    return rows.groupBy("slot").agg(F.max(F.struct("weight", "check", "ratio")).alias("best")).select("slot", "best.check", "best.ratio")
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, which, lengths, numbers, texts, known = [], array("i"), array("i"), array("i"), {}, {}
 
+        def flush() -> pd.DataFrame:
+            packed = {n: [zlib.compress(x, 1)] for n, x in (("ids", json.dumps(ids).encode()), ("which", which.tobytes()), ("lengths", lengths.tobytes()), ("numbers", numbers.tobytes()))}
+            return pd.DataFrame({"block": [uuid.uuid4().int >> 65]} | packed | {"items": [list(known)]})
 
-@dataclass
-class Ratios:
-    """Hash tables of a fixed size: a 16-bit check and a ratio in each slot."""
+        for pdf in batches:
+            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+                found = [] if text in texts else split(text)
+                if ids and max(len(ids), len(numbers) + len(found)) > BLOCK_ITEMS:
+                    yield flush()
+                    found = split(text)
+                    ids, which, lengths, numbers, texts, known = [], array("i"), array("i"), array("i"), {}, {}
+                if text not in texts:
+                    texts[text] = len(texts)
+                    lengths.append(len(found))
+                    numbers.extend([known.setdefault(x, len(known)) for x in found])
+                ids.append(i)
+                which.append(texts[text])
+        if ids:
+            yield flush()
 
-    gram_check: np.ndarray
-    gram_ratio: np.ndarray
-    context_check: np.ndarray
-    context_ratio: np.ndarray
-    order: int = ORDER
+    return stored(rows.select("id", "text").mapInPandas(gather, "block long, ids binary, which binary, lengths binary, numbers binary, items array<string>"))
 
-    def of(self, words: list[str]) -> np.ndarray:
-        """The log-likelihood ratio, toxic to ordinary, of each word."""
-        chars, first, starts = lay(words)
-        gram, context = hash_grams(chars, first, self.order)
 
-        def look(h: np.ndarray, check: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            slot = (h % np.uint64(len(check))).astype(np.int64)
-            known = check[slot] == ((h >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.int32)
-            return known, ratio[slot]
+def asked(parts: DataFrame) -> DataFrame:
+    """(of, at, item) of the distinct items of each block."""
+    return parts.select(F.col("block").alias("of"), F.posexplode("items").alias("at", "item"))
 
-        known, value = look(gram, self.gram_check, self.gram_ratio)
-        seen, backed = look(context, self.context_check, self.context_ratio)
-        each = np.where(known, value, np.where(seen, backed, 0.0))
-        each[starts] = 0.0  # the mark before a word is given
-        return np.add.reduceat(each, starts)
 
+def told(parts: DataFrame, values: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: list[str]) -> DataFrame:
+    """id and columns of each row of the blocks.
+
+    values: (of, at, value) of items; others are 0. measure: (values of the items of all texts end to end, their number in each
+    text) -> a row of columns for each text.
+    """
+
+    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": []} | {c: [] for c in columns})]
+        for row in left.itertuples():
+            which, n, at = (np.frombuffer(zlib.decompress(x), dtype=np.int32) for x in (row.which, row.lengths, row.numbers))
+            value = np.zeros(int(at.max()) + 1 if len(at) else 0)
+            value[right["at"].to_numpy()] = right["value"].to_numpy()
+            ids = np.array(json.loads(zlib.decompress(row.ids)), dtype=object)
+            out.append(pd.DataFrame({"id": ids} | dict(zip(columns, measure(value[at], n)[which].T, strict=True))))
+        return pd.concat(out[-1:])
 
-def pack(df: DataFrame, slots: int, last_is_context: bool) -> tuple[np.ndarray, np.ndarray]:
-    rows = grams_hashed(df, slots, last_is_context).toPandas()  # at most `slots` rows of 12 bytes
-    check, ratio = np.full(slots, -1, dtype=np.int32), np.zeros(slots, dtype=np.float32)
-    check[rows["slot"]], ratio[rows["slot"]] = rows["check"], rows["ratio"]
-    return check, ratio
+    slim = parts.drop("items")
+    return slim.groupBy("block").cogroup(values.groupBy("of")).applyInPandas(join, "id string, " + ", ".join(f"{c} double" for c in columns))
 
 
-_known: dict[str, float] = {}
-_known_of: list[object] = [None]
+def total(v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(v)])
+    ends = np.cumsum(n)
+    return (sums[ends] - sums[ends - n])[:, None]
 
 
-def measures(texts: pd.Series, model: Ratios, key: object) -> np.ndarray:
+def measures(v: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each text: its ratio a word, the largest ratio of a word, and of three words in a row; zeros without words."""
-    if _known_of[0] != key or len(_known) > HELD_WORDS:
-        _known.clear()
-        _known_of[0] = key
-    out = np.zeros((len(texts), 3))
-    for i, text in enumerate(texts):
-        words = words_of(text)
-        if not words:
-            continue
-        if fresh := [w for w in set(words) if w not in _known]:
-            _known.update(zip(fresh, model.of(fresh).tolist(), strict=True))
-        v = np.fromiter(map(_known.__getitem__, words), dtype=np.float64, count=len(words))
-        sums = np.cumsum(np.concatenate([[0.0], v]))
-        three = sums[3:] - sums[:-3] if len(v) > 3 else sums[-1:]
-        out[i] = v.mean(), v.max(), three.max()
-        if len(_known) > 2 * HELD_WORDS:
-            _known.clear()
+    out = np.zeros((len(n), 3))
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    sizes = n[some]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    sums = np.add.reduceat(v, starts)
+    three = np.full(len(v), -np.inf)
+    three[:-2] = v[:-2] + v[1:-1] + v[2:]
+    three[np.arange(len(v)) + 3 > np.repeat(ends, sizes)] = -np.inf
+    out[some] = np.column_stack([sums / sizes, np.maximum.reduceat(v, starts), np.where(sizes < 3, sums, np.maximum.reduceat(three, starts))])
     return out
 
 
+def word_values(parts: DataFrame, table: DataFrame, which: str) -> DataFrame:
+    """(of, at, value): the log-likelihood ratio, toxic to ordinary, of each distinct word of blocks of documents.
+
+    which: ratio or rest. All places that ask for a word meet in one block of words, so each word is summed once there.
+    """
+    wanted = asked(parts).repartition("item")
+    words = blocks(wanted.select(F.concat_ws(":", "of", "at").alias("id"), F.col("item").alias("text")), grams_of)
+    grams = asked(words).select("of", "at", F.expr("substr(item, 1, length(item) - 1)").alias("context"), F.expr("substr(item, length(item), 1)").alias("k"))
+    slim = table.select("context", F.col(f"backed.{which}").alias("backed"), F.transform_values("after", lambda _, v: v[which]).alias("after"))
+    values = grams.join(slim, "context").select("of", "at", F.coalesce(F.try_element_at("after", F.col("k")), "backed").alias("value"))
+    place = F.split("id", ":")
+    return told(words, values, total, ["value"]).select(place[0].cast("long").alias("of"), place[1].cast("int").alias("at"), "value")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Coefficients of a logistic curve (the last is the constant), by Newton steps."""
     a = np.column_stack([x, np.ones(len(x))])
@@ -216,48 +230,42 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 @dataclass
 class Judge:
-    ratios: Ratios
+    table: DataFrame
     curve: np.ndarray
 
-    def score(self, m: np.ndarray) -> np.ndarray:
-        z = np.clip(m, -20, 20) @ self.curve[:-1] + self.curve[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+def curved(m: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    z = np.clip(m, -20, 20) @ curve[:-1] + curve[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS) -> Judge:
-    """Counts over all labelled documents for which keep holds but one in eight; the curve over a bounded part of that eighth."""
-    apart = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
-    known = labels.select("doc_id", F.col("toxic").cast("double").alias("y")).dropna().where(keep & ~apart).groupBy("doc_id").agg(F.avg("y").alias("y"))
+    """Counts over all labelled documents for which keep holds; the curve over a bounded part of one in eight of them, measured by
+    the counts of the other seven.
+    """
+    known = labels.select("doc_id", F.col("toxic").cast("double").alias("y")).dropna().where(keep).groupBy("doc_id").agg(F.avg("y").alias("y"))
     # Copies of a text count once: its smallest id stands for all of them.
-    prints = docs.where(keep & ~apart).select("doc_id", F.xxhash64("text").alias("print")).join(known, "doc_id")
-    known = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"), (F.avg("y") >= 0.5).alias("toxic")).select("doc_id", "toxic")
-    words = stored(count_words(docs.select("doc_id", "text").where(keep & ~apart).join(known, "doc_id").select("text", "toxic")))
-    grams, contexts = ratios(words)
-    model = Ratios(*pack(grams, GRAM_SLOTS, False), *pack(contexts, CONTEXT_SLOTS, True))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    sample = labelled_ids(labels, "toxic", keep & apart, max_rows)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"m": measures(pdf["text"], held.value, held.value.gram_ratio.sum()).tolist(), "y": pdf["y"]})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y").mapInPandas(measure, "m array<double>, y double").limit(2 * max_rows).toPandas()
-    x, y = np.clip(np.array(rows["m"].tolist()).reshape(-1, 3), -20, 20), (rows["y"].to_numpy() >= 0.5).astype(float)
+    prints = docs.where(keep).select("doc_id", F.xxhash64("text").alias("print")).join(known, "doc_id")
+    known = prints.groupBy("print").agg(F.min("doc_id").alias("doc_id"), (F.avg("y") >= 0.5).alias("toxic"))
+    known = stored(known.select("doc_id", "toxic", (F.pmod(F.xxhash64("print"), F.lit(8)) == 0).alias("apart"), "print"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("print")).where(keep)
+    words = stored(count_words(texts.join(known, ["doc_id", "print"]).select("text", "toxic", "apart")))
+    table = by_context(words)
+    sample = known.where("apart").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    parts = blocks(texts.join(F.broadcast(sample), ["doc_id", "print"]).select(F.col("toxic").cast("string").alias("id"), "text"), words_of)
+    rows = told(parts, word_values(parts, table, "rest"), measures, ["a", "b", "c"]).limit(2 * max_rows).toPandas()
+    x, y = np.clip(rows[["a", "b", "c"]].to_numpy(dtype=float), -20, 20), (rows["id"] == "true").to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
-        return Judge(model, np.array([0.0, 1.0, 0.0, -3.0]))
-    return Judge(model, logistic(x, y))
+        return Judge(table, np.array([0.0, 1.0, 0.0, -3.0]))
+    return Judge(table, logistic(x, y))
 
 
-def with_scores(docs: DataFrame, model: Judge, name: str = "score") -> DataFrame:
-    """docs with the score of each whole text; a column of that name is replaced."""
-    kept = docs.drop(name)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(**{name: held.value.score(measures(pdf["text"], held.value.ratios, held.value.ratios.gram_ratio.sum()))})
-
-    return kept.mapInPandas(score, kept.select("*", F.lit(0.0).alias(name)).schema)
+def scores(docs: DataFrame, model: Judge) -> DataFrame:
+    """(doc_id, score) of each row of docs, by its whole text."""
+    parts = blocks(docs.select(F.col("doc_id").cast("string").alias("id"), "text"), words_of)
+    curve = model.curve
+    out = told(parts, word_values(parts, model.table, "ratio"), lambda v, n: curved(measures(v, n), curve)[:, None], ["score"])
+    return out.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out, threshold: float = THRESHOLD) -> DataFrame:
@@ -268,7 +276,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, threshold: float = TH
     rows. Other columns are not read.
     """
     held = F.coalesce(held_out, F.lit(True))
-    out = with_scores(docs.select("doc_id", "text"), train(docs, labels, ~held))
+    out = scores(docs, train(docs, labels, ~held))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
