@@ -285,6 +285,17 @@ def test_pii_terms(spark, docs, empty):
     assert pii.detect(docs).count() == docs.count() and pii.detect(empty).count() == 0
 
 
+def test_pii_terms_of_copies_and_far_away(spark):
+    rng = np.random.default_rng(6)
+    phone, far = "+1 (555) 123-4567", " ".join(["common words"] * 10)
+    first, second = f"{sentence(rng, 20)} zanzibarius {phone} {far}", f"{far} {phone} zanzibarius {sentence(rng, 20)} here zanzibarius"
+    third = f"{phone} {far} Zanzibarius"
+    texts = [*[first] * 50, second, third, f"{far} zanzibarius", *(sentence(rng, 40) for _ in range(30))]
+    found = {r.doc_id: [s["start"] for s in r.spans if s["kind"] == "term" and texts[r.doc_id][s["start"] : s["end"]].lower() == "zanzibarius"] for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = [[m.start() for m in re.finditer("zanzibarius", t.lower())] for t in texts]
+    assert all(found[i] == want[i] for i in range(52)) and found[52] == []
+
+
 def test_quality_model():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))
