@@ -412,3 +412,7 @@ def test_labelled_ids_are_bounded(labels):
 
     got = labelled_ids(labels, "quality", F.lit(True), 10).toPandas()
     assert len(got) == 10 and isinstance(got, pd.DataFrame)
+
+
+def test_langid_takes_three_steps():
+    assert langid.STEPS == 3

@@ -26,7 +26,7 @@ STRETCH = 24
 LONGEST_PIECE = 12
 #: Probability of a character that stands in no piece, and the count added to every piece.
 UNKNOWN, PRIOR = 1e-7, 0.01
-STEPS = 2
+STEPS = 3
 HELD_WORDS = 300_000
 
 
