@@ -365,13 +365,14 @@ def test_toxicity_word_values_against_plain_sums(spark, monkeypatch):
 
 
 def brute_forward(word, p, index):
-    total = [1.0] + [0.0] * len(word)
+    """Sums over all segmentations of word, in logarithms."""
+    total = [0.0] + [-np.inf] * len(word)
     for end in range(1, len(word) + 1):
-        for n in range(1, min(end, langid.LONGEST_PIECE) + 1):
+        for n in range(1, end + 1):
             k = index.get(word[end - n : end])
             if k is not None:
-                total[end] += total[end - n] * p[k]
-        total[end] += total[end - 1] * langid.UNKNOWN
+                total[end] = np.logaddexp(total[end], total[end - n] + np.log(p[k]))
+        total[end] = np.logaddexp(total[end], total[end - 1] + np.log(langid.UNKNOWN))
     return total[-1]
 
 
@@ -379,18 +380,24 @@ def test_forward_sums_all_segmentations():
     names = sorted({"▁", "▁a", "a", "ab", "b", "▁ab", "ba", "c", "abc", "x" * 12})
     pieces = langid.Pieces(names)
     rng = np.random.default_rng(0)
-    p = np.vstack([rng.dirichlet(np.ones(len(names)), 2).T, np.zeros(2)])
-    words = ["a", "ab", "abcab", "zzz", "bab" * 8, "x" * 13]
-    lengths, ids = pieces.lattice(words)
-    alpha = langid.forward(lengths, ids, p)[np.arange(len(words)), lengths]
+    p = rng.dirichlet(np.ones(len(names)), 2).T
+    words = ["a", "ab", "abcab", "zzz", "bab" * 8, "x" * 13, "abc" * 60, "zq" * 200, "ab" * 18, "x" * 36, "x" * 37]
+    model = langid.Model(["en", "de"], np.zeros(2), p, pieces)
     index = {x: k for k, x in enumerate(names)}
-    for k, w in enumerate(words):
-        for lang in range(2):
-            assert np.isclose(alpha[k, lang], brute_forward("▁" + w, p[:, lang], index))
-    counts = np.ones((len(words), 2))
-    total = langid.expected(lengths, ids, p, counts)
-    used = sum(len(n.replace("▁", "▁")) * total[k, 0] for k, n in enumerate(names))
-    assert 0 < used <= sum(len(w) + 1 for w in words) + 1e-6
+    want = [[brute_forward("▁" + w, p[:, lang], index) for lang in range(2)] for w in words]
+    assert np.allclose(model.logs(words), want)
+    # Expected counts are derivatives of the log-likelihood by the log-probabilities.
+    counts = np.arange(1.0, len(words) + 1)
+    got = langid.expected(words, counts, pieces, p[:, 0])
+    for k in range(len(names)):
+        up, down = p.copy(), p.copy()
+        up[k], down[k] = up[k] * 1.0001, down[k] / 1.0001
+        slope = sum(c * (a - b) for c, a, b in zip(counts, langid.Model(["en", "de"], np.zeros(2), up, pieces).logs(words)[:, 0], langid.Model(["en", "de"], np.zeros(2), down, pieces).logs(words)[:, 0], strict=True)) / (2 * np.log(1.0001))
+        assert np.isclose(got[k], slope, rtol=1e-4, atol=1e-6)
+
+
+def test_no_letters():
+    assert langid.words_of("½ ² ⅔ 12 _ …") == [] and langid.words_of("a½b") == ["a", "b"]
 
 
 def test_language_id(spark, docs, empty):

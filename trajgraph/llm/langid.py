@@ -4,14 +4,18 @@ Every language has a probability for each piece of a fixed public vocabulary. A
 forward algorithm sums the probabilities of all of them, and a document scores the sum of the logarithms over its words plus the
 logarithm of the language's share. The piece probabilities are learned from word counts of each language by expectation
 maximisation over all segmentations; a Spark pass over the counted words makes each step.
+
+The pieces of all words of a batch are found by one walk down a trie of the vocabulary from every letter at once; forward and
+backward sums then go over the places of the words in lockstep.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,9 +25,10 @@ from pyspark.sql import functions as F
 from trajgraph.llm.common import fold, read, splitmix, stored
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Longer words are read in stretches of so many characters, so that no product underflows.
-STRETCH = 24
-LONGEST_PIECE = 12
+#: Words of more letters are summed in logarithms: the probabilities of shorter ones can't underflow (UNKNOWN bounds them).
+LONG = 36
+#: Letters of a batch of words.
+LOT = 200_000
 #: Probability of a character that stands in no piece, and the count added to every piece.
 UNKNOWN, PRIOR = 1e-7, 0.01
 STEPS = 3
@@ -40,120 +45,203 @@ def public_pieces(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted({x.lower() for x in pieces if 0 < len(x) <= LONGEST_PIECE})
+    return sorted({x.lower() for x in pieces if x})
 
 
-def stretches_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, each after the mark of a word's beginning; long ones in stretches."""
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters; numerals such as one half are no letters."""
     if not text:
         return []
     words = WORD.findall(text.lower())
-    if max(map(len, words), default=0) <= STRETCH:
-        return words
-    return [w[i : i + STRETCH] for w in words for i in range(0, len(w), STRETCH)]
-
-
-def _keys(chars: np.ndarray) -> list[np.ndarray]:
-    """keys[l][i]: hash of the l characters that end before place i + 1, for l from 1 on."""
-    codes = splitmix(chars.astype(np.uint64))
-    out, total = [np.zeros(0, dtype=np.uint64)], np.zeros(len(codes), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for length in range(1, LONGEST_PIECE + 1):
-            before = np.zeros_like(codes)
-            if length <= len(codes):
-                before[length - 1 :] = codes[: len(codes) - length + 1]
-            total = total + before * np.uint64(pow(0x9E3779B97F4A7C15, length, 1 << 64))
-            out.append(splitmix(total + np.uint64(length)))
-    return out
+    if words and not "".join(words).isalpha():
+        words = [x for w in words for x in ("".join(c if c.isalpha() else " " for c in w)).split()]
+    return words
 
 
-class Pieces:
-    """The vocabulary as a hash table: looks up all stretches of many words at once."""
+@dataclass
+class Lattice:
+    """Words of one batch, the longest first: row r holds places 0..sizes[r] (the mark before a word counts as a letter).
 
-    BITS = 17
+    Pieces that stand in the words are sorted by the place where they start: those that start at place s are the slice
+    [cuts[s], cuts[s + 1]) of `row`, `end` (their end's place) and `piece`. Of each start and row no two have one end.
+    """
+
+    sizes: np.ndarray
+    row: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    cuts: np.ndarray
+
+
+class Pieces:
+    """The vocabulary as a trie in a hash table of (node, letter)."""
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
-        keys = np.array([_keys(np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32))[len(x)][-1] for x in pieces], dtype=np.uint64)
-        ids = np.arange(self.n, dtype=np.int32)
-        self.layers: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(ids):  # what meets another piece in a slot goes to the next layer
-            slots = (keys >> np.uint64(64 - self.BITS)).astype(np.int64) ^ (len(self.layers) * 77_777)
-            _, first = np.unique(slots, return_index=True)
-            table, check = np.full(1 << (self.BITS + 1), -1, dtype=np.int32), np.zeros(1 << (self.BITS + 1), dtype=np.uint64)
-            table[slots[first]], check[slots[first]] = ids[first], keys[first]
-            self.layers.append((table, check))
-            rest = np.setdiff1d(np.arange(len(ids)), first)
-            ids, keys = ids[rest], keys[rest]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The piece of each key, or -1. A key can be in a further layer only if another piece holds its slot."""
-        out = np.full(len(keys), -1, dtype=np.int32)
+        letters = sorted({c for x in pieces for c in x})
+        self.letter = np.zeros(max(map(ord, letters), default=0) + 2, dtype=np.int64)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        nodes: dict[tuple[int, str], int] = {}
+        ids = [-1]
+        for k, piece in enumerate(pieces):
+            at = 0
+            for c in piece:
+                to = nodes.get((at, c))
+                if to is None:
+                    to = nodes[at, c] = len(ids)
+                    ids.append(-1)
+                at = to
+            ids[at] = k
+        self.ids = np.array(ids, dtype=np.int32)
+        keys = np.array([a * self.width + int(self.letter[ord(c)]) for a, c in nodes], dtype=np.int64)
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.child = np.zeros(1 << self.bits, dtype=np.int32)
         rest = np.arange(len(keys))
-        for k, (table, check) in enumerate(self.layers):
-            slots = (keys[rest] >> np.uint64(64 - self.BITS)).astype(np.int64) ^ (k * 77_777)
-            held = table[slots]
-            taken = np.flatnonzero(held >= 0)
-            same = check[slots[taken]] == keys[rest[taken]]
-            out[rest[taken[same]]] = held[taken[same]]
-            rest = rest[taken[~same]]
-            if not len(rest):
-                break
+        slot, to = self._slot(keys), np.arange(1, len(ids), dtype=np.int32)
+        while len(rest):  # linear probing: of those that meet in a free slot the first one takes it
+            _, first = np.unique(slot[rest], return_index=True)
+            first = first[self.keys[slot[rest[first]]] < 0]
+            won = rest[first]
+            self.keys[slot[won]], self.child[slot[won]] = keys[won], to[won]
+            rest = np.delete(rest, first)
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def children(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The nodes below, 0 where there is none (the root is nobody's child)."""
+        keys = node * self.width + letter
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.child[slot], 0).astype(np.int64)
+        rest = np.flatnonzero((held != keys) & (held >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[rest]]
+            same = held == keys[rest]
+            out[rest[same]] = self.child[slot[rest[same]]]
+            rest = rest[~same & (held >= 0)]
         return out
 
-    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths (marks included), and ids[l, word, end]: the piece of l characters that ends there, or -1."""
-        marked = ["▁" + w for w in words]
-        lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
-        starts = np.cumsum(lengths) - lengths
-        keys = _keys(np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
-        rows = np.repeat(np.arange(len(words)), lengths)
-        place = np.arange(len(rows)) - np.repeat(starts, lengths)
-        ids = np.full((LONGEST_PIECE + 1, len(words), int(lengths.max()) + 1), -1, dtype=np.int32)
-        for length in range(1, LONGEST_PIECE + 1):
-            ok = place + 1 >= length
-            ids[length, rows[ok], place[ok] + 1] = self.find(keys[length][ok])
-        return lengths, ids
-
-
-def forward(lengths: np.ndarray, ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[word, end, language]: probabilities of all segmentations up to each end. p: (pieces + 1, languages), the last row 0."""
-    n, most = ids.shape[1], ids.shape[2]
-    alpha = np.zeros((n, most, p.shape[1]))
-    alpha[:, 0] = 1.0
-    for end in range(1, most):
-        for length in range(1, min(end, LONGEST_PIECE) + 1):
-            got = ids[length, :, end]
-            rows = np.flatnonzero(got >= 0)
-            if len(rows):
-                alpha[rows, end] += alpha[rows, end - length] * p[got[rows]]
-        alpha[:, end] += alpha[:, end - 1] * UNKNOWN
+    def lattice(self, words: list[str]) -> Lattice:
+        """words: the longest first."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        flat = np.frombuffer(("▁" + "\n▁".join(words) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = self.letter[np.minimum(flat, len(self.letter) - 1)]  # a line's end is no letter of a piece
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        row = np.repeat(np.arange(len(words), dtype=np.int64), sizes + 1)
+        place = np.arange(len(flat)) - begin[row]
+        start = np.flatnonzero(letter)
+        node = np.zeros(len(start), dtype=np.int64)
+        starts, ends, pieces = [], [], []
+        length = 0
+        while len(start):
+            node = self.children(node, letter[start + length])
+            alive = np.flatnonzero(node)
+            start, node = start[alive], node[alive]
+            length += 1
+            piece = self.ids[node]
+            some = np.flatnonzero(piece >= 0)
+            starts.append(start[some])
+            ends.append(place[start[some]] + length)
+            pieces.append(piece[some])
+        at = np.concatenate([np.zeros(0, dtype=np.int64), *starts])
+        end, piece = np.concatenate([np.zeros(0, dtype=np.int64), *ends]), np.concatenate([np.zeros(0, dtype=np.int32), *pieces])
+        most = int(sizes.max(initial=0))
+        from_ = place[at]
+        order = np.argsort(from_.astype(np.uint16) if most < 1 << 16 else from_, kind="stable")
+        cuts = np.searchsorted(from_[order], np.arange(most + 2))
+        return Lattice(sizes, row[at][order], end[order], piece[order], cuts)
+
+
+def forward(x: Lattice, p: np.ndarray) -> np.ndarray:
+    """alpha[place, word, ...]: probabilities of all segmentations up to each place; p: (pieces, ...)."""
+    most, n = int(x.sizes.max(initial=0)), len(x.sizes)
+    alpha = np.zeros((most + 1, n, *p.shape[1:]))
+    alpha[0] = 1.0
+    # Rows that reach a place: the longest come first.
+    active = np.searchsorted(-x.sizes, -np.arange(most + 2), side="right")
+    for s in range(most):
+        part = slice(x.cuts[s], x.cuts[s + 1])
+        alpha[x.end[part], x.row[part]] += alpha[s, x.row[part]] * p[x.piece[part]]
+        k = active[s + 1]
+        alpha[s + 1, :k] += alpha[s, :k] * UNKNOWN
     return alpha
 
 
-def expected(lengths: np.ndarray, ids: np.ndarray, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Expected piece counts of each language, for words with counts (word, language)."""
-    alpha = forward(lengths, ids, p)
-    n, most = ids.shape[1], ids.shape[2]
-    beta = np.zeros_like(alpha)
-    beta[np.arange(n), lengths] = 1.0
-    out = np.zeros_like(p)
-    for end in range(most - 1, 0, -1):
-        for length in range(1, min(end, LONGEST_PIECE) + 1):
-            got = ids[length, :, end]
-            rows = np.flatnonzero((got >= 0) & (lengths >= end))
-            if len(rows):
-                beta[rows, end - length] += beta[rows, end] * p[got[rows]]
-        beta[:, end - 1] += beta[:, end] * UNKNOWN
-    weight = counts / np.maximum(alpha[np.arange(n), lengths], 1e-300)
-    for end in range(1, most):
-        for length in range(1, min(end, LONGEST_PIECE) + 1):
-            got = ids[length, :, end]
-            rows = np.flatnonzero((got >= 0) & (lengths >= end))
-            if len(rows):
-                share = alpha[rows, end - length] * p[got[rows]] * beta[rows, end] * weight[rows]
-                for lang in range(p.shape[1]):
-                    np.add.at(out[:, lang], got[rows], share[:, lang])
+def backward(x: Lattice, p: np.ndarray) -> np.ndarray:
+    """beta[place, word]: probabilities of all segmentations from each place on; p: (pieces,)."""
+    most, n = int(x.sizes.max(initial=0)), len(x.sizes)
+    beta = np.zeros((most + 1, n))
+    beta[x.sizes, np.arange(n)] = 1.0
+    active = np.searchsorted(-x.sizes, -np.arange(most + 2), side="right")
+    for s in range(most - 1, -1, -1):
+        part = slice(x.cuts[s], x.cuts[s + 1])
+        beta[s] += np.bincount(x.row[part], weights=beta[x.end[part], x.row[part]] * p[x.piece[part]], minlength=n)
+        k = active[s + 1]
+        beta[s, :k] += beta[s + 1, :k] * UNKNOWN
+    return beta
+
+
+def log_forward(x: Lattice, logp: np.ndarray) -> np.ndarray:
+    """forward in logarithms, for words of any length."""
+    most, n = int(x.sizes.max(initial=0)), len(x.sizes)
+    alpha = np.full((most + 1, n, *logp.shape[1:]), -np.inf)
+    alpha[0] = 0.0
+    active = np.searchsorted(-x.sizes, -np.arange(most + 2), side="right")
+    for s in range(most):
+        part = slice(x.cuts[s], x.cuts[s + 1])
+        at = (x.end[part], x.row[part])
+        alpha[at] = np.logaddexp(alpha[at], alpha[s, x.row[part]] + logp[x.piece[part]])
+        k = active[s + 1]
+        alpha[s + 1, :k] = np.logaddexp(alpha[s + 1, :k], alpha[s, :k] + np.log(UNKNOWN))
+    return alpha
+
+
+def log_backward(x: Lattice, logp: np.ndarray) -> np.ndarray:
+    most, n = int(x.sizes.max(initial=0)), len(x.sizes)
+    beta = np.full((most + 1, n), -np.inf)
+    beta[x.sizes, np.arange(n)] = 0.0
+    active = np.searchsorted(-x.sizes, -np.arange(most + 2), side="right")
+    for s in range(most - 1, -1, -1):
+        part = slice(x.cuts[s], x.cuts[s + 1])
+        np.logaddexp.at(beta[s], x.row[part], beta[x.end[part], x.row[part]] + logp[x.piece[part]])
+        k = active[s + 1]
+        beta[s, :k] = np.logaddexp(beta[s, :k], beta[s + 1, :k] + np.log(UNKNOWN))
+    return beta
+
+
+def lots(words: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+    """Numbers of the words in lots of like lengths, the longest first, and whether they are long."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    order = np.argsort(-sizes, kind="stable")
+    edge = int((sizes > LONG).sum())
+    for own, long_ in ((order[:edge], True), (order[edge:], False)):
+        lot = (np.cumsum(sizes[own] + 2) - 1) // LOT
+        for part in np.split(own, np.flatnonzero(np.diff(lot)) + 1) if len(own) else ():
+            yield part, long_
+
+
+def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces, for words with counts in one language of piece probabilities p."""
+    out = np.zeros(len(p))
+    with np.errstate(divide="ignore"):
+        logp = np.log(p)
+    for own, long_ in lots(words):
+        x = pieces.lattice([words[i] for i in own])
+        n = np.arange(len(own))
+        start = np.repeat(np.arange(len(x.cuts) - 1), np.diff(x.cuts))
+        if long_:
+            alpha, beta = log_forward(x, logp), log_backward(x, logp)
+            share = np.exp(alpha[start, x.row] + logp[x.piece] + beta[x.end, x.row] - alpha[x.sizes, n][x.row]) * counts[own][x.row]
+        else:
+            alpha, beta = forward(x, p), backward(x, p)
+            share = alpha[start, x.row] * p[x.piece] * beta[x.end, x.row] * (counts[own] / alpha[x.sizes, n])[x.row]
+        out += np.bincount(x.piece, weights=share, minlength=len(p))
     return out
 
 
@@ -163,16 +251,15 @@ class Model:
     prior: np.ndarray
     p: np.ndarray
     pieces: Pieces
-    key: float = 0.0
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def logs(self, words: list[str]) -> np.ndarray:
-        """log P(word | language), a row a word; words of like lengths are worked together."""
+        """log P(word | language), a row a word."""
         out = np.zeros((len(words), len(self.languages)))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for a in range(0, len(order), 20_000):
-            own = order[a : a + 20_000]
-            lengths, ids = self.pieces.lattice([words[i] for i in own])
-            out[own] = np.log(np.maximum(forward(lengths, ids, self.p)[np.arange(len(own)), lengths], 1e-300))
+        for own, long_ in lots(words):
+            x = self.pieces.lattice([words[i] for i in own])
+            n = np.arange(len(own))
+            out[own] = log_forward(x, np.log(self.p))[x.sizes, n] if long_ else np.log(forward(x, self.p)[x.sizes, n])
         return out
 
 
@@ -183,16 +270,16 @@ def count_words(texts: DataFrame) -> DataFrame:
         held: dict[str, Counter] = {}
 
         def flush() -> pd.DataFrame:
-            rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
+            rows = [(lang, list(c), np.fromiter(c.values(), dtype=np.int64, count=len(c))) for lang, c in held.items()]
             held.clear()
-            lang, word, n = zip(*rows, strict=True) if rows else ((), (), ())
-            return pd.DataFrame({"lang": np.array(lang, dtype=object), "word": np.array(word, dtype=object), "n": np.array(n, dtype=np.int64)})
+            word = [w for _, ws, _ in rows for w in ws]
+            return pd.DataFrame({"lang": np.repeat(np.array([x for x, _, _ in rows], dtype=object), [len(ws) for _, ws, _ in rows]), "word": np.array(word, dtype=object), "n": np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, _, n in rows)])})
 
         for pdf in batches:
             for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
-                held.setdefault(lang, Counter()).update(stretches_of(text))
-                if sum(map(len, held.values())) > 2 * HELD_WORDS:
-                    yield flush()
+                held.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, held.values())) > HELD_WORDS:
+                yield flush()
         yield flush()
 
     return texts.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -208,7 +295,7 @@ def train(docs: DataFrame, keep, vocabulary: str | None = None, steps: int = STE
     pieces = Pieces(public_pieces(vocabulary))
     languages = [x for x, _ in shares]
     totals = np.array([n for _, n in shares], dtype=float)
-    p = np.full((pieces.n + 1, max(1, len(languages))), 1.0 / pieces.n)
+    p = np.full((pieces.n, max(1, len(languages))), 1.0 / pieces.n)
     if languages:
         words = stored(count_words(known.select("text", "lang")))
         sc = docs.sparkSession.sparkContext
@@ -220,78 +307,62 @@ def train(docs: DataFrame, keep, vocabulary: str | None = None, steps: int = STE
                 total = np.zeros_like(held.value)
                 at = {x: k for k, x in enumerate(languages)}
                 for pdf in batches:
-                    pdf = pdf.assign(size=pdf["word"].str.len()).sort_values("size")
                     for lang, own in pdf.groupby("lang"):  # a word counts for its own language alone
                         k = at[lang]
-                        for a in range(0, len(own), 20_000):
-                            part = own.iloc[a : a + 20_000]
-                            lengths, ids = look.value.lattice(part["word"].tolist())
-                            total[:, k] += expected(lengths, ids, held.value[:, k : k + 1], part["n"].to_numpy(dtype=float)[:, None])[:, 0]
+                        total[:, k] += expected(own["word"].tolist(), own["n"].to_numpy(dtype=float), look.value, np.ascontiguousarray(held.value[:, k]))
                 piece, lang = np.nonzero(total)
                 yield pd.DataFrame({"piece": piece.astype(np.int32), "lang": lang.astype(np.int32), "n": total[piece, lang]})
 
             got = words.mapInPandas(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
             p = np.full_like(p, PRIOR)
             p[got["piece"], got["lang"]] += got["n"]
-            p[-1] = 0.0
             p /= p.sum(0)
             held.unpersist()
-    key = float(p.sum(1) @ np.arange(len(p))) + len(languages)
-    return Model(languages, np.log(totals / totals.sum()) if languages else np.zeros(0), p, pieces, key)
+    return Model(languages, np.log(totals / totals.sum()) if languages else np.zeros(0), p, pieces)
+
+
+class Known:
+    """Values of the words that a Python worker has met, for one model; emptied when there are many."""
 
+    def __init__(self) -> None:
+        self.key, self.at, self.rows = "", {}, np.zeros((0, 0))
 
-_known: dict[str, int] = {}
-_rows: list[np.ndarray] = []
-_of: list[float] = [0.0]
+    def add(self, lists: list[list[str]], model: Model) -> None:
+        """Works the new words of many texts together: lattices pay over thousands of words."""
+        if self.key != model.key or len(self.at) > HELD_WORDS:
+            self.key, self.at, self.rows = model.key, {}, np.zeros((0, len(model.languages)))
+        fresh = [w for w in dict.fromkeys(w for words in lists for w in words) if w not in self.at]
+        if not fresh:
+            return
+        begin = len(self.at)
+        if begin + len(fresh) > len(self.rows):
+            grown = np.zeros((max(2 * len(self.rows), begin + len(fresh), 65_536), len(model.languages)))
+            grown[:begin] = self.rows[:begin]
+            self.rows = grown
+        self.rows[begin : begin + len(fresh)] = model.logs(fresh)
+        self.at.update(zip(fresh, range(begin, begin + len(fresh)), strict=True))
+
+
+_known = Known()
 
 
 def guess(texts: pd.Series, model: Model) -> tuple[list[str], np.ndarray]:
     """Language and posterior probability of each text; `und` and 0 where there is no letter (or no language was learned)."""
     langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-    for i, text in enumerate(texts):
-        words = stretches_of(text)
-        if not words or not model.languages:
-            continue
-        if _of[0] != model.key or len(_known) > HELD_WORDS:
-            _known.clear()
-            _rows[:] = [np.zeros((0, len(model.languages)))]
-            _of[0] = model.key
-        if fresh := [w for w in dict.fromkeys(words) if w not in _known]:
-            _pending(fresh, model)
-        at = np.fromiter(map(_known.__getitem__, words), dtype=np.int64, count=len(words))
-        z = _rows[0][at].sum(0) + model.prior
-        z = np.exp(z - z.max())
-        k = int(z.argmax())
-        langs[i], scores[i] = model.languages[k], z[k] / z.sum()
+    if not model.languages:
+        return langs, scores
+    lists = [words_of(text) for text in texts]
+    _known.add(lists, model)
+    for i, words in enumerate(lists):
+        if words:
+            at = np.fromiter(map(_known.at.__getitem__, words), dtype=np.int64, count=len(words))
+            z = _known.rows[at].sum(0) + model.prior
+            z = np.exp(z - z.max())
+            k = int(z.argmax())
+            langs[i], scores[i] = model.languages[k], z[k] / z.sum()
     return langs, scores
 
 
-def _pending(fresh: list[str], model: Model) -> None:
-    table = _rows[0]
-    begin = len(_known)
-    if begin + len(fresh) > len(table):
-        grown = np.zeros((max(2 * len(table), begin + len(fresh), 65_536), len(model.languages)))
-        grown[:begin] = table[:begin]
-        _rows[0] = table = grown
-    table[begin : begin + len(fresh)] = model.logs(fresh)
-    _known.update(zip(fresh, range(begin, begin + len(fresh)), strict=True))
-
-
-def warm(texts: pd.Series, model: Model) -> None:
-    """Works the new words of many texts together: lattices pay over thousands of words."""
-    if _of[0] != model.key or len(_known) > HELD_WORDS:
-        _known.clear()
-        _rows[:] = [np.zeros((0, len(model.languages)))]
-        _of[0] = model.key
-    fresh: dict[str, None] = {}
-    for text in texts:
-        fresh.update((w, None) for w in set(stretches_of(text)) if w not in _known)
-        if len(fresh) > HELD_WORDS // 2:
-            break
-    if fresh:
-        _pending(list(fresh), model)
-
-
 def identify(docs: DataFrame, held_out, vocabulary: str | None = None, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learns from rows that aren't held out.
 
@@ -305,10 +376,7 @@ def identify(docs: DataFrame, held_out, vocabulary: str | None = None, steps: in
         for pdf in batches:
             langs, scores = [], []
             for a in range(0, len(pdf), 500):
-                part = pdf["text"].iloc[a : a + 500]
-                if model.value.languages:
-                    warm(part, model.value)
-                got = guess(part, model.value)
+                got = guess(pdf["text"].iloc[a : a + 500], model.value)
                 langs += got[0]
                 scores.append(got[1])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": np.array(langs, dtype=object), "score": np.concatenate([np.zeros(0), *scores])})
