@@ -331,10 +331,10 @@ def test_toxicity_learns_rare_words(spark):
     assert (got["predicted"] == (got["doc_id"] % 4 == 0)).mean() > 0.95
 
 
-def test_toxicity_tables_grow(spark, monkeypatch):
-    # Many ordinary n-grams against a few rare toxic ones: none is dropped, however small the tables of a fixed size were.
-    monkeypatch.setattr(toxicity, "GRAM_SLOTS", 64, raising=False)
-    monkeypatch.setattr(toxicity, "CONTEXT_SLOTS", 64, raising=False)
+@pytest.mark.parametrize("contexts", [1 << 19, 64])
+def test_toxicity_tables_grow(spark, monkeypatch, contexts):
+    # Many ordinary n-grams against a few rare toxic ones: none is dropped, however few contexts go to every task.
+    monkeypatch.setattr(toxicity, "TABLE_CONTEXTS", contexts)
     rng = np.random.default_rng(2)
     made = ["".join(rng.choice(list("abcdefghiklmnoprstuv"), int(rng.integers(4, 9)))) for _ in range(2000)]
     rows = [(i, " ".join([*rng.choice(made, 40), *(["xyzzyx"] if i % 20 == 0 else [])])) for i in range(800)]
@@ -344,24 +344,68 @@ def test_toxicity_tables_grow(spark, monkeypatch):
     assert (got["predicted"] == (got["doc_id"] % 20 == 0)).all()
 
 
-def test_toxicity_word_values_against_plain_sums(spark, monkeypatch):
+def brute_ratios(counts, order=6, discounts=(1.0, 1.5, 2.0), shared=0.75):
+    """Log-ratio of a character after its context, by plain counting over (word, toxic, ordinary)."""
+    top, per = Counter(), {c: defaultdict(Counter) for c in "to"}
+    for word, t, o in counts:
+        m = f"^{word}$"
+        for end in range(2, len(m) + 1):
+            g = m[max(0, end - order) : end]
+            top[g] += t + o
+            per["t"][g[:-1]][g[-1]] += t
+            per["o"][g[:-1]][g[-1]] += o
+    before = defaultdict(set)
+    for g in top:
+        for k in range(2, len(g) + 1):
+            before[g[-k + 1 :]].add(g[-k])
+    kinds = defaultdict(dict)
+    for g, x in before.items():
+        kinds[g[:-1]][g[-1]] = len(x)
+
+    def backoff(h, c):
+        """Shared probability of c after an ending of a context, from the longest seen one down."""
+        q = 1e-6
+        for k in range(len(h) + 1):
+            own = kinds.get(h[len(h) - k :], {})
+            if c in own:
+                total = sum(own.values())
+                q = max(own[c] - shared, 0) / total + shared * len(own) / total * q
+        return q
+
+    off = lambda n: 0.0 if n <= 0 else discounts[min(n, 3) - 1]
+
+    def p(c, h, k):
+        own = per[c][h]
+        total = sum(own.values())
+        share = sum(map(off, own.values())) / total if total else 1.0
+        return (own[k] - off(own[k])) / max(total, 1) + share * backoff(h[1:], k), share
+
+    def ratio(h, k):
+        if h not in per["t"]:
+            return 0.0
+        (a, sa), (b, sb) = p("t", h, k), p("o", h, k)
+        return np.log(a / b) if k in per["t"][h] else np.log(sa / sb)
+
+    return ratio
+
+
+@pytest.mark.parametrize("contexts", [1 << 19, 20])
+def test_toxicity_against_plain_sums(spark, monkeypatch, contexts):
     monkeypatch.setattr(toxicity, "BLOCK_ITEMS", 50)
+    monkeypatch.setattr(toxicity, "TABLE_CONTEXTS", contexts)
     rng = np.random.default_rng(4)
-    counts = spark.createDataFrame([(w, *map(int, rng.integers(0, 5, 4))) for w in WORDS], "word string, toxic long, ordinary long, toxic_apart long, ordinary_apart long")
-    table = toxicity.by_context(counts)
-    grams, contexts = ({r[0]: r["ratio"] for r in t.collect()} for t in toxicity.ratios(counts))
-    texts = [sentence(rng, int(n)) for n in rng.integers(0, 30, 25)] + ["", None, "quicker foxes", "zz"]
-
-    def value(word):
-        return sum(grams.get(g, contexts.get(g[:-1], 0.0)) for g in toxicity.grams_of(word))
-
-    parts = toxicity.blocks(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string"), toxicity.words_of)
-    got = toxicity.told(parts, toxicity.word_values(parts, table, "ratio"), toxicity.measures, ["a", "b", "c"]).toPandas()
-    for row in got.itertuples():
-        v = [value(w) for w in toxicity.words_of(texts[int(row.id)])]
-        want = (np.mean(v), max(v), max(sum(v[i : i + 3]) for i in range(max(1, len(v) - 2)))) if v else (0, 0, 0)
-        assert np.allclose((row.a, row.b, row.c), want)
-    assert len(got) == len(texts)
+    made = [(w, *map(int, rng.integers(0, 5, 4))) for w in WORDS]
+    table = toxicity.by_context(spark.createDataFrame(made, "word string, toxic long, ordinary long, toxic_apart long, ordinary_apart long"))
+    texts = [sentence(rng, int(n)) for n in rng.integers(0, 30, 25)] + ["", None, "quicker foxes", "zz", "the the"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    for which, seen in (("ratio", [(w, t + ta, o + oa) for w, t, o, ta, oa in made]),):
+        ratio = brute_ratios(seen)
+        got = toxicity.measured(rows, table, which).toPandas()
+        assert len(got) == len(texts)
+        for row in got.itertuples():
+            v = [sum(ratio(g[:-1], g[-1]) for g in toxicity.grams_of(w)) for w in toxicity.words_of(texts[int(row.id)])]
+            want = (np.mean(v), max(v), max(sum(v[i : i + 3]) for i in range(max(1, len(v) - 2)))) if v else (0, 0, 0)
+            assert np.allclose((row.a, row.b, row.c), want)
 
 
 def brute_forward(word, p, index):

@@ -3,11 +3,15 @@
 For each class the probability of a character after its context (up to ORDER - 1 characters of the word) is the discounted
 count in the class plus a share of one backoff model, whose continuation counts both classes share, so an expression that is rare
 in both moves no score. The counts come from all labelled documents of the learning folds. What scoring needs of them is the
-log-ratio toxic to ordinary of each counted n-gram and of each context; these are tables that grow with the corpus, and so are the
-words to score. Documents are kept as blocks of word numbers; the distinct words of all blocks, themselves in blocks of n-gram
-numbers, meet the ratios in a join, and the sums of the words meet the blocks of documents in another one. A document is judged by
-its length-normalised log-likelihood ratio and by the largest one of its words and of stretches of three words. A logistic curve
-over these gives the score; it is fitted on labelled rows by counts that leave these rows out.
+log-ratio toxic to ordinary of each counted n-gram and of each context; these are tables that grow with the corpus.
+
+The most frequent contexts, with all n-grams after them, go to every task in a table of a fixed size, and a document whose words
+meet no other context is scored where it is read. Words with other contexts are summed by joins: documents that have such words
+are kept as blocks of word numbers, and only those words, in blocks of n-gram numbers of their own, meet the ratios in one join and
+their documents in another. Both ways add up the same ratios.
+
+A document is judged by its length-normalised log-likelihood ratio and by the largest one of its words and of stretches of three
+words. A logistic curve over these gives the score; it is fitted on labelled rows by counts that leave these rows out.
 """
 
 from __future__ import annotations
@@ -19,14 +23,14 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajgraph.llm.common import fold, read, stored
+from trajgraph.llm.common import fold, read, splitmix, stored
 
 ORDER = 6
 #: Taken off counts of 1, of 2 and of more in a class (a single sight in a class says nothing), and off continuation counts.
@@ -34,6 +38,8 @@ DISCOUNTS = (1.0, 1.5, 2.0)
 SHARED_DISCOUNT = 0.75
 #: Words of documents, or n-grams of words, in a block (a longer text is a block of its own).
 BLOCK_ITEMS = 2_000_000
+#: Contexts and n-grams in the table that goes to every task (some 32 MB with room for both); the others are joined.
+TABLE_CONTEXTS, TABLE_ENTRIES = 1 << 19, 1 << 20
 #: Most labelled rows that the final curve is fitted on; the counts take all.
 MAX_ROWS = 20_000
 THRESHOLD = 0.7
@@ -74,7 +80,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def ratios(words: DataFrame, order: int = ORDER, discounts: tuple[float, float, float] = DISCOUNTS, shared: float = SHARED_DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """Word counts -> (gram, ratio, rest) and (context, ratio, rest): natural logarithms, toxic to ordinary.
+    """Word counts -> (gram, ratio, rest) and (context, weight, ratio, rest): natural logarithms, toxic to ordinary.
 
     ratio is of all counts, rest of those that aren't apart; what both classes share is of all. A word is read as ^word$; an n-gram
     is a character with up to order - 1 characters before it.
@@ -101,20 +107,23 @@ def ratios(words: DataFrame, order: int = ORDER, discounts: tuple[float, float,
     off = lambda c: F.when(F.col(c) <= 0, 0.0).when(F.col(c) == 1, discounts[0]).when(F.col(c) == 2, discounts[1]).otherwise(discounts[2])
     contexts = top.withColumn("h", history).groupBy("h").agg(*(x for c in names for x in (F.sum(c).alias(f"{c}_sum"), F.sum(off(c)).alias(f"{c}_off"))))
     share = lambda c: F.when(F.col(f"{c}_sum") > 0, F.col(f"{c}_off") / F.greatest(F.col(f"{c}_sum"), F.lit(1))).otherwise(F.lit(1.0))
-    contexts = stored(contexts.select("h", *(f"{c}_sum" for c in names), *(share(c).alias(f"{c}_share") for c in names)))
+    weight = F.col("t_sum") + F.col("o_sum")
+    contexts = stored(contexts.select("h", weight.alias("weight"), *(f"{c}_sum" for c in names), *(share(c).alias(f"{c}_share") for c in names)))
     p = lambda c: (F.col(c) - off(c)) / F.greatest(F.col(f"{c}_sum"), F.lit(1)) + F.col(f"{c}_share") * F.coalesce("q", F.lit(1e-6))
     grams = top.withColumn("h", history).join(contexts, "h").join(backoff, "gram", "left")
     grams = grams.select("gram", F.log(p("t") / p("o")).alias("ratio"), F.log(p("tr") / p("or")).alias("rest"))
-    return grams, contexts.select(F.col("h").alias("context"), F.log(F.col("t_share") / F.col("o_share")).alias("ratio"), F.log(F.col("tr_share") / F.col("or_share")).alias("rest"))
+    return grams, contexts.select(F.col("h").alias("context"), "weight", F.log(F.col("t_share") / F.col("o_share")).alias("ratio"), F.log(F.col("tr_share") / F.col("or_share")).alias("rest"))
 
 
 def by_context(words: DataFrame) -> DataFrame:
-    """Word counts -> (context, backed, after): ratio and rest of each context, and those of the characters counted after it."""
+    """Word counts -> (context, weight, backed, after): how often a context stands, its ratio and rest, and those of the characters
+    counted after it.
+    """
     grams, contexts = ratios(words)
     both = F.struct("ratio", "rest")
     last = F.struct(F.expr("substr(gram, length(gram), 1)").alias("k"), both.alias("v"))
     after = grams.groupBy(F.expr("substr(gram, 1, length(gram) - 1)").alias("context")).agg(F.map_from_entries(F.collect_list(last)).alias("after"))
-    return stored(contexts.select("context", both.alias("backed")).join(after, "context", "left"))
+    return stored(contexts.select("context", "weight", both.alias("backed")).join(after, "context", "left"))
 
 
 def grams_of(word: str) -> list[str]:
@@ -123,40 +132,224 @@ def grams_of(word: str) -> list[str]:
     return [m[max(0, end - ORDER) : end] for end in range(2, len(m) + 1)]
 
 
-def blocks(rows: DataFrame, split: Callable[[str | None], list[str]]) -> DataFrame:
-    """(id string, text) -> stored blocks of rows: ids with the number of their text, how many items each different text has, the
-    distinct items and the number of each.
-    """
+class Table:
+    """Ratios of some contexts and of all n-grams after them, in a hash table; finds those of all words of a batch at once."""
+
+    def __init__(self, rows: Iterator[tuple[str, float, dict[str, float] | None]], whole: bool):
+        """rows: (context, its ratio, the ratios of the characters after it); whole: there are no other contexts."""
+        self.whole = whole
+        texts, values = [], []
+        for context, backed, after in rows:
+            texts.append(context + "\n")  # no character of a word: keeps contexts and n-grams apart
+            values.append(backed)
+            for k, v in (after or {}).items():
+                texts.append(context + k)
+                values.append(v)
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        codes = self._codes("".join(texts))
+        last = np.cumsum(sizes) - 1
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        before = self._before(codes, place)
+        keys = self._join(before, codes)[last]
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits)
+        rest, slot = np.arange(len(keys)), self._slot(keys)
+        value = np.array(values, dtype=float)
+        while len(rest):  # linear probing: of those that meet in a free slot the first one takes it
+            _, first = np.unique(slot[rest], return_index=True)
+            first = first[self.keys[slot[rest[first]]] == 0]
+            won = rest[first]
+            self.keys[slot[won]], self.values[slot[won]] = keys[won], value[won]
+            rest = np.delete(rest, first)
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+        self.end = self._codes("\n")[0]
+
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return splitmix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64))
+
+    @staticmethod
+    def _before(codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """For each character a sum of those before it in its word, ORDER - 1 at most."""
+        out = np.zeros(len(codes), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(1, min(ORDER, len(codes))):
+                out[j:] += np.where(place[j:] >= j, codes[:-j] * np.uint64(pow(0x9E3779B97F4A7C15, j, 1 << 64)), np.uint64(0))
+        return out
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, which, lengths, numbers, texts, known = [], array("i"), array("i"), array("i"), {}, {}
+    @staticmethod
+    def _join(before: np.ndarray, code: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.maximum(splitmix(before + code), np.uint64(1))  # 0 is a free slot
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys and whether they are there."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        there = held == keys
+        out = np.where(there, self.values[slot], 0.0)
+        rest = np.flatnonzero(~there & (held != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[rest]]
+            same = held == keys[rest]
+            out[rest[same]], there[rest[same]] = self.values[slot[rest[same]]], True
+            rest = rest[~same & (held != 0)]
+        return out, there
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The sum of the ratios of each word; nan where a context isn't in the table that may be elsewhere."""
+        out = np.zeros(len(words))
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            sizes = np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 2
+            codes = self._codes("^" + "$^".join(part) + "$")
+            begin = np.cumsum(sizes) - sizes
+            place = np.arange(len(codes)) - np.repeat(begin, sizes)
+            before = self._before(codes, place)
+            value, there = self.find(self._join(before, codes))
+            rest = np.flatnonzero(~there & (place > 0))
+            value[rest], known = self.find(self._join(before[rest], np.full(len(rest), self.end)))
+            if not self.whole:
+                value[rest[~known]] = np.nan
+            value[begin] = 0.0
+            out[a : a + 20_000] = np.add.reduceat(value, begin)
+        return out
+
+
+def frequent(table: DataFrame, which: str) -> Table:
+    """The most frequent contexts of the table; which: ratio or rest."""
+    whole, rows, entries = True, [], 0
+    slim = table.select("context", F.col(f"backed.{which}").alias("backed"), F.transform_values("after", lambda _, v: v[which]).alias("after"), "weight")
+    for r in slim.orderBy(F.col("weight").desc(), "context").limit(TABLE_CONTEXTS + 1).drop("weight").toLocalIterator():
+        entries += 1 + len(r.after or ())
+        if len(rows) == TABLE_CONTEXTS or entries > TABLE_ENTRIES:
+            whole = False
+            break
+        rows.append((r.context, r.backed, r.after))
+    return Table(rows, whole)
+
+
+PACKED = "block long, ids binary, which binary, lengths binary, numbers binary, known binary, items array<string>"
+
+
+class Block:
+    """Rows with the numbers of their items; items whose value is known on the spot need no join."""
+
+    def __init__(self) -> None:
+        self.ids, self.which, self.lengths, self.numbers = [], array("i"), array("i"), array("i")
+        self.texts: dict[str | None, int] = {}
+        self.at: dict[str, int] = {}
+        self.known = array("d")
+
+    def add(self, i: str, text: str | None, items: list[str], values: np.ndarray | None) -> None:
+        if text not in self.texts:
+            self.texts[text] = len(self.texts)
+            self.lengths.append(len(items))
+            for k, x in enumerate(items):
+                if x not in self.at:
+                    self.at[x] = len(self.at)
+                    self.known.append(float("nan") if values is None else values[k])
+                self.numbers.append(self.at[x])
+        self.ids.append(i)
+        self.which.append(self.texts[text])
+
+    def full(self, more: int) -> bool:
+        return bool(self.ids) and max(len(self.ids), len(self.numbers) + more) > BLOCK_ITEMS
+
+    def packed(self) -> dict:
+        """A row of the columns of PACKED; items with a known value have no name."""
+        arrays = {"ids": json.dumps(self.ids).encode(), **{n: getattr(self, n).tobytes() for n in ("which", "lengths", "numbers", "known")}}
+        items = [x if v != v else None for x, v in zip(self.at, self.known, strict=True)]
+        return {"block": uuid.uuid4().int >> 65} | {n: zlib.compress(x, 1) for n, x in arrays.items()} | {"items": items}
 
-        def flush() -> pd.DataFrame:
-            packed = {n: [zlib.compress(x, 1)] for n, x in (("ids", json.dumps(ids).encode()), ("which", which.tobytes()), ("lengths", lengths.tobytes()), ("numbers", numbers.tobytes()))}
-            return pd.DataFrame({"block": [uuid.uuid4().int >> 65]} | packed | {"items": [list(known)]})
 
+def blocks(rows: DataFrame, split: Callable[[str | None], list[str]]) -> DataFrame:
+    """(id string, text) -> stored blocks of rows, with the columns of PACKED."""
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Block()
         for pdf in batches:
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                found = [] if text in texts else split(text)
-                if ids and max(len(ids), len(numbers) + len(found)) > BLOCK_ITEMS:
-                    yield flush()
-                    found = split(text)
-                    ids, which, lengths, numbers, texts, known = [], array("i"), array("i"), array("i"), {}, {}
-                if text not in texts:
-                    texts[text] = len(texts)
-                    lengths.append(len(found))
-                    numbers.extend([known.setdefault(x, len(known)) for x in found])
-                ids.append(i)
-                which.append(texts[text])
-        if ids:
-            yield flush()
+                found = [] if text in own.texts else split(text)
+                if own.full(len(found)):
+                    yield pd.DataFrame([own.packed()])
+                    own, found = Block(), split(text)
+                own.add(i, text, found, None)
+        if own.ids:
+            yield pd.DataFrame([own.packed()])
+
+    return stored(rows.select("id", "text").mapInPandas(gather, PACKED))
+
+
+class Values:
+    """Values of the words that a Python worker has met, for one table."""
+
+    def __init__(self) -> None:
+        self.of, self.at, self.rows = None, {}, np.zeros(0)
+
+    def get(self, lists: list[list[str]], table: Table) -> list[np.ndarray]:
+        if self.of is not table or len(self.at) > HELD_WORDS:
+            self.of, self.at, self.rows = table, {}, np.zeros(0)
+        fresh = [w for w in dict.fromkeys(w for words in lists for w in words) if w not in self.at]
+        if fresh:
+            begin = len(self.at)
+            if begin + len(fresh) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:begin], np.zeros(max(begin, len(fresh), 65_536))])
+            self.rows[begin : begin + len(fresh)] = table.words(fresh)
+            self.at.update(zip(fresh, range(begin, begin + len(fresh)), strict=True))
+        return [self.rows[np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))] for words in lists]
 
-    return stored(rows.select("id", "text").mapInPandas(gather, "block long, ids binary, which binary, lengths binary, numbers binary, items array<string>"))
+
+_values = Values()
+
+
+def measured(rows: DataFrame, table: DataFrame, which: str) -> DataFrame:
+    """(id string, text) -> id and the measures a, b, c of each row."""
+    sc = rows.sparkSession.sparkContext
+    held = sc.broadcast(frequent(table, which))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Block()
+        for pdf in batches:
+            for a in range(0, len(pdf), 500):
+                part = pdf.iloc[a : a + 500]
+                lists = [words_of(text) for text in part["text"]]
+                values = _values.get(lists, held.value)
+                sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+                m = measures(np.concatenate([np.zeros(0), *values]), sizes)
+                open_ = np.isnan(m[:, 0])
+                yield part.loc[~open_, ["id"]].assign(**dict(zip("abc", m[~open_].T, strict=True)))
+                for r in np.flatnonzero(open_):
+                    if own.full(len(lists[r])):
+                        yield pd.DataFrame([own.packed()])
+                        own = Block()
+                    own.add(part["id"].iloc[r], part["text"].iloc[r], lists[r], values[r])
+        if own.ids:
+            yield pd.DataFrame([own.packed()])
+
+    shape = f"id string, a double, b double, c double, {PACKED}"
+    columns = [x.split()[0] for x in shape.split(", ")]
+
+    def whole(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.reindex(columns=columns).astype(object)
+        return x.where(x.notna(), None)
+
+    out = rows.select("id", "text").mapInPandas(lambda batches: map(whole, gather(batches)), shape)
+    if held.value.whole:
+        return out.select("id", "a", "b", "c")
+    out = stored(out)
+    parts = out.where(F.col("block").isNotNull()).select(*[x.split()[0] for x in PACKED.split(", ")])
+    joined = told(parts, word_values(parts, table, which), measures, ["a", "b", "c"])
+    return out.where(F.col("block").isNull()).select("id", "a", "b", "c").union(joined)
 
 
 def asked(parts: DataFrame) -> DataFrame:
-    """(of, at, item) of the distinct items of each block."""
-    return parts.select(F.col("block").alias("of"), F.posexplode("items").alias("at", "item"))
+    """(of, at, item) of the distinct items of each block whose value isn't known."""
+    return parts.select(F.col("block").alias("of"), F.posexplode("items").alias("at", "item")).where(F.col("item").isNotNull())
 
 
 def told(parts: DataFrame, values: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], columns: list[str]) -> DataFrame:
@@ -170,7 +363,7 @@ def told(parts: DataFrame, values: DataFrame, measure: Callable[[np.ndarray, np.
         out = [pd.DataFrame({"id": []} | {c: [] for c in columns})]
         for row in left.itertuples():
             which, n, at = (np.frombuffer(zlib.decompress(x), dtype=np.int32) for x in (row.which, row.lengths, row.numbers))
-            value = np.zeros(int(at.max()) + 1 if len(at) else 0)
+            value = np.nan_to_num(np.frombuffer(zlib.decompress(row.known)), nan=0.0)
             value[right["at"].to_numpy()] = right["value"].to_numpy()
             ids = np.array(json.loads(zlib.decompress(row.ids)), dtype=object)
             out.append(pd.DataFrame({"id": ids} | dict(zip(columns, measure(value[at], n)[which].T, strict=True))))
@@ -230,13 +423,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 
 @dataclass
 class Judge:
-    table: DataFrame
-    curve: np.ndarray
+    """Ratios by context, and the coefficients of the measures with a constant (by default a fixed curve over the largest ratio)."""
 
-
-def curved(m: np.ndarray, curve: np.ndarray) -> np.ndarray:
-    z = np.clip(m, -20, 20) @ curve[:-1] + curve[-1]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    table: DataFrame
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 0.0, -3.0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS) -> Judge:
@@ -252,20 +442,20 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS) ->
     words = stored(count_words(texts.join(known, ["doc_id", "print"]).select("text", "toxic", "apart")))
     table = by_context(words)
     sample = known.where("apart").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    parts = blocks(texts.join(F.broadcast(sample), ["doc_id", "print"]).select(F.col("toxic").cast("string").alias("id"), "text"), words_of)
-    rows = told(parts, word_values(parts, table, "rest"), measures, ["a", "b", "c"]).limit(2 * max_rows).toPandas()
-    x, y = np.clip(rows[["a", "b", "c"]].to_numpy(dtype=float), -20, 20), (rows["id"] == "true").to_numpy(dtype=float)
+    rows = texts.join(F.broadcast(sample), ["doc_id", "print"]).select(F.col("toxic").cast("string").alias("id"), "text")
+    got = measured(rows, table, "rest").toPandas()
+    x, y = np.clip(got[["a", "b", "c"]].to_numpy(dtype=float), -20, 20), (got["id"] == "true").to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
-        return Judge(table, np.array([0.0, 1.0, 0.0, -3.0]))
+        return Judge(table)
     return Judge(table, logistic(x, y))
 
 
 def scores(docs: DataFrame, model: Judge) -> DataFrame:
     """(doc_id, score) of each row of docs, by its whole text."""
-    parts = blocks(docs.select(F.col("doc_id").cast("string").alias("id"), "text"), words_of)
-    curve = model.curve
-    out = told(parts, word_values(parts, model.table, "ratio"), lambda v, n: curved(measures(v, n), curve)[:, None], ["score"])
-    return out.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "score")
+    a, b, c = (F.least(F.greatest(F.col(x), F.lit(-20.0)), F.lit(20.0)) * F.lit(float(w)) for x, w in zip("abc", model.curve, strict=False))
+    z = a + b + c + F.lit(float(model.curve[3]))
+    out = measured(docs.select(F.col("doc_id").cast("string").alias("id"), "text"), model.table, "ratio")
+    return out.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out, threshold: float = THRESHOLD) -> DataFrame:
