@@ -296,6 +296,78 @@ def test_pii_terms_of_copies_and_far_away(spark):
     assert all(found[i] == want[i] for i in range(52)) and found[52] == []
 
 
+@pytest.fixture(scope="module")
+def secrets(spark):
+    """Some texts with entities, of which most also say token = and a hex string; copies and near copies of them; clean texts."""
+    rng = np.random.default_rng(8)
+    made = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
+    texts = []
+    for k in range(300):
+        w = list(rng.choice(made, 30))
+        if k < 24:
+            w[5] = f"10.{k}.7.9"
+        if 6 <= k < 30:
+            w[9:9] = ["token", "=", "".join(rng.choice(list("0123456789abcdef"), 40))]
+        texts.append(" ".join(w))
+    near = " ".join(rng.choice(made, 30)) + " 99.9.9.9 nearcopies"
+    texts += [texts[2]] * 30 + [f"{near} {k} tail" for k in range(20)] + [None, ""]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def brute_classes(texts, min_entities, most, smoothing):
+    """Terms of classes by plain counting over the different texts."""
+    texts = sorted({t or "" for t in texts})
+    n, beside, reps = Counter(), defaultdict(set), defaultdict(set)
+    for t in texts:
+        n.update({pii.form(w) for w in re.findall(r"[^\W_]+", t)})
+        spans = pii.base_spans(t)
+        own = {w for w, _, _ in pii.words_outside(t, spans)}
+        entities = sorted(pii.entity_of(t, x) for x in spans)
+        for kind in {"any"} if entities else ():
+            reps[kind].add(entities[0])
+            for w in own:
+                beside[kind, w].add(entities[0])
+        for kind in {e.split(":")[0] for e in entities}:
+            first = min(e for e in entities if e.startswith(kind + ":"))
+            reps[kind].add(first)
+            for w in own:
+                beside[kind, w].add(first)
+    out = set()
+    for (kind, w), x in beside.items():
+        p = len(reps[kind]) / len(texts)
+        given = (len(x) + smoothing * p) / (max(n[w], len(x)) + smoothing)
+        if len(x) >= min_entities and np.log2(given / p) / -np.log2(p) > most:
+            out.add((kind, w))
+    return out
+
+
+def test_pii_terms_of_classes(secrets):
+    texts, df = secrets
+    keyed = df.select("doc_id", "text", *pii.keys())
+    found = pii.with_entities(keyed).dropDuplicates(["copy", "check"])
+    copies = keyed.groupBy("copy", "check").agg(F.count(F.lit(1)).alias("copies"))
+    terms = pii.count_terms(keyed.join(copies, ["copy", "check"]))
+    got = {(r.kind, r.term) for r in pii.of_classes(found, terms, copies.count()).collect()}
+    assert got == brute_classes(texts, pii.MIN_ENTITIES, pii.MOST_DISCLOSED, pii.SMOOTHING)
+    assert {("any", "token"), ("any", "hex:40")} <= got and not any(w in ("nearcopies", "tail") for _, w in got)
+
+
+@pytest.mark.parametrize("many", [1 << 20, 0])
+def test_pii_marks_terms_of_classes_anywhere(secrets, monkeypatch, many):
+    monkeypatch.setattr(pii, "MANY_TERMS", many)
+    texts, df = secrets
+    got = {r.doc_id: {texts[r.doc_id][s["start"] : s["end"]] for s in r.spans if s["kind"] == "term"} for r in pii.detect(df).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts[:300]):
+        want = {"token", t.split()[11]} if 6 <= i < 30 else set()
+        assert want <= got[i] and (want or not got[i] or i < 24)
+
+
+def test_sanitise_keeps_columns(docs):
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+
+
 def test_quality_model():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))

@@ -46,6 +46,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many rows (a few hundred bytes each at most) a table is broadcast; beyond it Spark joins by key.
+FEW_ROWS = 200_000
+
+
+def small(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A table of short rows, broadcast if it has at most `most` of them."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal text of an id, modulo n."""
     return F.crc32(doc_id.cast("string")) % n
