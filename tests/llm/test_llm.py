@@ -191,6 +191,20 @@ def test_near_dedup(docs, empty, monkeypatch, large):
     assert kept.columns == docs.columns and kept.count() == sum(find(i) == i for i in sets)
 
 
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_near_dedup_of_repeated_and_missing_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    rng = np.random.default_rng(9)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a), (None, c), (None, c), (4, ""), (4, ""), (None, None), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    want = [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (None, None, True), (4, 4, True), (4, 4, True), (None, None, True), (5, 5, True)]
+    assert got == Counter(want)
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(df).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (4, ""), (5, None), (None, a), (None, c), (None, c), (None, None)], key=str)
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)]

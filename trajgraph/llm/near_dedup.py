@@ -2,8 +2,8 @@
 
 Every permutation of the word shingles gives two values, its minimum and its maximum, so PERMUTATIONS hash evaluations make twice
 as many signature values. Bands of BAND values put documents of like sets into common buckets; a pair at the threshold of 0.8
-meets in none of them with a chance of 5e-8. Documents of equal sets are one class and stand as one node. Links are confirmed on
-the full sets:
+meets in none of them with a chance of 5e-8. Rows of equal sets are one class and stand as one node; rows meet their class once, at
+the end, and classes of many rows meet theirs without a shuffle by class. Links are confirmed on the full sets:
 
 1. a node is compared with one partner: of the smallest nodes of its buckets the one that it shares most buckets with;
 2. confirmed links give components;
@@ -32,6 +32,8 @@ BANDS = 2 * PERMUTATIONS // BAND
 LEAST_ALIKE = 0.61
 #: Buckets of more nodes are worked as clusters in blocks; both ways find every link.
 LARGE, BLOCK = 64, 1024
+#: Classes of more rows than HOT are joined to them in SALTS parts, or broadcast where they are few.
+HOT, SALTS = 1000, 64
 _ODD = splitmix(np.arange(PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = splitmix(np.arange(PERMUTATIONS, 2 * PERMUTATIONS, dtype=np.uint64))
 _WHITE = np.zeros(256, dtype=bool)
@@ -87,7 +89,7 @@ def _encoded(text: str | None) -> bytes:
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, set_hi, set_lo (a 128-bit hash of the set), bands, sketch (2 bytes of each signature value)."""
+    """docs without text, with n, set_hi, set_lo (a 128-bit hash of the set), bands, sketch (2 bytes of each signature value)."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -110,10 +112,10 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
                     short = (splitmix(s) & np.uint64(0xFFFF)).astype(np.uint16)
                     for r, i in enumerate(some):
                         bands[i], sketch[i] = keys[r], short[r].tobytes()
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "n": n, "set_hi": hi, "set_lo": lo, "bands": bands, "sketch": sketch})
+                yield pdf.drop(columns="text").iloc[a:b].assign(n=n, set_hi=hi, set_lo=lo, bands=bands, sketch=sketch)
 
-    slim = docs.select("doc_id", "text")
-    shape = slim.select("doc_id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("set_hi"), F.lit(0).cast("long").alias("set_lo"), F.lit(None).cast("array<long>").alias("bands"), F.lit(None).cast("binary").alias("sketch"))
+    slim = docs
+    shape = slim.drop("text").select("*", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("set_hi"), F.lit(0).cast("long").alias("set_lo"), F.lit(None).cast("array<long>").alias("bands"), F.lit(None).cast("binary").alias("sketch"))
     return slim.mapInPandas(sign, shape.schema)
 
 
@@ -177,6 +179,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components of links did not settle in {rounds} rounds")
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.union(edges.select("v").distinct().select("v", F.col("v").alias("component")).join(stars.select(F.col("node").alias("v")), "v", "left_anti"))
 
@@ -248,26 +252,34 @@ def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document.
+def text_keys() -> list:
+    """Two hashes of a text, 96 bits."""
+    return [F.xxhash64("text").alias("copy"), F.hash("text").alias("check")]
 
-    Words are cut at ASCII white space, ASCII letters lower-cased. Null, empty and blank texts have empty sets and stand alone;
-    texts of fewer than k words have one shingle, their whole sequence; rows without a doc_id are left out; repeated rows are
-    copies; an empty table gives no rows. Other columns of docs are not read.
+
+CLASS = ["set_hi", "set_lo", "n"]
+
+
+def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, copy, check, n, set_hi, set_lo) of docs, n = 0 for empty sets, and classes of those that aren't empty:
+    (set_hi, set_lo, n, m, first, component): how many rows, the least (doc_id, copy, check), and the number of its component.
+
+    Of a class and of a component with ids and without the ids come first.
     """
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    signs = stored(describe(docs, k))
+    keyed = docs.select("doc_id", "text", *text_keys())
+    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    signs = stored(describe(keyed, k).withColumn("row", F.monotonically_increasing_id()))
     some = signs.where(F.col("n") > 0)
-    nodes = some.groupBy("set_hi", "set_lo", "n").agg(F.min("doc_id").alias("node"))
-    stands = stored(some.select("doc_id", "set_hi", "set_lo", "n").join(nodes, ["set_hi", "set_lo", "n"]).select("doc_id", "node"))
-    own = signs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = own.select(F.col("doc_id").alias("node"), "n", F.posexplode("bands").alias("band", "key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", "check")).alias("first")
+    nodes = stored(some.groupBy(*CLASS).agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("m"), first, F.min_by(F.struct(id_.alias("id"), "copy", "check"), "row").alias("text_of")))
+    own = some.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    banded = own.select(F.col("row").alias("node"), "n", F.posexplode("bands").alias("band", "key"))
     # The count of a bucket first: most buckets hold one node and end here.
     crowded = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).where(F.col("m") > 1)
     buckets = stored(banded.join(crowded, ["band", "key"]).select("band", "key", "node", "n", "least"))
-    sketches = own.select(F.col("doc_id").alias("node"), "sketch")
-    wanted = stored(buckets.select("node").distinct())
-    texts = docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sketches = own.select(F.col("row").alias("node"), "sketch")
+    wanted = stored(nodes.join(buckets.select("node").distinct(), "node").select("node", "text_of.*"))
+    texts = keyed.withColumn("id", id_).join(wanted, ["id", "copy", "check"]).select("node", "text").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts, k))
     stars = buckets.where(F.col("node") != F.col("least")).groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
@@ -282,20 +294,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = stored(confirm(few, sets, percent).union(many))
     if more.limit(1).count():
         found = stored(components(links.union(more)))
-    member = stands.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")).dropDuplicates(["doc_id"])
-    out = signs.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    of = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return signs.drop("bands", "sketch", "row"), of.select(*CLASS, "m", "first", "component")
+
+
+def with_class(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows with the columns of their class (set_hi, set_lo, n, m, ...); a class of many rows never meets them in one task."""
+    hot = of.where(F.col("m") > HOT)
+    if hot.limit(200_001).count() > 200_000:
+        hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        of_hot = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SALTS)).cast("int")).join(hot, [*CLASS, "salt"], "left").drop("salt")
+    else:
+        of_hot = rows.join(F.broadcast(hot), CLASS, "left")
+    rest = of_hot.where(F.col("m").isNull()).select(*rows.columns).join(of.where(F.col("m") <= HOT), CLASS)
+    return of_hot.where(F.col("m").isNotNull()).unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    Words are cut at ASCII white space, ASCII letters lower-cased. Null, empty and blank texts have empty sets and stand alone;
+    texts of fewer than k words have one shingle, their whole sequence. Repeated rows are copies; rows of one id with different
+    texts are linked each by its own text. Rows without an id get the least id that they are linked with, or none, and are kept in
+    that case alone. An empty table gives no rows. Other columns of docs are not read.
+    """
+    rows, of = classes(docs, k, percent)
+    least = of.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    named = stored(of.join(least, "component").select(*CLASS, "m", "component_id"))
+    out = with_class(rows.where(F.col("n") > 0), named).select("doc_id", "n", "component_id")
+    out = out.unionByName(rows.where(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component (the smallest id; of repeated rows of it one stays), columns as they were.
+    """One document of each component (that of the smallest id; of repeated rows of it one stays), columns as they were.
 
-    Rows without a doc_id can't be named and stay.
+    Texts with empty sets stay, of repeated rows of an id one; rows without a doc_id can't be named and stay. Columns of docs may
+    have any names; an empty table gives no rows.
     """
-    kept = stored(near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct())
-    named = docs.join(kept, "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows, of = classes(docs, k, percent)
+    first = of.groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.copy", "first.check")
+    kept = stored(first.unionByName(rows.where(F.col("n") == 0).select("doc_id", "copy", "check")).where(F.col("doc_id").isNotNull()).distinct())
+    copy, check = text_keys()
+    on = ["doc_id", "_copy", "_check"]
+    named = docs.withColumns({"_copy": copy, "_check": check}).join(kept.select("doc_id", F.col("copy").alias("_copy"), F.col("check").alias("_check")), on, "left_semi").dropDuplicates(on)
+    return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op9_near_dedup(spark, sf_dir):
