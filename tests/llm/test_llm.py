@@ -57,7 +57,7 @@ def labels(spark, rows):
 
 @pytest.fixture(scope="module")
 def benchmark(spark, rows):
-    items = [(1, " ".join(rows[7][1].split()[:30])), (2, "One two"), (3, None), (4, "!!"), (5, rows[43][1]), (5, rows[43][1])]
+    items = [(1, " ".join(rows[7][1].split()[:30])), (2, "One two"), (3, None), (4, "!!"), (5, rows[43][1]), (5, rows[43][1]), (None, rows[9][1])]
     return spark.createDataFrame(items, "item_id long, text string")
 
 
@@ -119,12 +119,12 @@ def words10(t):
     return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
 
 
-@pytest.mark.parametrize("most", [200_000, 20])
-def test_decontamination(docs, benchmark, empty, most):
-    items = {str(r.item_id): words10(r.text) for r in benchmark.collect()}
+@pytest.mark.parametrize(("most", "at_once"), [(200_000, 2), (60, 100), (30, 2)])
+def test_decontamination(docs, benchmark, empty, most, at_once):
+    items = {r.item_id and str(r.item_id): words10(r.text) for r in benchmark.collect()}
     windows = [(k, w[i : i + 13]) for k, w in items.items() for i in range(max(1, len(w) - 12)) if w]
     hit, bad = decontaminate.contaminated()
-    got = decontaminate.hit_columns(docs.select("doc_id", "text"), benchmark, most=most).select("doc_id", "text", "_n", "_items", hit.alias("hit"), bad.alias("bad")).collect()
+    got = decontaminate.hit_columns(docs.select("doc_id", "text"), benchmark, most=most, at_once=at_once).select("doc_id", "text", "_n", "_items", hit.alias("hit"), bad.alias("bad")).collect()
     assert len(got) == docs.count()
     for r in got:
         w, marks, names = words10(r.text), set(), set()
@@ -133,12 +133,16 @@ def test_decontamination(docs, benchmark, empty, most):
                 if w[i : i + len(win)] == win:
                     marks.update(range(i, i + len(win)))
                     names.add(k)
-        assert (r._n, r.hit, r._items) == (len(w), len(marks), sorted(names))
+        assert (r._n, r.hit, r._items) == (len(w), len(marks), sorted(names - {None}))
         assert r.bad == (len(marks) > 0 and 20 * len(marks) >= len(w))
     assert decontaminate.decontaminate(empty, benchmark).count() == 0
     assert not decontaminate.decontaminate(docs, benchmark.limit(0)).where("contaminated").count()
     kept = decontaminate.drop_contaminated(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == sum(not r.bad for r in got)
+    cut = decontaminate.cut_contaminated(docs, benchmark)
+    assert cut.columns == docs.columns
+    left = Counter((r.doc_id, len(words10(r.text))) for r in cut.collect())
+    assert left == Counter((r.doc_id, r._n - (r.hit if r.bad else 0)) for r in got)
 
 
 def test_suffix_dedup(docs, empty):
