@@ -145,7 +145,24 @@ def test_decontamination(docs, benchmark, empty, most, at_once):
     assert left == Counter((r.doc_id, r._n - (r.hit if r.bad else 0)) for r in got)
 
 
-def test_suffix_dedup(docs, empty):
+def test_suffix_order():
+    rng = np.random.default_rng(10)
+    for letters, longest in ((b"ab", 40), (bytes(range(256)), 20), (b"\0\1", 70)):
+        strings = [bytes(rng.choice(list(letters), int(rng.integers(0, longest))).astype(np.uint8)) for _ in range(300)] + [b"", b"a" * 64, b"a" * 64, b"a" * 63]
+        flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        size = np.array([len(x) for x in strings])
+        order, common = suffix_dedup.suffix_order(flat, np.cumsum(size) - size, size)
+        got = [strings[i] for i in order]
+        assert got == sorted(strings)
+        for k in range(1, len(got)):
+            a, b = got[k - 1], got[k]
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize(("hot", "at_once"), [(2000, 20_000), (2, 5), (0, 1)])
+def test_suffix_dedup(docs, empty, monkeypatch, hot, at_once):
+    monkeypatch.setattr(suffix_dedup, "HOT_KINDS", hot)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", at_once)
     length = 50
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = Counter(b[i : i + length] for _, b in rows for i in range(len(b) - length + 1))

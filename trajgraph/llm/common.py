@@ -55,6 +55,25 @@ def small(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+#: Keys with more rows than HOT_ROWS are joined in SALTS parts, or broadcast where they are few.
+HOT_ROWS, SALTS = 1000, 64
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str], count: str, spread: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows with a table of one row a key, in which the rows of a frequent key never meet in one task.
+
+    count: the table's column with (at least) the number of rows of a key; spread: a column of rows that differs within a key.
+    """
+    many = table.where(F.col(count) > hot)
+    if many.limit(FEW_ROWS + 1).count() <= FEW_ROWS:
+        first = rows.join(F.broadcast(many), on, "left")
+    else:
+        salted = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        first = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], "left").drop("_salt")
+    rest = first.where(F.col(count).isNull()).select(*rows.columns).join(table.where(F.col(count) <= hot), on)
+    return first.where(F.col(count).isNotNull()).unionByName(rest)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal text of an id, modulo n."""
     return F.crc32(doc_id.cast("string")) % n

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajgraph.llm.common import BYTE_CODES, Rolling, groups_of, read, splitmix, stored
+from trajgraph.llm.common import BYTE_CODES, Rolling, groups_of, join_hot, read, splitmix, stored
 
 PERMUTATIONS, BAND = 64, 4
 BANDS = 2 * PERMUTATIONS // BAND
@@ -32,8 +32,8 @@ BANDS = 2 * PERMUTATIONS // BAND
 LEAST_ALIKE = 0.61
 #: Buckets of more nodes are worked as clusters in blocks; both ways find every link.
 LARGE, BLOCK = 64, 1024
-#: Classes of more rows than HOT are joined to them in SALTS parts, or broadcast where they are few.
-HOT, SALTS = 1000, 64
+#: Rows of larger classes don't meet in one task.
+HOT = 1000
 _ODD = splitmix(np.arange(PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
 _SHIFT = splitmix(np.arange(PERMUTATIONS, 2 * PERMUTATIONS, dtype=np.uint64))
 _WHITE = np.zeros(256, dtype=bool)
@@ -298,18 +298,6 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     return signs.drop("bands", "sketch", "row"), of.select(*CLASS, "m", "first", "component")
 
 
-def with_class(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """rows with the columns of their class (set_hi, set_lo, n, m, ...); a class of many rows never meets them in one task."""
-    hot = of.where(F.col("m") > HOT)
-    if hot.limit(200_001).count() > 200_000:
-        hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        of_hot = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(SALTS)).cast("int")).join(hot, [*CLASS, "salt"], "left").drop("salt")
-    else:
-        of_hot = rows.join(F.broadcast(hot), CLASS, "left")
-    rest = of_hot.where(F.col("m").isNull()).select(*rows.columns).join(of.where(F.col("m") <= HOT), CLASS)
-    return of_hot.where(F.col("m").isNotNull()).unionByName(rest)
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -321,7 +309,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows, of = classes(docs, k, percent)
     least = of.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
     named = stored(of.join(least, "component").select(*CLASS, "m", "component_id"))
-    out = with_class(rows.where(F.col("n") > 0), named).select("doc_id", "n", "component_id")
+    out = join_hot(rows.where(F.col("n") > 0), named, CLASS, "m", "doc_id", HOT).select("doc_id", "n", "component_id")
     out = out.unionByName(rows.where(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

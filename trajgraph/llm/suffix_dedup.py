@@ -9,10 +9,12 @@ anchors (about one in seventy bytes) must be sorted to find all repeats:
 2. around each anchor in the map goes a segment: all strings that have this anchor. Segments are counted by digest, without
    their bytes. All strings of a segment seen twice are repeats; a segment seen once must be compared with the others of its
    gram, and only such segments, one of each kind, send their bytes;
-3. sampled splitters over the leading bytes of the suffixes deal these segments to ranges. Within a range they are sorted by
-   successive keys (leading bytes, gram, then the digest of each string), and equal neighbours are repeats. Suffixes with the same
-   leading bytes fall into the same range, so no repeat crosses a boundary;
-4. segments get a bit for each of their strings; documents collect these and cut out what they cover.
+3. sampled splitters over the leading bytes and the gram deal the suffixes at the anchors of these segments to ranges. Each range
+   sorts its suffixes, and the reversed bytes before the anchors, by multikey quicksort (eight bytes a step, NumPy arrays) and
+   compares neighbours: runs of common prefixes on both sides tell equal strings, byte by byte. A boundary between ranges lies
+   between different grams, whose suffixes differ within GRAM bytes: no repeat crosses it;
+4. grams with more than HOT_KINDS kinds of segments would not fit one task: their strings are grouped by 128-bit digests instead;
+5. segments get a bit for each of their strings; documents collect these and cut out what they cover.
 """
 
 from __future__ import annotations
@@ -25,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajgraph.llm.common import BYTE_CODES, Rolling, groups_of, read, splitmix, stored
+from trajgraph.llm.common import BYTE_CODES, Rolling, groups_of, join_hot, read, splitmix, stored
 
 LENGTH, GRAM = 200, 64
 #: Bits of the broadcast map (16 MB). With more repeated grams than that, more single segments are sorted; results stay.
 MAP_BITS = 27
 #: Leading bytes of a suffix by which ranges are cut.
 LEAD = 16
+#: Kinds of segments of a gram that are sorted in one task, and about how many segments are sorted at once.
+HOT_KINDS, AT_ONCE = 2000, 20_000
 _PLACE = np.uint64(24)
 _GROUP = 500_000
 _PIECE = 8_000_000
@@ -123,10 +127,10 @@ def _marked(marks: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return ((marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _place_hash(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """A hash of (document, place), for the map of segments that send their bytes."""
+def _place_hash(print_: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A hash of (text, place), for the map of segments that send their bytes."""
     with np.errstate(over="ignore"):
-        return splitmix(splitmix(doc.astype(np.int64).view(np.uint64)) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return splitmix(print_.astype(np.int64).view(np.uint64) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def places(docs: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int = MAP_BITS) -> DataFrame:
@@ -139,25 +143,25 @@ def places(docs: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int
             for _, rolling, text, start, place, count, _, h in anchors(_raw(pdf["text"]), length, gram):
                 ok = np.flatnonzero(_marked(held.value, h, bits))
                 digest = rolling.stretches(start[ok], start[ok] + count[ok] - 1 + length)
-                yield pd.DataFrame({"doc": doc[text[ok]], "print": print_[text[ok]], "start": place[ok], "strings": count[ok].astype(np.int16), "gram": h[ok].view(np.int64), "digest": digest.view(np.int64), "place": _place_hash(doc[text[ok]], place[ok]).view(np.int64)})
+                yield pd.DataFrame({"doc": doc[text[ok]], "print": print_[text[ok]], "start": place[ok], "strings": count[ok].astype(np.int16), "gram": h[ok].view(np.int64), "digest": digest.view(np.int64), "place": _place_hash(print_[text[ok]], place[ok]).view(np.int64)})
 
-    return docs.select("doc", "print", "text").mapInPandas(cut, "doc long, print int, start long, strings short, gram long, digest long, place long")
+    return docs.select("doc", "print", "text").mapInPandas(cut, "doc long, print long, start long, strings short, gram long, digest long, place long")
 
 
 def segment_bytes(docs: DataFrame, marks: np.ndarray, length: int, gram: int, bits: int = MAP_BITS) -> DataFrame:
-    """(gram, digest, strings, lead, segment) of the segments whose place is in the map."""
+    """(gram, digest, strings, lead, anchor, segment) of the segments whose place is in the map; anchor: its place in the segment."""
     held = docs.sparkSession.sparkContext.broadcast(marks)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            doc = pdf["doc"].to_numpy()
+            print_ = pdf["print"].to_numpy()
             for flat, rolling, text, start, place, count, at, h in anchors(_raw(pdf["text"]), length, gram):
-                ok = np.flatnonzero(_marked(held.value, _place_hash(doc[text], place), bits))
+                ok = np.flatnonzero(_marked(held.value, _place_hash(print_[text], place), bits))
                 end = start[ok] + count[ok] - 1 + length
                 raw = flat.tobytes()
-                yield pd.DataFrame({"gram": h[ok].view(np.int64), "digest": rolling.stretches(start[ok], end).view(np.int64), "strings": count[ok].astype(np.int16), "lead": [raw[p : p + LEAD] for p in at[ok]], "segment": [raw[x:y] for x, y in zip(start[ok], end, strict=True)]})
+                yield pd.DataFrame({"gram": h[ok].view(np.int64), "digest": rolling.stretches(start[ok], end).view(np.int64), "strings": count[ok].astype(np.int16), "lead": [raw[p : p + LEAD] for p in at[ok]], "anchor": (at[ok] - start[ok]).astype(np.int16), "segment": [raw[x:y] for x, y in zip(start[ok], end, strict=True)]})
 
-    return docs.select("doc", "text").mapInPandas(cut, "gram long, digest long, strings short, lead binary, segment binary")
+    return docs.select("print", "text").mapInPandas(cut, "gram long, digest long, strings short, lead binary, anchor short, segment binary")
 
 
 KIND = ["gram", "digest", "strings"]
@@ -169,68 +173,148 @@ def kinds_of(found: DataFrame) -> DataFrame:
 
 
 def compared(kinds: DataFrame) -> DataFrame:
-    """The kinds of grams that have several, one of them seen once: no other gram needs a comparison."""
-    mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where((F.col("k") > 1) & (F.col("least") == 1)).select("gram")
-    return kinds.join(mixed, "gram", "left_semi")
+    """The kinds of grams that have several (`k`), one of them seen once: no other gram needs a comparison."""
+    mixed = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where((F.col("k") > 1) & (F.col("least") == 1)).select("gram", "k")
+    return join_hot(kinds, mixed, ["gram"], "k", "digest")
+
+
+def suffix_order(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings flat[start : start + size] and the length of the prefix that each shares with the one before it.
+
+    Multikey quicksort with keys of eight bytes: groups that are equal so far are sorted by their next key and split; a string that
+    ends comes before those that go on.
+    """
+    n = len(start)
+    wide = np.zeros(len(flat) + 8, dtype=np.uint64)
+    for k in range(8):
+        wide[: len(flat) - k] |= flat[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
+    order, common = np.arange(n), np.zeros(n, dtype=np.int64)
+    group = np.zeros(n, dtype=np.int64)  # of each place in the order: the first place of its group
+    open_ = np.arange(n) if n > 1 else np.zeros(0, dtype=np.int64)
+    depth = 0
+    while len(open_):
+        rows = order[open_]
+        left = np.clip(size[rows] - depth, 0, 9)  # 9: goes on after this key
+        word = wide[np.minimum(start[rows] + depth, len(flat))]
+        over = ((8 - np.minimum(left, 8)) * 8 % 64).astype(np.uint64)
+        word = np.where(left > 0, (word >> over) << over, np.uint64(0))
+        by = np.lexsort((left, word, group[open_]))
+        rows, left, word = rows[by], left[by], word[by]
+        order[open_] = rows
+        own = group[open_]  # groups stay where they are: only the rows inside moved
+        same_group = own[1:] == own[:-1]
+        split = same_group & ((word[1:] != word[:-1]) | (left[1:] != left[:-1]))
+        differ = word[1:] ^ word[:-1]
+        lead = np.full(len(differ), 8, dtype=np.int64)
+        some = np.flatnonzero(differ)
+        lead[some] = (63 - np.floor(np.log2(differ[some].astype(np.float64))).astype(np.int64)) // 8
+        # A difference next below a power of two can round up to it: the byte is looked up again.
+        lead[some] = np.where((differ[some] >> (np.uint64(56) - (8 * np.minimum(lead[some], 7)).astype(np.uint64))) == 0, lead[some] + 1, lead[some])
+        shared = depth + np.minimum(np.minimum(lead, 8), np.minimum(left[1:], left[:-1]))
+        common[open_[1:][split]] = shared[split]
+        # Equal to the end: nothing is left to compare.
+        first = np.concatenate([[True], ~same_group | split])
+        begin = open_[np.maximum.accumulate(np.where(first, np.arange(len(open_)), 0))]
+        group[open_] = begin
+        depth += 8
+        members = np.bincount(np.cumsum(first) - 1)
+        on = left == 9
+        alone = np.repeat(members == 1, members)
+        ended = np.flatnonzero(~first & ~on)
+        common[open_[ended]] = size[rows[ended]]
+        open_ = open_[on & ~alone]
+    return order, common
+
+
+def repeated_strings(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    """(gram, digest, strings, mask) of the segments that were seen once and have a string that another segment has."""
+    counts, n, anchor = (rows[c].to_numpy().astype(np.int64) for c in ("strings", "n", "anchor"))
+    flat = np.frombuffer(b"".join(rows["segment"]), dtype=np.uint8)
+    sizes = counts + length - 1
+    begin = np.cumsum(sizes) - sizes
+    after, shared_after = suffix_order(flat, begin + anchor, sizes - anchor)
+    before, shared_before = suffix_order(flat[::-1], len(flat) - begin - anchor, anchor)
+    bits = np.zeros((len(rows), -(-int(counts.max()) // 8) * 8), dtype=bool)
+    run_before, run_after = np.empty(len(rows), dtype=np.int64), np.empty(len(rows), dtype=np.int64)
+    for ahead in range(int(anchor.max()) + 1):  # bytes of the string before its anchor
+        some = np.flatnonzero((anchor >= ahead) & (anchor - ahead < counts))
+        if len(some) < 2:
+            continue
+        # Runs of equal bytes on each side.
+        run_before[before] = np.cumsum(shared_before < ahead)
+        run_after[after] = np.cumsum(shared_after < length - ahead)
+        _, of, size = np.unique(run_before[some] * (len(rows) + 1) + run_after[some], return_inverse=True, return_counts=True)
+        again = some[(size > 1)[of] | (n[some] > 1)]
+        bits[again, anchor[again] - ahead] = True
+    own = np.flatnonzero(bits.any(1) & (n == 1))
+    masks = np.packbits(bits, axis=1, bitorder="little")
+    return pd.DataFrame({"gram": rows["gram"].to_numpy()[own], "digest": rows["digest"].to_numpy()[own], "strings": counts[own].astype(np.int16), "mask": [masks[i].tobytes() for i in own]})
 
 
 def repeats(kinds: DataFrame, segments: DataFrame, length: int) -> DataFrame:
     """(gram, digest, strings, mask): for each kind seen once a bit for each of its strings that begins elsewhere too.
 
-    kinds: those to compare; segments: their bytes.
+    kinds: those to compare, with the number `k` of their gram's; segments: their bytes.
     """
-    own = segments.join(kinds.select(*KIND, "n"), KIND).dropDuplicates(KIND)
-    ranges = own.repartitionByRange("lead").sortWithinPartitions("lead", "gram")
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        counts, n, gram = rows["strings"].to_numpy().astype(np.int64), rows["n"].to_numpy(), rows["gram"].to_numpy().view(np.uint64)
-        flat = np.frombuffer(b"".join(rows["segment"]), dtype=np.uint8)
-        sizes = counts + length - 1
-        begin = np.cumsum(sizes) - sizes
-        row = np.repeat(np.arange(len(rows)), counts)
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = begin[row] + inner
-        digest = Rolling(BYTE_CODES[flat]).stretches(start, start + length) ^ splitmix(gram)[row]
-        order = np.argsort(digest, kind="stable")
-        d = digest[order]
-        head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        total = np.add.reduceat(n[row][order], head)
-        again = np.zeros(len(row), dtype=bool)
-        again[order] = np.repeat(total > 1, np.diff(np.append(head, len(d))))
-        width = int(counts.max())
-        bits = np.zeros((len(rows), -(-width // 8) * 8), dtype=bool)
-        bits[row, inner] = again
-        some = np.flatnonzero(bits.any(1) & (n == 1))
-        masks = np.packbits(bits, axis=1, bitorder="little")
-        return pd.DataFrame({"gram": rows["gram"].to_numpy()[some], "digest": rows["digest"].to_numpy()[some], "strings": counts[some].astype(np.int16), "mask": [masks[i].tobytes() for i in some]})
+    own = stored(segments.join(kinds.select(*KIND, "n", "k"), KIND).dropDuplicates(KIND))
+    cool = own.where(F.col("k") <= HOT_KINDS)
+    ranges = cool.repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            if sum(map(len, held)) < AT_ONCE:
+                continue
+            all_ = pd.concat(held, ignore_index=True)
+            gram = all_["gram"].to_numpy()
+            cut = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
+            if cut:
+                yield repeated_strings(all_.iloc[:cut].reset_index(drop=True), length)
+            held = [all_.iloc[cut:]]
+        if held and sum(map(len, held)):
+            yield repeated_strings(pd.concat(held, ignore_index=True), length)
+
+    sorted_ = ranges.select("gram", "digest", "strings", "n", "anchor", "segment").mapInPandas(sort, "gram long, digest long, strings short, mask binary")
+    return sorted_.union(hot_repeats(own.where(F.col("k") > HOT_KINDS), length))
+
+
+_OTHER_CODES = splitmix(BYTE_CODES)
+
+
+def hot_repeats(hot: DataFrame, length: int) -> DataFrame:
+    """repeats for the segments of grams with many kinds: strings meet by their digests, no gram in one task."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            last = pdf["gram"].iloc[-1]
-            same = int((pdf["gram"].to_numpy() != last)[::-1].argmax()) if (pdf["gram"] != last).any() else len(pdf)
-            done = pdf.iloc[: len(pdf) - same]
-            if len(done):
-                yield work(pd.concat([*held, done], ignore_index=True))
-                held = []
-            held.append(pdf.iloc[len(pdf) - same :])
-            if len(done) == 0 and len(held) > 1 and held[-2]["gram"].iloc[-1] != last:
-                yield work(pd.concat(held[:-1], ignore_index=True))
-                held = held[-1:]
-        if held:
-            yield work(pd.concat(held, ignore_index=True))
-
-    return ranges.select("gram", "digest", "strings", "n", "segment").mapInPandas(sort, "gram long, digest long, strings short, mask binary")
+            counts = pdf["strings"].to_numpy().astype(np.int64)
+            flat = np.frombuffer(b"".join(pdf["segment"]), dtype=np.uint8)
+            sizes = counts + length - 1
+            row = np.repeat(np.arange(len(pdf)), counts)
+            inner = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = (np.cumsum(sizes) - sizes)[row] + inner
+            one, two = (Rolling(codes[flat]).stretches(start, start + length).view(np.int64) for codes in (BYTE_CODES, _OTHER_CODES))
+            yield pd.DataFrame({c: pdf[c].to_numpy()[row] for c in (*KIND, "n")} | {"inner": inner.astype(np.int16), "one": one, "two": two})
+
+    strings = stored(hot.select(*KIND, "n", "segment").mapInPandas(each, "gram long, digest long, strings short, n long, inner short, one long, two long"))
+    again = strings.groupBy("one", "two").agg(F.sum("n").alias("total")).where(F.col("total") > 1)
+    found = join_hot(strings.where(F.col("n") == 1).drop("n"), again, ["one", "two"], "total", "digest")
+
+    def mask(inner: list) -> bytes:
+        return np.packbits(np.isin(np.arange(max(inner) + 1), inner), bitorder="little").tobytes()
+
+    lists = found.groupBy(*KIND).agg(F.collect_set("inner").alias("inner"))
+    return lists.mapInPandas(lambda batches: (pdf.assign(mask=[mask(list(x)) for x in pdf["inner"]]).drop(columns="inner") for pdf in batches), "gram long, digest long, strings short, mask binary")
 
 
 def removed_spans(found: DataFrame, masks: DataFrame, length: int) -> DataFrame:
     """(doc, print, spans): maximal covered runs [start, end) of each document, ascending; flat pairs of places.
 
-    masks: (gram, digest, strings, mask); a null mask stands for all strings.
+    masks: (gram, digest, strings, n, mask), n: how often the segment stands; a null mask stands for all strings.
     """
-    places_ = found.select("doc", "print", "start", *KIND).join(masks, KIND).select("doc", "print", "start", "strings", "mask")
+    places_ = join_hot(found.select("doc", "print", "start", *KIND), masks, KIND, "n", "print").select("doc", "print", "start", "strings", "mask")
 
     def runs(got) -> list[int]:
         """The strings' places of all segments, grown to their bytes and merged."""
@@ -258,7 +342,7 @@ def removed_spans(found: DataFrame, masks: DataFrame, length: int) -> DataFrame:
             yield pd.DataFrame({"doc": pdf["doc"], "print": pdf["print"], "spans": [runs(got) for got in pdf["got"]]})
 
     lists = places_.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "strings", "mask")).alias("got"))
-    return lists.mapInPandas(merge, "doc long, print int, spans array<long>")
+    return lists.mapInPandas(merge, "doc long, print long, spans array<long>")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -269,12 +353,12 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
     docs are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), (F.crc32(text) - (1 << 31)).cast("int").alias("print"))
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.xxhash64(text).alias("print"))
     found = stored(places(keyed, bit_map(repeated_grams(keyed, length, gram)), length, gram))
     kinds = stored(kinds_of(found))
     asked = stored(compared(kinds))
     own = repeats(asked, segment_bytes(keyed, bit_map(asked.select("place")), length, gram), length)
-    masks = kinds.where(F.col("n") > 1).select(*KIND, F.lit(None).cast("binary").alias("mask")).union(own)
+    masks = kinds.where(F.col("n") > 1).select(*KIND, "n", F.lit(None).cast("binary").alias("mask")).union(own.select(*KIND, F.lit(1).cast("long"), "mask"))
     spans = removed_spans(found, masks, length)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
