@@ -349,41 +349,36 @@ def secrets(spark):
     return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def brute_classes(texts, min_entities, most, smoothing):
-    """Terms of classes by plain counting over the different texts."""
-    texts = sorted({t or "" for t in texts})
-    n, beside, reps = Counter(), defaultdict(set), defaultdict(set)
-    for t in texts:
+def brute_classes(rank, min_entities, most, smoothing):
+    """Terms of classes by plain counting over the different texts; rank: text -> (copy, check)."""
+    n, chosen, words = Counter(), {}, {}
+    for t in sorted(rank, key=rank.get):
         n.update({pii.form(w) for w in re.findall(r"[^\W_]+", t)})
         spans = pii.base_spans(t)
-        own = {w for w, _, _ in pii.words_outside(t, spans)}
+        words[t] = {w for w, _, _ in pii.words_outside(t, spans)}
         entities = sorted(pii.entity_of(t, x) for x in spans)
-        for kind in {"any"} if entities else ():
-            reps[kind].add(entities[0])
-            for w in own:
-                beside[kind, w].add(entities[0])
-        for kind in {e.split(":")[0] for e in entities}:
-            first = min(e for e in entities if e.startswith(kind + ":"))
-            reps[kind].add(first)
-            for w in own:
-                beside[kind, w].add(first)
+        for kind in {"any", *(e.split(":")[0] for e in entities)} if entities else ():
+            chosen.setdefault((kind, min(e for e in entities if kind == "any" or e.startswith(kind + ":"))), t)
     out = set()
-    for (kind, w), x in beside.items():
-        p = len(reps[kind]) / len(texts)
-        given = (len(x) + smoothing * p) / (max(n[w], len(x)) + smoothing)
-        if len(x) >= min_entities and np.log2(given / p) / -np.log2(p) > most:
-            out.add((kind, w))
+    for kind in {k for k, _ in chosen}:
+        own = [t for (k, _), t in chosen.items() if k == kind]
+        p = len(own) / len(rank)
+        for w, both in Counter(w for t in own for w in words[t]).items():
+            given = (both + smoothing * p) / (max(n[w], both) + smoothing)
+            if both >= min_entities and np.log2(given / p) / -np.log2(p) > most:
+                out.add((kind, w))
     return out
 
 
 def test_pii_terms_of_classes(secrets):
-    texts, df = secrets
+    _, df = secrets
     keyed = df.select("doc_id", "text", *pii.keys())
     found = pii.with_entities(keyed).dropDuplicates(["copy", "check"])
     copies = keyed.groupBy("copy", "check").agg(F.count(F.lit(1)).alias("copies"))
     terms = pii.count_terms(keyed.join(copies, ["copy", "check"]))
-    got = {(r.kind, r.term) for r in pii.of_classes(found, terms, copies.count()).collect()}
-    assert got == brute_classes(texts, pii.MIN_ENTITIES, pii.MOST_DISCLOSED, pii.SMOOTHING)
+    got = {(r.kind, r.term) for r in pii.of_classes(*pii.beside_classes(found), terms, copies.count()).collect()}
+    rank = {r.text or "": (r.copy, r.check) for r in keyed.collect()}
+    assert got == brute_classes(rank, pii.MIN_ENTITIES, pii.MOST_DISCLOSED, pii.SMOOTHING)
     assert {("any", "token"), ("any", "hex:40")} <= got and not any(w in ("nearcopies", "tail") for _, w in got)
 
 
