@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajgraph.llm.common import BYTE_CODES, Rolling, groups_of, join_hot, read, splitmix, stored
+from trajgraph.llm.common import BYTE_CODES, Rolling, groups_of, join_hot, read, small, splitmix, stored
 
 PERMUTATIONS, BAND = 64, 4
 BANDS = 2 * PERMUTATIONS // BAND
@@ -168,8 +168,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     before: tuple | None = None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("k"))
+        large = join_hot(both, least, ["u"], "k", "v").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("v", "m").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
@@ -279,7 +279,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     buckets = stored(banded.join(crowded, ["band", "key"]).select("band", "key", "node", "n", "least"))
     sketches = own.select(F.col("row").alias("node"), "sketch")
     wanted = stored(nodes.join(buckets.select("node").distinct(), "node").select("node", "text_of.*"))
-    texts = keyed.withColumn("id", id_).join(wanted, ["id", "copy", "check"]).select("node", "text").dropDuplicates(["node"])
+    texts = keyed.withColumn("id", id_).join(small(wanted), ["id", "copy", "check"]).select("node", "text").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts, k))
     stars = buckets.where(F.col("node") != F.col("least")).groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
