@@ -39,23 +39,40 @@ def test_density_and_clustering(e):
     assert math.isclose(got["k4"], 1.0) and got["path4"] == 0 and got["loop"] == 0
 
 
-def test_paths(e):
-    got = values(G.average_path_length(e, ["graph_id"]), "average_path_length")
+@pytest.mark.parametrize("bound", [2000, 0])
+def test_paths(e, monkeypatch, bound):
+    monkeypatch.setattr(G, "DENSE_NODES", bound)
+    got = values(G.average_path_length(e, ["graph_id"], 4), "average_path_length")
     assert math.isclose(got["path4"], 10 / 6) and math.isclose(got["k4"], 0.5) and math.isclose(got["loop"], 1)
     got = values(G.global_efficiency(e, ["graph_id"], 4), "global_efficiency")
     assert math.isclose(got["path4"], (6 + 2 * 2 * 0.5 + 2 / 3) / 12) and got["k4"] == 1
     assert values(G.local_efficiency(e, ["graph_id"], 4), "local_efficiency")["k4"] == 1
 
 
-def test_centrality(e):
-    got = values(G.average_betweenness(e, ["graph_id"]), "average_betweenness")
+@pytest.mark.parametrize("bound", [2000, 0])
+def test_centrality(e, monkeypatch, bound):
+    monkeypatch.setattr(G, "DENSE_NODES", bound)
+    got = values(G.average_betweenness(e, ["graph_id"], 4), "average_betweenness")
     assert math.isclose(got["path4"], (2 * 2 / 3) / 4) and got["k4"] == 0 and got["two"] is None
-    got = values(G.average_eigenvector_centrality(e, ["graph_id"]), "average_eigenvector_centrality")
+    got = values(G.average_eigenvector_centrality(e, ["graph_id"], 4), "average_eigenvector_centrality")
     a = np.diag([1.0] * 3, 1) + np.diag([1.0] * 3, -1)
     want = np.abs(np.linalg.eigh(a)[1][:, -1]).mean()
     assert math.isclose(got["k4"], 0.5, rel_tol=1e-6) and math.isclose(got["path4"], want, rel_tol=1e-3) and got["two"] is None
 
 
+def test_both_forms_of_paths_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(k, i, j, float(rng.integers(1, 4))) for k in range(4) for i in range(1, 9) for j in range(i, 9) if rng.random() < 0.25]
+    e = spark.createDataFrame(rows, "graph_id int, i int, j int, w double")
+    for f in (G.average_path_length, G.average_betweenness, G.global_efficiency, G.local_efficiency):
+        found = []
+        for bound in (2000, 0):
+            monkeypatch.setattr(G, "DENSE_NODES", bound)
+            found.append({r.graph_id: r[1] for r in f(e, ["graph_id"], 8).collect()})
+        assert found[0].keys() == found[1].keys()
+        assert all((a is None and b is None) or math.isclose(a, b, rel_tol=1e-9) for a, b in ((found[0][k], found[1][k]) for k in found[0])), f.__name__
+
+
 def test_modularity_of_two_parts(e):
     parts = G.component_labels(e, ["graph_id"]).withColumnRenamed("label", "part")
     got = values(G.modularity(e, parts, ["graph_id"]), "modularity")
@@ -84,7 +101,7 @@ def test_comparisons_against_numpy(spark):
     both = C.both_sides(x, y, ["graph_id"])
     iu = np.triu_indices(4)
     rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
-    got = {n: values(df, c) for n, df, c in (("r", C.pearson_dense(both, ["graph_id"], 4), "r"), ("full", C.pearson_full(both, ["graph_id"], 4), "r"), ("s", C.spearman(x, y, ["graph_id"], 4), "r"), ("w", C.wasserstein(x, y, ["graph_id"], 4), "wasserstein"), ("z", C.pearson_z(both, ["graph_id"], 4), "r"), ("lerm", C.lerm(x, y, ["graph_id"], 4), "lerm"))}
+    got = {n: values(df, c) for n, df, c in (("r", C.pearson_dense(both, ["graph_id"], 4), "r"), ("full", C.pearson_full(both, ["graph_id"], 4), "r"), ("s", C.spearman(both, ["graph_id"], 4), "r"), ("w", C.wasserstein(both, ["graph_id"], 4), "wasserstein"), ("sf", C.spearman(both, ["graph_id"], 4, full=True), "r"), ("wf", C.wasserstein(both, ["graph_id"], 4, full=True), "wasserstein"), ("z", C.pearson_z(both, ["graph_id"], 4), "r"), ("lerm", C.lerm(both, ["graph_id"], 4), "lerm"))}
     for g, (p, q) in PAIRS.items():
         a, b = dense(p), dense(q)
         t, u = a[iu], b[iu]
@@ -94,6 +111,9 @@ def test_comparisons_against_numpy(spark):
         assert math.isclose(got["s"][g], np.corrcoef(rank(t), rank(u))[0, 1], abs_tol=1e-9)
         assert math.isclose(got["w"][g], np.abs(np.sort(t) - np.sort(u)).mean(), abs_tol=1e-9)
 
+        assert math.isclose(got["sf"][g], np.corrcoef(rank(a.ravel()), rank(b.ravel()))[0, 1], abs_tol=1e-9)
+        assert math.isclose(got["wf"][g], np.abs(np.sort(a.ravel()) - np.sort(b.ravel())).mean(), abs_tol=1e-9)
+
         def log(m):
             v, s = np.linalg.eigh(m + 1e-10 * np.eye(4))
             return (s * np.log(np.abs(v))) @ s.T
@@ -116,14 +136,73 @@ def test_wilcoxon_small(spark):
 def test_one_subject_has_no_inter_similarity(spark):
     e = spark.createDataFrame([("c", 1, 1, 2, 1.0), ("c", 1, 2, 3, 2.0)], "ctype string, subject_id int, i int, j int, w double")
     assert S.inter_similarity(e, e, ["ctype"], "subject_id", 4).count() == 0
-    assert math.isclose(S.intra_similarity(e, e, ["ctype"], "subject_id", 4).first().value, 1.0, rel_tol=1e-6)
+    b = C.both_sides(e, e, ["ctype", "subject_id"])
+    assert math.isclose(S.intra_similarity(b, ["ctype"], "subject_id", 4).first().value, 1.0, rel_tol=1e-6)
+
+
+def test_similarities_against_numpy(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 2)
+    rng, n, subjects = np.random.default_rng(1), 5, range(5)
+    graphs = {}
+    for v in ("true", "pred"):
+        for s in subjects:
+            a = np.triu(rng.integers(0, 4, (n, n)).astype(float))
+            graphs[v, s] = a + a.T - np.diag(np.diag(a))
+    rows = [("nos", s, v, i + 1, j + 1, float(a[i, j])) for (v, s), a in graphs.items() for i in range(n) for j in range(i, n) if a[i, j]]
+    e = spark.createDataFrame(rows, "ctype string, subject_id int, version string, i int, j int, w double")
+    keys, group = ["ctype", "subject_id"], ["ctype"]
+    b = C.paired(e, keys, "version", "true", "pred")
+    iu = np.triu_indices(n)
+
+    def z(a):
+        return (a[iu] - a[iu].mean()) / (a[iu].std() + 1e-10)
+
+    def log(a):
+        v, s = np.linalg.eigh(a + 1e-10 * np.eye(n))
+        return (s * np.log(np.abs(v))) @ s.T
+
+    r = lambda x, y: z(x) @ z(y) / len(iu[0])
+    far = lambda x, y: np.linalg.norm(log(x) - log(y))
+    by = lambda df, c="value": {x.subject_id: x[c] for x in df.collect()}
+    logs = C.log_vectors(e, [*keys, "version"], n)
+    mean = sum(graphs["true", s] for s in subjects) / len(subjects)
+    population = S.population_logs(b, group, "subject_id", n)
+    side = lambda v: e.where(F.col("version") == v).drop("version")
+    got = {
+        "intra": by(S.intra_similarity(b, group, "subject_id", n)), "inter": by(S.inter_similarity(side("true"), side("pred"), group, "subject_id", n)), "pop": by(S.group_similarity(b, group, "subject_id", n)),
+        "intra_lerm": by(S.intra_lerm(logs, group, "subject_id")), "inter_lerm": by(S.inter_lerm(logs, group, "subject_id")), "pop_lerm": by(S.group_lerm(logs, population, group, "subject_id")),
+    }
+    for s in subjects:
+        t, p = graphs["true", s], graphs["pred", s]
+        others = [graphs["true", x] for x in subjects if x != s]
+        want = {"intra": r(p, t), "inter": np.mean([r(p, x) for x in others]), "pop": r(p, mean), "intra_lerm": far(p, t), "inter_lerm": np.mean([far(p, x) for x in others]), "pop_lerm": far(p, mean)}
+        for name, value in want.items():
+            assert math.isclose(got[name][s], value, rel_tol=1e-6, abs_tol=1e-9), name
+    within = S.intersubject_lerm(logs, ["ctype", "version"], "subject_id").where("version = 'true'").first()
+    pairs = [far(graphs["true", x], graphs["true", y]) for x in subjects for y in subjects if x < y]
+    assert within.n_pairs == len(pairs) and math.isclose(within.mean_lerm, np.mean(pairs), rel_tol=1e-6) and math.isclose(within.std_lerm, np.std(pairs), rel_tol=1e-5)
+    x8 = {(x.subject_id, x.comparison): x.lerm for x in S.test_vs_population_lerm(logs, population, group, "subject_id").collect()}
+    assert all(math.isclose(x8[s, "true-pop"], far(graphs["true", s], mean), rel_tol=1e-6) for s in subjects) and len(x8) == 3 * len(subjects)
+
+
+def test_edges_of_two_versions_match_single_ones(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(s), *map(int, rng.integers(0, 6, 4)), None if k % 7 == 0 else float("nan") if k % 11 == 0 else float(rng.random())) for k, s in enumerate(rng.integers(0, 3, 400))]
+    df = spark.createDataFrame(rows, "subject_id int, ta int, tb int, pa int, pb int, fa double")
+    b = E.edges_both(df, ("ta", "tb"), ("pa", "pb"), ["nos", "fa"], ["subject_id"], 5)
+    e = E.edges_all_metrics(df, {"true": ("ta", "tb"), "pred": ("pa", "pb")}, ["nos", "fa"], ["subject_id"], 5)
+    for c, v in (("t", "true"), ("p", "pred")):
+        got = {(r.subject_id, r.ctype, r.i, r.j): r[c] for r in b.collect() if r[c]}
+        want = {(r.subject_id, r.ctype, r.i, r.j): r.w for r in e.where(F.col("version") == v).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
 
 
 def test_graph_compare_matches_parts(spark):
     x = spark.createDataFrame([("g", *r) for r in PAIRS["sparse"][0]], "graph_id string, i int, j int, w double")
     y = spark.createDataFrame([("g", *r) for r in PAIRS["sparse"][1]], "graph_id string, i int, j int, w double")
-    row = C.graph_compare(x, y, ["graph_id"], 4).first()
     b = C.both_sides(x, y, ["graph_id"])
+    row = C.graph_compare(b, ["graph_id"], 4, p_values=True, logs=True).first()
+    assert math.isclose(row.spearman_r, C.spearman(b, ["graph_id"], 4).first().r) and math.isclose(row.pearson_p, C.p_of_r(row.pearson_r, 10)) and math.isclose(row.lerm, C.lerm(b, ["graph_id"], 4).first().lerm)
     assert math.isclose(row.pearson_r, C.pearson_dense(b, ["graph_id"], 4).first().r)
     assert math.isclose(row.mae, C.errors(b, ["graph_id"], 4).first().mae)
     assert (row.n_true, row.n_pred) == (3, 3)

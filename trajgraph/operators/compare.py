@@ -24,12 +24,24 @@ def cells(n: int, diagonal: bool = True) -> int:
     return n * (n + 1) // 2 if diagonal else n * (n - 1) // 2
 
 
+def for_both(b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, j, t, p) of the keys for which both sides have an edge. The window deals by keys, as later aggregations do."""
+    by = Window.partitionBy(*keys)
+    has = lambda c: F.max(F.col(c) != 0).over(by)
+    return b.select(*keys, "i", "j", "t", "p", (has("t") & has("p")).alias("_both")).where("_both").drop("_both")
+
+
+def paired(e: DataFrame, keys: list[str], column: str, t: str, p: str) -> DataFrame:
+    """(keys, i, j, t, p) of the edges with the values t and p of a column side by side, for keys that have both: one aggregation."""
+    side = lambda v: F.coalesce(F.sum(F.when(F.col(column) == v, F.col("w"))), F.lit(0.0))
+    return for_both(e.where(F.col(column).isin(t, p)).groupBy(*keys, "i", "j").agg(side(t).alias("t"), side(p).alias("p")), keys)
+
+
 def both_sides(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, j, t, p) over the cells of either side, for keys that both have."""
+    """(keys, i, j, t, p) over the cells of either of two tables, for keys that both have."""
     on = [*keys, "i", "j"]
-    common = x.select(*keys).distinct().join(y.select(*keys).distinct(), keys)
-    full = x.select(*on, F.col("w").alias("t")).join(y.select(*on, F.col("w").alias("p")), on, "full")
-    return full.select(*on, F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("p", F.lit(0.0)).alias("p")).join(common, keys)
+    full = x.select(*on, F.col("w").alias("t"), F.lit(0.0).alias("p")).unionByName(y.select(*on, F.lit(0.0).alias("t"), F.col("w").alias("p")))
+    return for_both(full.groupBy(*on).agg(F.sum("t").alias("t"), F.sum("p").alias("p")), keys)
 
 
 def densify(e: DataFrame, keys: list[str], n: int, diagonal: bool = True) -> DataFrame:
@@ -98,30 +110,28 @@ def pearson_full(b: DataFrame, keys: list[str], n: int) -> DataFrame:
     return b.groupBy(*keys).agg(*sums(m)).select(*keys, _r(F.lit(n * n)).alias("r"))
 
 
-def spearman(x: DataFrame, y: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Pearson's r of average ranks over all upper-triangle cells.
+def spearman(b: DataFrame, keys: list[str], n: int, full: bool = False) -> DataFrame:
+    """Pearson's r of average ranks over all upper-triangle cells, or of the full matrix, whose cells off the diagonal count twice.
 
-    The zeros of a side share one rank, so only the cells of the edges are ranked: their ranks among the edges are moved by the
-    number of zeros below them. No dense grid is made.
+    The zeros of a side share one rank, so only the cells of either side are ranked: those over 0 are moved up by the number of
+    absent cells. No dense grid is made, and both sides are ranked in one pass over the cells of a key.
     """
-    k = cells(n)
-
-    def ranked(e: DataFrame, name: str) -> DataFrame:
-        by = Window.partitionBy(*keys)
-        zeros = k - F.count(F.lit(1)).over(by)
-        low = F.sum((F.col("w") < 0).cast("int")).over(by)
-        rank = F.rank().over(by.orderBy("w")) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "w")) - 1) / 2
-        moved = rank + F.when(F.col("w") > 0, zeros).otherwise(0)
-        return e.select(*keys, "i", "j", moved.alias(name), (low + (zeros + 1) / 2).alias(f"{name}0"))
-
-    a, c = ranked(x, "rt"), ranked(y, "rp")
-    zero_a = a.groupBy(*keys).agg(F.first("rt0").alias("z_t"))
-    zero_c = c.groupBy(*keys).agg(F.first("rp0").alias("z_p"))
-    full = a.drop("rt0").join(c.drop("rp0"), [*keys, "i", "j"], "full").join(zero_a, keys).join(zero_c, keys)
-    b = full.select(*keys, F.coalesce("rt", "z_t").alias("t"), F.coalesce("rp", "z_p").alias("p"), "z_t", "z_p")
-    s = b.groupBy(*keys).agg(*sums(), F.first("z_t").alias("z_t"), F.first("z_p").alias("z_p"))
-    rest = k - F.col("k")
-    add = lambda c, v: (F.col(c) + rest * v).alias(c)
+    k = n * n if full else cells(n)
+    m = F.when(F.col("i") == F.col("j"), 1).otherwise(2) if full else F.lit(1)
+    by = Window.partitionBy(*keys)
+    c = b.withColumn("m", m).withColumn("rest", k - F.sum("m").over(by))
+    for v, r in (("t", "rt"), ("p", "rp")):
+        below = F.coalesce(F.sum("m").over(by.orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+        same = F.sum("m").over(Window.partitionBy(*keys, v))
+        x = F.col(v)
+        rank = below - same + F.when(x > 0, F.col("rest")).otherwise(0) + (same + F.when(x == 0, F.col("rest")).otherwise(0) + 1) / 2
+        c = c.withColumn(r, rank)
+        negative = F.sum(F.when(x < 0, F.col("m")).otherwise(0)).over(by)
+        zeros = F.sum(F.when(x == 0, F.col("m")).otherwise(0)).over(by) + F.col("rest")
+        c = c.withColumn(f"{r}0", negative + (zeros + 1) / 2)  # the rank of an absent cell
+    t, p, w = F.col("rt"), F.col("rp"), F.col("m")
+    s = c.groupBy(*keys).agg(F.sum(w * t).alias("sx"), F.sum(w * p).alias("sy"), F.sum(w * t * t).alias("sxx"), F.sum(w * p * p).alias("syy"), F.sum(w * t * p).alias("sxy"), F.first("rt0").alias("z_t"), F.first("rp0").alias("z_p"), F.first("rest").alias("rest"))
+    add = lambda c, v: (F.col(c) + F.col("rest") * v).alias(c)
     s = s.select(*keys, add("sx", F.col("z_t")), add("sy", F.col("z_p")), add("sxx", F.col("z_t") * F.col("z_t")), add("syy", F.col("z_p") * F.col("z_p")), add("sxy", F.col("z_t") * F.col("z_p")))
     return s.select(*keys, _r(F.lit(k)).alias("r"))
 
@@ -155,13 +165,13 @@ def norms(b: DataFrame, keys: list[str]) -> DataFrame:
     return b.groupBy(*keys).agg(F.sqrt(F.sum(m * d * d)).alias("frobenius"), F.max(F.abs(d)).alias("max_abs_error"))
 
 
-def wasserstein(x: DataFrame, y: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Mean distance of the sorted cells of both dense triangles: the area between the two distribution functions, over the number
-    of cells. Only distinct values and their counts are ordered."""
-    k = cells(n)
-    step = lambda e, s: e.groupBy(*keys, "w").agg((s * F.count(F.lit(1))).alias("c")).union(e.groupBy(*keys).agg((s * (k - F.count(F.lit(1)))).alias("c")).select(*keys, F.lit(0.0).alias("w"), "c"))
-    common = x.select(*keys).distinct().join(y.select(*keys).distinct(), keys)
-    both = step(x, F.lit(1)).union(step(y, F.lit(-1))).join(common, keys).groupBy(*keys, "w").agg(F.sum("c").alias("c"))
+def wasserstein(b: DataFrame, keys: list[str], n: int, full: bool = False) -> DataFrame:
+    """Mean distance of the sorted cells of both dense triangles (or full matrices): the area between the two distribution functions,
+    over the number of cells. Only distinct values and their counts are ordered; cells absent on both sides cancel out."""
+    k = n * n if full else cells(n)
+    m = F.when(F.col("i") == F.col("j"), 1).otherwise(2) if full else F.lit(1)
+    sides = F.explode(F.array(F.struct(F.col("t").alias("w"), m.alias("c")), F.struct(F.col("p").alias("w"), (-m).alias("c"))))
+    both = b.select(*keys, sides.alias("x")).groupBy(*keys, "x.w").agg(F.sum("x.c").alias("c"))
     order = Window.partitionBy(*keys).orderBy("w")
     gap = F.lead("w").over(order) - F.col("w")
     area = both.withColumn("a", F.abs(F.sum("c").over(order)) * F.coalesce(gap, F.lit(0.0)))
@@ -214,12 +224,26 @@ def matrix_log(e: DataFrame, keys: list[str], n: int, eps: float = EPS) -> DataF
     return e.select(*keys, "i", "j", "w").groupBy(*keys).applyInPandas(work, shape)
 
 
-def lerm(x: DataFrame, y: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Frobenius norm of the difference of the matrix logarithms; no row where one has none."""
-    a = matrix_log(x, keys, n).withColumnRenamed("l", "l1")
-    b = matrix_log(y, keys, n).withColumnRenamed("l", "l2")
-    m, d = F.when(F.col("i") == F.col("j"), 1).otherwise(2), F.col("l1") - F.col("l2")
-    return a.join(b, [*keys, "i", "j"]).groupBy(*keys).agg(F.sqrt(F.sum(m * d * d)).alias("lerm"))
+def log_vectors(e: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, log): matrix_log of each graph as one vector, cells off the diagonal times the root of 2, so that the Euclidean distance
+    of two vectors is the Frobenius norm of the difference of the logarithms. Graphs without a logarithm have no row."""
+    scale = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0**0.5)
+    cells_ = F.array_sort(F.collect_list(F.struct("i", "j", (scale * F.col("l")).alias("l"))))
+    return matrix_log(e, keys, n).groupBy(*keys).agg(F.transform(cells_, lambda c: c["l"]).alias("log"))
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of two vectors."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def lerm(b: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, lerm): Frobenius norm of the difference of the matrix logarithms of both sides; no row where one has none."""
+    long_ = b.select(*keys, "i", "j", F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("t").alias("w")), F.struct(F.lit("p").alias("side"), F.col("p").alias("w")))).alias("x")).select(*keys, "x.side", "i", "j", "x.w")
+    logs = matrix_log(long_.where(F.col("w") != 0), [*keys, "side"], n)
+    m, sign = F.when(F.col("i") == F.col("j"), 1).otherwise(2), F.when(F.col("side") == "t", 1).otherwise(-1)
+    d = logs.groupBy(*keys, "i", "j").agg(F.sum(sign * F.col("l")).alias("d"), F.count(F.lit(1)).alias("k")).where(F.col("k") == 2)
+    return d.groupBy(*keys).agg(F.sqrt(F.sum(m * F.col("d") * F.col("d"))).alias("lerm"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -260,27 +284,50 @@ def corr_pvalue(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([p_of_r(None if pd.isna(x) else float(x), int(k)) for x, k in zip(r, n, strict=True)], dtype=float)
 
 
-def graph_compare(x: DataFrame, y: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """C1, C3, C7, C10, C11, C13, C14, C15 and the counts of edges in one row: one join and one aggregation."""
+def graph_compare(b: DataFrame, keys: list[str], n: int, mask: str | None = None, spread: bool = True, p_values: bool = False, logs: bool = False) -> DataFrame:
+    """Comparisons of two sides in one row a key, from one aggregation of the cells of either side.
+
+    mask: the column of the weighting; cells of masked weightings then count only where both sides aren't 0 (their number is
+    n_masked). spread: also Spearman's r and the Wasserstein distance; p_values: those of both correlations; logs: the log-Euclidean
+    distance (null where a side has no logarithm).
+    """
     t, p, k = F.col("t"), F.col("p"), cells(n)
-    d, m = t - p, F.when(F.col("i") == F.col("j"), 1).otherwise(2)
+    m = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
+    masked = None
+    if mask is not None:
+        masked, b = masked_count(b, keys, n, mask), zero_mask(b, mask)
+    d = t - p
     one = lambda c: F.sum(c.cast("int"))
-    s = both_sides(x, y, keys).groupBy(*keys).agg(
-        *sums(), F.sum(d * d).alias("dd"), F.sum(F.abs(d)).alias("ad"), F.sum(F.abs(d) / (F.abs(t) + F.abs(p) + EPS)).alias("re"), F.sum(m * d * d).alias("mdd"), F.max(F.abs(d)).alias("max_abs_error"),
+    s = b.groupBy(*keys).agg(
+        *sums(), F.sum(d * d).alias("dd"), F.sum(F.abs(d)).alias("ad"), F.sum(F.abs(d) / (F.abs(t) + F.abs(p) + EPS)).alias("re"), F.sum(m * d * d).alias("mdd"), F.sum(m * F.abs(d)).alias("mad"), F.max(F.abs(d)).alias("max_abs_error"),
         one((t > 0) & (p > 0)).alias("kb"), one(t > 0).alias("n_true"), one(p > 0).alias("n_pred"), one((t > 0) | (p > 0)).alias("ke"), F.sum(m * t).alias("mt"), F.sum(m * p).alias("mp"),
+        F.sum(F.coalesce(F.try_divide(2 * F.abs(d), t + p), F.lit(0.0))).alias("rd"), F.sum(F.when(F.col("i") != F.col("j"), F.abs(F.log(p + EPS) - F.log(t + EPS))).otherwise(0.0)).alias("ld"),
     )
-    return s.select(
+    out = s.select(
         *keys, _r(F.lit(k)).alias("pearson_r"), (F.col("dd") / k).alias("mse"), F.sqrt(F.col("dd") / k).alias("rmse"), (F.col("ad") / k).alias("mae"), (F.col("re") / k).alias("mean_relative_error"),
-        F.sqrt("mdd").alias("frobenius"), "max_abs_error", (F.col("kb") / F.greatest("n_true", F.lit(1))).alias("edge_overlap"), (F.col("kb") / F.greatest("ke", F.lit(1))).alias("jaccard"),
-        (F.col("mp") / F.greatest("mt", F.lit(EPS))).alias("strength_ratio"), "n_true", "n_pred",
+        F.sqrt("mdd").alias("frobenius"), "max_abs_error", F.when(F.col("mt") > 0, F.try_divide("mad", "mt")).otherwise(0.0).alias("mape"), (F.col("kb") / F.greatest("n_true", F.lit(1))).alias("edge_overlap"), (F.col("kb") / F.greatest("ke", F.lit(1))).alias("jaccard"),
+        F.col("mt").alias("true_strength"), F.col("mp").alias("pred_strength"), (F.col("mp") / F.greatest("mt", F.lit(EPS))).alias("strength_ratio"), (F.col("mt") / (n * n)).alias("true_mean"), (F.col("mp") / (n * n)).alias("pred_mean"),
+        (F.col("rd") / k).alias("rel_diff_mean"), (F.col("ld") / cells(n, False)).alias("log_diff_mean"), "n_true", "n_pred",
     )
+    if masked is not None:
+        out = out.join(masked, keys)
+    if spread:
+        out = out.join(spearman(b, keys, n).withColumnRenamed("r", "spearman_r"), keys).join(wasserstein(b, keys, n), keys)
+    if p_values:
+        out = out.withColumn("pearson_p", corr_pvalue(F.col("pearson_r"), F.lit(k)))
+        out = out.withColumn("spearman_p", corr_pvalue(F.col("spearman_r"), F.lit(k))) if spread else out
+    return out.join(lerm(b, keys, n), keys, "left") if logs else out
 
 
-def error_histogram(b: DataFrame, keys: list[str], bins: int = 50) -> DataFrame:
-    """(keys, bin, n): absolute differences off the diagonal of the cells in b, in equal bins between the least and the largest."""
-    d = b.where(F.col("i") != F.col("j")).select(*keys, F.abs(F.col("t") - F.col("p")).alias("x"))
+def error_histogram(b: DataFrame, keys: list[str], bins: int = 50, digits: int | None = None) -> DataFrame:
+    """(keys, bin, n): absolute differences off the diagonal of the cells in b, in equal bins between the least and the largest.
+
+    digits: places that count, so that differences equal but for their last bits fall into one bin.
+    """
+    x, edge = F.abs(F.col("t") - F.col("p")), F.lit(0.0 if digits is None else 1e-6)
+    d = b.where(F.col("i") != F.col("j")).select(*keys, (x if digits is None else F.round(x, digits)).alias("x"))
     by = d.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * bins + edge), F.lit(bins - 1))).otherwise(0)
     return d.join(by, keys).groupBy(*keys, bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -45,6 +45,30 @@ def edges_all_metrics(df: DataFrame, versions: dict[str, tuple[str, str]], metri
     return out.where(F.col("w").isNotNull() & (F.col("w") != 0)).select(*keys, "version", "ctype", "i", "j", "w")
 
 
+def edges_both(df: DataFrame, true: tuple[str, str], pred: tuple[str, str], metrics: list[str], keys: list[str], n: int) -> DataFrame:
+    """(keys, ctype, i, j, t, p): the graphs of two versions side by side, over the cells of either, in one shuffle and no join.
+
+    A row whose cell is the same in both versions is sent on once.
+    """
+    cell = lambda v: F.struct(F.least(*v).alias("i"), F.greatest(*v).alias("j"))
+    weights = [m for m in metrics if m != "nos"]
+    each = df.select(*keys, *weights, cell(true).alias("_t"), cell(pred).alias("_p"))
+    each = each.select(*keys, *weights, "_t", "_p", F.explode(F.array_distinct(F.array("_t", "_p"))).alias("c")).where((F.col("c.i") >= 1) & (F.col("c.j") <= n))
+    each = each.select(*keys, *weights, "c.i", "c.j", (F.col("_t") == F.col("c")).alias("_t"), (F.col("_p") == F.col("c")).alias("_p"))
+    aggs = []
+    for side in ("_t", "_p"):
+        for m in metrics:
+            if m == "nos":
+                aggs.append(F.sum(F.col(side).cast("double")).alias(f"{side}_nos"))
+            else:
+                v = F.when(F.col(side) & finite(F.col(m)), F.col(m))
+                aggs.append((F.sum(v) if METRICS.get(m) == "sum" else F.avg(v)).alias(f"{side}_{m}"))
+    wide = each.groupBy(*keys, "i", "j").agg(*aggs)
+    value = lambda side, m: F.coalesce(F.col(f"{side}_{m}"), F.lit(0.0)).cast("double")
+    x = F.explode(F.array(*[F.struct(F.lit(m).alias("ctype"), value("_t", m).alias("t"), value("_p", m).alias("p")) for m in metrics]))
+    return wide.select(*keys, "i", "j", x.alias("x")).select(*keys, "x.ctype", "i", "j", "x.t", "x.p").where((F.col("t") != 0) | (F.col("p") != 0))
+
+
 def edges_accuracy(df: DataFrame, true: str, pred: str, keys: list[str]) -> DataFrame:
     """(keys, label, accuracy): share of right predictions of each true label; labels only predicted get 1."""
     right = df.groupBy(*keys, F.col(true).alias("label")).agg(F.avg((F.col(true) == F.col(pred)).cast("double")).alias("accuracy"))
@@ -52,13 +76,10 @@ def edges_accuracy(df: DataFrame, true: str, pred: str, keys: list[str]) -> Data
     return labels.join(right, [*keys, "label"], "left").withColumn("accuracy", F.coalesce("accuracy", F.lit(1.0)))
 
 
-def edges_diff(true: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, j, t, p, diff, abs_diff, rel_diff) over the cells of either side; a relative difference to 0 is 0."""
-    on = [*keys, "i", "j"]
-    both = true.withColumnRenamed("w", "t").join(pred.withColumnRenamed("w", "p"), on, "full")
-    both = both.select(*on, F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("p", F.lit(0.0)).alias("p"))
+def edges_diff(b: DataFrame) -> DataFrame:
+    """Cells of either side (t, p) with diff, abs_diff and rel_diff; a relative difference to 0 is 0."""
     d = F.col("t") - F.col("p")
-    return both.select("*", d.alias("diff"), F.abs(d).alias("abs_diff"), F.coalesce(F.try_divide(d, F.col("t")), F.lit(0.0)).alias("rel_diff"))
+    return b.select("*", d.alias("diff"), F.abs(d).alias("abs_diff"), F.coalesce(F.try_divide(d, F.col("t")), F.lit(0.0)).alias("rel_diff"))
 
 
 def population_mean(e: DataFrame, keys: list[str], subject: str = "subject_id") -> DataFrame:
@@ -93,16 +114,22 @@ def graph_profile(e: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def validate(raw: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Checks of raw cells (i, j, w; both triangles): counts, symmetry and a list of issues; valid if there is none."""
+    """Checks of raw cells (i, j, w; both triangles): counts, symmetry, spread over the whole matrix (absent cells are 0) and a list of
+    issues; valid if there is none."""
     other = raw.select(*keys, F.col("i").alias("j"), F.col("j").alias("i"), F.col("w").alias("w2"))
     both = raw.join(other, [*keys, "i", "j"], "left")
     bad = F.coalesce(F.abs(F.col("w") - F.col("w2")) > 1e-9, F.col("w") != 0)
     s = both.groupBy(*keys).agg(
         F.sum((F.col("w") != 0).cast("int")).alias("nnz"), F.sum(F.isnan("w").cast("int")).alias("n_nan"), F.sum((F.abs("w") == float("inf")).cast("int")).alias("n_inf"),
         F.sum((F.col("w") < 0).cast("int")).alias("n_negative"), F.sum(bad.cast("int")).alias("n_skew"),
+        F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"), F.min("w").alias("lo"), F.max("w").alias("hi"), F.count(F.lit(1)).alias("k"),
     )
     issues = F.array_compact(F.array(F.when(F.col("nnz") == 0, "empty"), F.when(F.col("n_negative") > 0, "negative"), F.when(F.col("n_nan") > 0, "nan"), F.when(F.col("n_inf") > 0, "inf")))
-    return s.select(*keys, "nnz", (1 - F.col("nnz") / (n * n)).alias("sparsity"), (F.col("n_skew") == 0).alias("symmetric"), F.concat_ws(",", issues).alias("issues"), (F.size(issues) == 0).alias("valid"))
+    mean, full = F.col("s") / (n * n), F.col("k") >= n * n
+    return s.select(
+        *keys, "nnz", (1 - F.col("nnz") / (n * n)).alias("sparsity"), mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / (n * n) - mean * mean, F.lit(0.0))).alias("std"), F.when(full, F.col("lo")).otherwise(F.least("lo", F.lit(0.0))).alias("min"), F.when(full, F.col("hi")).otherwise(F.greatest("hi", F.lit(0.0))).alias("max"), "n_nan", "n_inf",
+        (F.col("n_skew") == 0).alias("symmetric"), F.concat_ws(",", issues).alias("issues"), (F.size(issues) == 0).alias("valid"),
+    )
 
 
 def total_drift(e: DataFrame, keys: list[str], limit: float = 50.0) -> DataFrame:

@@ -1,16 +1,87 @@
-"""Graph metrics of all graphs of an edge table at once: every step is a join or grouping by (keys, node, ...).
+"""Graph metrics of all graphs of an edge table at once.
 
-A graph has nodes 1..n, isolated ones included; its edges are the rows (keys, i <= j, w), self-loops among them.
+A graph has nodes 1..n, isolated ones included; its edges are the rows (keys, i <= j, w), self-loops among them. Counting metrics are
+joins and groupings by (keys, node, ...). Metrics of paths and of powers take one task a graph, as a matrix, up to DENSE_NODES nodes
+(32 MB); larger graphs, or graphs of unknown size, go by rounds of joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajgraph.functions.tables import kept
 from trajgraph.operators.compare import guarded
 
+DENSE_NODES = 2000
+
+
+def by_graph(e: DataFrame, keys: list[str], n: int, metric: str, measure: Callable[[np.ndarray], float | None]) -> DataFrame:
+    """(keys, metric): measure of the full symmetric matrix of each graph, one graph a group."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((n, n))
+        i, j = pdf["i"].to_numpy() - 1, pdf["j"].to_numpy() - 1
+        a[i, j] = a[j, i] = pdf["w"]
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in keys} | {metric: np.array([measure(a)], dtype=float)})
+
+    shape = T.StructType([*[e.schema[c] for c in keys], T.StructField(metric, T.DoubleType())])
+    out = e.select(*keys, "i", "j", "w").groupBy(*keys).applyInPandas(work, shape)
+    return out.withColumn(metric, F.when(~F.isnan(metric), F.col(metric)))
+
+
+def hops(a: np.ndarray) -> np.ndarray:
+    """Least number of edges between any two nodes, inf where there is no path."""
+    near = a != 0
+    d = np.where(np.eye(len(a), dtype=bool), 0.0, np.inf)
+    front, k = near & np.isinf(d), 1
+    while front.any():
+        d[front] = k
+        front, k = (front.astype(np.float32) @ near.astype(np.float32) > 0) & np.isinf(d), k + 1
+    return d
+
+
+def lengths(a: np.ndarray) -> np.ndarray:
+    """Least sums of edge lengths between any two nodes; a is 0 where there is no edge."""
+    d = np.where(a != 0, a, np.inf)
+    np.fill_diagonal(d, 0.0)
+    for k in range(len(d)):
+        np.minimum(d, d[:, k : k + 1] + d[k : k + 1], out=d)
+    return d
+
+
+def largest(a: np.ndarray) -> np.ndarray:
+    """The matrix of the largest component of nodes with an edge (of equal ones that of the smallest node)."""
+    joined = np.isfinite(hops(a)) & ((a != 0).any(0)[:, None])
+    own = joined[int(joined.sum(1).argmax())]
+    return a[np.ix_(own, own)]
+
+
+def efficiency(a: np.ndarray) -> float:
+    d = hops(a)[~np.eye(len(a), dtype=bool)]
+    return float((1 / d).sum() / len(d)) if len(d) else 0.0
+
+
+def inner_nodes(a: np.ndarray) -> float:
+    """Sum over ordered pairs of the mean number of nodes inside their shortest paths, with a as edge lengths."""
+    d, n, total = lengths(a), len(a), 0.0
+    for s in range(n):
+        paths, inner = np.zeros(n), np.zeros(n)
+        paths[s] = 1.0
+        for t in np.argsort(d[s], kind="stable"):
+            if t == s or not np.isfinite(d[s, t]):
+                continue
+            ends = (a[:, t] != 0) & (np.arange(n) != t) & (np.abs(d[s] + a[:, t] - d[s, t]) <= 1e-9 * np.abs(d[s, t]))
+            paths[t] = paths[ends].sum()
+            inner[t] = inner[ends].sum() + paths[ends & (np.arange(n) != s)].sum()
+            total += inner[t] / paths[t]
+    return total
+
 
 def both_ways(e: DataFrame, keys: list[str], w: str | Column = "w") -> DataFrame:
     """(keys, s, t, w): each edge from both ends; a self-loop once."""
@@ -38,8 +109,8 @@ def component_labels(e: DataFrame, keys: list[str], rounds: int = 200) -> DataFr
         after = kept(step.join(jump, [*keys, "label"], "left").select(*keys, "node", "old", F.least("label", F.coalesce("jumped", "label")).alias("label")))
         labels = after.drop("old")
         if after.where(F.col("old") != F.col("label")).limit(1).count() == 0:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def components(e: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -77,7 +148,7 @@ def reciprocal(e: DataFrame) -> DataFrame:
     return e.withColumn("w", F.try_divide(F.lit(1.0), F.col("w"))).where(F.col("w").isNotNull())
 
 
-def distances(arcs: DataFrame, keys: list[str], rounds: int = 12) -> DataFrame:
+def distances(arcs: DataFrame, keys: list[str], rounds: int = 40) -> DataFrame:
     """(keys, s, t, d) of all s != t that are joined: paths double in every round until none gets shorter."""
     d = kept(arcs.where(F.col("s") != F.col("t")).groupBy(*keys, "s", "t").agg(F.min("w").alias("d")))
     for _ in range(rounds):
@@ -88,12 +159,20 @@ def distances(arcs: DataFrame, keys: list[str], rounds: int = 12) -> DataFrame:
         best = kept(best)
         d = best.drop("old")
         if best.where(F.col("old").isNull() | (F.col("d") < F.col("old"))).limit(1).count() == 0:
-            break
-    return d
+            return d
+    raise RuntimeError(f"paths got shorter after {rounds} rounds of doubling")
 
 
-def average_path_length(e: DataFrame, keys: list[str]) -> DataFrame:
+def average_path_length(e: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
     """Mean shortest path over ordered pairs of the largest component, with 1/w as length; null for a single node."""
+    if n is not None and n <= DENSE_NODES:
+
+        def mean(a: np.ndarray) -> float:
+            own = largest(a)
+            d = lengths(np.divide(1.0, own, out=np.zeros_like(own), where=own != 0))
+            return d.sum() / (len(d) * (len(d) - 1)) if len(d) > 1 else np.nan
+
+        return by_graph(e, keys, n, "average_path_length", mean)
     d = distances(both_ways(reciprocal(largest_component(e, keys)), keys), keys)
     out = d.groupBy(*keys).agg(F.avg("d").alias("average_path_length"))
     return e.select(*keys).distinct().join(out, keys, "left")
@@ -101,6 +180,8 @@ def average_path_length(e: DataFrame, keys: list[str]) -> DataFrame:
 
 def global_efficiency(e: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Mean of 1 / hops over ordered pairs of all nodes; pairs that aren't joined add 0."""
+    if n <= DENSE_NODES:
+        return by_graph(e, keys, n, "global_efficiency", efficiency)
     d = distances(both_ways(e, keys, F.lit(1.0)), keys)
     s = d.groupBy(*keys).agg((F.sum(1 / F.col("d")) / (n * (n - 1))).alias("g"))
     return e.select(*keys).distinct().join(s, keys, "left").select(*keys, F.coalesce("g", F.lit(0.0)).alias("global_efficiency"))
@@ -108,6 +189,8 @@ def global_efficiency(e: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def local_efficiency(e: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Mean over all nodes of the global efficiency among their neighbours (a self-loop makes a node its own neighbour)."""
+    if n <= DENSE_NODES:
+        return by_graph(e, keys, n, "local_efficiency", lambda a: sum(efficiency(a[np.ix_(r != 0, r != 0)]) for r in a) / n)
     near = both_ways(e, keys).select(*keys, F.col("s").alias("ego"), F.col("t").alias("node"))
     own = e.join(near.withColumnRenamed("node", "i"), [*keys, "i"]).join(near.withColumnRenamed("node", "j"), [*keys, "ego", "j"]).select(*keys, "ego", "i", "j")
     d = distances(both_ways(own.withColumn("w", F.lit(1.0)), [*keys, "ego"]), [*keys, "ego"])
@@ -136,8 +219,23 @@ def average_degree_centrality(e: DataFrame, keys: list[str], n: int) -> DataFram
     return strengths(e, keys).groupBy(*keys).agg((F.sum("degree") / (n - 1) / n).alias("average_degree_centrality"))
 
 
-def average_eigenvector_centrality(e: DataFrame, keys: list[str], rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
-    """Mean of the unit eigenvector by power iteration of A + I over the largest component; null for up to two nodes."""
+def average_eigenvector_centrality(e: DataFrame, keys: list[str], n: int | None = None, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
+    """Mean of the unit eigenvector by power iteration of A + I over the largest component; null for up to two nodes, and if it
+    doesn't settle in so many rounds."""
+    if n is not None and n <= DENSE_NODES:
+
+        def mean(a: np.ndarray) -> float:
+            own = largest(a)
+            x = np.full(len(own), 1 / np.sqrt(max(1, len(own))))
+            for _ in range(rounds if len(own) > 2 else 0):
+                y = x + own @ x
+                y /= np.linalg.norm(y)
+                if np.abs(y - x).sum() < tolerance:
+                    return y.mean()
+                x = y
+            return np.nan
+
+        return by_graph(e, keys, n, "average_eigenvector_centrality", mean)
     own = largest_component(e, keys)
     arcs = kept(both_ways(own, keys))
     x = arcs.select(*keys, F.col("s").alias("node")).distinct()
@@ -152,15 +250,25 @@ def average_eigenvector_centrality(e: DataFrame, keys: list[str], rounds: int =
         x = y.select(*keys, "node", "k", F.col("y").alias("x"))
         if not moved:
             break
+    else:
+        x = x.limit(0)
     return e.select(*keys).distinct().join(x.groupBy(*keys).agg(F.avg("x").alias("average_eigenvector_centrality")), keys, "left")
 
 
-def average_betweenness(e: DataFrame, keys: list[str]) -> DataFrame:
+def average_betweenness(e: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
     """Mean normalised betweenness over the largest component, with the weight as distance; null for up to two nodes.
 
     The mean needs only the mean number of nodes inside the shortest paths of each pair: paths are counted by their number of
     edges, along edges that are tight.
     """
+    if n is not None and n <= DENSE_NODES:
+
+        def mean_inside(a: np.ndarray) -> float:
+            own = largest(a)
+            k = len(own)
+            return inner_nodes(own) / (k * (k - 1) * (k - 2)) if k > 2 else np.nan
+
+        return by_graph(e, keys, n, "average_betweenness", mean_inside)
     own = kept(largest_component(e, keys))
     arcs = both_ways(own, keys).where(F.col("s") != F.col("t"))
     d = distances(arcs, keys)
@@ -210,8 +318,8 @@ def graph_metrics(e: DataFrame, keys: list[str], n: int, tiers: tuple[str, ...]
     """(keys, metric, value) in long form. Tiers: basic, advanced, centrality, community; what can't be computed is null."""
     parts = {
         "basic": [lambda: size_and_density(e, keys, n), lambda: components(e, keys, n), lambda: average_clustering(e, keys, n), lambda: degree_assortativity(e, keys)],
-        "advanced": [lambda: average_path_length(e, keys), lambda: global_efficiency(e, keys, n), lambda: local_efficiency(e, keys, n)],
-        "centrality": [lambda: average_degree_centrality(e, keys, n), lambda: average_betweenness(e, keys), lambda: average_eigenvector_centrality(e, keys)],
+        "advanced": [lambda: average_path_length(e, keys, n), lambda: global_efficiency(e, keys, n), lambda: local_efficiency(e, keys, n)],
+        "centrality": [lambda: average_degree_centrality(e, keys, n), lambda: average_betweenness(e, keys, n), lambda: average_eigenvector_centrality(e, keys, n)],
         "community": [lambda: modularity(e, label_communities(e, keys), keys)],
     }
     out = None

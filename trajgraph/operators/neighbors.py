@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from trajgraph.functions.polyline import AXES, mdf, mdf_endpoints
+from trajgraph.functions.polyline import AXES
 
 
 def recenter(df: DataFrame, keys: list[str], id_: str, points: str, centre: tuple[float, float, float]) -> DataFrame:
@@ -19,13 +22,52 @@ def recenter(df: DataFrame, keys: list[str], id_: str, points: str, centre: tupl
     return lists.withColumn(points, F.transform(points, lambda x: F.struct(*[x[c].alias(c) for c in AXES])))
 
 
+#: Lines of a block: the distances of two blocks take some 70 MB.
+BLOCK_LINES = 2048
+
+
+def query_pairs(df: DataFrame, keys: list[str], id_: str, points: str, chosen: Column, blocks: int = 16) -> DataFrame:
+    """(keys, x_id, y_id, x, y): the chosen lines as a query set against all other lines of the same keys, dealt to blocks."""
+    block = F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("_block")
+    x = df.where(chosen).select(*keys, F.col(id_).alias("x_id"), F.col(points).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    y = df.select(*keys, F.col(id_).alias("y_id"), F.col(points).alias("y"), block)
+    return x.join(y, [*keys, "_block"]).where(F.col("x_id") != F.col("y_id")).drop("_block")
+
+
+def nearest(x: np.ndarray, y: np.ndarray, turned: np.ndarray | None, ids: np.ndarray, k: int, n_points: int) -> tuple[np.ndarray, ...]:
+    """Rows of x, neighbours (by ids of y), distances and flips of the k nearest rows of y to each row of x.
+
+    Squared distances by norms and products find the candidates; those within their rounding error are measured exactly. Ties (to
+    nine places) go to the smaller id.
+    """
+    norms = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    d = norms - 2 * (x @ y.T)
+    if turned is not None:
+        d = np.minimum(d, norms - 2 * (x @ turned.T))
+    kth = np.partition(d, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+    # Nine places of a distance and the rounding of the products.
+    slack = 1e-12 * norms.max(initial=1.0) + 4e-9 * n_points * np.sqrt(np.maximum(kth, 0.0)) + 1e-15
+    row, col = np.nonzero(d <= (kth + slack)[:, None])
+    dist = np.sqrt(((x[row] - y[col]) ** 2).sum(1)) / n_points
+    flip = np.zeros(len(row), dtype=np.int32)
+    if turned is not None:
+        back = np.sqrt(((x[row] - turned[col]) ** 2).sum(1)) / n_points
+        flip = (back < dist).astype(np.int32)
+        dist = np.minimum(dist, back)
+    order = np.lexsort((ids[col], np.round(dist, 9), row))
+    row, col, dist, flip = row[order], col[order], dist[order], flip[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    top = place < k
+    return row[top], ids[col[top]], dist[top], flip[top]
+
+
 def knn(df: DataFrame, keys: list[str], id_: str, points: str, k: int, candidates: DataFrame | None = None, block: int | None = None, endpoints: bool = False, flip: bool = True) -> DataFrame:
-    """(keys, id, rank, neighbour, dist, flip): the k nearest lines of the same subject (and block), the line itself included.
+    """(keys, id, rank, neighbour, dist, flip): the k nearest lines of the same keys (and block), the line itself included.
 
-    candidates: rows to choose from, by default all. Ties go to the smaller id. Pairs are made within keys only; with many
-    lines a subject give `block`, which bounds them to blocks of about so many consecutive ids.
+    candidates: rows to choose from, by default all; block: search only among about so many lines of consecutive ids. Ties go to the
+    smaller id. Lines are dealt to blocks of BLOCK_LINES; every block of lines meets every block of candidates in a task of its own
+    and sends on its k nearest, so all candidates are compared and no pair leaves its task.
     """
-    measure = mdf_endpoints if endpoints else mdf
     on = list(keys)
     left, right = df, df if candidates is None else candidates
     if block:
@@ -36,9 +78,26 @@ def knn(df: DataFrame, keys: list[str], id_: str, points: str, k: int, candidate
         left = placed
         right = placed if candidates is None else placed.join(candidates.select(*keys, id_), [*keys, id_], "left_semi")
         on.append("_block")
-    a = left.select(*on, F.col(id_), F.col(points).alias("_x"))
-    b = right.select(*on, F.col(id_).alias("neighbour"), F.col(points).alias("_y"))
-    pairs = a.join(b, on).select(*keys, id_, "neighbour", measure(F.col("_x"), F.col("_y"), flip).alias("_d")).select(*keys, id_, "neighbour", "_d.dist", "_d.flip")
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    parts = -(-min(most, 2 * block if block else most) // BLOCK_LINES)
+    ends = F.array(F.element_at(points, 1), F.element_at(points, -1)) if endpoints else F.col(points)
+    flat = F.flatten(F.transform(ends, lambda p: F.array(*[p[c].cast("double") for c in AXES]))).alias("_v")
+    part, every = F.pmod(F.xxhash64(id_), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    x = left.select(*on, F.col(id_).alias("_id"), flat, part.alias("_p"), every.alias("_q"))
+    y = right.select(*[F.col(c).alias(c) for c in on], F.col(id_).alias("_id"), flat, every.alias("_p"), part.alias("_q"))  # named anew: it may be one table with x
+
+    def work(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        row, ids, dist, flips = (np.zeros(0, dtype=np.int64), q["_id"].to_numpy()[:0], np.zeros(0), np.zeros(0, dtype=np.int32))
+        if len(p) and len(q):
+            a, b = np.vstack(p["_v"]), np.vstack(q["_v"])
+            turned = b.reshape(len(b), -1, 3)[:, ::-1].reshape(len(b), -1) if flip else None
+            row, ids, dist, flips = nearest(a, b, turned, q["_id"].to_numpy(), k, 15)
+        return pd.DataFrame({c: np.full(len(row), key[i], dtype=object) for i, c in enumerate(keys)} | {id_: p["_id"].to_numpy()[row], "neighbour": ids, "dist": dist, "flip": flips})
+
+    types = df.schema
+    shape = T.StructType([*[types[c] for c in keys], T.StructField(id_, types[id_].dataType), T.StructField("neighbour", types[id_].dataType), T.StructField("dist", T.DoubleType()), T.StructField("flip", T.IntegerType())])
+    dealt = [*on, "_p", "_q"]
+    pairs = x.groupBy(*dealt).cogroup(y.groupBy(*dealt)).applyInPandas(work, shape)
     # Equal to the last bits, lines may tie: distances are compared to nine places.
     near = Window.partitionBy(*keys, id_).orderBy(F.round("dist", 9), "neighbour")
     return pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)

@@ -2,55 +2,122 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajgraph.operators import compare
 from trajgraph.operators.compare import EPS, cells, guarded
 
 
-def moments(e: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Mean and deviation (EPS added) of each graph over its dense triangle."""
+#: Subjects of a block: two blocks of graphs of 13,530 cells are some 50 MB.
+BLOCK = 256
+
+
+def vectors(e: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, z): the z-scores of each graph over its dense triangle (EPS added to the deviation), over the root of the number of cells:
+    the dot product of two is their correlation."""
     k = cells(n)
-    mean = F.col("s") / k
-    s = e.groupBy(*keys).agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("w")).alias("q"))
-    return s.select(*keys, mean.alias("mean"), (F.sqrt(F.greatest(F.col("q") / k - mean * mean, F.lit(0.0))) + EPS).alias("dev"))
 
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((n, n))
+        a[pdf["i"].to_numpy() - 1, pdf["j"].to_numpy() - 1] = pdf["w"]
+        v = a[np.triu_indices(n)]
+        z = (v - v.mean()) / (v.std() + EPS) / np.sqrt(k)
+        return pd.DataFrame({c: [pdf[c].iloc[0]] for c in keys} | {"z": [z]})
 
-def pair_similarity(x: DataFrame, y: DataFrame, group: list[str], subject: str, n: int, keep: Column | None = None) -> DataFrame:
-    """(group, a, b, r) of every subject of x against every subject of y: a sparse matrix product over the cells.
+    shape = T.StructType([*[e.schema[c] for c in keys], T.StructField("z", T.ArrayType(T.DoubleType()))])
+    return e.select(*keys, "i", "j", "w").groupBy(*keys).applyInPandas(work, shape)
 
-    Rows meet by cell, products are summed for each pair of subjects before the shuffle; the moments of the graphs do the rest.
-    keep: a condition on subjects a and b.
-    """
-    own = x.select(*group, "i", "j", F.col(subject).alias("a"), F.col("w").alias("w1"))
-    other = y.select(*group, "i", "j", F.col(subject).alias("b"), F.col("w").alias("w2"))
-    product = own.join(other, [*group, "i", "j"])
-    product = (product if keep is None else product.where(keep)).groupBy(*group, "a", "b").agg(F.sum(F.col("w1") * F.col("w2")).alias("xy"))
-    mx = moments(x, [*group, subject], n).select(*group, F.col(subject).alias("a"), F.col("mean").alias("m1"), F.col("dev").alias("d1"))
-    my = moments(y, [*group, subject], n).select(*group, F.col(subject).alias("b"), F.col("mean").alias("m2"), F.col("dev").alias("d2"))
-    grid = mx.join(my, group)
-    grid = grid if keep is None else grid.where(keep)
-    r = (F.coalesce("xy", F.lit(0.0)) / cells(n) - F.col("m1") * F.col("m2")) / (F.col("d1") * F.col("d2"))
-    return grid.join(product, [*group, "a", "b"], "left").select(*group, "a", "b", r.alias("r"))
 
+def pair_blocks(x: DataFrame, y: DataFrame, group: list[str], subject: str, column: str, measure: str, keep: str = "all") -> DataFrame:
+    """(group, a, b, value) of every subject of x against every subject of y: the dot product or the distance of their vectors.
 
-def intra_similarity(true: DataFrame, pred: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
-    return compare.pearson_z(compare.both_sides(true, pred, [*group, subject]), [*group, subject], n).withColumnRenamed("r", "value")
+    Subjects are dealt to blocks; a task holds one block of each side and makes one matrix product. keep: all, other (a <> b) or
+    ordered (a < b).
+    """
+    most = x.unionByName(y).groupBy(*group).agg(F.countDistinct(subject).alias("n")).agg(F.max("n")).first()[0] or 1
+    blocks = -(-most // BLOCK)
+    block, every = F.pmod(F.xxhash64(subject), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = x.select(*group, F.col(subject).alias("id"), F.col(column).alias("v"), block.alias("_p"), every.alias("_q"))
+    # Named anew, as both sides may be one table.
+    right = y.select(*[F.col(g).alias(g) for g in group], F.col(subject).alias("id"), F.col(column).alias("v"), every.alias("_p"), block.alias("_q"))
+
+    def compare_blocks(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        a, b, value = p["id"].to_numpy(), q["id"].to_numpy(), np.zeros((len(p), len(q)))
+        if len(p) and len(q):
+            m, w = np.vstack(p["v"]), np.vstack(q["v"])
+            value = m @ w.T
+            if measure == "distance":
+                value = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (w * w).sum(1)[None, :] - 2 * value, 0.0))
+        r, c = np.nonzero({"all": np.ones_like(value, dtype=bool), "other": a[:, None] != b[None, :], "ordered": a[:, None] < b[None, :]}[keep])
+        return pd.DataFrame({g: np.full(len(r), key[i], dtype=object) for i, g in enumerate(group)} | {"a": a[r], "b": b[c], "value": value[r, c]})
+
+    id_type = x.schema[subject].dataType
+    shape = T.StructType([*[x.schema[g] for g in group], T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("value", T.DoubleType())])
+    on = [*group, "_p", "_q"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(compare_blocks, shape)
+
+
+def intra_similarity(b: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
+    """(group, subject, value): the correlation of both sides (t, p) of each subject."""
+    return compare.pearson_z(b, [*group, subject], n).withColumnRenamed("r", "value")
+
+
+def intra_lerm(logs: DataFrame, group: list[str], subject: str, versions: tuple[str, str] = ("true", "pred"), column: str = "version") -> DataFrame:
+    """(group, subject, value): log-Euclidean distance of two versions; null where one has no logarithm. logs: log_vectors."""
+    keys = [*group, subject]
+    x, y = (logs.where(F.col(column) == v).select(*keys, F.col("log").alias(name)) for v, name in zip(versions, ("x", "y"), strict=True))
+    return logs.select(*keys).distinct().join(x, keys, "left").join(y, keys, "left").select(*keys, compare.distance(F.col("x"), F.col("y")).alias("value"))
 
 
 def inter_similarity(true: DataFrame, pred: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
     """Mean over the other subjects' true graphs for each predicted one; a lone subject has none."""
-    pairs = pair_similarity(pred, true, group, subject, n, F.col("a") != F.col("b"))
-    return pairs.groupBy(*group, F.col("a").alias(subject)).agg(F.avg("r").alias("value"))
+    keys = [*group, subject]
+    pairs = pair_blocks(vectors(pred, keys, n), vectors(true, keys, n), group, subject, "z", "dot", "other")
+    return pairs.groupBy(*group, F.col("a").alias(subject)).agg(F.avg("value").alias("value"))
+
+
+def inter_lerm(logs: DataFrame, group: list[str], subject: str) -> DataFrame:
+    """Mean log-Euclidean distance of each predicted graph to the other subjects' true ones that have a logarithm."""
+    side = lambda v: logs.where(F.col("version") == v).drop("version")
+    pairs = pair_blocks(side("pred"), side("true"), group, subject, "log", "distance", "other")
+    return pairs.groupBy(*group, F.col("a").alias(subject)).agg(F.avg("value").alias("value"))
+
+
+def with_population(b: DataFrame, group: list[str], subject: str) -> DataFrame:
+    """(group, subject, i, j, t, p, pop): cells of either side or of the mean true graph of the group's subjects, absent ones 0."""
+    keys = [*group, subject]
+    n = b.where(F.col("t") != 0).groupBy(*group).agg(F.countDistinct(subject).alias("n_subjects"))
+    mean = b.where(F.col("t") != 0).groupBy(*group, "i", "j").agg(F.sum("t").alias("s")).join(n, group).select(*group, "i", "j", (F.col("s") / F.col("n_subjects")).alias("pop"))
+    target = b.select(*keys).distinct().join(mean, group)
+    zero = F.lit(0.0)
+    all_ = b.select(*keys, "i", "j", "t", "p", zero.alias("pop")).unionByName(target.select(*keys, "i", "j", zero.alias("t"), zero.alias("p"), "pop"))
+    return all_.groupBy(*keys, "i", "j").agg(*[F.sum(c).alias(c) for c in ("t", "p", "pop")])
+
+
+def group_similarity(b: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
+    """Each predicted graph against the mean true graph of its group; null where there is none."""
+    keys = [*group, subject]
+    wide = with_population(b, group, subject)
+    both = wide.select(*keys, "i", "j", F.col("pop").alias("t"), "p")
+    got = compare.pearson_z(compare.for_both(both, keys), keys, n).withColumnRenamed("r", "value")
+    return b.where(F.col("p") != 0).select(*keys).distinct().join(got, keys, "left")
+
 
+def population_logs(b: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
+    """(group, log) of the mean true graph of each group."""
+    subjects = b.where(F.col("t") != 0).groupBy(*group).agg(F.countDistinct(subject).alias("k"))
+    mean = b.where(F.col("t") != 0).groupBy(*group, "i", "j").agg(F.sum("t").alias("s")).join(subjects, group).select(*group, "i", "j", (F.col("s") / F.col("k")).alias("w"))
+    return compare.log_vectors(mean, group, n)
 
-def group_similarity(population: DataFrame, pred: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
-    """Each predicted graph against the population's of its group; null where there is none."""
-    per = pred.select(*group, subject).distinct()
-    target = per.join(population.select(*group, "i", "j", "w"), group)
-    got = compare.pearson_z(compare.both_sides(target, pred, [*group, subject]), [*group, subject], n).withColumnRenamed("r", "value")
-    return per.join(got, [*group, subject], "left")
+
+def group_lerm(logs: DataFrame, population: DataFrame, group: list[str], subject: str, version: str = "pred") -> DataFrame:
+    """(group, subject, value): log-Euclidean distance of each graph of a version to the mean one; null where one has no logarithm."""
+    own = logs.where(F.col("version") == version)
+    return own.join(population.withColumnRenamed("log", "pop"), group, "left").select(*group, subject, compare.distance(F.col("log"), F.col("pop")).alias("value"))
 
 
 def similarity_table(intra: DataFrame, inter: DataFrame, group: DataFrame) -> DataFrame:
@@ -60,14 +127,20 @@ def similarity_table(intra: DataFrame, inter: DataFrame, group: DataFrame) -> Da
 
 def trt_similarity(e: DataFrame, keys: list[str], n: int, session: str = "session") -> DataFrame:
     """Test against retest for each key, where both are present."""
-    test, retest = e.where(F.col(session) == "test"), e.where(F.col(session) == "retest")
-    return compare.pearson_z(compare.both_sides(test, retest, keys), keys, n)
+    return compare.pearson_z(compare.paired(e, keys, session, "test", "retest"), keys, n)
 
 
 def intersubject_within(e: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
     """Mean, population deviation and number of the similarities of all unordered pairs of subjects of a group."""
-    pairs = pair_similarity(e, e, group, subject, n, F.col("a") < F.col("b"))
-    return pairs.groupBy(*group).agg(F.avg("r").alias("mean_r"), F.stddev_pop("r").alias("std_r"), F.count("r").alias("n_pairs"))
+    v = vectors(e, [*group, subject], n)
+    pairs = pair_blocks(v, v, group, subject, "z", "dot", "ordered")
+    return pairs.groupBy(*group).agg(F.avg("value").alias("mean_r"), F.stddev_pop("value").alias("std_r"), F.count("value").alias("n_pairs"))
+
+
+def intersubject_lerm(logs: DataFrame, group: list[str], subject: str) -> DataFrame:
+    """The same of the log-Euclidean distances of graphs that have a logarithm."""
+    pairs = pair_blocks(logs, logs, group, subject, "log", "distance", "ordered")
+    return pairs.groupBy(*group).agg(F.avg("value").alias("mean_lerm"), F.stddev_pop("value").alias("std_lerm"), F.count("value").alias("n_pairs"))
 
 
 def trt_vs_intersubject(trt: DataFrame, inter: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,18 +148,30 @@ def trt_vs_intersubject(trt: DataFrame, inter: DataFrame, keys: list[str]) -> Da
     return own.join(inter.groupBy(*keys).agg(F.avg("mean_r").alias("inter_mean")), keys)
 
 
-def test_vs_population(true: DataFrame, pred: DataFrame, population: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
-    """(group, subject, comparison, r, rmse, mae, n_a, n_b) for pred-pop, true-pop and pred-true."""
+def test_vs_population(b: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
+    """(group, subject, comparison, r, rmse, mae, n_a, n_b) for pred-pop, true-pop and pred-true: one aggregation of the cells with the
+    three values side by side. A comparison needs an edge on both of its sides."""
     keys = [*group, subject]
-    pop = pred.select(*keys).distinct().join(population.select(*group, "i", "j", "w"), group)
-
-    def rows(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        both = compare.both_sides(a, b, keys)
-        counts = both.groupBy(*keys).agg(F.sum((F.col("t") != 0).cast("int")).alias("n_a"), F.sum((F.col("p") != 0).cast("int")).alias("n_b"))
-        out = compare.pearson_nonzero(both, keys).join(compare.errors_off_diagonal(both, keys, n), keys).join(counts, keys)
-        return out.withColumn("comparison", F.lit(name))
-
-    return rows(pred, pop, "pred-pop").unionByName(rows(true, pop, "true-pop")).unionByName(rows(pred, true, "pred-true"))
+    k = n * (n - 1)
+    aggs, out = [], []
+    for name, x, y in (("pred-pop", "p", "pop"), ("true-pop", "t", "pop"), ("pred-true", "p", "t")):
+        a, c, at = F.col(x), F.col(y), name.replace("-", "_")
+        nz, off = (a != 0) & (c != 0), F.col("i") != F.col("j")
+        v = lambda e, nz=nz: F.sum(F.when(nz, e).otherwise(0.0))
+        d = F.when(off, a - c).otherwise(0.0)
+        sums_ = {"k": F.sum(nz.cast("int")), "sx": v(a), "sy": v(c), "sxx": v(a * a), "syy": v(c * c), "sxy": v(a * c), "dd": F.sum(2 * d * d), "ad": F.sum(2 * F.abs(d)), "n_a": F.sum((a != 0).cast("int")), "n_b": F.sum((c != 0).cast("int"))}
+        aggs += [e.alias(f"{at}_{s}") for s, e in sums_.items()]
+        col = lambda s, at=at: F.col(f"{at}_{s}")
+        out.append(F.struct(F.lit(name).alias("comparison"), guarded(*[col(s) for s in ("k", "sx", "sy", "sxx", "syy", "sxy")]).alias("r"), F.sqrt(col("dd") / k).alias("rmse"), (col("ad") / k).alias("mae"), col("n_a").alias("n_a"), col("n_b").alias("n_b")))
+    s = with_population(b, group, subject).groupBy(*keys).agg(*aggs)
+    return s.select(*keys, F.explode(F.array(*out)).alias("x")).select(*keys, "x.*").where((F.col("n_a") > 0) & (F.col("n_b") > 0))
+
+
+def test_vs_population_lerm(logs: DataFrame, population: DataFrame, group: list[str], subject: str) -> DataFrame:
+    """(group, subject, comparison, lerm) of the same three comparisons, for graphs that have a logarithm."""
+    tag = lambda df, name: df.withColumnRenamed("value", "lerm").withColumn("comparison", F.lit(name))
+    parts = [tag(group_lerm(logs, population, group, subject, v), f"{v}-pop") for v in ("pred", "true")] + [tag(intra_lerm(logs, group, subject), "pred-true")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def three_way_long(x8: DataFrame, keys: list[str]) -> DataFrame:

@@ -58,11 +58,16 @@ def edge_table(spark: SparkSession, d: str, nodes: int = A20, keys: list[str] |
     return E.edges_all_metrics(assign(spark, d, nodes), VERSIONS, metrics or METRICS, keys or KEYS, nodes)
 
 
+def both_table(spark: SparkSession, d: str, nodes: int = A20, keys: list[str] | None = None, metrics: list[str] | None = None) -> DataFrame:
+    """(keys, ctype, i, j, t, p): the true and the predicted graphs of all subjects side by side."""
+    return E.edges_both(assign(spark, d, nodes), VERSIONS["true"], VERSIONS["pred"], metrics or METRICS, keys or KEYS, nodes)
+
+
 def edges_sql(nodes: int = A20, keys: list[str] | None = None, source: str = "f_assign", name: str = "f_edges") -> str:
     k = ", ".join(keys or KEYS)
     return f"""f_long AS (SELECT *, 'true' AS version, least(ta, tb) AS i, greatest(ta, tb) AS j FROM {source} UNION ALL SELECT *, 'pred' AS version, least(pa, pb) AS i, greatest(pa, pb) AS j FROM {source}),
     f_cells AS (SELECT {k}, version, i, j, CAST(count(*) AS DOUBLE) AS nos, avg(fa) AS fa, avg(md) AS md, avg(ad) AS ad, avg(rd) AS rd, sum(sift2) AS sift2 FROM f_long WHERE i >= 1 AND j <= {nodes} GROUP BY {k}, version, i, j),
-    {name} AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT {k}, version, '{m}' AS ctype, i, j, {m} AS w FROM f_cells" for m in METRICS)}) WHERE w IS NOT NULL AND w <> 0)"""
+    {name} AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(f"SELECT {k}, version, '{m}' AS ctype, i, j, {m} AS w FROM f_cells" for m in METRICS)}) WHERE w IS NOT NULL AND w <> 0)"""
 
 
 def with_edges(nodes: int = A20, keys: list[str] | None = None) -> str:
@@ -119,13 +124,14 @@ def classes(spark: SparkSession, d: str) -> DataFrame:
 CLASS_SQL = "f_class AS (SELECT lang, quality AS true_l, CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS pred_l FROM documents JOIN labels USING (doc_id))"
 
 
+GRAPH_KEYS = ["subject_id", "session", "version"]
+
+
 def graphs(spark: SparkSession, d: str) -> DataFrame:
-    """Sparse graphs: predicted counts of the test session above 1.2 times the mean of the subject's cells."""
-    e = side(edge_table(spark, d, metrics=["nos"]), "pred").where(F.col("session") == "test").select("subject_id", "i", "j", "w")
-    mean = e.groupBy("subject_id").agg(F.avg("w").alias("m"))
-    return e.join(mean, "subject_id").where(F.col("w") > 1.2 * F.col("m")).drop("m")
+    """Graphs of counts: every subject, session and version."""
+    return edge_table(spark, d, metrics=["nos"]).select(*GRAPH_KEYS, "i", "j", "w")
 
 
-GRAPHS_SQL = f"""{assign_sql()}, g_all AS (SELECT subject_id, least(pa, pb) AS i, greatest(pa, pb) AS j, CAST(count(*) AS DOUBLE) AS w FROM f_assign
-    WHERE session = 'test' AND least(pa, pb) >= 1 AND greatest(pa, pb) <= {A20} GROUP BY ALL), f_graph AS (SELECT subject_id, i, j, w FROM g_all QUALIFY w > 1.2 * avg(w) OVER (PARTITION BY subject_id)),
-    f_arcs AS (SELECT subject_id, i AS s, j AS t, w FROM f_graph UNION ALL SELECT subject_id, j, i, w FROM f_graph WHERE i <> j)"""
+GRAPHS_SQL = f"""{assign_sql()}, g_long AS (SELECT subject_id, session, 'true' AS version, least(ta, tb) AS i, greatest(ta, tb) AS j FROM f_assign UNION ALL SELECT subject_id, session, 'pred', least(pa, pb), greatest(pa, pb) FROM f_assign),
+    f_graph AS MATERIALIZED (SELECT subject_id, session, version, i, j, CAST(count(*) AS DOUBLE) AS w FROM g_long WHERE i >= 1 AND j <= {A20} GROUP BY ALL),
+    f_arcs AS MATERIALIZED (SELECT subject_id, session, version, i AS s, j AS t, w FROM f_graph UNION ALL SELECT subject_id, session, version, j, i, w FROM f_graph WHERE i <> j)"""

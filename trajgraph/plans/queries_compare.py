@@ -8,7 +8,7 @@ from trajgraph.functions.tables import kept
 from trajgraph.operators import compare as C
 from trajgraph.operators import edges as E
 from trajgraph.operators import similarity as S
-from trajgraph.plans.fixtures import A20, A40, CMP_KEYS, both_sql, edge_table, rounded, side, with_edges
+from trajgraph.plans.fixtures import A20, A40, CMP_KEYS, both_sql, both_table, edge_table, rounded, side, with_edges
 from trajgraph.plans.queries_polylines import POP_SQL
 
 QUERIES, SQL = {}, {}
@@ -27,14 +27,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _sides(spark, d, nodes=A40, keys=None):
-    e = edge_table(spark, d, nodes, keys)
-    return side(e, "true"), side(e, "pred")
-
-
-def _both(spark, d):
-    t, p = _sides(spark, d)
-    return C.both_sides(t, p, CMP_KEYS)
+def _both(spark, d, nodes=A40, metrics=None):
+    return C.for_both(both_table(spark, d, nodes, metrics=metrics), CMP_KEYS)
 
 
 BOTH = f"{with_edges(A40)}, {both_sql()}"
@@ -98,38 +92,63 @@ _FEW = BOTH.replace("WHERE w IS NOT NULL AND w <> 0", "WHERE w IS NOT NULL AND w
 @query("c5_spearman", f"{_FEW}, {_DENSE}, rk AS (SELECT {K}, rank() OVER (PARTITION BY {K} ORDER BY t) + (count(*) OVER (PARTITION BY {K}, t) - 1) / 2.0 AS t, rank() OVER (PARTITION BY {K} ORDER BY p) + (count(*) OVER (PARTITION BY {K}, p) - 1) / 2.0 AS p FROM dense), s AS (SELECT {K}, {sums_sql()} FROM rk GROUP BY {K}) SELECT {K}, round({pearson_sql('k')}, 6) + 0.0 AS r FROM s")
 def c5(spark, d):
     # Means of equal values may differ in the last bit: they are ranked at 12 places.
-    e = edge_table(spark, d, A40, metrics=["nos", "fa"]).withColumn("w", F.round("w", 12))
-    return rounded(C.spearman(side(e, "true"), side(e, "pred"), CMP_KEYS, A40), ["r"])
+    b = _both(spark, d, metrics=["nos", "fa"]).withColumns({c: F.round(c, 12) for c in "tp"})
+    return rounded(C.spearman(b, CMP_KEYS, A40), ["r"])
 
 
 @query("c6_corr_pvalue")
 def c6(spark, d):
-    r = C.pearson_nonzero(_both(spark, d), CMP_KEYS)
-    return r.withColumn("p", C.corr_pvalue(F.col("r"), F.lit(60)))
+    b = _both(spark, d)
+    n = b.groupBy(*CMP_KEYS).agg(F.sum(((F.col("t") != 0) & (F.col("p") != 0)).cast("int")).alias("n"))
+    return C.pearson_nonzero(b, CMP_KEYS).join(n, CMP_KEYS).withColumn("p", C.corr_pvalue(F.col("r"), F.col("n")))
 
 
 @query("c12_wasserstein", f"{BOTH}, {_DENSE}, a AS (SELECT {K}, t, row_number() OVER (PARTITION BY {K} ORDER BY t) AS q FROM dense), b AS (SELECT {K}, p, row_number() OVER (PARTITION BY {K} ORDER BY p) AS q FROM dense) SELECT {K}, round(avg(abs(t - p)), 6) + 0.0 AS wasserstein FROM a JOIN b USING ({K}, q) GROUP BY {K}")
 def c12(spark, d):
-    t, p = _sides(spark, d)
-    return rounded(C.wasserstein(t, p, CMP_KEYS, A40), ["wasserstein"])
+    return rounded(C.wasserstein(_both(spark, d), CMP_KEYS, A40), ["wasserstein"])
 
 
 @query("c17_lerm")
 def c17(spark, d):
-    e = edge_table(spark, d, A20, metrics=["nos", "fa"])
-    return C.lerm(side(e, "true"), side(e, "pred"), CMP_KEYS, A20)
+    return C.lerm(_both(spark, d), CMP_KEYS, A40)
 
 
-@query("c18_graph_compare", f"{BOTH}, s AS (SELECT {K}, {sums_sql()}, sum((t-p)*(t-p)) AS dd, sum(abs(t-p)) AS ad, sum(abs(t-p)/(abs(t)+abs(p)+1e-10)) AS re, sum(({_M})*(t-p)*(t-p)) AS mdd, max(abs(t-p)) AS mx, count(*) FILTER (t > 0 AND p > 0) AS kb, count(*) FILTER (t > 0) AS n_true, count(*) FILTER (p > 0) AS n_pred, count(*) FILTER (t > 0 OR p > 0) AS ke, sum(({_M})*t) AS mt, sum(({_M})*p) AS mp FROM f_both GROUP BY {K}) SELECT {K}, round({pearson_sql(str(N40))}, 7) AS pearson_r, round(dd/{N40}, 7) AS mse, round(sqrt(dd/{N40}), 7) AS rmse, round(ad/{N40}, 7) AS mae, round(re/{N40}, 7) AS mean_relative_error, round(sqrt(mdd), 7) AS frobenius, round(mx, 7) AS max_abs_error, round(kb/greatest(n_true, 1), 7) AS edge_overlap, round(kb/greatest(ke, 1), 7) AS jaccard, round(mp/greatest(mt, 1e-10), 7) AS strength_ratio, n_true, n_pred FROM s")
+# Means of short decimals end on a tie: both sides are pushed up by the same little.
+_TIE = 1e-12
+_C18 = {
+    "pearson_r": pearson_sql(str(N40)), "mse": f"dd/{N40}", "rmse": f"sqrt(dd/{N40})", "mae": f"ad/{N40}", "mean_relative_error": f"re/{N40}", "frobenius": "sqrt(mdd)", "max_abs_error": "mx", "mape": "CASE WHEN mt > 0 THEN mad/mt ELSE 0 END",
+    "edge_overlap": "kb/greatest(n_true, 1)", "jaccard": "kb/greatest(ke, 1)", "true_strength": "mt", "pred_strength": "mp", "strength_ratio": "mp/greatest(mt, 1e-10)", "true_mean": "mt/1600 + 1e-12", "pred_mean": "mp/1600 + 1e-12", "rel_diff_mean": f"rd/{N40}", "log_diff_mean": f"ld/{N40_OFF}",
+}
+_C18_SUMS = f"{sums_sql()}, sum((t-p)*(t-p)) AS dd, sum(abs(t-p)) AS ad, sum(abs(t-p)/(abs(t)+abs(p)+1e-10)) AS re, sum(({_M})*(t-p)*(t-p)) AS mdd, sum(({_M})*abs(t-p)) AS mad, max(abs(t-p)) AS mx, count(*) FILTER (t > 0 AND p > 0) AS kb, count(*) FILTER (t > 0) AS n_true, count(*) FILTER (p > 0) AS n_pred, count(*) FILTER (t > 0 OR p > 0) AS ke, sum(({_M})*t) AS mt, sum(({_M})*p) AS mp, sum(CASE WHEN t + p = 0 THEN 0 ELSE 2*abs(t-p)/(t+p) END) AS rd, sum(CASE WHEN i <> j THEN abs(ln(p+1e-10) - ln(t+1e-10)) ELSE 0 END) AS ld"
+
+
+@query("c18_graph_compare", f"{BOTH}, s AS (SELECT {K}, {_C18_SUMS} FROM f_both GROUP BY {K}) SELECT {K}, {', '.join(f'round({v}, 7) + 0.0 AS {c}' for c, v in _C18.items())}, n_true, n_pred FROM s")
 def c18(spark, d):
-    t, p = _sides(spark, d)
-    out = C.graph_compare(t, p, CMP_KEYS, A40)
+    out = C.graph_compare(_both(spark, d), CMP_KEYS, A40, spread=False).withColumns({c: F.col(c) + _TIE for c in ("true_mean", "pred_mean")})
     return rounded(out, [c for c in out.columns if c not in (*CMP_KEYS, "n_true", "n_pred")], 7)
 
 
-@query("c19_error_histogram", f"{BOTH}, x AS (SELECT {K}, abs(t - p) AS x FROM f_both WHERE i <> j AND ctype = 'nos'), y AS (SELECT *, min(x) OVER (PARTITION BY {K}) AS lo, max(x) OVER (PARTITION BY {K}) AS hi FROM x) SELECT {K}, CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 50), 49) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM y GROUP BY ALL")
+_W12 = f"a12 AS (SELECT {K}, t, row_number() OVER (PARTITION BY {K} ORDER BY t) AS q FROM dense), b12 AS (SELECT {K}, p, row_number() OVER (PARTITION BY {K} ORDER BY p) AS q FROM dense), ws AS (SELECT {K}, avg(abs(t - p)) AS wasserstein FROM a12 JOIN b12 USING ({K}, q) GROUP BY {K})"
+_RK = f"rk AS (SELECT {K}, rank() OVER (PARTITION BY {K} ORDER BY t) + (count(*) OVER (PARTITION BY {K}, t) - 1) / 2.0 AS t, rank() OVER (PARTITION BY {K} ORDER BY p) + (count(*) OVER (PARTITION BY {K}, p) - 1) / 2.0 AS p FROM dense), rs AS (SELECT {K}, {sums_sql()} FROM rk GROUP BY {K}), sp AS (SELECT {K}, {pearson_sql('k')} AS spearman_r FROM rs)"
+
+
+@query("c18_graph_compare_masked", f"{_FEW.replace('f_both AS (', 'f_all AS (')}, f_both AS (SELECT * FROM f_all WHERE ctype = 'nos' OR (t <> 0 AND p <> 0)), nm AS (SELECT {K}, CAST(CASE WHEN ctype = 'nos' THEN 0 ELSE 1600 - sum(CASE WHEN t <> 0 AND p <> 0 THEN {_M} ELSE 0 END) END AS BIGINT) AS n_masked FROM f_all GROUP BY {K}), {_DENSE}, {_W12}, {_RK}, s AS (SELECT {K}, {_C18_SUMS} FROM f_both GROUP BY {K}) SELECT {K}, {', '.join(f'round({v}, 7) + 0.0 AS {c}' for c, v in _C18.items())}, n_true, n_pred, n_masked, round(spearman_r, 7) + 0.0 AS spearman_r, round(wasserstein, 7) + 0.0 AS wasserstein FROM s JOIN nm USING ({K}) JOIN ws USING ({K}) JOIN sp USING ({K})")
+def c18_masked(spark, d):
+    """All comparisons that SQL can say, fa by the cells that both sides have."""
+    b = _both(spark, d, metrics=["nos", "fa"]).withColumns({c: F.round(c, 12) for c in "tp"})
+    out = C.graph_compare(b, CMP_KEYS, A40, mask="ctype").withColumn("n_masked", F.col("n_masked").cast("long")).withColumns({c: F.col(c) + _TIE for c in ("true_mean", "pred_mean")})
+    return rounded(out, [c for c in out.columns if c not in (*CMP_KEYS, "n_true", "n_pred", "n_masked")], 7)
+
+
+@query("c18_graph_compare_full")
+def c18_full(spark, d):
+    """With p-values and the log-Euclidean distance, which SQL can't say."""
+    return C.graph_compare(_both(spark, d), CMP_KEYS, A40, p_values=True, logs=True)
+
+
+@query("c19_error_histogram", f"{BOTH}, x AS (SELECT {K}, round(abs(t - p), 10) AS x FROM f_both WHERE i <> j), y AS (SELECT *, min(x) OVER (PARTITION BY {K}) AS lo, max(x) OVER (PARTITION BY {K}) AS hi FROM x) SELECT {K}, CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 50 + 1e-6), 49) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM y GROUP BY ALL")
 def c19(spark, d):
-    return C.error_histogram(_both(spark, d).where("ctype = 'nos'"), CMP_KEYS)
+    return C.error_histogram(_both(spark, d), CMP_KEYS, 50, 10)
 
 
 _agg("c19_bland_altman", lambda b: C.bland_altman(b, CMP_KEYS, A40), {"bias": f"sd/{N40_OFF}", "lower": f"sd/{N40_OFF} - 1.96*sqrt(greatest(q/{N40_OFF} - sd/{N40_OFF}*sd/{N40_OFF}, 0))", "upper": f"sd/{N40_OFF} + 1.96*sqrt(greatest(q/{N40_OFF} - sd/{N40_OFF}*sd/{N40_OFF}, 0))"}, "sum(CASE WHEN i <> j THEN p - t ELSE 0 END) AS sd, sum(CASE WHEN i <> j THEN (p-t)*(p-t) ELSE 0 END) AS q", digits=7)
@@ -147,9 +166,18 @@ _K1 = ["ctype", "subject_id"]
 
 
 def _one(spark, d):
-    # Several comparisons read the same graphs: they are built and written once.
-    e = kept(edge_table(spark, d, A40, ["subject_id"]))
-    return side(e, "true"), side(e, "pred")
+    return both_table(spark, d, A40, ["subject_id"])
+
+
+def _versions(b):
+    """(ctype, subject_id, version, i, j, w) of both sides."""
+    each = F.explode(F.array(F.struct(F.lit("true").alias("version"), F.col("t").alias("w")), F.struct(F.lit("pred").alias("version"), F.col("p").alias("w"))))
+    return b.select(*_K1, "i", "j", each.alias("x")).select(*_K1, "x.version", "i", "j", "x.w").where("w <> 0")
+
+
+def _logs(b):
+    """The matrix logarithm of each graph, once: several distances read them."""
+    return kept(C.log_vectors(_versions(b), [*_K1, "version"], A40))
 
 
 _MOM = f"mo AS (SELECT ctype, version, subject_id, sum(w)/{N40} AS m, sqrt(greatest(sum(w*w)/{N40} - (sum(w)/{N40})*(sum(w)/{N40}), 0)) + 1e-10 AS sd FROM f_edges GROUP BY ALL)"
@@ -159,14 +187,13 @@ _SIM = f"{_MOM}, {_PROD}, sim AS (SELECT p.ctype, p.subject_id AS a, t.subject_i
 
 @query("x1_intra_similarity", f"{EDGES1}, {_SIM} SELECT ctype, a AS subject_id, round(r, 6) AS value FROM sim WHERE a = b")
 def x1(spark, d):
-    t, p = _one(spark, d)
-    return rounded(S.intra_similarity(t, p, GROUP, "subject_id", A40), ["value"])
+    return rounded(S.intra_similarity(C.for_both(_one(spark, d), _K1), GROUP, "subject_id", A40), ["value"])
 
 
 @query("x2_inter_similarity", f"{EDGES1}, {_SIM} SELECT ctype, a AS subject_id, round(avg(r), 6) AS value FROM sim WHERE a <> b GROUP BY ALL")
 def x2(spark, d):
-    t, p = _one(spark, d)
-    return rounded(S.inter_similarity(t, p, GROUP, "subject_id", A40), ["value"])
+    e = _versions(_one(spark, d))
+    return rounded(S.inter_similarity(side(e, "true"), side(e, "pred"), GROUP, "subject_id", A40), ["value"])
 
 
 _POPR = f"pm AS (SELECT ctype, sum(w)/{N40} AS m, sqrt(sum(w*w)/{N40} - (sum(w)/{N40})*(sum(w)/{N40})) + 1e-10 AS sd FROM f_pop WHERE version = 'true' GROUP BY ctype), px AS (SELECT e.ctype, e.subject_id, sum(e.w*q.w) AS xy FROM f_edges e JOIN f_pop q ON q.version = 'true' AND e.version = 'pred' AND e.ctype = q.ctype AND e.i = q.i AND e.j = q.j GROUP BY ALL), gr AS (SELECT mo.ctype, mo.subject_id, (xy/{N40} - mo.m*pm.m)/(mo.sd*pm.sd) AS value FROM mo JOIN pm ON mo.ctype = pm.ctype AND mo.version = 'pred' JOIN px ON px.ctype = mo.ctype AND px.subject_id = mo.subject_id)"
@@ -174,13 +201,14 @@ _POPR = f"pm AS (SELECT ctype, sum(w)/{N40} AS m, sqrt(sum(w*w)/{N40} - (sum(w)/
 
 @query("x3_group_similarity", f"{EDGES1}, {_MOM}, {_POPR} SELECT ctype, subject_id, round(value, 6) AS value FROM gr")
 def x3(spark, d):
-    t, p = _one(spark, d)
-    return rounded(S.group_similarity(E.population_mean(t, GROUP), p, GROUP, "subject_id", A40), ["value"])
+    return rounded(S.group_similarity(kept(_one(spark, d)), GROUP, "subject_id", A40), ["value"])
 
 
 def similarity_long(spark, d):
-    t, p = _one(spark, d)
-    return S.similarity_table(S.intra_similarity(t, p, GROUP, "subject_id", A40), S.inter_similarity(t, p, GROUP, "subject_id", A40), S.group_similarity(E.population_mean(t, GROUP), p, GROUP, "subject_id", A40))
+    # Three comparisons read the same graphs: they are built and written once.
+    b = kept(_one(spark, d))
+    e = _versions(b)
+    return S.similarity_table(S.intra_similarity(C.for_both(b, _K1), GROUP, "subject_id", A40), S.inter_similarity(side(e, "true"), side(e, "pred"), GROUP, "subject_id", A40), S.group_similarity(b, GROUP, "subject_id", A40))
 
 
 SIM_LONG = f"{EDGES1}, {_SIM}, {_POPR}, sl AS (SELECT ctype, a AS subject_id, r AS value, 'Intrasubject' AS comparison_type FROM sim WHERE a = b UNION ALL SELECT ctype, a, avg(r), 'Intersubject' FROM sim WHERE a <> b GROUP BY ctype, a UNION ALL SELECT ctype, subject_id, value, 'Group-average' FROM gr)"
@@ -191,6 +219,33 @@ def x4(spark, d):
     return rounded(similarity_long(spark, d), ["value"])
 
 
+@query("x1_intra_lerm")
+def x1_lerm(spark, d):
+    return S.intra_lerm(_logs(_one(spark, d)), GROUP, "subject_id")
+
+
+@query("x2_inter_lerm")
+def x2_lerm(spark, d):
+    return S.inter_lerm(_logs(_one(spark, d)), GROUP, "subject_id")
+
+
+@query("x3_group_lerm")
+def x3_lerm(spark, d):
+    b = kept(_one(spark, d))
+    return S.group_lerm(_logs(b), S.population_logs(b, GROUP, "subject_id", A40), GROUP, "subject_id")
+
+
+@query("x4_similarity_table_lerm")
+def x4_lerm(spark, d):
+    """The similarity table with both columns, pearson_r and lerm_dist."""
+    b = kept(_one(spark, d))
+    e, logs = _versions(b), _logs(b)
+    r = S.similarity_table(S.intra_similarity(C.for_both(b, _K1), GROUP, "subject_id", A40), S.inter_similarity(side(e, "true"), side(e, "pred"), GROUP, "subject_id", A40), S.group_similarity(b, GROUP, "subject_id", A40))
+    dist = S.similarity_table(S.intra_lerm(logs, GROUP, "subject_id"), S.inter_lerm(logs, GROUP, "subject_id"), S.group_lerm(logs, S.population_logs(b, GROUP, "subject_id", A40), GROUP, "subject_id"))
+    on = [*_K1, "comparison_type"]
+    return r.withColumnRenamed("value", "pearson_r").join(dist.withColumnRenamed("value", "lerm_dist"), on, "left")
+
+
 _TRT = f"{with_edges(A40)}, a AS (SELECT * FROM f_edges WHERE session = 'test'), b AS (SELECT * FROM f_edges WHERE session = 'retest'), f AS (SELECT coalesce(a.ctype, b.ctype) AS ctype, coalesce(a.version, b.version) AS version, coalesce(a.subject_id, b.subject_id) AS subject_id, coalesce(a.w, 0) AS t, coalesce(b.w, 0) AS p FROM a FULL JOIN b ON a.ctype = b.ctype AND a.version = b.version AND a.subject_id = b.subject_id AND a.i = b.i AND a.j = b.j), ts AS (SELECT ctype, version, subject_id, {sums_sql()} FROM f GROUP BY ctype, version, subject_id), trt AS (SELECT ctype, version, subject_id, {_Z} AS r FROM ts)"
 
 
@@ -209,11 +264,33 @@ def x6(spark, d):
 
 @query("x7_trt_vs_intersubject", f"{_TRT}, {_WITHIN} SELECT ctype, version, round(trt_mean, 6) AS trt_mean, n_subjects, round(inter_mean, 6) AS inter_mean FROM (SELECT ctype, version, avg(r) AS trt_mean, count(r) AS n_subjects FROM trt GROUP BY ALL) JOIN (SELECT ctype, version, avg(mean_r) AS inter_mean FROM wi GROUP BY ALL) USING (ctype, version)")
 def x7(spark, d):
-    e = edge_table(spark, d, A40)
+    e = kept(edge_table(spark, d, A40))
     trt = S.trt_similarity(e, ["ctype", "version", "subject_id"], A40)
     return rounded(S.trt_vs_intersubject(trt, S.intersubject_within(e, ["ctype", "version", "session"], "subject_id", A40), ["ctype", "version"]), ["trt_mean", "inter_mean"])
 
 
+def _session_logs(spark, d):
+    return kept(C.log_vectors(edge_table(spark, d, A40), ["ctype", "version", "session", "subject_id"], A40))
+
+
+@query("x5_trt_lerm")
+def x5_lerm(spark, d):
+    return S.intra_lerm(_session_logs(spark, d), ["ctype", "version"], "subject_id", ("test", "retest"), "session")
+
+
+@query("x6_intersubject_lerm")
+def x6_lerm(spark, d):
+    return S.intersubject_lerm(_session_logs(spark, d), ["ctype", "version", "session"], "subject_id")
+
+
+@query("x7_trt_vs_intersubject_lerm")
+def x7_lerm(spark, d):
+    logs = _session_logs(spark, d)
+    trt = S.intra_lerm(logs, ["ctype", "version"], "subject_id", ("test", "retest"), "session").withColumnRenamed("value", "r")
+    inter = S.intersubject_lerm(logs, ["ctype", "version", "session"], "subject_id").withColumnRenamed("mean_lerm", "mean_r")
+    return S.trt_vs_intersubject(trt, inter, ["ctype", "version"])
+
+
 def _x8_part(a: str, b: str, name: str) -> str:
     src = {"pred": "(SELECT ctype, subject_id, i, j, w FROM f_edges WHERE version = 'pred')", "true": "(SELECT ctype, subject_id, i, j, w FROM f_edges WHERE version = 'true')", "pop": "(SELECT f_pop.ctype, s.subject_id, i, j, w FROM f_pop JOIN (SELECT DISTINCT ctype, subject_id FROM f_edges WHERE version = 'pred') s ON s.ctype = f_pop.ctype WHERE version = 'true')"}
     on = "a.ctype = b.ctype AND a.subject_id = b.subject_id AND a.i = b.i AND a.j = b.j"
@@ -226,35 +303,21 @@ _X8 = f"{EDGES1}, x8 AS ({_x8_part('pred', 'pop', 'pred-pop')} UNION ALL {_x8_pa
 
 
 def population_table(spark, d):
-    t, p = _one(spark, d)
-    return S.test_vs_population(t, p, E.population_mean(t, GROUP), GROUP, "subject_id", A40)
+    return S.test_vs_population(kept(_one(spark, d)), GROUP, "subject_id", A40)
 
 
-@query("x8_test_vs_population", f"{_X8} SELECT ctype, subject_id, comparison, round(r, 6) + 0.0 AS r, round(rmse, 7) AS rmse, round(mae, 7) AS mae, n_a, n_b FROM x8r")
-def x8(spark, d):
-    return rounded(rounded(population_table(spark, d), ["r"]), ["rmse", "mae"], 7)
-
-
-@query("x9_three_way_long", f"{_X8}, u AS (SELECT ctype, subject_id, comparison, 'r' AS metric, r AS value FROM x8r UNION ALL SELECT ctype, subject_id, comparison, 'rmse', rmse FROM x8r UNION ALL SELECT ctype, subject_id, comparison, 'mae', mae FROM x8r) SELECT ctype, subject_id, comparison, metric, round(value, 6) + 0.0 AS value FROM u WHERE value IS NOT NULL")
-def x9(spark, d):
-    return rounded(S.three_way_long(population_table(spark, d), _K1), ["value"])
-
+@query("x8_test_vs_population_lerm")
+def x8_lerm(spark, d):
+    b = kept(_one(spark, d))
+    return S.test_vs_population_lerm(_logs(b), S.population_logs(b, GROUP, "subject_id", A40), GROUP, "subject_id")
 
-def profile_long(spark, d):
-    e = edge_table(spark, d, A40, ["subject_id"])
-    g = E.graph_profile(e, ["subject_id", "version", "ctype"], A40)
-    return g.unpivot(["subject_id", "version", "ctype"], ["strength", "mean", "std"], "metric", "value")
 
-
-_PROFILE = f"pf AS (SELECT subject_id, version, ctype, sum({_M}*w) AS strength, sum({_M}*w)/1600 AS mean, sqrt(greatest(sum({_M}*w*w)/1600 - (sum({_M}*w)/1600)*(sum({_M}*w)/1600), 0)) AS std FROM f_edges GROUP BY ALL), pl AS (SELECT subject_id, version, ctype, 'strength' AS metric, strength AS value FROM pf UNION ALL SELECT subject_id, version, ctype, 'mean', mean FROM pf UNION ALL SELECT subject_id, version, ctype, 'std', std FROM pf), x10 AS (SELECT t.subject_id, t.ctype, t.metric, t.value AS true_value, p.value AS pred_value, abs(t.value - p.value) AS abs_diff, abs(t.value - p.value)/(abs(t.value) + 1e-10) AS rel_diff, 1 - abs(t.value - p.value)/(abs(t.value) + 1e-10) AS similarity FROM pl t JOIN pl p ON t.subject_id = p.subject_id AND t.ctype = p.ctype AND t.metric = p.metric AND t.version = 'true' AND p.version = 'pred')"
-
-
-@query("x10_graph_metric_similarity", f"{with_edges(A40, ['subject_id'])}, {_PROFILE} SELECT subject_id, ctype, metric, round(true_value, 9) AS true_value, round(pred_value, 9) AS pred_value, round(abs_diff, 9) AS abs_diff, round(rel_diff, 9) AS rel_diff, round(similarity, 9) AS similarity FROM x10")
-def x10(spark, d):
-    return rounded(S.metric_similarity(profile_long(spark, d), ["subject_id", "ctype"]), ["true_value", "pred_value", "abs_diff", "rel_diff", "similarity"], 9)
+@query("x8_test_vs_population", f"{_X8} SELECT ctype, subject_id, comparison, round(r, 6) + 0.0 AS r, round(rmse + 1e-12, 7) AS rmse, round(mae + 1e-12, 7) AS mae, n_a, n_b FROM x8r")
+def x8(spark, d):
+    out = population_table(spark, d).withColumns({c: F.col(c) + _TIE for c in ("rmse", "mae")})
+    return rounded(rounded(out, ["r"]), ["rmse", "mae"], 7)
 
 
-@query("x11_graph_metric_summary", f"{with_edges(A40, ['subject_id'])}, {_PROFILE}, s AS (SELECT ctype, metric, avg(true_value) AS tm, avg(pred_value) AS pm, avg(abs_diff) AS ad, avg(similarity) AS si, count(*) AS n, sum(true_value) AS sx, sum(pred_value) AS sy, sum(true_value*true_value) AS sxx, sum(pred_value*pred_value) AS syy, sum(true_value*pred_value) AS sxy FROM x10 GROUP BY ALL) SELECT ctype, metric, round(tm, 8) AS true_mean, round(pm, 8) AS pred_mean, round(ad, 8) AS abs_diff_mean, round(si, 8) AS similarity_mean, n, round({pearson_sql('n')}, 4) AS corr FROM s")
-def x11(spark, d):
-    out = S.metric_summary(S.metric_similarity(profile_long(spark, d), ["subject_id", "ctype"]), ["ctype"])
-    return rounded(rounded(out, ["true_mean", "pred_mean", "abs_diff_mean", "similarity_mean"], 8), ["corr"], 4)
+@query("x9_three_way_long", f"{_X8}, u AS (SELECT ctype, subject_id, comparison, 'r' AS metric, r AS value FROM x8r UNION ALL SELECT ctype, subject_id, comparison, 'rmse', rmse FROM x8r UNION ALL SELECT ctype, subject_id, comparison, 'mae', mae FROM x8r) SELECT ctype, subject_id, comparison, metric, round(value + 1e-12, 6) + 0.0 AS value FROM u WHERE value IS NOT NULL")
+def x9(spark, d):
+    return rounded(S.three_way_long(population_table(spark, d), _K1).withColumn("value", F.col("value") + _TIE), ["value"])

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajgraph.functions import labels as L
+from trajgraph.functions.tables import kept
 from trajgraph.operators import classify as K
 from trajgraph.operators import compare as C
 from trajgraph.operators import graph as G
+from trajgraph.operators import similarity as X
 from trajgraph.operators import stats as R
-from trajgraph.plans.fixtures import A20, A40, CLASS_SQL, CMP_KEYS, GRAPHS_SQL, assign, assign_sql, both_sql, classes, edge_table, graphs, rounded, side, with_edges
+from trajgraph.plans.fixtures import A20, A40, CLASS_SQL, CMP_KEYS, GRAPH_KEYS, GRAPHS_SQL, assign, assign_sql, both_table, classes, edge_table, graphs, rounded, with_edges
 from trajgraph.plans.queries_compare import SIM_LONG, pearson_sql, similarity_long, sums_sql
 
 QUERIES, SQL = {}, {}
-S = ["subject_id"]
+S = GRAPH_KEYS
 GR = f"WITH {GRAPHS_SQL}"
 
 
@@ -27,91 +29,135 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("g1_size_and_density", f"{GR} SELECT subject_id, 20 AS num_nodes, count(*) AS num_edges, round(2*count(*)/380.0, 6) AS density FROM f_graph GROUP BY ALL")
+#: The keys of a graph in SQL, and their equality.
+_GK = "subject_id, session, version"
+
+
+def _on(a: str, b: str, extra: str = "") -> str:
+    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in (_GK + extra).split(", "))
+
+
+def _pre(a: str, extra: str = "") -> str:
+    return ", ".join(f"{a}.{k}" for k in (_GK + extra).split(", "))
+
+
+@query("g1_size_and_density", f"{GR} SELECT {_GK}, 20 AS num_nodes, count(*) AS num_edges, round(2*count(*)/380.0, 6) AS density FROM f_graph GROUP BY ALL")
 def g1(spark, d):
     return rounded(G.size_and_density(graphs(spark, d), S, A20), ["density"])
 
 
 #: cc: the smallest node of each node's component, by doubling reachability five times.
-_REACH = "r0 AS MATERIALIZED (SELECT DISTINCT subject_id, s, t FROM f_arcs UNION SELECT subject_id, s, s FROM f_arcs), " + ", ".join(f"r{k} AS MATERIALIZED (SELECT DISTINCT a.subject_id, a.s, b.t FROM r{k - 1} a JOIN r{k - 1} b ON a.subject_id = b.subject_id AND a.t = b.s)" for k in range(1, 6)) + ", cc AS (SELECT subject_id, s AS node, min(t) AS label FROM r5 GROUP BY ALL)"
-_BIG = "big AS (SELECT subject_id, label FROM (SELECT subject_id, label, count(*) AS k FROM cc GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY k DESC, label) = 1), g_big AS (SELECT f_arcs.* FROM f_arcs JOIN cc ON cc.subject_id = f_arcs.subject_id AND cc.node = f_arcs.s JOIN big ON big.subject_id = cc.subject_id AND big.label = cc.label)"
+_REACH = f"r0 AS MATERIALIZED (SELECT DISTINCT {_GK}, s, t FROM f_arcs UNION SELECT {_GK}, s, s FROM f_arcs), " + ", ".join(f"r{k} AS MATERIALIZED (SELECT DISTINCT {_pre('a')}, a.s, b.t FROM r{k - 1} a JOIN r{k - 1} b ON {_on('a', 'b')} AND a.t = b.s)" for k in range(1, 6)) + f", cc AS (SELECT {_GK}, s AS node, min(t) AS label FROM r5 GROUP BY ALL)"
+_BIG = f"big AS (SELECT {_GK}, label FROM (SELECT {_GK}, label, count(*) AS k FROM cc GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_GK} ORDER BY k DESC, label) = 1), g_big AS (SELECT f_arcs.* FROM f_arcs JOIN cc ON {_on('cc', 'f_arcs')} AND cc.node = f_arcs.s JOIN big ON {_on('big', 'cc')} AND big.label = cc.label)"
 
 
-def _dist(source: str, keys: str = "subject_id") -> str:
-    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
-    pre = ", ".join(f"a.{k}" for k in keys.split(", "))
-    return f"d0 AS MATERIALIZED (SELECT {keys}, s, t, min(w) AS d FROM {source} WHERE s <> t GROUP BY ALL), " + ", ".join(f"d{n} AS MATERIALIZED (SELECT {keys}, s, t, min(d) AS d FROM (SELECT {pre}, a.s, b.t, a.d + b.d AS d FROM d{n - 1} a JOIN d{n - 1} b ON {on} AND a.t = b.s AND a.s <> b.t UNION ALL SELECT * FROM d{n - 1}) GROUP BY ALL)" for n in range(1, 6))
+def _dist(source: str, extra: str = "", rounds: int = 5) -> str:
+    keys = _GK + extra
+    return f"d0 AS MATERIALIZED (SELECT {keys}, s, t, min(w) AS d FROM {source} WHERE s <> t GROUP BY ALL), " + ", ".join(f"d{n} AS MATERIALIZED (SELECT {keys}, s, t, min(d) AS d FROM (SELECT {_pre('a', extra)}, a.s, b.t, a.d + b.d AS d FROM d{n - 1} a JOIN d{n - 1} b ON {_on('a', 'b', extra)} AND a.t = b.s AND a.s <> b.t UNION ALL SELECT * FROM d{n - 1}) GROUP BY ALL)" for n in range(1, rounds + 1))
 
 
-@query("g2_connected_components", f"{GR}, {_REACH}, z AS (SELECT subject_id, label, count(*) AS k FROM cc GROUP BY ALL) SELECT subject_id, CAST(count(*) + 20 - sum(k) AS BIGINT) AS n_components, max(k) AS largest FROM z GROUP BY ALL")
+@query("g2_connected_components", f"{GR}, {_REACH}, z AS (SELECT {_GK}, label, count(*) AS k FROM cc GROUP BY ALL) SELECT {_GK}, CAST(count(*) + 20 - sum(k) AS BIGINT) AS n_components, max(k) AS largest FROM z GROUP BY ALL")
 def g2(spark, d):
     return G.components(graphs(spark, d), S, A20)
 
 
-@query("g3_average_clustering", f"{GR}, mx AS (SELECT subject_id, max(w) AS top FROM f_graph GROUP BY ALL), e AS (SELECT subject_id, i, j, w/top AS w FROM f_graph JOIN mx USING (subject_id) WHERE i <> j), tri AS (SELECT ab.subject_id, ab.i AS a, ab.j AS b, ac.j AS c, cbrt(ab.w*ac.w*bc.w) AS g FROM e ab JOIN e ac ON ab.subject_id = ac.subject_id AND ab.i = ac.i AND ab.j < ac.j JOIN e bc ON bc.subject_id = ab.subject_id AND bc.i = ab.j AND bc.j = ac.j), pn AS (SELECT subject_id, node, sum(g) AS g FROM (SELECT subject_id, a AS node, g FROM tri UNION ALL SELECT subject_id, b, g FROM tri UNION ALL SELECT subject_id, c, g FROM tri) GROUP BY ALL), dg AS (SELECT subject_id, s AS node, count(*) AS d FROM f_arcs WHERE s <> t GROUP BY ALL), cl AS (SELECT subject_id, sum(2*g/(d*(d-1)))/20 AS c FROM pn JOIN dg USING (subject_id, node) GROUP BY ALL) SELECT mx.subject_id, round(coalesce(c, 0), 6) AS average_clustering FROM mx LEFT JOIN cl USING (subject_id)")
+_CLUST = f"mx AS (SELECT {_GK}, max(w) AS top FROM f_graph GROUP BY ALL), e AS (SELECT {_GK}, i, j, w/top AS w FROM f_graph JOIN mx USING ({_GK}) WHERE i <> j), tri AS (SELECT {_pre('ab')}, ab.i AS a, ab.j AS b, ac.j AS c, cbrt(ab.w*ac.w*bc.w) AS g FROM e ab JOIN e ac ON {_on('ab', 'ac')} AND ab.i = ac.i AND ab.j < ac.j JOIN e bc ON {_on('bc', 'ab')} AND bc.i = ab.j AND bc.j = ac.j), pn AS (SELECT {_GK}, node, sum(g) AS g FROM (SELECT {_GK}, a AS node, g FROM tri UNION ALL SELECT {_GK}, b, g FROM tri UNION ALL SELECT {_GK}, c, g FROM tri) GROUP BY ALL), dg AS (SELECT {_GK}, s AS node, count(*) AS d FROM f_arcs WHERE s <> t GROUP BY ALL), cl AS (SELECT {_GK}, sum(2*g/(d*(d-1)))/20 AS c FROM pn JOIN dg USING ({_GK}, node) GROUP BY ALL)"
+
+
+@query("g3_average_clustering", f"{GR}, {_CLUST} SELECT {_pre('mx')}, round(coalesce(c, 0), 6) AS average_clustering FROM mx LEFT JOIN cl USING ({_GK})")
 def g3(spark, d):
     return rounded(G.average_clustering(graphs(spark, d), S, A20), ["average_clustering"])
 
 
-@query("g4_reciprocal_weights", f"{GR} SELECT subject_id, i, j, round(1/w, 8) AS w FROM f_graph")
+@query("g4_reciprocal_weights", f"{GR} SELECT {_GK}, i, j, round(1/w, 8) AS w FROM f_graph")
 def g4(spark, d):
     return rounded(G.reciprocal(graphs(spark, d)), ["w"], 8)
 
 
-@query("g5_average_path_length", f"{GR}, {_REACH}, {_BIG}, inv AS (SELECT subject_id, s, t, 1/w AS w FROM g_big), {_dist('inv')} SELECT subject_id, round(avg(d), 6) AS average_path_length FROM d5 GROUP BY ALL")
+@query("g5_average_path_length", f"{GR}, {_REACH}, {_BIG}, inv AS (SELECT {_GK}, s, t, 1/w AS w FROM g_big), {_dist('inv')}, pl AS (SELECT {_GK}, round(avg(d), 6) AS average_path_length FROM d5 GROUP BY ALL) SELECT {_pre('u')}, average_path_length FROM (SELECT DISTINCT {_GK} FROM f_graph) u LEFT JOIN pl USING ({_GK})")
 def g5(spark, d):
-    return rounded(G.average_path_length(graphs(spark, d), S), ["average_path_length"])
+    return rounded(G.average_path_length(graphs(spark, d), S, A20), ["average_path_length"])
 
 
-@query("g6_global_efficiency", f"{GR}, one AS (SELECT subject_id, s, t, 1.0 AS w FROM f_arcs), {_dist('one')} SELECT subject_id, round(CAST(sum(1/d) AS DOUBLE)/380, 6) AS global_efficiency FROM d5 GROUP BY ALL")
+@query("g6_global_efficiency", f"{GR}, one AS (SELECT {_GK}, s, t, 1.0::DOUBLE AS w FROM f_arcs), {_dist('one')}, ge AS (SELECT {_GK}, sum(1/d)/380 AS g FROM d5 GROUP BY ALL) SELECT {_pre('u')}, round(coalesce(g, 0), 6) AS global_efficiency FROM (SELECT DISTINCT {_GK} FROM f_graph) u LEFT JOIN ge USING ({_GK})")
 def g6(spark, d):
     return rounded(G.global_efficiency(graphs(spark, d), S, A20), ["global_efficiency"])
 
 
-@query("g7_local_efficiency", f"{GR}, nb AS (SELECT subject_id, s AS ego, t AS node FROM f_arcs), one AS (SELECT f.subject_id, a.ego, f.s, f.t, CAST(1 AS DOUBLE) AS w FROM f_arcs f JOIN nb a ON a.subject_id = f.subject_id AND a.node = f.s JOIN nb b ON b.subject_id = f.subject_id AND b.ego = a.ego AND b.node = f.t), {_dist('one', 'subject_id, ego')}, sz AS (SELECT subject_id, ego, count(*) AS k FROM nb GROUP BY ALL), pe AS (SELECT subject_id, ego, sum(1/d) AS s FROM d5 GROUP BY ALL), g AS (SELECT subject_id, sum(s/(k*(k-1)))/20 AS g FROM pe JOIN sz USING (subject_id, ego) GROUP BY ALL) SELECT u.subject_id, round(coalesce(g, 0), 6) AS local_efficiency FROM (SELECT DISTINCT subject_id FROM f_graph) u LEFT JOIN g USING (subject_id)")
+@query("g7_local_efficiency", f"{GR}, nb AS (SELECT {_GK}, s AS ego, t AS node FROM f_arcs), one AS (SELECT {_pre('f')}, a.ego, f.s, f.t, CAST(1 AS DOUBLE) AS w FROM f_arcs f JOIN nb a ON {_on('a', 'f')} AND a.node = f.s JOIN nb b ON {_on('b', 'f')} AND b.ego = a.ego AND b.node = f.t), {_dist('one', ', ego', 4)}, sz AS (SELECT {_GK}, ego, count(*) AS k FROM nb GROUP BY ALL), pe AS (SELECT {_GK}, ego, sum(1/d) AS s FROM d4 GROUP BY ALL), g AS (SELECT {_GK}, sum(s/(k*(k-1)))/20 AS g FROM pe JOIN sz USING ({_GK}, ego) GROUP BY ALL) SELECT {_pre('u')}, round(coalesce(g, 0), 6) AS local_efficiency FROM (SELECT DISTINCT {_GK} FROM f_graph) u LEFT JOIN g USING ({_GK})")
 def g7(spark, d):
     return rounded(G.local_efficiency(graphs(spark, d), S, A20), ["local_efficiency"])
 
 
-_STR = "st AS (SELECT subject_id, s AS node, sum(CASE WHEN s = t THEN 2*w ELSE w END) AS strength, sum(CASE WHEN s = t THEN 2 ELSE 1 END) AS degree FROM f_arcs GROUP BY ALL)"
+_STR = f"st AS (SELECT {_GK}, s AS node, sum(CASE WHEN s = t THEN 2*w ELSE w END) AS strength, sum(CASE WHEN s = t THEN 2 ELSE 1 END) AS degree FROM f_arcs GROUP BY ALL)"
+_ASSORT = f"fa AS (SELECT {_pre('f_arcs')}, a.strength AS t, b.strength AS p FROM f_arcs JOIN st a ON {_on('a', 'f_arcs')} AND a.node = f_arcs.s JOIN st b ON {_on('b', 'f_arcs')} AND b.node = f_arcs.t), za AS (SELECT {_GK}, {sums_sql()} FROM fa GROUP BY ALL)"
 
 
-@query("g8_degree_assortativity", f"{GR}, {_STR}, f AS (SELECT f_arcs.subject_id, a.strength AS t, b.strength AS p FROM f_arcs JOIN st a ON a.subject_id = f_arcs.subject_id AND a.node = f_arcs.s JOIN st b ON b.subject_id = f_arcs.subject_id AND b.node = f_arcs.t), z AS (SELECT subject_id, {sums_sql()} FROM f GROUP BY ALL) SELECT subject_id, round({pearson_sql('k')}, 6) + 0.0 AS degree_assortativity FROM z")
+@query("g8_degree_assortativity", f"{GR}, {_STR}, {_ASSORT} SELECT {_GK}, round({pearson_sql('k')}, 6) + 0.0 AS degree_assortativity FROM za")
 def g8(spark, d):
     return rounded(G.degree_assortativity(graphs(spark, d), S), ["degree_assortativity"])
 
 
-@query("g9_degree_centrality", f"{GR}, {_STR} SELECT subject_id, round(sum(degree)/19.0/20.0, 6) AS average_degree_centrality FROM st GROUP BY ALL")
+@query("g9_degree_centrality", f"{GR}, {_STR} SELECT {_GK}, round(sum(degree)/19.0/20.0, 6) AS average_degree_centrality FROM st GROUP BY ALL")
 def g9(spark, d):
     return rounded(G.average_degree_centrality(graphs(spark, d), S, A20), ["average_degree_centrality"])
 
 
 @query("g10_eigenvector_centrality")
 def g10(spark, d):
-    return G.average_eigenvector_centrality(graphs(spark, d), S)
+    return G.average_eigenvector_centrality(graphs(spark, d), S, A20)
 
 
 @query("g11_betweenness")
 def g11(spark, d):
-    return G.average_betweenness(graphs(spark, d), S)
+    return G.average_betweenness(graphs(spark, d), S, A20)
 
 
-@query("g12_modularity", f"{GR}, {_STR}, m AS (SELECT subject_id, sum(w) AS m FROM f_graph GROUP BY ALL), ins AS (SELECT subject_id, i % 3 AS part, sum(w) AS l FROM f_graph WHERE i % 3 = j % 3 GROUP BY ALL), dk AS (SELECT subject_id, node % 3 AS part, sum(strength) AS k FROM st GROUP BY ALL) SELECT subject_id, round(sum(coalesce(l, 0)/m - (k/(2*m))*(k/(2*m))), 6) + 0.0 AS modularity, count(*) AS num_communities FROM dk JOIN m USING (subject_id) LEFT JOIN ins USING (subject_id, part) GROUP BY ALL")
+@query("g12_modularity", f"{GR}, {_STR}, m AS (SELECT {_GK}, sum(w) AS m FROM f_graph GROUP BY ALL), ins AS (SELECT {_GK}, i % 3 AS part, sum(w) AS l FROM f_graph WHERE i % 3 = j % 3 GROUP BY ALL), dk AS (SELECT {_GK}, node % 3 AS part, sum(strength) AS k FROM st GROUP BY ALL) SELECT {_GK}, round(sum(coalesce(l, 0)/m - (k/(2*m))*(k/(2*m))), 6) + 0.0 AS modularity, count(*) AS num_communities FROM dk JOIN m USING ({_GK}) LEFT JOIN ins USING ({_GK}, part) GROUP BY ALL")
 def g12(spark, d):
     g = graphs(spark, d)
-    parts = G.strengths(g, S).select("subject_id", "node", (F.col("node") % 3).alias("part"))
+    parts = G.strengths(g, S).select(*S, "node", (F.col("node") % 3).alias("part"))
     return rounded(G.modularity(g, parts, S), ["modularity"])
 
 
 @query("g12_label_communities")
 def g12_labels(spark, d):
-    g = graphs(spark, d)
+    g = kept(graphs(spark, d))
     return G.modularity(g, G.label_communities(g, S), S)
 
 
 @query("g13_graph_metrics_table")
 def g13(spark, d):
-    return G.graph_metrics(graphs(spark, d), S, A20, ("basic", "advanced"))
+    """All tiers."""
+    return G.graph_metrics(kept(graphs(spark, d)), S, A20, ("basic", "advanced", "centrality", "community"))
+
+
+_G13 = f"{GR}, {_REACH}, {_CLUST}, {_STR}, {_ASSORT}, zc AS (SELECT {_GK}, label, count(*) AS k FROM cc GROUP BY ALL), gm AS (SELECT {_GK}, 'num_nodes' AS metric, 20.0::DOUBLE AS value FROM mx UNION ALL SELECT {_GK}, 'num_edges', CAST(count(*) AS DOUBLE) FROM f_graph GROUP BY ALL UNION ALL SELECT {_GK}, 'density', 2*count(*)/380.0 FROM f_graph GROUP BY {_GK} UNION ALL SELECT {_GK}, 'n_components', CAST(count(*) + 20 - sum(k) AS DOUBLE) FROM zc GROUP BY {_GK} UNION ALL SELECT {_GK}, 'largest', CAST(max(k) AS DOUBLE) FROM zc GROUP BY {_GK} UNION ALL SELECT {_pre('mx')}, 'average_clustering', coalesce(c, 0) FROM mx LEFT JOIN cl USING ({_GK}) UNION ALL SELECT {_GK}, 'degree_assortativity', {pearson_sql('k')} FROM za)"
+
+
+@query("g13_graph_metrics_basic", f"{_G13} SELECT {_GK}, metric, round(value, 6) + 0.0 AS value FROM gm")
+def g13_basic(spark, d):
+    return rounded(G.graph_metrics(kept(graphs(spark, d)), S, A20), ["value"])
+
+
+@query("x10_graph_metric_similarity", f"{_G13}, xt AS (SELECT t.subject_id, t.session, t.metric, t.value AS true_value, p.value AS pred_value FROM gm t JOIN gm p ON t.subject_id = p.subject_id AND t.session = p.session AND t.metric = p.metric AND t.version = 'true' AND p.version = 'pred') SELECT subject_id, session, metric, round(true_value, 6) + 0.0 AS true_value, round(pred_value, 6) + 0.0 AS pred_value, round(abs(true_value - pred_value), 6) AS abs_diff, round(abs(true_value - pred_value)/(abs(true_value) + 1e-10), 6) AS rel_diff, round(1 - abs(true_value - pred_value)/(abs(true_value) + 1e-10), 6) AS similarity FROM xt WHERE metric <> 'degree_assortativity'")
+def x10(spark, d):
+    m = G.graph_metrics(kept(graphs(spark, d)), S, A20).where("metric <> 'degree_assortativity'")
+    return rounded(X.metric_similarity(m, ["subject_id", "session"]), ["true_value", "pred_value", "abs_diff", "rel_diff", "similarity"])
+
+
+@query("x11_graph_metric_summary", f"{_G13}, xt AS (SELECT t.session, t.metric, t.value AS tv, p.value AS pv FROM gm t JOIN gm p ON t.subject_id = p.subject_id AND t.session = p.session AND t.metric = p.metric AND t.version = 'true' AND p.version = 'pred' WHERE t.metric <> 'degree_assortativity'), s AS (SELECT session, metric, avg(tv) AS tm, avg(pv) AS pm, avg(abs(tv - pv)) AS ad, avg(1 - abs(tv - pv)/(abs(tv) + 1e-10)) AS si, count(*) AS n, sum(tv) AS sx, sum(pv) AS sy, sum(tv*tv) AS sxx, sum(pv*pv) AS syy, sum(tv*pv) AS sxy FROM xt GROUP BY ALL) SELECT session, metric, round(tm, 6) AS true_mean, round(pm, 6) AS pred_mean, round(ad, 6) AS abs_diff_mean, round(si, 6) AS similarity_mean, n, round({pearson_sql('n')}, 4) + 0.0 AS corr FROM s")
+def x11(spark, d):
+    m = G.graph_metrics(kept(graphs(spark, d)), S, A20).where("metric <> 'degree_assortativity'")
+    out = X.metric_summary(X.metric_similarity(m, ["subject_id", "session"]), ["session"])
+    return rounded(rounded(out, ["true_mean", "pred_mean", "abs_diff_mean", "similarity_mean"]), ["corr"], 4)
+
+
+@query("x10_graph_metric_similarity_all")
+def x10_all(spark, d):
+    """Metrics of all tiers."""
+    m = G.graph_metrics(kept(graphs(spark, d)), S, A20, ("basic", "advanced", "centrality", "community"))
+    return X.metric_similarity(m, ["subject_id", "session"])
 
 
 def _cls(spark, d):
@@ -197,13 +243,25 @@ def m7(spark, d):
 _M = "CASE WHEN i = j THEN 1 ELSE 2 END"
 
 
-@query("m8_evaluation_row", f"{with_edges()}, {both_sql()}, g AS (SELECT session, ctype, {sums_sql(f'({_M})')}, sum(({_M})*abs(t-p)) AS ad, max(abs(t-p)) AS mx FROM (SELECT session, ctype, i, j, sum(t) AS t, sum(p) AS p FROM f_both WHERE ctype = 'nos' GROUP BY ALL) GROUP BY session, ctype), f_class AS (SELECT session AS lang, {_mask('ta', 'tb')} AS true_l, {_mask('pa', 'pb')} AS pred_l FROM f_assign), {_per()}, z AS (SELECT lang AS session, {_MACRO} FROM ps GROUP BY ALL) SELECT session, {_r(MC)}, round({pearson_sql('400')}, 6) AS r, round(ad, 6) AS abs_err_sum, round(mx, 6) AS max_abs_error FROM z JOIN g USING (session)")
+_M8 = f"f_class AS (SELECT session AS lang, {_mask('ta', 'tb')} AS true_l, {_mask('pa', 'pb')} AS pred_l FROM f_assign), {_per()}, z AS (SELECT lang AS session, {_MACRO}, {_WEIGHT} FROM ps GROUP BY ALL), a AS (SELECT lang AS session, avg(CASE WHEN true_l = pred_l THEN 1.0 ELSE 0.0 END) AS accuracy FROM f_class GROUP BY ALL)"
+_M8_KNOWN = _M8.replace("pred_l FROM f_assign)", "pred_l FROM f_assign WHERE least(ta, tb) > 0)").replace("FROM ps", "FROM kps").replace("FROM f_class", "FROM kf_class").replace("f_class AS", "kf_class AS").replace("sup AS", "ksup AS").replace("prd AS", "kprd AS").replace("pc AS", "kpc AS").replace("ps AS", "kps AS").replace("FROM sup s", "FROM ksup s").replace("JOIN prd p", "JOIN kprd p").replace("FROM pc)", "FROM kpc)").replace(" z AS", " kz AS").replace(" a AS", " ka AS")
+_M8_GRAPH = f"s8 AS (SELECT session, i, j, sum(CASE WHEN version = 'true' THEN w ELSE 0 END) AS t, sum(CASE WHEN version = 'pred' THEN w ELSE 0 END) AS p FROM f_edges WHERE ctype = 'nos' GROUP BY ALL), g8 AS (SELECT a.session, x.range AS i, y.range AS j FROM (SELECT DISTINCT session FROM s8) a, range(1, 21) x, range(1, 21) y), m8 AS (SELECT g8.session, coalesce(t, 0) AS t, coalesce(p, 0) AS p FROM g8 LEFT JOIN s8 ON s8.session = g8.session AND s8.i = least(g8.i, g8.j) AND s8.j = greatest(g8.i, g8.j)), q8 AS (SELECT session, {sums_sql()}, sum((t-p)*(t-p)) AS dd, sum(abs(t-p)) AS ad, max(abs(t-p)) AS mx FROM m8 GROUP BY ALL), k8 AS (SELECT session, rank() OVER (PARTITION BY session ORDER BY t) + (count(*) OVER (PARTITION BY session, t) - 1) / 2.0 AS t, rank() OVER (PARTITION BY session ORDER BY p) + (count(*) OVER (PARTITION BY session, p) - 1) / 2.0 AS p FROM m8), sp8 AS (SELECT session, {pearson_sql('k')} AS spearman_r FROM (SELECT session, {sums_sql()} FROM k8 GROUP BY ALL)), w8 AS (SELECT session, avg(abs(t - p)) AS wasserstein FROM (SELECT session, t, row_number() OVER (PARTITION BY session ORDER BY t) AS q FROM m8) JOIN (SELECT session, p, row_number() OVER (PARTITION BY session ORDER BY p) AS q FROM m8) USING (session, q) GROUP BY ALL)"
+_SC = ["accuracy", *MC, *WC]
+_M8_OUT = ", ".join([*(f"round({c}, 6) AS {c}" for c in _SC), *(f"round({c}_known, 6) AS {c}_known" for c in _SC)])
+
+
+@query("m8_evaluation_row", f"{with_edges()}, {_M8}, {_M8_KNOWN}, {_M8_GRAPH}, k AS (SELECT kz.session, {', '.join(f'{c} AS {c}_known' for c in _SC)} FROM kz JOIN ka USING (session)) SELECT session, {_M8_OUT}, round({pearson_sql('400')}, 6) AS r, round(spearman_r, 6) AS spearman_r, round(dd/400, 6) AS mse, round(ad, 6) AS abs_err_sum, round(CASE WHEN sx > 0 THEN ad/sx ELSE 0 END, 6) AS mape, round(sqrt(dd), 6) AS frobenius, round(mx, 6) AS max_abs_error, round(wasserstein, 6) AS wasserstein FROM z JOIN a USING (session) JOIN k USING (session) JOIN q8 USING (session) JOIN sp8 USING (session) JOIN w8 USING (session)")
 def m8(spark, d):
-    e = edge_table(spark, d, metrics=["nos"]).groupBy("session", "version", "i", "j").agg(F.sum("w").alias("w"))
-    b = C.both_sides(side(e, "true"), side(e, "pred"), ["session"])
-    graph = C.pearson_full(b, ["session"], A20).join(C.errors_legacy(b, ["session"], A20).select("session", "abs_err_sum"), "session").join(C.norms(b, ["session"]).select("session", "max_abs_error"), "session")
-    scores = K.macro(K.per_class(_multi(spark, d), "true", "pred", ["session"]), ["session"])
-    return rounded(scores.join(graph, "session"), [*MC, "r", "abs_err_sum", "max_abs_error"])
+    """Scores of all labels and of those that aren't background, and comparisons of the full matrices of counts, in one row."""
+    k = ["session"]
+    b = C.for_both(both_table(spark, d, metrics=["nos"]).groupBy(*k, "i", "j").agg(F.sum("t").alias("t"), F.sum("p").alias("p")), k)
+    b = kept(b)
+    graph = C.pearson_full(b, k, A20).join(C.errors_legacy(b, k, A20), k).join(C.norms(b, k), k).join(C.spearman(b, k, A20, full=True).withColumnRenamed("r", "spearman_r"), k).join(C.wasserstein(b, k, A20, full=True), k)
+    labels = _multi(spark, d)
+    known = K.classification_metrics(labels, "true", "pred", k, [0])
+    scores = K.classification_metrics(labels, "true", "pred", k).join(known.select(*k, *[F.col(c).alias(f"{c}_known") for c in _SC]), k)
+    out = scores.join(graph, k)
+    return rounded(out, [c for c in out.columns if c not in k])
 
 
 @query("r1_summary", f"{SIM_LONG} SELECT ctype, comparison_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(value) AS \"count\" FROM sl GROUP BY ALL")
@@ -244,7 +302,7 @@ def r4_p(spark, d):
 @query("r5_common_subjects", f"{with_edges()} SELECT subject_id FROM f_edges WHERE subject_id % 2 = 0 INTERSECT SELECT subject_id FROM f_edges WHERE subject_id % 3 = 0 AND session = 'test'")
 def r5(spark, d):
     e = edge_table(spark, d)
-    return R.common_subjects(e.where("subject_id % 2 = 0"), e.where("subject_id % 3 = 0 and session = 'test'"), S)
+    return R.common_subjects(e.where("subject_id % 2 = 0"), e.where("subject_id % 3 = 0 and session = 'test'"), ["subject_id"])
 
 
 @query("r6_representatives", f"{SIM_LONG}, {_WIDE}, m AS (SELECT *, row_number() OVER (PARTITION BY ctype ORDER BY (\"Intrasubject\" + \"Intersubject\" + \"Group-average\")/3, subject_id) - 1 AS rank, count(*) OVER (PARTITION BY ctype) AS n FROM w) SELECT ctype, subject_id, rank, round((\"Intrasubject\" + \"Intersubject\" + \"Group-average\")/3, 6) AS mean_score FROM m WHERE n < 5 OR rank IN (0, n//4, n//2, (3*n)//4, n-1)")

@@ -8,7 +8,7 @@ from trajgraph.functions import polyline as P
 from trajgraph.operators import compare as C
 from trajgraph.operators import edges as E
 from trajgraph.operators import neighbors as N
-from trajgraph.plans.fixtures import A20, A40, CMP_KEYS, FEAT_SQL, KEYS, METRICS, POINTS_SQL, VERSIONS, assign, assign_sql, both_sql, edge_table, edges_sql, features, polylines, rounded, side, with_edges
+from trajgraph.plans.fixtures import A20, A40, CMP_KEYS, FEAT_SQL, KEYS, METRICS, POINTS_SQL, VERSIONS, assign, assign_sql, both_sql, both_table, edge_table, edges_sql, features, polylines, rounded, side, with_edges
 
 QUERIES, SQL = {}, {}
 
@@ -131,14 +131,12 @@ _D = "sqrt(list_sum([pow(a.v[x] - b.v[x], 2) FOR x IN range(1, 46)])) / 15"
 _DR = "sqrt(list_sum([pow(a.v[x] - b.rv[x], 2) FOR x IN range(1, 46)])) / 15"
 _DE = "sqrt(list_sum([pow(a.v[x] - b.v[x], 2) FOR x IN [1, 2, 3, 43, 44, 45]])) / 15"
 _DER = "sqrt(list_sum([pow(a.v[x] - b.rv[x], 2) FOR x IN [1, 2, 3, 43, 44, 45]])) / 15"
-_PAIRS = "f_feat a JOIN f_feat b ON a.subject_id = b.subject_id AND a.streamline_id % 10 = 0 AND a.streamline_id < b.streamline_id"
+_PAIRS = "f_feat a JOIN f_feat b ON a.subject_id = b.subject_id AND a.streamline_id % 100 = 0 AND a.streamline_id <> b.streamline_id"
 
 
 def _pairs(spark, d):
-    f = features(spark, d)
-    a = f.where("streamline_id % 10 = 0").select("subject_id", F.col("streamline_id").alias("x_id"), F.col("feat").alias("x"))
-    b = f.select("subject_id", F.col("streamline_id").alias("y_id"), F.col("feat").alias("y"))
-    return a.join(b, "subject_id").where("x_id < y_id")
+    """The stated query set, lines whose id is divisible by 100, against all other lines of their subject."""
+    return N.query_pairs(features(spark, d), ["subject_id"], "streamline_id", "feat", F.col("streamline_id") % 100 == 0)
 
 
 @query("p11_streamline_distance", f"WITH {FEAT_SQL} SELECT a.streamline_id AS x_id, b.streamline_id AS y_id, round({_D}, 6) AS dist FROM {_PAIRS}")
@@ -177,12 +175,12 @@ def p14_sampled(spark, d):
     return rounded(N.knn(f, ["subject_id"], "streamline_id", "feat", 5, c), ["dist"])
 
 
-_BLOCK = ", f_b AS (SELECT subject_id AS sj, streamline_id AS id, row_number() OVER (PARTITION BY subject_id ORDER BY streamline_id) - 1 AS k, count(*) OVER (PARTITION BY subject_id) AS n FROM f_feat), f_k AS (SELECT sj, id, k // (n // greatest(n // 20, 1) + 1) AS b FROM f_b)"
+_BLOCK = ", f_b AS (SELECT subject_id AS sj, streamline_id AS id, row_number() OVER (PARTITION BY subject_id ORDER BY streamline_id) - 1 AS k, count(*) OVER (PARTITION BY subject_id) AS n FROM f_feat), f_k AS (SELECT sj, id, k // (n // greatest(n // 10000, 1) + 1) AS b FROM f_b)"
 
 
 @query("p15_knn_blocked", _knn_sql(_BLOCK, "a.subject_id = b.subject_id AND (SELECT b FROM f_k WHERE id = a.streamline_id) = (SELECT b FROM f_k WHERE id = b.streamline_id)").replace("FROM f_feat a JOIN f_feat b ON a.subject_id = b.subject_id AND (SELECT b FROM f_k WHERE id = a.streamline_id) = (SELECT b FROM f_k WHERE id = b.streamline_id)", "FROM f_feat a JOIN f_k ka ON ka.id = a.streamline_id JOIN f_feat b ON a.subject_id = b.subject_id JOIN f_k kb ON kb.id = b.streamline_id AND ka.b = kb.b"))
 def p15(spark, d):
-    return rounded(N.knn(features(spark, d), ["subject_id"], "streamline_id", "feat", 5, block=20), ["dist"])
+    return rounded(N.knn(features(spark, d), ["subject_id"], "streamline_id", "feat", 5, block=10_000), ["dist"])
 
 
 @query("p16_global_sample")
@@ -198,11 +196,8 @@ def p17(spark, d):
 
 @query("p18_distance_by_norms", f"WITH {FEAT_SQL} SELECT a.streamline_id AS x_id, b.streamline_id AS y_id, round({_D}, 6) AS dist FROM {_PAIRS}")
 def p18(spark, d):
-    f = features(spark, d).withColumn("norm", P.norm(F.col("feat")))
-    a = f.where("streamline_id % 10 = 0").select("subject_id", F.col("streamline_id").alias("x_id"), F.col("feat").alias("x"), F.col("norm").alias("nx"))
-    b = f.select("subject_id", F.col("streamline_id").alias("y_id"), F.col("feat").alias("y"), F.col("norm").alias("ny"))
-    dist = P.distance_by_norms(F.col("nx"), F.col("ny"), P.dot(F.col("x"), F.col("y")))
-    return a.join(b, "subject_id").where("x_id < y_id").select("x_id", "y_id", F.round(dist, 6).alias("dist"))
+    dist = P.distance_by_norms(P.norm(F.col("x")), P.norm(F.col("y")), P.dot(F.col("x"), F.col("y")))
+    return _pairs(spark, d).select("x_id", "y_id", F.round(dist, 6).alias("dist"))
 
 
 def _one(ctype: str, expr: str) -> str:
@@ -232,16 +227,18 @@ def a4(spark, d):
     return rounded(edge_table(spark, d, A40), ["w"], 8)
 
 
-@query("a5_edges_accuracy", f"WITH {assign_sql()}, k AS (SELECT subject_id, ta * 21 + tb AS t, pa * 21 + pb AS p FROM f_assign WHERE ta % 5 <> 2), l AS (SELECT subject_id, t AS label FROM k UNION SELECT subject_id, p FROM k), a AS (SELECT subject_id, t AS label, avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END) AS acc FROM k GROUP BY ALL) SELECT l.subject_id, l.label, round(coalesce(acc, 1.0), 6) AS accuracy FROM l LEFT JOIN a ON a.subject_id = l.subject_id AND a.label = l.label")
+@query("a5_edges_accuracy", f"WITH {assign_sql()}, k AS (SELECT subject_id, ta * 21 + tb AS t, pa * 21 + pb AS p FROM f_assign), l AS (SELECT subject_id, t AS label FROM k UNION SELECT subject_id, p FROM k), a AS (SELECT subject_id, t AS label, avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END) AS acc FROM k GROUP BY ALL) SELECT l.subject_id, l.label, round(coalesce(acc, 1.0), 6) AS accuracy FROM l LEFT JOIN a ON a.subject_id = l.subject_id AND a.label = l.label")
 def a5(spark, d):
-    a = assign(spark, d).where("ta % 5 <> 2").select("subject_id", (F.col("ta") * 21 + F.col("tb")).alias("t"), (F.col("pa") * 21 + F.col("pb")).alias("p"))
+    a = assign(spark, d).select("subject_id", (F.col("ta") * 21 + F.col("tb")).alias("t"), (F.col("pa") * 21 + F.col("pb")).alias("p"))
     return rounded(E.edges_accuracy(a, "t", "p", ["subject_id"]), ["accuracy"])
 
 
-@query("a6_edges_diff", f"{with_edges(A40)}, {both_sql()} SELECT subject_id, session, ctype, i, j, round(t, 8) + 0.0 AS t, round(p, 8) + 0.0 AS p, round(t - p, 6) + 0.0 AS diff, round(abs(t - p), 6) AS abs_diff, CASE WHEN t = 0 THEN 0.0 ELSE round((t - p) / t, 6) + 0.0 END AS rel_diff FROM f_both WHERE ctype IN ('nos', 'sift2')")
+_A6 = f"WITH {assign_sql(A40)}, a6 AS (SELECT subject_id, session, least(ta, tb) AS i, greatest(ta, tb) AS j, 1 AS q, sift2 FROM f_assign UNION ALL SELECT subject_id, session, least(pa, pb), greatest(pa, pb), 0, sift2 FROM f_assign), s6 AS (SELECT subject_id, session, i, j, CAST(sum(q) AS DOUBLE) AS nt, CAST(sum(1 - q) AS DOUBLE) AS np, coalesce(sum(CASE WHEN q = 1 THEN sift2 END), 0) AS st, coalesce(sum(CASE WHEN q = 0 THEN sift2 END), 0) AS sp FROM a6 WHERE i >= 1 AND j <= 40 GROUP BY ALL), l6 AS (SELECT subject_id, session, 'nos' AS ctype, i, j, nt AS t, np AS p FROM s6 UNION ALL SELECT subject_id, session, 'sift2', i, j, st, sp FROM s6)"
+
+
+@query("a6_edges_diff", f"{_A6} SELECT subject_id, session, ctype, i, j, round(t, 8) + 0.0 AS t, round(p, 8) + 0.0 AS p, round(t - p, 6) + 0.0 AS diff, round(abs(t - p), 6) AS abs_diff, CASE WHEN t = 0 THEN 0.0 ELSE round((t - p) / t, 6) + 0.0 END AS rel_diff FROM l6 WHERE t <> 0 OR p <> 0")
 def a6(spark, d):
-    e = edge_table(spark, d, A40, metrics=["nos", "sift2"])
-    out = E.edges_diff(side(e, "true"), side(e, "pred"), CMP_KEYS)
+    out = E.edges_diff(both_table(spark, d, A40, metrics=["nos", "sift2"]))
     return rounded(rounded(out, ["t", "p"], 8), ["diff", "abs_diff", "rel_diff"])
 
 
@@ -273,11 +270,12 @@ def a10(spark, d):
     return rounded(rounded(out, ["strength", "std", "least", "largest"], 8).withColumn("mean", F.col("mean") + 1e-13), ["mean"], 11)
 
 
-@query("a11_validate_graph", f"{with_edges()}, raw AS (SELECT subject_id, ctype, i, j, CASE WHEN subject_id % 5 = 1 THEN -w ELSE w END AS w FROM f_edges WHERE version = 'true' AND session = 'test' UNION ALL SELECT subject_id, ctype, j, i, CASE WHEN subject_id % 5 = 1 THEN -w ELSE w END FROM f_edges WHERE version = 'true' AND session = 'test' AND i <> j AND subject_id % 5 <> 2), s AS (SELECT subject_id, ctype, count(*) AS nnz, sum(CASE WHEN i <> j THEN 1 ELSE 0 END) AS off FROM raw GROUP BY ALL) SELECT subject_id, ctype, nnz, round(1 - nnz / 400.0, 6) AS sparsity, subject_id % 5 <> 2 OR off = 0 AS symmetric, CASE WHEN subject_id % 5 = 1 THEN 'negative' ELSE '' END AS issues, subject_id % 5 <> 1 AS valid FROM s")
+@query("a11_validate_graph", f"{with_edges()}, raw AS (SELECT subject_id, ctype, i, j, CASE WHEN subject_id % 5 = 1 THEN -w ELSE w END AS w FROM f_edges WHERE version = 'true' AND session = 'test' UNION ALL SELECT subject_id, ctype, j, i, CASE WHEN subject_id % 5 = 1 THEN -w ELSE w END FROM f_edges WHERE version = 'true' AND session = 'test' AND i <> j AND subject_id % 5 <> 2), s AS (SELECT subject_id, ctype, count(*) AS nnz, sum(CASE WHEN i <> j THEN 1 ELSE 0 END) AS off, sum(w) AS s, sum(w * w) AS q, min(w) AS lo, max(w) AS hi FROM raw GROUP BY ALL) SELECT subject_id, ctype, nnz, round(1 - nnz / 400.0, 6) AS sparsity, round(s / 400 + 1e-13, 8) AS mean, round(sqrt(greatest(q / 400 - (s / 400) * (s / 400), 0)), 8) AS std, round(CASE WHEN nnz >= 400 THEN lo ELSE least(lo, 0) END, 8) + 0.0 AS min, round(CASE WHEN nnz >= 400 THEN hi ELSE greatest(hi, 0) END, 8) + 0.0 AS max, CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf, subject_id % 5 <> 2 OR off = 0 AS symmetric, CASE WHEN subject_id % 5 = 1 THEN 'negative' ELSE '' END AS issues, subject_id % 5 <> 1 AS valid FROM s")
 def a11(spark, d):
     e = side(edge_table(spark, d), "true").where("session = 'test'").select("subject_id", "ctype", "i", "j", F.when(F.col("subject_id") % 5 == 1, -F.col("w")).otherwise(F.col("w")).alias("w"))
     raw = e.union(e.where("i <> j and subject_id % 5 <> 2").select("subject_id", "ctype", "j", "i", "w"))
-    return rounded(E.validate(raw, ["subject_id", "ctype"], A20), ["sparsity"])
+    out = E.validate(raw, ["subject_id", "ctype"], A20).withColumn("mean", F.col("mean") + 1e-13)
+    return rounded(rounded(out, ["sparsity"]), ["mean", "std", "min", "max"], 8)
 
 
 @query("a12_total_drift", f"{with_edges()}, s AS (SELECT subject_id, session, ctype, coalesce(sum(CASE WHEN version = 'true' THEN {_M} * w END), 0) AS t, coalesce(sum(CASE WHEN version = 'pred' THEN {_M} * w END), 0) AS p FROM f_edges GROUP BY ALL) SELECT subject_id, session, ctype, round(t, 6) AS t, round(p, 6) AS p, round(abs(t - p) / greatest(t, p) * 100, 6) AS drift, abs(t - p) / greatest(t, p) * 100 > 5 AS warn FROM s")
@@ -293,8 +291,7 @@ def a13(spark, d):
 @query("slice_min_length_compare", f"WITH {assign_sql()}, f_min AS (SELECT * FROM f_assign WHERE length_mm >= 20), {edges_sql(A20, ['subject_id'], 'f_min')}, {both_sql(['subject_id', 'ctype'])}, s AS (SELECT subject_id, ctype, sum(t) AS sx, sum(p) AS sy, sum(t*t) AS sxx, sum(p*p) AS syy, sum(t*p) AS sxy, sum((t-p)*(t-p)) AS dd FROM f_both GROUP BY ALL) SELECT subject_id, ctype, round((210*sxy - sx*sy) / (sqrt(210*sxx - sx*sx) * sqrt(210*syy - sy*sy)), 6) AS r, round(dd / 210, 6) AS mse FROM s")
 def slice_(spark, d):
     """Length filter, true and predicted graphs of all weightings, and their correlation and error for each subject."""
-    e = E.edges_min_length(assign(spark, d), "length_mm", 20.0, VERSIONS, METRICS, ["subject_id"], A20)
+    b = E.edges_both(assign(spark, d).where("length_mm >= 20"), VERSIONS["true"], VERSIONS["pred"], METRICS, ["subject_id"], A20)
     k = ["subject_id", "ctype"]
-    both = C.both_sides(side(e, "true"), side(e, "pred"), k)
-    out = C.pearson_dense(both, k, A20).join(C.errors(both, k, A20).select(*k, "mse"), k)
-    return rounded(out, ["r", "mse"])
+    out = C.graph_compare(C.for_both(b, k), k, A20, spread=False)
+    return rounded(out.select(*k, F.col("pearson_r").alias("r"), "mse"), ["r", "mse"])
