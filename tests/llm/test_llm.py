@@ -281,13 +281,50 @@ def test_fingerprints_follow_edits():
     assert like[0] == 1 and min(like[1:3]) > 0.6 and min(like[1:3]) > like[3] > like[4] and like[4] < 0.05
 
 
-def test_near_links(spark):
+@pytest.mark.parametrize("large", [64, 1])
+def test_near_classes(spark, monkeypatch, large):
+    monkeypatch.setattr(near_dedup, "LARGE", large)
     rng = np.random.default_rng(6)
-    base = "".join(rng.choice(list("abcdefghij "), 2000))
-    texts = [base, base, base[:1500] + "X" + base[1500:], "".join(rng.choice(list("klmnopqrst "), 2000))]
-    prints = spark.createDataFrame(list(enumerate(fingerprints.fingerprints(texts))), "doc_id long, fingerprint string")
-    got = {r.doc_id: (r.class_id, r.near_id) for r in fingerprints.near_links(prints).collect()}
-    assert got == {0: (0, None), 1: (0, None), 2: (2, 0), 3: (3, None)}
+    letters = list("abcdefghijklmnop ")
+    made = ["".join(rng.choice(letters, int(n))) for n in rng.integers(40, 4000, 40)]
+    head = "".join(rng.choice(letters, 1500))
+    made += [head + "".join(rng.choice(letters, 900)) for _ in range(6)]  # alike at their beginnings alone
+    texts = list(made)
+    for t in made:
+        for k in (1, 2):
+            p = int(rng.integers(0, len(t)))
+            texts.append(t[:p] + "#" * k + t[p + k :])
+    edge = next(n for n in range(900, 3000) if fingerprints.level_of(fingerprints.steps_of(n)) != fingerprints.level_of(fingerprints.steps_of(n + 1)))
+    across = "".join(rng.choice(letters, edge))
+    texts += [across, across[:-9] + "#" + across[-9:], made[0], "", None]
+    prints = spark.createDataFrame(list(enumerate(fingerprints.fingerprints([t or "" for t in texts]))), "doc_id long, fingerprint string")
+    f = [r.fingerprint for r in prints.orderBy("doc_id").collect()]
+    root = list(range(len(f)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(f)), 2):
+        if fingerprints.likeness(f[a], f[b]) >= fingerprints.LEAST:
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    of = {(r.print, r.check): (r.class_id, r.n_class) for r in fingerprints.near_classes(prints).collect()}
+    got = {r.doc_id: of[r.print, r.check] for r in prints.select("doc_id", *fingerprints.print_keys()).collect()}
+    want = [find(i) for i in range(len(f))]
+    assert sum(got[i][0] == want[i] for i in range(len(f))) >= 0.98 * len(f)  # a likeness may meet in no band
+    assert all(got[i][0] >= want[i] for i in got) and got[len(f) - 1][0] == got[len(f) - 2][0]
+    assert find(len(f) - 4) == find(len(f) - 5) and got[len(f) - 4] == got[len(f) - 5]
+    blocks = fingerprints.alike_blocks([x.encode() for x in f], [x.encode() for x in f], fingerprints.LEAST)
+    assert all(blocks[a, b] == (fingerprints.likeness(f[a], f[b]) >= fingerprints.LEAST) for a in range(0, len(f), 3) for b in range(len(f)))
+
+
+def test_fingerprints_without_ids(spark):
+    df = spark.createDataFrame([(None, "abc"), (2, "second"), (1, "first"), (None, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_chars): r for r in fingerprints.fingerprint_and_link(df).collect()}
+    assert got[None, 3].edited_sha256 == hashlib.sha256(b"abf").hexdigest() and got[2, 6].edited_sha256 == hashlib.sha256(b"secfir").hexdigest()
+    assert got[None, 0].class_id is None and got[1, 5].class_id == 1
 
 
 def test_pii_base():

@@ -7,6 +7,10 @@ random sample (each step has a level, like the levels of a skip list) is kept, s
 A fingerprint is the text's length and these bytes in hexadecimal. Texts of other lengths are compared on the levels that both keep;
 steps that only the longer walk takes count as different.
 
+Near copies are found by banding: runs of BAND sampled bytes of a text's level, and of the next one where a text of that level can
+still be alike, are keys of buckets. Texts of a bucket are compared by their whole fingerprints; as in near_dedup, what a bucket of
+several components could still join is compared too, in blocks if it is large, so no likeness within a bucket is lost.
+
 Many walks go in lockstep, the longest first, as steps of NumPy arrays.
 """
 
@@ -17,17 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trajgraph.llm.common import read, splitmix, stored
+from trajgraph.llm.common import FEW_ROWS, join_hot, read, splitmix, stored
+from trajgraph.llm.near_dedup import linked_components
 
 SAMPLES = 64
 #: Characters that are written together at a step.
 WIDTH = 3
 #: Characters walked over at once.
 LOT = 12_000_000
-BAND, BANDS = 4, 16
+#: Bytes of a band, and the least likeness of near copies.
+BAND, LEAST = 6, 0.85
 
 
 def steps_of(n: int) -> int:
@@ -113,26 +121,55 @@ def fingerprints(texts: list[str]) -> list[str]:
     return [found[t] for t in texts]
 
 
+def at_level(fingerprint: str, level: int) -> np.ndarray:
+    """The sampled bytes of a fingerprint that a level keeps, its own or a higher one."""
+    x = np.frombuffer(bytes.fromhex(fingerprint[8:]), dtype=np.uint8)
+    steps = steps_of(int(fingerprint[:8], 16))
+    own = level_of(steps)
+    if level == own:
+        return x
+    lv = levels(steps)
+    return x[lv[lv >= own] >= level]
+
+
 def likeness(a: str, b: str) -> float:
-    """Share of equal bytes over the steps that the longer walk takes, at the level that both keep; 1 for two empty texts.
+    """Share of equal bytes over the steps that either walk takes, at the level that both keep; 1 for two equal texts.
 
     Steps at which both walks are through say nothing and are left out.
     """
     if a == b:
         return 1.0
-    n, m = int(a[:8], 16), int(b[:8], 16)
-    if not n or not m:
-        return 0.0
-    if n < m:
-        a, b, n, m = b, a, m, n
-    long_, short = steps_of(n), steps_of(m)
-    level = level_of(long_)
-    lv = levels(long_)
-    x = np.frombuffer(bytes.fromhex(a[8:]), dtype=np.uint8)
-    y = np.frombuffer(bytes.fromhex(b[8:]), dtype=np.uint8)
-    y = y[lv[:short][lv[:short] >= level_of(short)] >= level]
-    through = int(((x[: len(y)] == 0) & (y == 0)).sum())
-    return float(((x[: len(y)] == y).sum() - through) / max(1, len(x) - through))
+    level = max(level_of(steps_of(int(f[:8], 16))) for f in (a, b))
+    x, y = at_level(a, level), at_level(b, level)
+    if len(x) < len(y):
+        x, y = y, x
+    y = np.concatenate([y, np.zeros(len(x) - len(y), dtype=np.uint8)])
+    taken = int(((x != 0) | (y != 0)).sum())
+    return float(((x == y) & (x != 0)).sum() / taken) if taken else 0.0
+
+
+def alike_blocks(x: list[bytes], y: list[bytes], least: float) -> np.ndarray:
+    """Whether the likeness of each pair of fingerprints of two blocks is `least` or more."""
+    xs, ys = [v.decode() for v in x], [v.decode() for v in y]
+    level = [np.array([level_of(steps_of(int(f[:8], 16))) for f in v]) for v in (xs, ys)]
+    size = [np.array([int(f[:8], 16) for f in v]) for v in (xs, ys)]
+    out = np.zeros((len(xs), len(ys)), dtype=bool)
+    for a in np.unique(level[0]):
+        for b in np.unique(level[1]):
+            rows, cols, top = np.flatnonzero(level[0] == a), np.flatnonzero(level[1] == b), int(max(a, b))
+            if abs(int(a) - int(b)) > 1:
+                continue  # lengths too far apart
+            p, q = [at_level(xs[i], top) for i in rows], [at_level(ys[i], top) for i in cols]
+            width = max(map(len, [*p, *q]))
+            m, w = (np.zeros((len(v), width), dtype=np.uint8) for v in (p, q))
+            for mat, v in ((m, p), (w, q)):
+                for r, f in enumerate(v):
+                    mat[r, : len(f)] = f
+            for r in range(len(rows)):
+                same = ((w == m[r]) & (m[r] != 0)).sum(1)
+                taken = ((w != 0) | (m[r] != 0)).sum(1)
+                out[rows[r], cols] = (same >= least * taken) & (taken > 0)
+    return out | (size[0][:, None] == 0) & (size[1][None, :] == 0)
 
 
 def edited(text: str, following: str) -> str:
@@ -141,50 +178,91 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and the compressed text: texts cross the network once, and small."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]})
+
+    slim = docs.select("doc_id", "text")
+    return slim.mapInPandas(pack, slim.select("doc_id", F.lit(b"").alias("packed")).schema)
+
+
 def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(part, doc_id, text, own) so that each part, in order of doc_id, also holds the document after its last one (own false).
+    """(part, doc_id, packed, own) of the documents with an id, so that each part, in order of doc_id, also holds the document after
+    its last one (own false).
 
     Parts are ranges of doc_id between quantiles. Only the smallest id of each part, as many as parts, comes to the driver.
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.col("doc_id").cast("double").alias("x")).where(F.col("doc_id").isNotNull())
+    ids = docs.select(F.col("doc_id").cast("double").alias("x"))
     cuts = sorted({*ids.approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    numbered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col("doc_id").cast("double")))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    numbered = numbered.withColumn("part", part.cast("int"))
-    first = sorted((r.part, r.id) for r in numbered.where(F.col("doc_id").isNotNull()).groupBy("part").agg(F.min("doc_id").alias("id")).collect())
+    place = lambda id_: F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= id_.cast("double"))).cast("int") if cuts else F.lit(0)
+    first = sorted((r.part, r.id) for r in docs.groupBy(place(F.col("doc_id")).alias("part")).agg(F.min("doc_id").alias("id")).collect())
+    numbered = packed(docs).withColumn("part", place(F.col("doc_id")))
     # The first document of a part also goes to the part before it; that of the first one to the last.
     ahead = {(p, i): first[k - 1][0] for k, (p, i) in enumerate(first)}
-    if ahead:
-        to = F.element_at(F.create_map(*[c for (_, i), p in ahead.items() for c in (F.lit(i), F.lit(p))]), F.col("doc_id"))
-        numbered = numbered.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(False).alias("own")))))))
-        numbered = numbered.select("to.part", "to.own", "doc_id", "text")
-    else:
-        numbered = numbered.withColumn("own", F.lit(True))
-    return numbered, len(first)
+    if not ahead:
+        return numbered.withColumn("own", F.lit(True)), 0
+    to = F.element_at(F.create_map(*[c for (_, i), p in ahead.items() for c in (F.lit(i), F.lit(p))]), F.col("doc_id"))
+    numbered = numbered.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(False).alias("own")))))))
+    return numbered.select("to.part", "to.own", "doc_id", "packed"), len(first)
+
+
+SHAPE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def described(ids: list[int | None], texts: list[str], nexts: list[str]) -> pd.DataFrame:
+    """Rows of SHAPE."""
+    changed = [edited(t, f) for t, f in zip(texts, nexts, strict=True)]
+    n = len(texts)
+    all_ = fingerprints(texts + changed + nexts)
+    own, new, then = all_[:n], all_[n : 2 * n], all_[2 * n :]
+    return pd.DataFrame(
+        {
+            "doc_id": pd.array(ids, dtype="Int64"), "n_chars": np.array([len(t) for t in texts], dtype=np.int64),
+            "edited_sha256": np.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], dtype=object),
+            "fingerprint": np.array(own, dtype=object), "edited_fingerprint": np.array(new, dtype=object),
+            "near_edited": np.array([likeness(a, b) for a, b in zip(own, new, strict=True)], dtype=float), "near_next": np.array([likeness(a, b) for a, b in zip(own, then, strict=True)], dtype=float),
+        }
+    )
+
+
+def without_id(docs: DataFrame, following: str) -> DataFrame:
+    """The documents without an id: they come before all others, so the first one with an id follows each of them."""
+    held = docs.sparkSession.sparkContext.broadcast(following)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t or "" for t in pdf["text"]]
+            yield described([None] * len(texts), texts, [held.value] * len(texts))
+
+    return docs.where(F.col("doc_id").isNull()).select("text").mapInPandas(work, SHAPE)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
-    The next document is that of the next larger doc_id (of repeated rows of it the smallest text), after the last id the first
-    one. Null texts are empty; a row without an id comes before all others; repeated rows have the same next document; a single
-    document is its own next one; an empty table gives no rows. Other columns of docs are not read.
+    The next document is that of the next larger doc_id (of repeated rows of it the one that is first in compressed form), after the
+    last id the first one. Null texts are empty; a row without an id comes before all others (if none has an id, an empty text
+    follows); repeated rows have the same next document; a single document is its own next one; an empty table gives no rows. Other
+    columns of docs are not read.
     """
-    parted, parts = in_order(docs)
-    dealt = parted.repartitionByRange(max(1, parts), "part").sortWithinPartitions("part", F.col("own").desc(), "doc_id", "text")
+    named = docs.where(F.col("doc_id").isNotNull())
+    parted, parts = in_order(named)
+    dealt = parted.repartitionByRange(max(1, parts), "part").sortWithinPartitions("part", F.col("own").desc(), "doc_id", "packed")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
+        held: list[tuple[int, str]] = []
+        unpack = zstandard.ZstdDecompressor()
 
-        def finish(rows: list[tuple], following: str | None) -> pd.DataFrame:
+        def finish(rows: list[tuple[int, str]], following: str | None) -> pd.DataFrame:
             """Rows of whole ids; following: the text after the last of them."""
             nexts: list[str] = [""] * len(rows)
-            after = following if following is not None else (rows[0][1] if rows else "")
+            after = following if following is not None else rows[0][1]
             k = len(rows)
             while k:
                 j = k - 1
@@ -192,22 +270,12 @@ def fingerprint(docs: DataFrame) -> DataFrame:
                     j -= 1
                 nexts[j:k] = [after] * (k - j)
                 after, k = rows[j][1], j
-            texts = [r[1] for r in rows]
-            changed = [edited(t, f) for t, f in zip(texts, nexts, strict=True)]
-            own, new, then = (lambda x, n: (x[:n], x[n : 2 * n], x[2 * n :]))(fingerprints(texts + changed + nexts), len(rows))
-            return pd.DataFrame(
-                {
-                    "doc_id": pd.array([r[0] for r in rows], dtype="Int64"), "n_chars": np.array([len(t) for t in texts], dtype=np.int64),
-                    "edited_sha256": np.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], dtype=object),
-                    "fingerprint": np.array(own, dtype=object), "edited_fingerprint": np.array(new, dtype=object),
-                    "near_edited": np.array([likeness(a, b) for a, b in zip(own, new, strict=True)], dtype=float), "near_next": np.array([likeness(a, b) for a, b in zip(own, then, strict=True)], dtype=float),
-                }
-            )
+            return described([r[0] for r in rows], [r[1] for r in rows], nexts)
 
         size, part = 0, None
         for pdf in batches:
-            for p, own, doc_id, text in zip(pdf["part"], pdf["own"], pdf["doc_id"], pdf["text"], strict=True):
-                key = None if pd.isna(doc_id) else int(doc_id)
+            for p, own, doc_id, raw in zip(pdf["part"], pdf["own"], pdf["doc_id"], pdf["packed"], strict=True):
+                key, text = int(doc_id), unpack.decompress(raw).decode("utf-8", "surrogatepass")
                 if not own:  # ids ascend, so the first of these is what follows the part's last document
                     if held:
                         yield finish(held, text)
@@ -225,36 +293,91 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         if held:
             yield finish(held, None)
 
-    shape = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("part", "own", "doc_id", "text").mapInPandas(work, shape)
-
+    out = dealt.select("part", "own", "doc_id", "packed").mapInPandas(work, SHAPE)
+    if not docs.where(F.col("doc_id").isNull()).limit(1).count():
+        return out
+    least = named.agg(F.min("doc_id")).first()[0]
+    first = min((r.packed for r in packed(named.where(F.col("doc_id") == least)).collect()), default=None)
+    return out.unionByName(without_id(docs, "" if first is None else zstandard.ZstdDecompressor().decompress(bytes(first)).decode("utf-8", "surrogatepass")))
 
-def near_links(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, class_id, near_id): each document with the smallest id of its equal fingerprints, and of the classes that are alike in
-    the sampled bytes of a band, the smallest one whose likeness is `least` or more (null: none).
 
-    Bands are of bytes that the walk takes at fixed steps of a level, so classes of one length scale meet. One comparison for each
-    class and band: a band's group is never gathered, its least class stands for it.
-    """
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+def bands(classes: DataFrame, least: float) -> DataFrame:
+    """(node, key) of each class (node, fingerprint): keys of the runs of BAND sampled bytes, of its level and of the next one where a
+    text of that level can be alike; runs of which no step is taken have none."""
 
-    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for c, f in zip(pdf["class_id"], pdf["fingerprint"], strict=True):
-                level = level_of(steps_of(int(f[:8], 16)))
-                taken = f[8 : 8 + 2 * BAND * BANDS]
-                rows += [(c, f, f"{level}:{b}:{taken[2 * BAND * b : 2 * BAND * (b + 1)]}") for b in range(len(taken) // (2 * BAND))]
-            c, f, key = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"class_id": np.array(c, dtype=np.int64), "fingerprint": np.array(f, dtype=object), "band": np.array(key, dtype=object)})
-
-    banded = stored(classes.mapInPandas(bands, "class_id long, fingerprint string, band string"))
-    first = banded.groupBy("band").agg(F.min(F.struct("class_id", "fingerprint")).alias("first"))
-    like = F.udf(likeness, "double")
-    pairs = banded.join(first, "band").where(F.col("first.class_id") < F.col("class_id")).select("class_id", "fingerprint", F.col("first.class_id").alias("near_id"), F.col("first.fingerprint").alias("other")).distinct()
-    near = pairs.where(like("fingerprint", "other") >= least).groupBy("class_id").agg(F.min("near_id").alias("near_id"))
-    return prints.select("doc_id", "fingerprint").join(classes, "fingerprint").join(near, "class_id", "left").select("doc_id", "class_id", "near_id")
+            nodes, keys = [], []
+            for node, f in zip(pdf["node"], pdf["fingerprint"], strict=True):
+                steps = steps_of(int(f[:8], 16))
+                own = level_of(steps)
+                upper = [own + 1] if steps < SAMPLES * (2 << own) <= (steps + 8) / (least - 0.05) else []
+                for level in (own, *upper):
+                    taken = at_level(f, level)
+                    for b in range(0, len(taken), BAND):
+                        run = taken[b : b + BAND]
+                        if run.any():
+                            nodes.append(node)
+                            keys.append(int.from_bytes(hashlib.blake2b(run.tobytes().ljust(BAND, b"\0"), digest_size=8, key=b"%d:%d" % (level, b)).digest(), "little", signed=True))
+            yield pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "key": np.array(keys, dtype=np.int64)})
+
+    return classes.mapInPandas(cut, "node long, key long")
+
+
+@F.pandas_udf(T.BooleanType())
+def alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([likeness(x, y) >= v for x, y, v in zip(a, b, least, strict=True)], dtype=bool)
+
+
+def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
+    """(print, check, m, class_id, n_class) of each different fingerprint: two hashes of it, its documents, the least id and the number
+    of the documents that likeness joins it to, directly or over others; prints: doc_id, fingerprint."""
+    keyed = prints.select("doc_id", "fingerprint", *print_keys())
+    classes = keyed.groupBy("print", "check").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m"), F.first("fingerprint").alias("fingerprint"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    banded = bands(classes.where(F.substring("fingerprint", 1, 8) != "00000000").select("node", "fingerprint"), least)
+    crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > 1)
+    buckets = stored(join_hot(banded, crowded, ["key"], "size", "node").select(F.lit(0).alias("band"), "key", "node", "least"))
+    of = lambda name: classes.select(F.col("node").alias(name), F.col("fingerprint").alias(f"_{name}"))
+
+    def confirm_(pairs: DataFrame) -> DataFrame:
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(alike("_a", "_b", F.lit(least))).select("a", "b")
+
+    def candidates(few: DataFrame) -> DataFrame:
+        left = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
+        right = few.select(F.col("key").alias("key"), F.col("node").alias("b"), F.col("component").alias("cb"))
+        return left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+
+    payload = classes.select("node", F.col("fingerprint").cast("binary").alias("set"))
+    found = linked_components(buckets, confirm_, candidates, payload, lambda x, y: alike_blocks(x, y, least))
+    named = classes.drop("fingerprint").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sums = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("m").alias("n_class"))
+    return named.join(sums, "component").select("print", "check", "m", "class_id", "n_class")
+
+
+def print_keys() -> list:
+    """Two hashes of a fingerprint, 96 bits."""
+    return [F.xxhash64("fingerprint").alias("print"), F.hash("fingerprint").alias("check")]
+
+
+def fingerprint_and_link(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The columns of fingerprint, with class_id and n_class: the least id and the number of the documents that likenesses of `least`
+    or more join a document to (itself included).
+
+    Empty texts are one class. Documents without an id are joined like others, and have no class_id if none of their class has an
+    id; an empty table gives no rows.
+    """
+    rows = stored(fingerprint(docs))
+    of = stored(near_classes(rows.select("doc_id", "fingerprint"), least))
+    print_, check = print_keys()
+    keyed, on = rows.withColumns({"print": print_, "check": check}), ["print", "check"]
+    some = of.where(F.col("n_class") > 1)
+    if some.limit(FEW_ROWS + 1).count() <= FEW_ROWS:  # most documents stand alone and need no join
+        joined = keyed.join(F.broadcast(some), on, "left")
+    else:
+        joined = join_hot(keyed, of, on, "m", "doc_id")
+    return joined.withColumns({"class_id": F.when(F.col("n_class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")), "n_class": F.coalesce("n_class", F.lit(1))}).drop(*on, "m")
 
 
 def op2_fingerprints(spark, sf_dir):
-    return fingerprint(read(spark, sf_dir, "documents"))
+    return fingerprint_and_link(read(spark, sf_dir, "documents"))

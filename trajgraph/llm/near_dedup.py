@@ -16,7 +16,7 @@ So groups of thousands of copies never make all their pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -196,10 +196,11 @@ def across_buckets(small: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return pairs.join(other, "b").join(own, "a").where(alike("a_sketch", "b_sketch") >= LEAST_ALIKE).select("a", "b")
 
 
-def across_clusters(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across_clusters(large: DataFrame, payload: DataFrame, alike_: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
     """(a, b): links between components of the clusters that large buckets make.
 
-    The query set of a cluster are its nodes outside its largest component; they are held against all nodes of the cluster, in
+    payload: (node, set), bytes by which nodes are compared; alike_: the payloads of two blocks -> whether each pair is a link. The
+    query set of a cluster are its nodes outside its largest component; they are held against all nodes of the cluster, in
     blocks of BLOCK by BLOCK, and only links leave a block: for each query one to each other component.
     """
     nodes = stored(large.groupBy("node").agg(F.min("component").alias("component")))
@@ -209,7 +210,7 @@ def across_clusters(large: DataFrame, sets: DataFrame, percent: int) -> DataFram
     main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.max("c").alias("c"), F.sum("c").alias("m"))
     block = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     plan = main.select("cluster", "main", block(F.col("m") - F.col("c")).alias("queries"), block(F.col("m")).alias("blocks"))
-    full = placed.join(plan, "cluster").join(sets, "node")
+    full = placed.join(plan, "cluster").join(payload, "node")
     hashed = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     asked = full.where(F.col("component") != F.col("main")).select("cluster", "node", "component", "set", F.lit(True).alias("query"), hashed(F.col("queries")).alias("q"), F.explode(upto(F.col("blocks"))).alias("b"))
@@ -219,10 +220,8 @@ def across_clusters(large: DataFrame, sets: DataFrame, percent: int) -> DataFram
         x, y = pdf[pdf["query"]], pdf[~pdf["query"]]
         out: list[tuple[int, int]] = []
         if len(x) and len(y):
-            both = _intersections([np.frombuffer(v, dtype=np.uint64) for v in x["set"]], [np.frombuffer(v, dtype=np.uint64) for v in y["set"]])
-            n, m = x["set"].str.len().to_numpy() // 8, y["set"].str.len().to_numpy() // 8
             cx, cy, ids_x, ids_y = (v.to_numpy() for v in (x["component"], y["component"], x["node"], y["node"]))
-            ok = (100 * both >= percent * (n[:, None] + m[None, :] - both)) & (cx[:, None] != cy[None, :])
+            ok = alike_(x["set"].tolist(), y["set"].tolist()) & (cx[:, None] != cy[None, :])
             for r in np.flatnonzero(ok.any(1)):
                 cols = np.flatnonzero(ok[r])
                 out += [(ids_x[r], ids_y[cols[k]]) for k in np.unique(cy[cols], return_index=True)[1]]
@@ -232,6 +231,34 @@ def across_clusters(large: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return asked.union(held).groupBy("cluster", "q", "b").applyInPandas(compare, "a long, b long")
 
 
+def linked_blocks(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+    """linked for each pair of sets of two blocks."""
+    both = _intersections([np.frombuffer(v, dtype=np.uint64) for v in x], [np.frombuffer(v, dtype=np.uint64) for v in y])
+    n, m = (np.fromiter(map(len, v), dtype=np.int64, count=len(v)) // 8 for v in (x, y))
+    return 100 * both >= percent * (n[:, None] + m[None, :] - both)
+
+
+def linked_components(buckets: DataFrame, confirm_: Callable[[DataFrame], DataFrame], candidates: Callable[[DataFrame], DataFrame], payload: DataFrame, alike_: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+    """(node, component) of the nodes that have a link: components over all links of nodes that share a bucket.
+
+    buckets: stored (band, key, node, least), those of several nodes, and what candidates needs; confirm_: pairs (a, b) -> those that
+    are links; candidates: nodes of small buckets of several components -> pairs worth a confirmation; payload, alike_: see
+    across_clusters, for the large ones.
+    """
+    stars = buckets.where(F.col("node") != F.col("least")).groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    links = stored(confirm_(best))
+    found = stored(components(links))
+    placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+    split = split.where(F.col("lo") != F.col("hi")).select("band", "key", "m")
+    open_ = stored(join_hot(placed, split, ["band", "key"], "m", "node"))
+    few = candidates(open_.where(F.col("m") <= LARGE))
+    many = across_clusters(open_.where(F.col("m") > LARGE), payload, alike_)
+    more = stored(confirm_(few).union(many))
+    return stored(components(links.union(more))) if more.limit(1).count() else found
+
+
 def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every set of x with every set of y, by products of slices of their incidence matrices."""
     fx, fy = np.concatenate(x), np.concatenate(y)
@@ -276,24 +303,12 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     banded = own.select(F.col("row").alias("node"), "n", F.posexplode("bands").alias("band", "key"))
     # The count of a bucket first: most buckets hold one node and end here.
     crowded = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).where(F.col("m") > 1)
-    buckets = stored(banded.join(crowded, ["band", "key"]).select("band", "key", "node", "n", "least"))
+    buckets = stored(join_hot(banded, crowded, ["band", "key"], "m", "node").select("band", "key", "node", "n", "least"))
     sketches = own.select(F.col("row").alias("node"), "sketch")
     wanted = stored(nodes.join(buckets.select("node").distinct(), "node").select("node", "text_of.*"))
     texts = keyed.withColumn("id", id_).join(small(wanted), ["id", "copy", "check"]).select("node", "text").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts, k))
-    stars = buckets.where(F.col("node") != F.col("least")).groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    links = stored(confirm(best, sets, percent))
-    found = stored(components(links))
-    placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
-    split = split.where(F.col("lo") != F.col("hi")).select("band", "key", "m")
-    open_ = stored(placed.join(split, ["band", "key"]).select("band", "key", "node", "n", "least", "component", "m"))
-    few = across_buckets(open_.where(F.col("m") <= LARGE), sketches, percent)
-    many = across_clusters(open_.where(F.col("m") > LARGE), sets, percent)
-    more = stored(confirm(few, sets, percent).union(many))
-    if more.limit(1).count():
-        found = stored(components(links.union(more)))
+    found = linked_components(buckets, lambda pairs: confirm(pairs, sets, percent), lambda few: across_buckets(few, sketches, percent), sets, lambda x, y: linked_blocks(x, y, percent))
     of = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return signs.drop("bands", "sketch", "row"), of.select(*CLASS, "m", "first", "component")
 
