@@ -41,6 +41,21 @@ def test_read_lines_from_files(spark, tmp_path):
     assert [(r.line, r.value) for r in got] == [(0, "1 2"), (1, "3 4"), (2, "")]
 
 
+def test_lines_of_files_in_many_splits(spark, tmp_path):
+    for name, n in (("a", 1000), ("b", 37), ("empty", 0)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} {k}\n" for k in range(n)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = text.lines(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 1 and got.count() == 1037
+        assert all(r.value.split()[1] == str(r.line) for r in got.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_split_counts(spark):
     df = spark.range(100).withColumnRenamed("id", "subject_id")
     got = {r.split: r["count"] for r in C.split_by_subject(df, "subject_id", F.xxhash64("subject_id")).groupBy("split").count().collect()}

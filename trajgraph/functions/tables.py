@@ -5,14 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir (a temporary folder where that is unset) and read again: lineage ends here."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the whole cluster sees; in local mode a temporary one where that is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
-    path = f"{sc.getCheckpointDir()}/steps/{uuid.uuid4().hex}"
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-shared-"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: lineage ends here."""
+    path = f"{shared_dir(df.sparkSession)}/steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the steps that kept has written in this application; no table that reads them may be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/steps")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

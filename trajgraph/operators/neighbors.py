@@ -117,12 +117,15 @@ def rate_sample(df: DataFrame, keys: list[str], order: Column, rate: float, tie:
     return ranked.where(F.col("_k") <= F.col("_n")).drop("_k", "_n")
 
 
-def global_sample(df: DataFrame, keys: list[str], id_: str, k: int, seed: int = 42) -> DataFrame:
-    """k rows of each subject with replacement, as (keys, draw, id, ...); draws depend on subject, draw and seed alone."""
+def global_sample(df: DataFrame, keys: list[str], id_: str, k: int, seed: int = 42, number: Column | None = None) -> DataFrame:
+    """k rows of each subject with replacement, as (keys, draw, id, ...); draws depend on subject, draw and seed alone.
+
+    number: a whole number of 0 or more from keys and `draw`, by default a hash.
+    """
     ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(id_)) - 1)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     draws = n.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("draw"))
-    draws = draws.withColumn("_k", F.pmod(F.xxhash64(*keys, "draw", F.lit(seed)), F.col("_n")))
+    draws = draws.withColumn("_k", F.pmod(F.xxhash64(*keys, "draw", F.lit(seed)) if number is None else number, F.col("_n")))
     return draws.join(ranked, [*keys, "_k"]).drop("_k", "_n")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trajgraph.functions import labels as L
-from trajgraph.functions.tables import kept
+from trajgraph.functions.tables import shared_dir
 from trajgraph.operators import clean as C
 from trajgraph.operators import edges as E
 from trajgraph.plans.fixtures import A20, KEYS, assign, assign_sql, edge_table, read, rounded, side, with_edges
@@ -33,6 +33,13 @@ def _lines(df, file, order, value):
     return df.select(file.cast("string").alias("file"), (F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1).alias("line"), value.alias("value"))
 
 
+def _through_files(spark, rows):
+    """(file, line, value) written as text files, a folder each, and read again."""
+    path = f"{shared_dir(spark)}/texts/{uuid.uuid4().hex}"
+    rows.repartition("file").sortWithinPartitions("file", "line").select("file", "value").write.partitionBy("file").text(path)
+    return text.lines(spark, path).withColumn("file", F.regexp_extract("file", "file=([^/]*)/", 1))
+
+
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "length_mm", "fa", "sift2"]
 NUM = "row_number() OVER (PARTITION BY subject_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, length_mm, fa NULLS FIRST, sift2) - 1"
 
@@ -43,13 +50,14 @@ def s1(spark, d):
     numbered = _lines(a, F.col("subject_id"), ORDER, F.struct("ta", "tb"))
     sep = F.when(F.col("line") % 3 == 0, ",").otherwise("  ")
     value = F.when(F.col("line") % 7 == 0, F.concat(F.lit("# "), F.col("value.ta"))).when(F.col("line") % 11 == 5, F.concat(F.col("value.ta"), F.lit(" x"))).otherwise(F.concat(F.lit(" "), F.col("value.ta"), sep, F.col("value.tb"), F.lit("\r")))
-    return text.parse_label_pairs(numbered.select("file", "line", value.alias("value")))
+    return text.parse_label_pairs(_through_files(spark, numbered.select("file", "line", value.alias("value"))))
 
 
 @query("s2_read_int_labels", f"WITH {assign_sql()}, k AS (SELECT *, {NUM} AS ln FROM f_assign) SELECT CAST(subject_id AS VARCHAR) AS file, row_number() OVER (PARTITION BY subject_id ORDER BY ln) - 1 AS ordinal, ta * 21 + tb AS label FROM k WHERE ln % 5 <> 0")
 def s2(spark, d):
     numbered = _lines(assign(spark, d), F.col("subject_id"), ORDER, F.col("ta") * 21 + F.col("tb"))
-    return text.parse_int_labels(numbered.select("file", "line", F.when(F.col("line") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("value").cast("string"))).alias("value")))
+    value = F.when(F.col("line") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("value").cast("string")))
+    return text.parse_int_labels(_through_files(spark, numbered.select("file", "line", value.alias("value"))))
 
 
 @query("s3_read_streamline_metric", f"""WITH {assign_sql()}, k AS (SELECT *, {NUM} AS ln, count(*) OVER (PARTITION BY subject_id) AS c FROM f_assign), got AS (SELECT subject_id, ln, fa FROM k),
@@ -65,7 +73,7 @@ def s3(spark, d):
     heads = rows.select("file").distinct().select("file", F.lit(0).alias("line"), F.lit("# values").alias("value"))
     c = F.count(F.lit(1)).cast("int")
     n = a.groupBy("subject_id").agg(c.alias("c")).select(F.col("subject_id").cast("string").alias("file"), F.when(F.col("subject_id") % 3 == 0, F.col("c") - 5).when(F.col("subject_id") % 3 == 1, F.col("c") + 7).otherwise(3 * F.col("c")).alias("n"))
-    return text.parse_metric(rows.union(heads), n)
+    return text.parse_metric(_through_files(spark, rows.union(heads)), n)
 
 
 _CAND = "SELECT c_custkey AS subject_id, p AS priority, 'sub' || c_custkey || CASE p WHEN 0 THEN '/fa.txt' WHEN 1 THEN '/fa_thresholded.txt' ELSE '/old/fa.txt' END AS path FROM customer, (VALUES (0), (1), (2)) v(p) WHERE (c_custkey + p) % 3 <> 0"
@@ -86,7 +94,7 @@ def _matrix_files(spark, d, index=False):
     e = side(edge_table(spark, d, metrics=["fa"]), "true").where(F.col("session") == "test").select("subject_id", "i", "j", "w")
     rows = sinks.matrix_lines(e, ["subject_id"], A20, None)
     line = F.concat(F.col("row").cast("string"), F.lit(","), "line") if index else F.regexp_replace("line", "0\\.0(?=,|$)", "nan")
-    return rows.select(F.col("subject_id").cast("string").alias("file"), (F.col("row") - 1).alias("line"), line.alias("value"))
+    return _through_files(spark, rows.select(F.col("subject_id").cast("string").alias("file"), (F.col("row") - 1).alias("line"), line.alias("value")))
 
 
 _MATRIX = f"{with_edges()} SELECT CAST(subject_id AS VARCHAR) AS file, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(w, 8) + 0.0 AS w FROM f_edges WHERE version = 'true' AND session = 'test' AND ctype = 'fa'"
@@ -111,7 +119,7 @@ def s6_last(spark, d):
 def s7(spark, d):
     c = read(spark, d, "customer")
     value = F.when(F.col("c_custkey") % 4 == 0, F.lit(" \r")).otherwise(F.concat(F.lit(" "), (F.col("c_custkey") + 100000).cast("string"), F.lit("\r")))
-    return text.parse_subjects(c.select(F.col("c_custkey").alias("line"), value.alias("value")), most=100)
+    return text.parse_subjects(_through_files(spark, c.select(F.lit("all").alias("file"), F.col("c_custkey").alias("line"), value.alias("value"))), most=100)
 
 
 @query("s7_subject_directories", "SELECT CAST(99990 + c_custkey AS VARCHAR) AS subject_id FROM customer WHERE c_custkey >= 10")
@@ -141,17 +149,27 @@ def s10(spark, d):
     return n.join(F.broadcast(atlas), "n_nodes").join(F.broadcast(metric)).groupBy("atlas", "n_nodes", "metric", "agg").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("k1_write_matrix_csv")
+_K1 = f"{with_edges()}, e AS (SELECT subject_id, session, i, j, w FROM f_edges WHERE version = 'true' AND ctype = 'nos'), k AS (SELECT DISTINCT subject_id, session FROM e), g AS (SELECT subject_id, session, x.range AS i, y.range AS j FROM k, range(1, 21) x, range(1, 21) y)"
+
+
+@query("k1_write_matrix_csv", f"{_K1} SELECT g.subject_id, g.session, g.i AS row, string_agg(printf('%.6f', coalesce(w, 0.0)), ',' ORDER BY g.j) AS line FROM g LEFT JOIN e ON e.subject_id = g.subject_id AND e.session = g.session AND e.i = least(g.i, g.j) AND e.j = greatest(g.i, g.j) GROUP BY ALL")
 def k1(spark, d):
+    """Matrices written as files and their lines read back."""
     e = side(edge_table(spark, d, metrics=["nos"]), "true").select(*KEYS, "i", "j", "w")
-    return sinks.matrix_lines(e, KEYS, A20)
+    path = f"{shared_dir(spark)}/matrices/{uuid.uuid4().hex}"
+    sinks.write_matrices(e, KEYS, A20, path)
+    key = lambda name: F.regexp_extract("file", f"{name}=([^/]*)/", 1)
+    return text.lines(spark, path).select(key("subject_id").cast("int").alias("subject_id"), key("session").alias("session"), (F.col("line") + 1).alias("row"), F.col("value").alias("line"))
 
 
 @query("k2_write_predictions", f"WITH {assign_sql()}, k AS (SELECT *, {NUM} AS ln FROM f_assign) SELECT subject_id, ln AS id, CAST(least(pa, pb) AS VARCHAR) || ' ' || CAST(greatest(pa, pb) AS VARCHAR) AS decoded, CAST(least(pa, pb) * 21 - (least(pa, pb) * (least(pa, pb) - 1)) // 2 + greatest(pa, pb) - least(pa, pb) AS VARCHAR) AS encoded FROM k")
 def k2(spark, d):
+    """Predictions written as decoded and encoded files, a line each streamline, and read back."""
     k = _lines(assign(spark, d), F.col("subject_id"), ORDER, L.encode_symmetric(F.col("pa"), F.col("pb"), 21))
-    out = sinks.prediction_lines(k.select(F.struct("file", "line").alias("key"), F.col("value").alias("label")), "key", "label", 21)
-    return out.select(F.col("key.file").cast("int").alias("subject_id"), F.col("key.line").alias("id"), "decoded", "encoded")
+    path = f"{shared_dir(spark)}/predictions/{uuid.uuid4().hex}"
+    sinks.write_predictions(k, ["file"], "line", "value", 21, path)
+    back = lambda name: text.lines(spark, f"{path}/{name}").select(F.regexp_extract("file", "file=([^/]*)/", 1).cast("int").alias("subject_id"), F.col("line").alias("id"), F.col("value").alias(name))
+    return back("decoded").join(back("encoded"), ["subject_id", "id"])
 
 
 @query("k3_encode_decode_file", f"WITH {assign_sql()}, k AS (SELECT *, {NUM} AS ln FROM f_assign) SELECT CAST(subject_id AS VARCHAR) AS file, ln AS ordinal, CAST(least(ta, tb) AS VARCHAR) || ' ' || CAST(greatest(ta, tb) AS VARCHAR) AS line FROM k")
@@ -165,28 +183,35 @@ def k3(spark, d):
 @query("k4_write_results", f"{with_edges()} SELECT subject_id, session, version, ctype, count(*) AS n_edges, round(sum(w), 6) AS total FROM f_edges GROUP BY ALL")
 def k4(spark, d):
     e = edge_table(spark, d).groupBy(*KEYS, "version", "ctype").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("w"), 6).alias("total"))
-    path = f"{_shared(spark)}/results/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/results/{uuid.uuid4().hex}"
     sinks.write_results(e, path)
     return spark.read.option("header", True).schema(e.schema).csv(path)
 
 
-def _shared(spark):
-    kept(spark.range(1))  # sets the folder where it is unset
-    return spark.sparkContext.getCheckpointDir()
+_NUMBERS = ["mean", "std", "min", "q25", "median", "q75", "max"]
 
 
-@query("k5_json_report")
+@query("k5_json_report", f"{with_edges()}, t AS (SELECT ctype, subject_id, round(sum(w), 6) AS total FROM f_edges GROUP BY ALL) SELECT ctype, count(*) AS n, round(avg(total), 5) AS mean, round(stddev_samp(total), 5) AS std, round(min(total), 5) AS min, round(quantile_cont(total, 0.25), 5) AS q25, round(quantile_cont(total, 0.5), 5) AS median, round(quantile_cont(total, 0.75), 5) AS q75, round(max(total), 5) AS max, count(total) AS count, round(sum(total), 4) AS record_total, max(subject_id) AS last_subject FROM t GROUP BY ctype")
 def k5(spark, d):
+    """Reports written as JSON and read back: the summary, and sums over the records."""
     e = edge_table(spark, d).groupBy("ctype", "subject_id").agg(F.round(F.sum("w"), 6).alias("total"))
-    return sinks.report(e, ["ctype"], ["subject_id", "total"])
+    path = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+    sinks.report(e, ["ctype"], ["subject_id", "total"], ["total"]).write.partitionBy("ctype").text(path)
+    shape = f"n long, summary struct<total: struct<{', '.join(f'{c}: double' for c in _NUMBERS)}, count: long>>, records array<struct<subject_id: int, total: double>>"
+    back = spark.read.text(path).select("ctype", F.from_json("value", shape).alias("r"))
+    total = F.aggregate("r.records", F.lit(0.0), lambda a, x: a + x["total"])
+    return rounded(rounded(back.select("ctype", "r.n", "r.summary.total.*", total.alias("record_total"), F.array_max(F.transform("r.records", lambda x: x["subject_id"])).alias("last_subject")), _NUMBERS, 5), ["record_total"], 4)
 
 
-@query("k6_append_splits", f"WITH {assign_sql()} SELECT CASE WHEN subject_id % 5 = 0 THEN 'test' WHEN subject_id % 5 = 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM f_assign GROUP BY ALL")
+@query("k6_append_splits", f"WITH {assign_sql()} SELECT CASE WHEN subject_id % 5 = 0 THEN 'test' WHEN subject_id % 5 = 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM f_assign WHERE subject_id % 7 <> 3 OR subject_id NOT IN (SELECT subject_id FROM f_assign WHERE l_linenumber = 2) GROUP BY ALL")
 def k6(spark, d):
+    """Chunks of subjects appended to their splits; subjects with another number of labels than of features are left out."""
     from trajgraph.streaming.append import append_stream, counts_by_split
 
-    base = f"{_shared(spark)}/append/{uuid.uuid4().hex}"
-    chunk = assign(spark, d).select("subject_id", "ta", "tb", "length_mm")
+    base = f"{shared_dir(spark)}/append/{uuid.uuid4().hex}"
+    all_ = assign(spark, d)
+    labels = all_.where("subject_id % 7 <> 3 or l_linenumber <> 2")
+    chunk = sinks.equal_counts(all_, labels, "subject_id").select("subject_id", "ta", "tb", "length_mm")
     chunk.where("subject_id < 12").write.parquet(f"{base}/in/a")
     chunk.where("subject_id >= 12").write.mode("append").parquet(f"{base}/in/b")
     subjects = chunk.select("subject_id").distinct()
@@ -203,7 +228,7 @@ _TRACT = "CASE WHEN ta % 5 = 0 THEN 'Other' ELSE 'T' || (ta % 5) END"
 @query("k7_partition_by_label", f"WITH {assign_sql()} SELECT {_TRACT} AS label_name, count(*) AS n FROM f_assign WHERE ta % 5 <> 0 GROUP BY ALL")
 def k7(spark, d):
     a = assign(spark, d).select("subject_id", F.when(F.col("ta") % 5 == 0, "Other").otherwise(F.concat(F.lit("T"), F.col("ta") % 5)).alias("label_name"))
-    path = f"{_shared(spark)}/labels/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/labels/{uuid.uuid4().hex}"
     sinks.partition_by_label(a, "label_name", path)
     return spark.read.parquet(path).groupBy("label_name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -216,7 +241,7 @@ def k8(spark, d):
 
 @query("k9_load_or_compute", f"{with_edges()} SELECT ctype, count(*) AS n, round(sum(w), 6) AS total FROM f_edges GROUP BY ctype")
 def k9(spark, d):
-    path = f"{_shared(spark)}/cache/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cache/{uuid.uuid4().hex}"
     make = lambda: edge_table(spark, d).groupBy("ctype").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("total"))
     sinks.load_or_compute(spark, path, make)
     return sinks.load_or_compute(spark, path, make)

@@ -183,9 +183,10 @@ def p15(spark, d):
     return rounded(N.knn(features(spark, d), ["subject_id"], "streamline_id", "feat", 5, block=10_000), ["dist"])
 
 
-@query("p16_global_sample")
+@query("p16_global_sample", "WITH r AS (SELECT label AS subject_id, vec_id AS streamline_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings), d AS (SELECT subject_id, n, unnest(range(0, 20)) AS draw FROM (SELECT DISTINCT subject_id, n FROM r)) SELECT d.subject_id, CAST(d.draw AS INTEGER) AS draw, streamline_id FROM d JOIN r ON r.subject_id = d.subject_id AND r.k = (((d.subject_id * 7919 + d.draw) * 2654435761) % 4294967296) % d.n")
 def p16(spark, d):
-    return N.global_sample(features(spark, d), ["subject_id"], "streamline_id", 20).select("subject_id", "draw", "streamline_id")
+    number = ((F.col("subject_id") * 7919 + F.col("draw")) * 2654435761) % 4294967296
+    return N.global_sample(features(spark, d), ["subject_id"], "streamline_id", 20, number=number).select("subject_id", "draw", "streamline_id")
 
 
 @query("p17_capped_sample", "SELECT label AS subject_id, vec_id AS streamline_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY (vec_id * 2654435761) % 4294967296, vec_id) <= 12")

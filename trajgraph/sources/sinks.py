@@ -31,8 +31,11 @@ def prediction_lines(df: DataFrame, id_: str, label: str, n: int) -> DataFrame:
     return df.select(id_, F.concat_ws(" ", a, b).alias("decoded"), F.col(label).cast("string").alias("encoded")).where(F.col("decoded") != "")
 
 
-def write_predictions(df: DataFrame, id_: str, label: str, n: int, path: str) -> None:
-    prediction_lines(df, id_, label, n).orderBy(id_).select("decoded").write.text(path)
+def write_predictions(df: DataFrame, keys: list[str], id_: str, label: str, n: int, path: str) -> None:
+    """Folders `decoded` and `encoded` with one for each key, its lines in order of the id."""
+    for name in ("decoded", "encoded"):
+        rows = prediction_lines(df.select(F.struct(*keys, id_).alias("_row"), label), "_row", label, n).select("_row.*", name)
+        rows.repartition(*keys).sortWithinPartitions(*keys, id_).select(*keys, name).write.partitionBy(*keys).text(f"{path}/{name}")
 
 
 def encode_lines(pairs: DataFrame, n: int) -> DataFrame:
@@ -49,10 +52,21 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-def report(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, json): records of each key as one nested document; nan is null."""
-    clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) for c in columns]
-    return df.groupBy(*keys).agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(*clean))).alias("records"))).alias("json"))
+def report(df: DataFrame, keys: list[str], columns: list[str], numbers: list[str]) -> DataFrame:
+    """(keys, json): one nested document a key with the number of records, a summary of each numeric column and the records; nan is
+    null. The records of a key are one document, so they must fit one row."""
+    clean = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c)).alias(c) if c in numbers else F.col(c) for c in columns]
+    rows = df.select(*keys, *clean)
+    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    parts = [F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q(c)[0].alias("q25"), q(c)[1].alias("median"), q(c)[2].alias("q75"), F.max(c).alias("max"), F.count(c).alias("count")).alias(c) for c in numbers]
+    return rows.groupBy(*keys).agg(F.to_json(F.struct(F.count(F.lit(1)).alias("n"), F.struct(*parts).alias("summary"), F.sort_array(F.collect_list(F.struct(*columns))).alias("records"))).alias("json"))
+
+
+def equal_counts(features: DataFrame, labels: DataFrame, subject: str) -> DataFrame:
+    """The rows of features whose subject has as many rows in labels."""
+    count = lambda df, name: df.groupBy(subject).agg(F.count(F.lit(1)).alias(name))
+    same = count(features, "_n").join(count(labels, "_m"), subject).where(F.col("_n") == F.col("_m")).select(subject)
+    return features.join(same, subject, "left_semi")
 
 
 def partition_by_label(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
