@@ -30,10 +30,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the whole cluster sees; a temporary one where it is unset (local runs)."""
+    """The folder in spark.checkpoint.dir, which the whole cluster sees; in local mode a temporary one where it is unset."""
     small_batches(spark)
     there = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if there is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         there = spark.sparkContext.getCheckpointDir()
     return there

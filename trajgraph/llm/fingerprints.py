@@ -350,9 +350,9 @@ def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
 
     payload = classes.select("node", F.col("fingerprint").cast("binary").alias("set"))
     found = linked_components(buckets, confirm_, candidates, payload, lambda x, y: alike_blocks(x, y, least))
-    named = classes.drop("fingerprint").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sums = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("m").alias("n_class"))
-    return named.join(sums, "component").select("print", "check", "m", "class_id", "n_class")
+    named = stored(classes.drop("fingerprint").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sums = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("m").alias("n_class"), F.count(F.lit(1)).alias("k"))
+    return join_hot(named, sums, ["component"], "k", "node").select("print", "check", "m", "class_id", "n_class")
 
 
 def print_keys() -> list:

@@ -309,7 +309,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     texts = keyed.withColumn("id", id_).join(small(wanted), ["id", "copy", "check"]).select("node", "text").dropDuplicates(["node"])
     sets = stored(shingle_sets(texts, k))
     found = linked_components(buckets, lambda pairs: confirm(pairs, sets, percent), lambda few: across_buckets(few, sketches, percent), sets, lambda x, y: linked_blocks(x, y, percent))
-    of = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = stored(nodes.join(found, "node", "left")).withColumn("component", F.coalesce("component", "node"))
     return signs.drop("bands", "sketch", "row"), of.select(*CLASS, "m", "first", "component")
 
 
@@ -322,8 +322,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     that case alone. An empty table gives no rows. Other columns of docs are not read.
     """
     rows, of = classes(docs, k, percent)
-    least = of.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
-    named = stored(of.join(least, "component").select(*CLASS, "m", "component_id"))
+    least = of.groupBy("component").agg(F.min("first.doc_id").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    named = stored(join_hot(of.select(*CLASS, "m", "component"), least, ["component"], "k", "set_lo").select(*CLASS, "m", "component_id"))
     out = join_hot(rows.where(F.col("n") > 0), named, CLASS, "m", "doc_id", HOT).select("doc_id", "n", "component_id")
     out = out.unionByName(rows.where(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
