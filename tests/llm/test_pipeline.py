@@ -2,11 +2,13 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from trajgraph.llm import decontaminate, near_dedup, sharding
+from trajgraph.llm import decontaminate, langid, near_dedup, quality, sharding, toxicity
+from trajgraph.llm.common import fold
 
 DIR = "/root/testdata/sf0.001"
 
@@ -36,3 +38,52 @@ def test_pipeline(spark):
     assert seen["sharding"].count() == seen["mixing"].count()
     again = sharding.descend(seen["mixing"].select("doc_id"), sharding.tree(16))
     assert sorted((r.doc_id, r.shard) for r in again.collect()) == sorted((r.doc_id, r.shard) for r in seen["sharding"].collect())
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    words = "the of and quick brown fox jumps over lazy dog while seven wizards boil jars from quartz mountain".split()
+    long_ = " ".join(words[(7 * k) % 18] for k in range(20_000))
+    rows = [(1, long_, "en", "a"), (2, None, None, None), (3, "", "en", "a"), (None, "no id here", "de", "b"), (None, None, None, None), (4, "   ", "en", "b"), (5, long_, "en", "a"), (5, long_, "en", "a"), (6, "one two three", "fr", None), (6, "four five six", "fr", None)]
+    df = spark.createDataFrame([(i, t, la, s, len(t or "")) for i, t, la, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit("x") for c in ("row", "score", "size", "key", "bin", "shard", "_spans", "node", "m", "copy", "y", "a.b")}).repartition(2)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_on_odd_rows(spark, odd, name):
+    stage = dict(P.STAGES)[name]
+    out = stage(spark, odd, DIR)
+    assert out.columns == odd.columns and out.count() >= 0
+    assert stage(spark, odd.limit(0), DIR).count() == 0
+    ids = sorted(r.doc_id or 0 for r in out.collect())
+    if name == "near_dedup":
+        assert ids == [0, 0, 1, 2, 3, 4, 6, 6]
+    if name in ("decontamination", "sharding"):
+        assert ids == sorted(r.doc_id or 0 for r in odd.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+
+    def auc(got, label):
+        m = got.where("held_out").join(labels, "doc_id").select("score", label).dropna().toPandas()
+        rank, y = m["score"].rank().to_numpy(), m[label].to_numpy()
+        return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+    assert auc(quality.classify(docs, labels, fold(F.col("doc_id"), 5) == 0), "quality") > 0.95
+    assert auc(toxicity.classify(docs, labels, fold(F.col("doc_id"), 3) == 1), "toxic") > 0.75
+    lang = langid.identify(docs, fold(F.col("doc_id"), 4) == 2).where("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert (lang["lang_pred"] == lang["lang"]).mean() > 0.98
+
+
+def test_quality_scores_are_sums_of_bins():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 4))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    for row in x[:50]:
+        z = model.intercept + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(row, model.edges, model.tables, strict=True))
+        z += sum(t[sum(row[i] >= e for e in model.coarse[i]), sum(row[j] >= e for e in model.coarse[j])] for i, j, t in model.pairs)
+        assert np.isclose(model.score(row[None])[0], 1 / (1 + np.exp(-z)))

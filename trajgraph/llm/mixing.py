@@ -124,7 +124,11 @@ def mix(docs: DataFrame, weight: Column | None = None, share: float = 1.5, most:
 
 
 def apply_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; columns as they were."""
+    """The rows of docs, each as often as the mix takes it; columns as they were, whatever their names.
+
+    A null source is a source of its own; null and empty texts count nothing and come with their source's epochs; null ids hash as
+    the empty string; repeated rows are drawn alike; an empty table gives no rows.
+    """
     plan = stored(plan_mix(stored(numbers(docs)), share, most))
     key = survival(F.col("doc_id"), quality_weight(F.col("text")))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

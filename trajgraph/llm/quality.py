@@ -162,16 +162,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, bins:
 def train(docs: DataFrame, labels: DataFrame, keep=None, max_rows: int = MAX_ROWS) -> Additive:
     """Fits on the documents of at most max_rows labelled ids for which keep holds (all by default).
 
-    The ids are few by that bound and so are broadcast; the driver gets their numbers, never a text.
+    The ids are few by that bound and so are broadcast; the driver gets their numbers, never a text. Of rows of one id with
+    different texts one counts.
     """
     sample = labelled_ids(labels, "quality", F.lit(True) if keep is None else keep, max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": [features(t) for t in pdf["text"]], "y": pdf["y"]})
+            yield pd.DataFrame({"id": pdf["doc_id"].astype(str), "x": [features(t) for t in pdf["text"]], "y": pdf["y"]})
 
-    got = rows.mapInPandas(measure, "x array<float>, y double").limit(2 * max_rows).toPandas()
+    got = rows.mapInPandas(measure, "id string, x array<float>, y double").groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("id").toPandas()
     return fit(np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES)), (got["y"].to_numpy() >= 0.5).astype(float))
 
 
@@ -201,7 +202,11 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = MAX_R
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, held_out, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are not rejected, columns as they were."""
+    """The rows of docs that are not rejected, columns as they were.
+
+    Null and empty texts are judged as texts of no words; rows without an id are judged like others; repeated rows are judged alike;
+    without labels of both kinds the prior decides for all; columns may have any names; an empty table gives no rows.
+    """
     model = train(docs, labels, ~F.coalesce(held_out, F.lit(True)), max_rows)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return with_scores(docs.select(own, F.col("text").alias("text")), model).where(F.col("score") >= threshold).select("row.*")

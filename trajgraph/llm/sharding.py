@@ -87,7 +87,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, base: int = 16) -> Data
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 16, base: int = 16) -> DataFrame:
-    """The documents with a column `shard` (replacing one of that name)."""
+    """The documents with a column `shard` (replacing one of that name).
+
+    The shard depends on the id alone: null and empty texts and repeated rows need no care, a null id hashes as the empty string; an
+    empty table gives no rows.
+    """
     return descend(docs, tree(n_shards, base))
 
 

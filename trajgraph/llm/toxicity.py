@@ -442,7 +442,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS) ->
     words = stored(count_words(texts.join(known, ["doc_id", "print"]).select("text", "toxic", "apart")))
     table = by_context(words)
     sample = known.where("apart").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = texts.join(F.broadcast(sample), ["doc_id", "print"]).select(F.col("toxic").cast("string").alias("id"), "text")
+    rows = texts.join(F.broadcast(sample), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select(F.col("toxic").cast("string").alias("id"), "text")
     got = measured(rows, table, "rest").toPandas()
     x, y = np.clip(got[["a", "b", "c"]].to_numpy(dtype=float), -20, 20), (got["id"] == "true").to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
