@@ -82,7 +82,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, base: int = 16) -> Data
         F.lit("key").alias("law"),
     )
     placed = descend(descend(placed, tree(n_shards, base)), tree(n_shards + 1, base), "grown_shard")
-    out = slots(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("doc_id"))
+    out = slots(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.struct("doc_id", "text_crc32", "size"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
