@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from trajgraph.operators import compare as C
 from trajgraph.operators import edges as E
 from trajgraph.operators import graph as G
+from trajgraph.operators import neighbors as N
 from trajgraph.operators import similarity as S
 from trajgraph.operators import stats as R
 
@@ -127,6 +129,74 @@ def test_p_values():
     assert math.isclose(R.p_of_w(0, 5, 0), 2 / 32)
 
 
+def test_p_values_against_integrals_and_enumeration():
+    for r, n in ((0.3, 20), (0.9, 5), (-0.5, 30), (0.05, 3240), (0.7, 12), (0.999, 8)):
+        t, df = abs(r) * math.sqrt((n - 2) / (1 - r * r)), n - 2
+        # Student's density by the midpoint rule over x = t / sin(u), u from 0 to half of pi.
+        k = 200_000
+        u = (np.arange(k) + 0.5) * (math.pi / 2) / k
+        x = t / np.sin(u)
+        density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - (df + 1) / 2 * np.log1p(x * x / df))
+        tail = (density * t * np.cos(u) / np.sin(u) ** 2).sum() * (math.pi / 2) / k
+        assert math.isclose(C.p_of_r(r, n), 2 * tail, rel_tol=1e-5), (r, n)
+    for n in (3, 6, 9):
+        sums = [sum(k for k, s in enumerate(signs, 1) if s) for signs in itertools.product((0, 1), repeat=n)]
+        for w in range(n * (n + 1) // 4 + 1):
+            assert math.isclose(R.p_of_w(w, n, 0), min(1.0, 2 * sum(x <= w for x in sums) / len(sums)))
+
+
+def test_betweenness_and_eigenvector_by_enumeration(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, i, j, float(rng.integers(1, 4))) for k in range(5) for i in range(1, 7) for j in range(i + 1, 7) if rng.random() < 0.5]
+    e = spark.createDataFrame(rows, "graph_id int, i int, j int, w double")
+    between = {r.graph_id: r[1] for r in G.average_betweenness(e, ["graph_id"], 6).collect()}
+    eigen = {r.graph_id: r[1] for r in G.average_eigenvector_centrality(e, ["graph_id"], 6).collect()}
+    for k in between:
+        a = np.zeros((6, 6))
+        for g, i, j, w in rows:
+            if g == k:
+                a[i - 1, j - 1] = a[j - 1, i - 1] = w
+        own = G.largest(a)
+        n = len(own)
+
+        def paths(s, t, seen, own=own):
+            if s == t:
+                yield 0.0, 0
+                return
+            for v in np.flatnonzero(own[s]):
+                if v not in seen:
+                    for length, inner in paths(v, t, {*seen, v}):
+                        yield own[s, v] + length, inner + (v != t)
+
+        total = 0.0
+        for s, t in itertools.permutations(range(n), 2):
+            found = list(paths(s, t, {s}))
+            best = min(x for x, _ in found)
+            total += np.mean([inner for x, inner in found if math.isclose(x, best)])
+        assert math.isclose(between[k], total / (n * (n - 1) * (n - 2)), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(eigen[k], np.abs(np.linalg.eigh(own)[1][:, -1]).mean(), rel_tol=1e-4)
+
+
+def test_nearest_lines_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_LINES", 16)
+    rng = np.random.default_rng(6)
+    lines = rng.normal(size=(50, 5, 3)).round(1)
+    lines[7], lines[8], lines[9] = lines[3], lines[3][::-1], lines[3]
+    rows = [(i % 2, i, [tuple(map(float, p)) for p in x]) for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "subject_id int, streamline_id int, points array<struct<r: double, a: double, s: double>>")
+    got = {}
+    for r in N.knn(df, ["subject_id"], "streamline_id", "points", 4).collect():
+        got.setdefault(r.streamline_id, []).append((r["rank"], r.neighbour, round(r.dist, 9), r.flip))
+    for i, x in enumerate(lines):
+        want = []
+        for j, y in enumerate(lines):
+            if i % 2 == j % 2:
+                direct, turned = np.linalg.norm(x - y) / 15, np.linalg.norm(x - y[::-1]) / 15
+                want.append((round(min(direct, turned), 9), j, int(turned < direct)))
+        want = [(k + 1, j, d, f) for k, (d, j, f) in enumerate(sorted(want)[:4])]
+        assert sorted(got[i]) == want
+
+
 def test_wilcoxon_small(spark):
     df = spark.createDataFrame([("a", 1.0, 0.0), ("a", 0.0, 2.0), ("a", 5.0, 2.0), ("a", 3.0, 3.0), ("a", 2.0, 1.0), ("b", 1.0, 0.0)], "k string, x double, y double")
     got = R.wilcoxon(df, "x", "y", ["k"]).collect()
