@@ -137,10 +137,16 @@ def augment(df: DataFrame, subject: str, points: str, params: DataFrame) -> Data
 
 
 def augment_params(subjects: DataFrame, subject: str, n_aug: int, angle: float, scale: tuple[float, float], shift: float, seed: int = 42) -> DataFrame:
-    """(subject, aug_id, matrix): one random rotation, scale and shift for each subject and repetition; (0, 0) scales by 1."""
+    """(subject, aug_id, matrix): one random rotation, scale and shift for each subject and repetition; (0, 0) scales by 1.
+
+    Each is drawn from the MD5 of its name, subject, repetition and seed, so that other engines can draw alike.
+    """
     from trajgraph.functions.polyline import affine_of
 
-    u = lambda name, lo, hi: F.lit(lo) + F.lit(hi - lo) * (F.pmod(F.xxhash64(subject, "aug_id", F.lit(name), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    def u(name: str, lo: float, hi: float) -> Column:
+        digits = F.substring(F.md5(F.concat_ws("/", F.lit(name), F.col(subject).cast("string"), F.col("aug_id").cast("string"), F.lit(str(seed)))), 1, 12)
+        return F.lit(lo) + F.lit(hi - lo) * (F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 48)))
+
     s = u("scale", 1 - scale[0], 1 + scale[1]) if any(scale) else F.lit(1.0)
     rows = subjects.select(subject).distinct().withColumn("aug_id", F.explode(F.sequence(F.lit(0), F.lit(n_aug - 1))))
     return rows.select(subject, "aug_id", affine_of(*[u(c, -angle, angle) for c in "xyz"], s, *[u(f"t{c}", -shift, shift) for c in "xyz"]).alias("matrix"))

@@ -340,9 +340,9 @@ def l14(spark, d):
     return assign(spark, d).select(c.alias("id"), s.alias("subject"), k.alias("aug")).distinct()
 
 
-@query("l15_display_name", f"{with_edges()} SELECT ctype, CASE ctype WHEN 'nos' THEN 'NoS-weighted' WHEN 'fa' THEN 'FA-weighted' WHEN 'md' THEN 'MD-weighted' WHEN 'ad' THEN 'AD-weighted' WHEN 'rd' THEN 'RD-weighted' ELSE 'SIFT2-weighted' END AS name, CASE WHEN w < 0.001 THEN '***' WHEN w < 0.01 THEN '**' WHEN w < 0.05 THEN '*' ELSE 'n.s.' END AS mark, count(*) AS n FROM f_edges WHERE ctype <> 'nos' OR w < 100 GROUP BY ALL")
+@query("l15_display_name", f"{with_edges()} SELECT ctype, CASE ctype WHEN 'nos' THEN 'NoS-weighted' WHEN 'fa' THEN 'FA-weighted' WHEN 'md' THEN 'MD-weighted' WHEN 'ad' THEN 'AD-weighted' WHEN 'rd' THEN 'RD-weighted' ELSE 'SIFT2-weighted' END AS name, CASE WHEN w < 0.001 THEN '***' WHEN w < 0.01 THEN '**' WHEN w < 0.05 THEN '*' ELSE 'n.s.' END AS mark, count(*) AS n FROM f_edges GROUP BY ALL")
 def l15(spark, d):
-    e = edge_table(spark, d).where((F.col("ctype") != "nos") | (F.col("w") < 100))
+    e = edge_table(spark, d)
     return e.groupBy("ctype", L.display_name(F.col("ctype")).alias("name"), L.stars(F.col("w")).alias("mark")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -112,12 +112,17 @@ def p9(spark, d):
     return rounded(each, ["r", "a", "s"])
 
 
-@query("p9_augment_random")
+def _draw(name: str, lo: float, hi: float) -> str:
+    return f"({lo} + ({hi - lo}) * (CAST('0x' || substr(md5('{name}/' || subject_id || '/' || aug_id || '/42'), 1, 12) AS BIGINT) / 281474976710656.0))::DOUBLE"
+
+
+#: Lengths don't change under rotations and shifts: the scale alone matters.
+@query("p9_augment_random", f"WITH {FEAT_SQL}, a AS (SELECT subject_id, streamline_id, g.aug_id, v FROM f_feat, (VALUES (0), (1), (2)) g(aug_id)), s AS (SELECT *, {_draw('scale', 0.9, 1.1)} AS sc, list_sum([sqrt(pow(v[3*x+4] - v[3*x+1], 2) + pow(v[3*x+5] - v[3*x+2], 2) + pow(v[3*x+6] - v[3*x+3], 2)) FOR x IN range(0, 14)]) AS len FROM a) SELECT subject_id, streamline_id, CAST(aug_id AS INTEGER) AS aug_id, round(sc * len, 6) AS length FROM s")
 def p9_random(spark, d):
     f = features(spark, d)
     params = N.augment_params(f, "subject_id", 3, 0.5, (0.1, 0.1), 2.0)
     out = N.augment(f, "subject_id", "feat", params)
-    return out.select("subject_id", "streamline_id", "aug_id", P.length(F.col("feat")).alias("length"))
+    return out.select("subject_id", "streamline_id", "aug_id", F.round(P.length(F.col("feat")), 6).alias("length"))
 
 
 @query("p10_include_original", "SELECT CASE WHEN a = 2 THEN -1 ELSE a END AS aug_id, label AS subject_id, count(*) AS n FROM embeddings, (VALUES (0), (1), (2)) v(a) GROUP BY ALL")
