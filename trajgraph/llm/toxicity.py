@@ -135,26 +135,33 @@ def grams_of(word: str) -> list[str]:
 class Table:
     """Ratios of some contexts and of all n-grams after them, in a hash table; finds those of all words of a batch at once."""
 
-    def __init__(self, rows: Iterator[tuple[str, float, dict[str, float] | None]], whole: bool):
-        """rows: (context, its ratio, the ratios of the characters after it); whole: there are no other contexts."""
-        self.whole = whole
-        texts, values = [], []
+    def __init__(self, rows: Iterator[tuple[str, float, dict[str, float] | None]]):
+        """rows: (context, its ratio, the ratios of the characters after it)."""
+        self.whole = True  # there are no other contexts
+        texts, values, found = [], array("d"), []
+
+        def take() -> None:
+            """Keys of the texts, by lots."""
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            codes = self._codes("".join(texts))
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found.append(self._join(self._before(codes, place), codes)[np.cumsum(sizes) - 1])
+            texts.clear()
+
         for context, backed, after in rows:
             texts.append(context + "\n")  # no character of a word: keeps contexts and n-grams apart
             values.append(backed)
             for k, v in (after or {}).items():
                 texts.append(context + k)
                 values.append(v)
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        codes = self._codes("".join(texts))
-        last = np.cumsum(sizes) - 1
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        before = self._before(codes, place)
-        keys = self._join(before, codes)[last]
+            if len(texts) > 50_000:
+                take()
+        take()
+        keys = np.concatenate(found)
         self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys, self.values = np.zeros(1 << self.bits, dtype=np.uint64), np.zeros(1 << self.bits)
         rest, slot = np.arange(len(keys)), self._slot(keys)
-        value = np.array(values, dtype=float)
+        value = np.frombuffer(values)
         while len(rest):  # linear probing: of those that meet in a free slot the first one takes it
             _, first = np.unique(slot[rest], return_index=True)
             first = first[self.keys[slot[rest[first]]] == 0]
@@ -222,15 +229,22 @@ class Table:
 
 def frequent(table: DataFrame, which: str) -> Table:
     """The most frequent contexts of the table; which: ratio or rest."""
-    whole, rows, entries = True, [], 0
     slim = table.select("context", F.col(f"backed.{which}").alias("backed"), F.transform_values("after", lambda _, v: v[which]).alias("after"), "weight")
-    for r in slim.orderBy(F.col("weight").desc(), "context").limit(TABLE_CONTEXTS + 1).drop("weight").toLocalIterator():
-        entries += 1 + len(r.after or ())
-        if len(rows) == TABLE_CONTEXTS or entries > TABLE_ENTRIES:
-            whole = False
-            break
-        rows.append((r.context, r.backed, r.after))
-    return Table(rows, whole)
+    more = False
+
+    def rows() -> Iterator[tuple[str, float, dict[str, float] | None]]:
+        nonlocal more
+        entries = 0
+        for n, r in enumerate(slim.orderBy(F.col("weight").desc(), "context").limit(TABLE_CONTEXTS + 1).drop("weight").toLocalIterator()):
+            entries += 1 + len(r.after or ())
+            if n == TABLE_CONTEXTS or entries > TABLE_ENTRIES:
+                more = True
+                return
+            yield r.context, r.backed, r.after
+
+    out = Table(rows())
+    out.whole = not more
+    return out
 
 
 PACKED = "block long, ids binary, which binary, lengths binary, numbers binary, known binary, items array<string>"
