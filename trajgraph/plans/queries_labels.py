@@ -135,10 +135,10 @@ def s8(spark, d):
     return c.select(*[x.alias(k) for k, x in text.parse_artifact_name(path).items()])
 
 
-@query("s9_load_pairs", f"{with_edges()}, e AS (SELECT * FROM f_edges WHERE NOT (version = 'pred' AND subject_id % 4 = 0 AND ctype = 'fa')), k AS (SELECT subject_id, session, ctype FROM e GROUP BY ALL HAVING count(DISTINCT version) = 2) SELECT subject_id, session, ctype, version, count(*) AS n, round(sum(w), 6) AS total FROM e JOIN k USING (subject_id, session, ctype) GROUP BY ALL")
+@query("s9_load_pairs", f"{with_edges()}, e AS (SELECT * FROM f_edges WHERE NOT (version = 'pred' AND subject_id % 4 = 0 AND ctype = 'fa')), k AS (SELECT subject_id, session, ctype FROM e GROUP BY ALL HAVING count(DISTINCT version) = 2) SELECT subject_id, session, ctype, version, count(*) AS n, round(sum(w) + 1e-12, 6) AS total FROM e JOIN k USING (subject_id, session, ctype) GROUP BY ALL")
 def s9(spark, d):
     e = edge_table(spark, d).where(~((F.col("version") == "pred") & (F.col("subject_id") % 4 == 0) & (F.col("ctype") == "fa")))
-    return E.load_pairs(e, [*KEYS, "ctype"]).groupBy(*KEYS, "ctype", "version").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("total"))
+    return E.load_pairs(e, [*KEYS, "ctype"]).groupBy(*KEYS, "ctype", "version").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w") + 1e-12, 6).alias("total"))
 
 
 @query("s10_config_dims", "SELECT a AS atlas, n AS n_nodes, m AS metric, g AS agg, count(*) AS n_rows FROM nation, (VALUES ('aparc+aseg', 84), ('aparc.a2009s+aseg', 164)) x(a, n), (VALUES ('nos', 'count'), ('fa', 'mean'), ('md', 'mean'), ('ad', 'mean'), ('rd', 'mean'), ('sift2', 'sum')) y(m, g) WHERE (n_nationkey % 2 = 0) = (n = 84) GROUP BY ALL")
@@ -180,9 +180,9 @@ def k3(spark, d):
     return sinks.decode_lines(labels, 21)
 
 
-@query("k4_write_results", f"{with_edges()} SELECT subject_id, session, version, ctype, count(*) AS n_edges, round(sum(w), 6) AS total FROM f_edges GROUP BY ALL")
+@query("k4_write_results", f"{with_edges()} SELECT subject_id, session, version, ctype, count(*) AS n_edges, round(sum(w) + 1e-12, 6) AS total FROM f_edges GROUP BY ALL")
 def k4(spark, d):
-    e = edge_table(spark, d).groupBy(*KEYS, "version", "ctype").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("w"), 6).alias("total"))
+    e = edge_table(spark, d).groupBy(*KEYS, "version", "ctype").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("w") + 1e-12, 6).alias("total"))
     path = f"{shared_dir(spark)}/results/{uuid.uuid4().hex}"
     sinks.write_results(e, path)
     return spark.read.option("header", True).schema(e.schema).csv(path)
@@ -191,10 +191,10 @@ def k4(spark, d):
 _NUMBERS = ["mean", "std", "min", "q25", "median", "q75", "max"]
 
 
-@query("k5_json_report", f"{with_edges()}, t AS (SELECT ctype, subject_id, round(sum(w), 6) AS total FROM f_edges GROUP BY ALL) SELECT ctype, count(*) AS n, round(avg(total), 5) AS mean, round(stddev_samp(total), 5) AS std, round(min(total), 5) AS min, round(quantile_cont(total, 0.25), 5) AS q25, round(quantile_cont(total, 0.5), 5) AS median, round(quantile_cont(total, 0.75), 5) AS q75, round(max(total), 5) AS max, count(total) AS count, round(sum(total), 4) AS record_total, max(subject_id) AS last_subject FROM t GROUP BY ctype")
+@query("k5_json_report", f"{with_edges()}, t AS (SELECT ctype, subject_id, round(sum(w) + 1e-12, 6) AS total FROM f_edges GROUP BY ALL) SELECT ctype, count(*) AS n, round(avg(total), 5) AS mean, round(stddev_samp(total), 5) AS std, round(min(total), 5) AS min, round(quantile_cont(total, 0.25), 5) AS q25, round(quantile_cont(total, 0.5), 5) AS median, round(quantile_cont(total, 0.75), 5) AS q75, round(max(total), 5) AS max, count(total) AS count, round(sum(total), 4) AS record_total, max(subject_id) AS last_subject FROM t GROUP BY ctype")
 def k5(spark, d):
     """Reports written as JSON and read back: the summary, and sums over the records."""
-    e = edge_table(spark, d).groupBy("ctype", "subject_id").agg(F.round(F.sum("w"), 6).alias("total"))
+    e = edge_table(spark, d).groupBy("ctype", "subject_id").agg(F.round(F.sum("w") + 1e-12, 6).alias("total"))
     path = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
     sinks.report(e, ["ctype"], ["subject_id", "total"], ["total"]).write.partitionBy("ctype").text(path)
     shape = f"n long, summary struct<total: struct<{', '.join(f'{c}: double' for c in _NUMBERS)}, count: long>>, records array<struct<subject_id: int, total: double>>"
@@ -239,10 +239,10 @@ def k8(spark, d):
     return E.missing_outputs(x, x.where((F.col("subject_id") * 7 + F.length("ctype")) % 10 != 2), ["subject_id", "ctype"], ["subject_id"])
 
 
-@query("k9_load_or_compute", f"{with_edges()} SELECT ctype, count(*) AS n, round(sum(w), 6) AS total FROM f_edges GROUP BY ctype")
+@query("k9_load_or_compute", f"{with_edges()} SELECT ctype, count(*) AS n, round(sum(w) + 1e-12, 6) AS total FROM f_edges GROUP BY ctype")
 def k9(spark, d):
     path = f"{shared_dir(spark)}/cache/{uuid.uuid4().hex}"
-    make = lambda: edge_table(spark, d).groupBy("ctype").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 6).alias("total"))
+    make = lambda: edge_table(spark, d).groupBy("ctype").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w") + 1e-12, 6).alias("total"))
     sinks.load_or_compute(spark, path, make)
     return sinks.load_or_compute(spark, path, make)
 
