@@ -316,7 +316,7 @@ def test_near_classes(spark, monkeypatch, large):
     assert sum(got[i][0] == want[i] for i in range(len(f))) >= 0.98 * len(f)  # a likeness may meet in no band
     assert all(got[i][0] >= want[i] for i in got) and got[len(f) - 1][0] == got[len(f) - 2][0]
     assert find(len(f) - 4) == find(len(f) - 5) and got[len(f) - 4] == got[len(f) - 5]
-    blocks = fingerprints.alike_blocks([x.encode() for x in f], [x.encode() for x in f], fingerprints.LEAST)
+    blocks = fingerprints.alike_blocks([bytes.fromhex(x) for x in f], [bytes.fromhex(x) for x in f], fingerprints.LEAST)
     assert all(blocks[a, b] == (fingerprints.likeness(f[a], f[b]) >= fingerprints.LEAST) for a in range(0, len(f), 3) for b in range(len(f)))
 
 

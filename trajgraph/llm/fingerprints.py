@@ -149,8 +149,8 @@ def likeness(a: str, b: str) -> float:
 
 
 def alike_blocks(x: list[bytes], y: list[bytes], least: float) -> np.ndarray:
-    """Whether the likeness of each pair of fingerprints of two blocks is `least` or more."""
-    xs, ys = [v.decode() for v in x], [v.decode() for v in y]
+    """Whether the likeness of each pair of fingerprints (as bytes) of two blocks is `least` or more."""
+    xs, ys = [v.hex() for v in x], [v.hex() for v in y]
     level = [np.array([level_of(steps_of(int(f[:8], 16))) for f in v]) for v in (xs, ys)]
     size = [np.array([int(f[:8], 16) for f in v]) for v in (xs, ys)]
     out = np.zeros((len(xs), len(ys)), dtype=bool)
@@ -326,7 +326,17 @@ def bands(classes: DataFrame, least: float) -> DataFrame:
 
 @F.pandas_udf(T.BooleanType())
 def alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([likeness(x, y) >= v for x, y, v in zip(a, b, least, strict=True)], dtype=bool)
+    return pd.Series([likeness(x.hex(), y.hex()) >= v for x, y, v in zip(a, b, least, strict=True)], dtype=bool)
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("level", "taken", "upper")]))
+def taken_of(fingerprints_: pd.Series) -> pd.DataFrame:
+    """The level of each fingerprint, and the sampled steps that its walk takes at that level and at the next one."""
+    rows = []
+    for f in fingerprints_:
+        level = level_of(steps_of(int(f[:8], 16)))
+        rows.append((level, int(np.count_nonzero(at_level(f, level))), int(np.count_nonzero(at_level(f, level + 1)))))
+    return pd.DataFrame(rows, columns=["level", "taken", "upper"]).astype("int32")
 
 
 def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
@@ -334,23 +344,29 @@ def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
     of the documents that likeness joins it to, directly or over others; prints: doc_id, fingerprint."""
     keyed = prints.select("doc_id", "fingerprint", *print_keys())
     classes = keyed.groupBy("print", "check").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m"), F.first("fingerprint").alias("fingerprint"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("t", taken_of("fingerprint")).select("*", "t.*").drop("t"))
     banded = bands(classes.where(F.substring("fingerprint", 1, 8) != "00000000").select("node", "fingerprint"), least)
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > 1)
     buckets = stored(join_hot(banded, crowded, ["key"], "size", "node").select(F.lit(0).alias("band"), "key", "node", "least"))
-    of = lambda name: classes.select(F.col("node").alias(name), F.col("fingerprint").alias(f"_{name}"))
+    whole = F.unhex("fingerprint")
+    of = lambda name: classes.select(F.col("node").alias(name), whole.alias(f"_{name}"))
 
     def confirm_(pairs: DataFrame) -> DataFrame:
         return pairs.join(of("a"), "a").join(of("b"), "b").where(alike("_a", "_b", F.lit(least))).select("a", "b")
 
     def candidates(few: DataFrame) -> DataFrame:
-        left = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = few.select(F.col("key").alias("key"), F.col("node").alias("b"), F.col("component").alias("cb"))
-        return left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-
-    payload = classes.select("node", F.col("fingerprint").cast("binary").alias("set"))
+        few = few.join(classes.select("node", "level", "taken", "upper"), "node")
+        left = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("level").alias("la"), F.col("taken").alias("ta"), F.col("upper").alias("ua"))
+        right = few.select(F.col("key").alias("key"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("level").alias("lb"), F.col("taken").alias("tb"), F.col("upper").alias("ub"))
+        # Steps that the longer walk alone takes are different: a likeness is at most the ratio of the steps taken.
+        x = F.when(F.col("la") < F.col("lb"), F.col("ua")).otherwise(F.col("ta"))
+        y = F.when(F.col("lb") < F.col("la"), F.col("ub")).otherwise(F.col("tb"))
+        near = (F.abs(F.col("la") - F.col("lb")) <= 1) & (F.least(x, y) >= F.lit(least) * F.greatest(x, y))
+        return left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+
+    payload = classes.select("node", whole.alias("set"))
     found = linked_components(buckets, confirm_, candidates, payload, lambda x, y: alike_blocks(x, y, least))
-    named = stored(classes.drop("fingerprint").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    named = stored(classes.select("print", "check", "first", "m", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     sums = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("m").alias("n_class"), F.count(F.lit(1)).alias("k"))
     return join_hot(named, sums, ["component"], "k", "node").select("print", "check", "m", "class_id", "n_class")
 
