@@ -36,6 +36,8 @@ WIDTH = 3
 LOT = 12_000_000
 #: Bytes of a band, and the least likeness of near copies.
 BAND, LEAST = 6, 0.85
+#: Fingerprints of a block that is held against another one.
+BLOCK = 4096
 
 
 def steps_of(n: int) -> int:
@@ -365,7 +367,7 @@ def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
         return left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
 
     payload = classes.select("node", whole.alias("set"))
-    found = linked_components(buckets, confirm_, candidates, payload, lambda x, y: alike_blocks(x, y, least))
+    found = linked_components(buckets, confirm_, candidates, payload, lambda x, y: alike_blocks(x, y, least), BLOCK)
     named = stored(classes.select("print", "check", "first", "m", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
     sums = named.groupBy("component").agg(F.min("first").alias("class_id"), F.sum("m").alias("n_class"), F.count(F.lit(1)).alias("k"))
     return join_hot(named, sums, ["component"], "k", "node").select("print", "check", "m", "class_id", "n_class")

@@ -196,19 +196,19 @@ def across_buckets(small: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return pairs.join(other, "b").join(own, "a").where(alike("a_sketch", "b_sketch") >= LEAST_ALIKE).select("a", "b")
 
 
-def across_clusters(large: DataFrame, payload: DataFrame, alike_: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+def across_clusters(large: DataFrame, payload: DataFrame, alike_: Callable[[list[bytes], list[bytes]], np.ndarray], size: int = BLOCK) -> DataFrame:
     """(a, b): links between components of the clusters that large buckets make.
 
     payload: (node, set), bytes by which nodes are compared; alike_: the payloads of two blocks -> whether each pair is a link. The
     query set of a cluster are its nodes outside its largest component; they are held against all nodes of the cluster, in
-    blocks of BLOCK by BLOCK, and only links leave a block: for each query one to each other component.
+    blocks of `size` by `size`, and only links leave a block: for each query one to each other component.
     """
     nodes = stored(large.groupBy("node").agg(F.min("component").alias("component")))
     cluster = stored(components(large.select(F.col("node").alias("a"), F.col("least").alias("b"))))
     placed = stored(nodes.join(cluster.select("node", F.col("component").alias("cluster")), "node"))
     sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.max("c").alias("c"), F.sum("c").alias("m"))
-    block = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    block = lambda n: F.ceil(n / F.lit(size)).cast("int")
     plan = main.select("cluster", "main", block(F.col("m") - F.col("c")).alias("queries"), block(F.col("m")).alias("blocks"))
     full = placed.join(plan, "cluster").join(payload, "node")
     hashed = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -238,12 +238,12 @@ def linked_blocks(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
     return 100 * both >= percent * (n[:, None] + m[None, :] - both)
 
 
-def linked_components(buckets: DataFrame, confirm_: Callable[[DataFrame], DataFrame], candidates: Callable[[DataFrame], DataFrame], payload: DataFrame, alike_: Callable[[list[bytes], list[bytes]], np.ndarray]) -> DataFrame:
+def linked_components(buckets: DataFrame, confirm_: Callable[[DataFrame], DataFrame], candidates: Callable[[DataFrame], DataFrame], payload: DataFrame, alike_: Callable[[list[bytes], list[bytes]], np.ndarray], size: int = BLOCK) -> DataFrame:
     """(node, component) of the nodes that have a link: components over all links of nodes that share a bucket.
 
     buckets: stored (band, key, node, least), those of several nodes, and what candidates needs; confirm_: pairs (a, b) -> those that
-    are links; candidates: nodes of small buckets of several components -> pairs worth a confirmation; payload, alike_: see
-    across_clusters, for the large ones.
+    are links; candidates: nodes of small buckets of several components -> pairs worth a confirmation; payload, alike_, size:
+    see across_clusters, for the large ones.
     """
     stars = buckets.where(F.col("node") != F.col("least")).groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
@@ -254,7 +254,7 @@ def linked_components(buckets: DataFrame, confirm_: Callable[[DataFrame], DataFr
     split = split.where(F.col("lo") != F.col("hi")).select("band", "key", "m")
     open_ = stored(join_hot(placed, split, ["band", "key"], "m", "node"))
     few = candidates(open_.where(F.col("m") <= LARGE))
-    many = across_clusters(open_.where(F.col("m") > LARGE), payload, alike_)
+    many = across_clusters(open_.where(F.col("m") > LARGE), payload, alike_, size)
     more = stored(confirm_(few).union(many))
     return stored(components(links.union(more))) if more.limit(1).count() else found
 
