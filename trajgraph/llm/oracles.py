@@ -42,3 +42,32 @@ t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item,
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+OP12 = f"""
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {_WHOLE}),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
+_RUNS = f"regexp_extract_all({_LOWER}, '{_WORD10}')"
+_CRC = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_RUNS} AS w FROM documents), b AS (SELECT {_RUNS} AS w FROM benchmark),
+dw AS (SELECT r, unnest(w) AS w FROM d), bw AS (SELECT unnest(w) AS w FROM b),
+tab AS MATERIALIZED (SELECT {_CRC} AS t),
+x AS MATERIALIZED (SELECT w, list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda p: CAST('0x' || substr(h, 2 * p + 1, 2) AS BIGINT))), lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])) AS c
+  FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)), tab),
+k AS MATERIALIZED (SELECT w, (4294967295 - c) % 10000 AS bucket FROM x),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN k USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS n FROM bw JOIN k USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (a.n + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (z.n + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM k) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), (SELECT count(*)::DOUBLE AS n FROM dw) a, (SELECT count(*)::DOUBLE AS n FROM bw) z),
+p AS (SELECT r, sum(gain) AS weight FROM dw JOIN k USING (w) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN p USING (r)),
+f AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM e),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n FROM f WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM f LEFT JOIN o USING (r)
+"""
