@@ -104,9 +104,11 @@ def search(rows: DataFrame, k: int, is_query: Column, scale: float, id_: str = "
             scores[here[alone], alone] = np.iinfo(scores.dtype).min
             r, a = best(scores, k)
             out.append((r + c0, a + q0, scores[r, a].astype(np.int64)))
-        r, a, score = (np.concatenate(x) if out else np.zeros(0, dtype=np.int64) for x in (list(zip(*out, strict=True)) or [()] * 3))
+        r, a, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        top = V.keep_best(a, score, r, k)
+        r, a, score = r[top], a[top], score[top]
         n = name["c"]["n"][r] - (itself[a] == r)
-        block = np.full(len(r), int(str(key[1])) // SUPERBLOCK)
+        block = np.full(len(r), key[1].as_py() // SUPERBLOCK)
         found = [name["q"]["vec_id"][a], name["q"]["twin"][a], name["q"]["n"][a], name["c"]["vec_id"][r], name["c"]["twin"][r], n, score, block]
         return pa.table(dict(zip(FOUND, found, strict=True)))
 

@@ -27,11 +27,11 @@ def complete(vector: Column) -> Column:
 
 
 def classes(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(columns, n, twin): equal rows once, with their number, and a hash of the vector `v` that tells rows of one id apart; a stored table.
+    """(columns, n, twin): equal rows once, with their number, and a hash of all but the first column (the id) that tells rows of one id apart; stored.
 
     A row that stands a million times is counted before the shuffle and is one row from here on.
     """
-    return stored(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("twin", F.xxhash64("v")))
+    return stored(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("twin", F.xxhash64(*columns[1:])))
 
 
 def blocks_of(n: int, parallel: int, most: int = BLOCK_ROWS, least: int = LEAST_ROWS) -> int:
@@ -78,6 +78,13 @@ def ranked(parts: DataFrame, group: list[str], k: int, superblock: str | None =
     return each.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order, "copy"))).where(F.col("rank") <= k).drop("copy", "n")
 
 
+def keep_best(group: np.ndarray, score: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best entries (score down, row up) of each group."""
+    order = np.lexsort((row, -score, group))
+    group = group[order]
+    return order[np.arange(len(order)) - np.searchsorted(group, group) < k]
+
+
 def cores(df: DataFrame) -> int:
     return df.sparkSession.sparkContext.defaultParallelism
 
