@@ -272,8 +272,51 @@ def test_graph_compare_matches_parts(spark):
     y = spark.createDataFrame([("g", *r) for r in PAIRS["sparse"][1]], "graph_id string, i int, j int, w double")
     b = C.both_sides(x, y, ["graph_id"])
     row = C.graph_compare(b, ["graph_id"], 4, p_values=True, logs=True).first()
-    assert math.isclose(row.spearman_r, C.spearman(b, ["graph_id"], 4).first().r) and math.isclose(row.pearson_p, C.p_of_r(row.pearson_r, 10)) and math.isclose(row.lerm, C.lerm(b, ["graph_id"], 4).first().lerm)
+    assert math.isclose(row.spearman_r, C.spearman(b, ["graph_id"], 4).first().r) and math.isclose(row.pearson_p, C.p_of_r(row.pearson_r, 10)) and math.isclose(row.lerm, C.lerm(b, ["graph_id"], 4, "complex").first().lerm) and math.isclose(row.lerm_real, C.lerm(b, ["graph_id"], 4).first().lerm) and math.isclose(row.mean_lerm, C.lerm(b, ["graph_id"], 4, "gated").first().lerm)
     assert math.isclose(row.pearson_r, C.pearson_dense(b, ["graph_id"], 4).first().r)
     assert math.isclose(row.mae, C.errors(b, ["graph_id"], 4).first().mae)
     assert (row.n_true, row.n_pred) == (3, 3)
     assert C.nonzero_either(b).where(F.col("t") == 0).count() == 1
+
+
+def principal_log(a):
+    """The complex logarithm by a complex eigendecomposition that knows nothing of symmetry."""
+    values, vectors = np.linalg.eig(a.astype(complex))
+    return vectors @ np.diag(np.log(values.real + 0j)) @ np.linalg.inv(vectors)
+
+
+def test_lerm_flavours_by_complex_eigendecomposition(spark):
+    """Random sparse graphs, most with negative eigenvalues; a singular one, a constant one and a tiny one shut the gate."""
+    rng, n, rows, sides = np.random.default_rng(7), 7, [], {}
+    for k in range(12):
+        t, p = (np.where(rng.random((n, n)) < 0.7, rng.random((n, n)) * 20, 0.0) for _ in range(2))
+        t, p = np.triu(t) + np.triu(t, 1).T, np.triu(p) + np.triu(p, 1).T
+        if k == 9:
+            t[:, 0] = t[0] = 0  # singular: the condition number is infinite
+        if k == 10:
+            t[:] = 1.0
+        if k == 11:
+            t *= 1e-9
+        sides[k] = t, p
+        rows += [(k, i + 1, j + 1, float(t[i, j]), float(p[i, j])) for i in range(n) for j in range(i, n) if t[i, j] or p[i, j]]
+    b = spark.createDataFrame(rows, "graph_id int, i int, j int, t double, p double")
+    got = {r.graph_id: r for r in C.lerm_flavours(b, ["graph_id"], n).collect()}
+    gated, fallback = ({r.graph_id: r[1] for r in x.collect()} for x in (C.lerm(b, ["graph_id"], n, "gated"), C.rel_diff_mean(b, ["graph_id"], n)))
+    for k, (t, p) in sides.items():
+        d = principal_log(p + 1e-10 * np.eye(n)) - principal_log(t + 1e-10 * np.eye(n)) if k not in (9, 10) else None
+        if d is not None:
+            assert math.isclose(got[k].lerm_complex, np.linalg.norm(d), rel_tol=1e-6) and math.isclose(got[k].lerm_real, np.linalg.norm(d.real), rel_tol=1e-6)
+        shift = max(1e-10, min(t.max(), p.max()) * 1e-6)
+        well = t.max() > 1e-6 and max(np.linalg.cond(t), np.linalg.cond(p)) < 1e12
+        want = np.linalg.norm(principal_log(p + shift) - principal_log(t + shift)) if well else fallback[k]
+        assert (k >= 9) == (got[k].lerm_well is None) and math.isclose(gated[k], want, rel_tol=1e-6)
+    assert any(got[k].lerm_complex > got[k].lerm_real + 1 for k in range(9))
+
+
+def test_complex_log_vectors_keep_distances(spark):
+    rng, n = np.random.default_rng(9), 6
+    a = [m + m.T for m in rng.normal(size=(2, n, n))]
+    e = spark.createDataFrame([(k, i + 1, j + 1, float(m[i, j])) for k, m in enumerate(a) for i in range(n) for j in range(i, n)], "k int, i int, j int, w double")
+    x, y = (np.array(r.log) for r in sorted(C.log_vectors(e, ["k"], n, imaginary=True).collect()))
+    assert math.isclose(np.linalg.norm(x - y), np.linalg.norm(principal_log(a[0]) - principal_log(a[1])), rel_tol=1e-6)
+    assert C.log_vectors(e.withColumn("w", F.lit(0.0)), ["k"], n, eps=0.0).count() == 0

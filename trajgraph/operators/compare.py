@@ -202,34 +202,49 @@ def log_diff_mean(b: DataFrame, keys: list[str], n: int) -> DataFrame:
     return b.groupBy(*keys).agg((F.sum(F.when(F.col("i") != F.col("j"), x).otherwise(0.0)) / cells(n, False)).alias("log_diff_mean"))
 
 
-def matrix_log(e: DataFrame, keys: list[str], n: int, eps: float = EPS) -> DataFrame:
-    """(keys, i, j, l): upper triangle of the real part of the matrix logarithm of the dense symmetric matrix plus eps on its diagonal.
+def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Eigenvalues and vectors of a symmetric matrix that has a logarithm (all eigenvalues finite and none 0), else None."""
+    if not np.isfinite(a).all():
+        return None
+    values, vectors = np.linalg.eigh(a)
+    return (values, vectors) if np.abs(values).min(initial=np.inf) > 0 else None
+
+
+def log_parts(values: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Real part of the principal logarithm, and its imaginary part: pi times the projector onto the negative eigenspace, as the
+    logarithm of a negative eigenvalue is that of its absolute value plus i pi."""
+    below = vectors[:, values < 0]
+    return (vectors * np.log(np.abs(values))) @ vectors.T, np.pi * (below @ below.T)
+
+
+def dense(pdf: pd.DataFrame, n: int, column: str = "w") -> np.ndarray:
+    """The full symmetric matrix of the upper-triangle cells of one graph."""
+    a = np.zeros((n, n))
+    i, j = pdf["i"].to_numpy() - 1, pdf["j"].to_numpy() - 1
+    a[i, j] = a[j, i] = pdf[column]
+    return a
+
 
-    One graph of n x n cells is a group. A matrix with a zero eigenvalue has no logarithm and no rows.
+def log_vectors(e: DataFrame, keys: list[str], n: int, eps: float = EPS, imaginary: bool = False) -> DataFrame:
+    """(keys, log): the matrix logarithm of each dense symmetric matrix, eps added on its diagonal, as one vector: the upper triangle,
+    cells off the diagonal times the root of 2, so that the Euclidean distance of two vectors is the Frobenius norm of the difference
+    of the logarithms.
+
+    By default the real part; with imaginary the vector goes on with the imaginary part, and the distance is the norm of the complex
+    difference. One graph of n x n cells is a group. Graphs without a logarithm (a zero eigenvalue) have no row.
     """
+    at = np.triu_indices(n)
+    scale = np.where(at[0] == at[1], 1.0, 2.0**0.5)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((n, n))
-        i, j = pdf["i"].to_numpy() - 1, pdf["j"].to_numpy() - 1
-        a[i, j] = a[j, i] = pdf["w"]
-        values, vectors = np.linalg.eigh(a + eps * np.eye(n))
-        out = pd.DataFrame(columns=[*keys, "i", "j", "l"])
-        if np.abs(values).min() > 0 and np.isfinite(values).all():
-            log = (vectors * np.log(np.abs(values))) @ vectors.T
-            r, c = np.triu_indices(n)
-            out = pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(r) for k in keys}, "i": r + 1, "j": c + 1, "l": log[r, c]})
-        return out
-
-    shape = T.StructType([*[e.schema[k] for k in keys], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("l", T.DoubleType())])
-    return e.select(*keys, "i", "j", "w").groupBy(*keys).applyInPandas(work, shape)
-
+        found = eigen(dense(pdf, n) + eps * np.eye(n))
+        if found is None:
+            return pd.DataFrame(columns=[*keys, "log"])
+        parts = log_parts(*found)[: 2 if imaginary else 1]
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"log": [np.concatenate([scale * part[at] for part in parts])]})
 
-def log_vectors(e: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, log): matrix_log of each graph as one vector, cells off the diagonal times the root of 2, so that the Euclidean distance
-    of two vectors is the Frobenius norm of the difference of the logarithms. Graphs without a logarithm have no row."""
-    scale = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0**0.5)
-    cells_ = F.array_sort(F.collect_list(F.struct("i", "j", (scale * F.col("l")).alias("l"))))
-    return matrix_log(e, keys, n).groupBy(*keys).agg(F.transform(cells_, lambda c: c["l"]).alias("log"))
+    shape = T.StructType([*[e.schema[k] for k in keys], T.StructField("log", T.ArrayType(T.DoubleType()))])
+    return e.select(*keys, "i", "j", "w").groupBy(*keys).applyInPandas(work, shape)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -237,13 +252,63 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def lerm(b: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys, lerm): Frobenius norm of the difference of the matrix logarithms of both sides; no row where one has none."""
-    long_ = b.select(*keys, "i", "j", F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("t").alias("w")), F.struct(F.lit("p").alias("side"), F.col("p").alias("w")))).alias("x")).select(*keys, "x.side", "i", "j", "x.w")
-    logs = matrix_log(long_.where(F.col("w") != 0), [*keys, "side"], n)
-    m, sign = F.when(F.col("i") == F.col("j"), 1).otherwise(2), F.when(F.col("side") == "t", 1).otherwise(-1)
-    d = logs.groupBy(*keys, "i", "j").agg(F.sum(sign * F.col("l")).alias("d"), F.count(F.lit(1)).alias("k")).where(F.col("k") == 2)
-    return d.groupBy(*keys).agg(F.sqrt(F.sum(m * F.col("d") * F.col("d"))).alias("lerm"))
+#: The gated distance: the largest cell of both sides over LEAST_TOP, condition numbers under CONDITION; SHARE of the smaller largest cell is added to all cells.
+LEAST_TOP, CONDITION, SHARE = 1e-6, 1e12, 1e-6
+
+
+def gated_distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Complex log-Euclidean distance of two well-conditioned matrices without negative cells; nan where a gate is shut.
+
+    The condition number of a symmetric matrix is that of its eigenvalues, the largest to the smallest in size.
+    """
+    if min(a.min(), b.min()) < 0 or min(a.max(), b.max()) <= LEAST_TOP:
+        return np.nan
+    shift = max(EPS, min(a.max(), b.max()) * SHARE)
+    logs = []
+    for m in (a, b):
+        found = eigen(m)
+        if found is None or np.abs(found[0]).max() >= CONDITION * np.abs(found[0]).min():
+            return np.nan
+        moved = eigen(m + shift)
+        if moved is None:
+            return np.nan
+        logs.append(log_parts(*moved))
+    (ra, ia), (rb, ib) = logs
+    return float(np.sqrt(((ra - rb) ** 2).sum() + ((ia - ib) ** 2).sum()))
+
+
+def lerm_flavours(b: DataFrame, keys: list[str], n: int, eps: float = EPS) -> DataFrame:
+    """(keys, lerm_real, lerm_complex, lerm_well): log-Euclidean distances of both sides of each key, from one pass with one group a key.
+
+    lerm_real: norm of the difference of the real parts; lerm_complex: of the complex difference; both null where a side has no
+    logarithm. lerm_well: gated_distance, null where a gate is shut.
+    """
+    names = ["lerm_real", "lerm_complex", "lerm_well"]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, p = dense(pdf, n, "t"), dense(pdf, n, "p")
+        found = [eigen(m + eps * np.eye(n)) for m in (t, p)]
+        real = full = np.nan
+        if None not in found:
+            (rt, it), (rp, ip) = (log_parts(*x) for x in found)
+            q = ((rt - rp) ** 2).sum()
+            real, full = np.sqrt(q), np.sqrt(q + ((it - ip) ** 2).sum())
+        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | dict(zip(names, ([float(x)] for x in (real, full, gated_distance(t, p))), strict=True)))
+
+    shape = T.StructType([*[b.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in names]])
+    out = b.select(*keys, "i", "j", "t", "p").groupBy(*keys).applyInPandas(work, shape)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names})
+
+
+def lerm(b: DataFrame, keys: list[str], n: int, flavour: str = "real") -> DataFrame:
+    """(keys, lerm): the log-Euclidean distance of both sides; flavour: real, complex or gated.
+
+    real and complex have no row where a side has no logarithm; gated falls back to the mean relative difference (rel_diff_mean).
+    """
+    each = lerm_flavours(b, keys, n)
+    if flavour == "gated":
+        return each.join(rel_diff_mean(b, keys, n), keys).select(*keys, F.coalesce("lerm_well", "rel_diff_mean").alias("lerm"))
+    return each.select(*keys, F.col(f"lerm_{flavour}").alias("lerm")).where(F.col("lerm").isNotNull())
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -289,7 +354,8 @@ def graph_compare(b: DataFrame, keys: list[str], n: int, mask: str | None = None
 
     mask: the column of the weighting; cells of masked weightings then count only where both sides aren't 0 (their number is
     n_masked). spread: also Spearman's r and the Wasserstein distance; p_values: those of both correlations; logs: the log-Euclidean
-    distance (null where a side has no logarithm).
+    distances: lerm of the complex difference (null where a side has no logarithm), lerm_real of the real parts, and mean_lerm, the
+    gated one with its fallback.
     """
     t, p, k = F.col("t"), F.col("p"), cells(n)
     m = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
@@ -316,7 +382,9 @@ def graph_compare(b: DataFrame, keys: list[str], n: int, mask: str | None = None
     if p_values:
         out = out.withColumn("pearson_p", corr_pvalue(F.col("pearson_r"), F.lit(k)))
         out = out.withColumn("spearman_p", corr_pvalue(F.col("spearman_r"), F.lit(k))) if spread else out
-    return out.join(lerm(b, keys, n), keys, "left") if logs else out
+    if logs:
+        out = out.join(lerm_flavours(b, keys, n).withColumnRenamed("lerm_complex", "lerm"), keys, "left").withColumn("mean_lerm", F.coalesce("lerm_well", "rel_diff_mean")).drop("lerm_well")
+    return out
 
 
 def error_histogram(b: DataFrame, keys: list[str], bins: int = 50, digits: int | None = None) -> DataFrame:

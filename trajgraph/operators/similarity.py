@@ -107,11 +107,11 @@ def group_similarity(b: DataFrame, group: list[str], subject: str, n: int) -> Da
     return b.where(F.col("p") != 0).select(*keys).distinct().join(got, keys, "left")
 
 
-def population_logs(b: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
-    """(group, log) of the mean true graph of each group."""
+def population_logs(b: DataFrame, group: list[str], subject: str, n: int, imaginary: bool = False) -> DataFrame:
+    """(group, log) of the mean true graph of each group; imaginary: as in log_vectors."""
     subjects = b.where(F.col("t") != 0).groupBy(*group).agg(F.countDistinct(subject).alias("k"))
     mean = b.where(F.col("t") != 0).groupBy(*group, "i", "j").agg(F.sum("t").alias("s")).join(subjects, group).select(*group, "i", "j", (F.col("s") / F.col("k")).alias("w"))
-    return compare.log_vectors(mean, group, n)
+    return compare.log_vectors(mean, group, n, imaginary=imaginary)
 
 
 def group_lerm(logs: DataFrame, population: DataFrame, group: list[str], subject: str, version: str = "pred") -> DataFrame:
@@ -168,7 +168,8 @@ def test_vs_population(b: DataFrame, group: list[str], subject: str, n: int) ->
 
 
 def test_vs_population_lerm(logs: DataFrame, population: DataFrame, group: list[str], subject: str) -> DataFrame:
-    """(group, subject, comparison, lerm) of the same three comparisons, for graphs that have a logarithm."""
+    """(group, subject, comparison, lerm) of the same three comparisons, for graphs that have a logarithm; with the imaginary parts in
+    the vectors it is the complex distance."""
     tag = lambda df, name: df.withColumnRenamed("value", "lerm").withColumn("comparison", F.lit(name))
     parts = [tag(group_lerm(logs, population, group, subject, v), f"{v}-pop") for v in ("pred", "true")] + [tag(intra_lerm(logs, group, subject), "pred-true")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -113,6 +113,16 @@ def c17(spark, d):
     return C.lerm(_both(spark, d), CMP_KEYS, A40)
 
 
+@query("c17_lerm_complex")
+def c17_complex(spark, d):
+    return C.lerm(_both(spark, d), CMP_KEYS, A40, "complex")
+
+
+@query("c17_lerm_gated")
+def c17_gated(spark, d):
+    return C.lerm(_both(spark, d), CMP_KEYS, A40, "gated")
+
+
 # Means of short decimals end on a tie: both sides are pushed up by the same little.
 _TIE = 1e-12
 _C18 = {
@@ -142,7 +152,7 @@ def c18_masked(spark, d):
 
 @query("c18_graph_compare_full")
 def c18_full(spark, d):
-    """With p-values and the log-Euclidean distance, which SQL can't say."""
+    """With p-values and the log-Euclidean distances, which SQL can't say."""
     return C.graph_compare(_both(spark, d), CMP_KEYS, A40, p_values=True, logs=True)
 
 
@@ -175,9 +185,9 @@ def _versions(b):
     return b.select(*_K1, "i", "j", each.alias("x")).select(*_K1, "x.version", "i", "j", "x.w").where("w <> 0")
 
 
-def _logs(b):
+def _logs(b, imaginary=False):
     """The matrix logarithm of each graph, once: several distances read them."""
-    return kept(C.log_vectors(_versions(b), [*_K1, "version"], A40))
+    return kept(C.log_vectors(_versions(b), [*_K1, "version"], A40, imaginary=imaginary))
 
 
 _MOM = f"mo AS (SELECT ctype, version, subject_id, sum(w)/{N40} AS m, sqrt(greatest(sum(w*w)/{N40} - (sum(w)/{N40})*(sum(w)/{N40}), 0)) + 1e-10 AS sd FROM f_edges GROUP BY ALL)"
@@ -309,7 +319,7 @@ def population_table(spark, d):
 @query("x8_test_vs_population_lerm")
 def x8_lerm(spark, d):
     b = kept(_one(spark, d))
-    return S.test_vs_population_lerm(_logs(b), S.population_logs(b, GROUP, "subject_id", A40), GROUP, "subject_id")
+    return S.test_vs_population_lerm(_logs(b, True), S.population_logs(b, GROUP, "subject_id", A40, True), GROUP, "subject_id")
 
 
 @query("x8_test_vs_population", f"{_X8} SELECT ctype, subject_id, comparison, round(r, 6) + 0.0 AS r, round(rmse + 1e-12, 7) AS rmse, round(mae + 1e-12, 7) AS mae, n_a, n_b FROM x8r")
