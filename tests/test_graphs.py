@@ -320,3 +320,74 @@ def test_complex_log_vectors_keep_distances(spark):
     x, y = (np.array(r.log) for r in sorted(C.log_vectors(e, ["k"], n, imaginary=True).collect()))
     assert math.isclose(np.linalg.norm(x - y), np.linalg.norm(principal_log(a[0]) - principal_log(a[1])), rel_tol=1e-6)
     assert C.log_vectors(e.withColumn("w", F.lit(0.0)), ["k"], n, eps=0.0).count() == 0
+
+
+def merged_naively(a):
+    """Greedy merging that measures the modularity of every possible merger of joined communities anew."""
+    n, m = len(a), np.triu(a).sum()
+    k = a.sum(1) + np.diag(a)
+    parts = [{i} for i in range(n)]
+
+    def q(parts):
+        return sum(np.triu(a)[np.ix_(sorted(p), sorted(p))].sum() / m - (k[sorted(p)].sum() / (2 * m)) ** 2 for p in parts)
+
+    while True:
+        options = [(q([*parts[:i], *parts[i + 1 : j], *parts[j + 1 :], parts[i] | parts[j]]), i, j) for i in range(len(parts)) for j in range(i + 1, len(parts)) if a[np.ix_(sorted(parts[i]), sorted(parts[j]))].any()]
+        if not options or max(options)[0] < q(parts) - 1e-12:
+            return q(parts), len(parts)
+        _, i, j = max(options)
+        parts = [*parts[:i], *parts[i + 1 : j], *parts[j + 1 :], parts[i] | parts[j]]
+
+
+def test_greedy_communities_by_naive_merging(spark):
+    """A hundred random graphs with loops and isolated nodes."""
+    rng, n, rows, want = np.random.default_rng(12), 9, [], {}
+    for g in range(100):
+        a = np.triu(np.where(rng.random((n, n)) < rng.uniform(0.15, 0.6), rng.random((n, n)) + 0.1, 0.0))
+        a = a + np.triu(a, 1).T
+        a[:, n - 1] = a[n - 1] = 0
+        a[0, 1] = a[1, 0] = 1.0
+        rows += [(g, i + 1, j + 1, float(a[i, j])) for i in range(n) for j in range(i, n) if a[i, j]]
+        want[g] = merged_naively(a)
+    e = spark.createDataFrame(rows, "graph_id int, i int, j int, w double")
+    got = {r.graph_id: (r.modularity, r.num_communities) for r in G.community_score(e, ["graph_id"], n).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[g][0], want[g][0], abs_tol=1e-9) and got[g][1] == want[g][1] for g in want)
+    parts = G.greedy_communities(e, ["graph_id"], n)
+    again = {r.graph_id: r.modularity for r in G.modularity(e, parts, ["graph_id"]).collect()}
+    assert all(math.isclose(again[g], got[g][0], abs_tol=1e-9) for g in want) and parts.count() == 100 * n
+
+
+def test_moved_communities_of_large_graphs(spark, monkeypatch):
+    """Three dense groups with few links between them: the rounds of joins find them, or as good a partition."""
+    rng, n = np.random.default_rng(1), 24
+    rows = [(0, i, j, 1.0) for i in range(1, n + 1) for j in range(i + 1, n + 1) if rng.random() < (0.9 if i % 3 == j % 3 else 0.05)]
+    e = spark.createDataFrame(rows, "graph_id int, i int, j int, w double")
+    whole = G.community_score(e, ["graph_id"], n + 1).first()
+    monkeypatch.setattr(G, "DENSE_NODES", 0)
+    got = G.community_score(e, ["graph_id"], n + 1).first()
+    assert got.num_communities == whole.num_communities == 4 and math.isclose(got.modularity, whole.modularity, abs_tol=1e-9)
+    found = {r.node: r.part for r in G.moved_communities(e, ["graph_id"]).collect()}
+    assert all((found[i] == found[j]) == (i % 3 == j % 3) for i in found for j in found)
+
+
+def test_all_metrics_in_one_pass_agree_with_joins(spark, monkeypatch):
+    rng, n = np.random.default_rng(6), 8
+    rows = [(g, i, j, float(rng.integers(1, 5))) for g in range(5) for i in range(1, n + 1) for j in range(i, n + 1) if rng.random() < 0.35]
+    e = spark.createDataFrame(rows, "graph_id int, i int, j int, w double")
+    tiers = ("basic", "advanced", "centrality")
+    found = []
+    for bound in (2000, 0):
+        monkeypatch.setattr(G, "DENSE_NODES", bound)
+        found.append({(r.graph_id, r.metric): r.value for r in G.graph_metrics(e, ["graph_id"], n, tiers).collect()})
+    assert found[0].keys() == found[1].keys()
+    for k, x in found[0].items():
+        y = found[1][k]
+        assert (x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-9)), k
+
+
+def test_labels_tell_whether_they_settled(spark):
+    e = spark.createDataFrame([("two", 1, 2, 1.0), ("two", 3, 4, 4.0), ("loop", 1, 1, 3.0)], "graph_id string, i int, j int, w double")
+    labels, settled = G.propagated_labels(e, ["graph_id"], 8)
+    assert values(settled, "settled") == {"two": False, "loop": True}  # two nodes that only know each other swap for ever
+    assert labels.count() == 5

@@ -47,7 +47,7 @@ def g1(spark, d):
 
 
 #: cc: the smallest node of each node's component, by doubling reachability five times.
-_REACH = f"r0 AS MATERIALIZED (SELECT DISTINCT {_GK}, s, t FROM f_arcs UNION SELECT {_GK}, s, s FROM f_arcs), " + ", ".join(f"r{k} AS MATERIALIZED (SELECT DISTINCT {_pre('a')}, a.s, b.t FROM r{k - 1} a JOIN r{k - 1} b ON {_on('a', 'b')} AND a.t = b.s)" for k in range(1, 6)) + f", cc AS (SELECT {_GK}, s AS node, min(t) AS label FROM r5 GROUP BY ALL)"
+_REACH = f"r0 AS MATERIALIZED (SELECT DISTINCT {_GK}, s, t FROM f_arcs UNION SELECT {_GK}, s, s FROM f_arcs), " + ", ".join(f"r{k} AS MATERIALIZED (SELECT DISTINCT {_pre('a')}, a.s, b.t FROM r{k - 1} a JOIN r{k - 1} b ON {_on('a', 'b')} AND a.t = b.s)" for k in range(1, 6)) + f", cc AS MATERIALIZED (SELECT {_GK}, s AS node, min(t) AS label FROM r5 GROUP BY ALL)"
 _BIG = f"big AS (SELECT {_GK}, label FROM (SELECT {_GK}, label, count(*) AS k FROM cc GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {_GK} ORDER BY k DESC, label) = 1), g_big AS (SELECT f_arcs.* FROM f_arcs JOIN cc ON {_on('cc', 'f_arcs')} AND cc.node = f_arcs.s JOIN big ON {_on('big', 'cc')} AND big.label = cc.label)"
 
 
@@ -61,7 +61,7 @@ def g2(spark, d):
     return G.components(graphs(spark, d), S, A20)
 
 
-_CLUST = f"mx AS (SELECT {_GK}, max(w) AS top FROM f_graph GROUP BY ALL), e AS (SELECT {_GK}, i, j, w/top AS w FROM f_graph JOIN mx USING ({_GK}) WHERE i <> j), tri AS (SELECT {_pre('ab')}, ab.i AS a, ab.j AS b, ac.j AS c, cbrt(ab.w*ac.w*bc.w) AS g FROM e ab JOIN e ac ON {_on('ab', 'ac')} AND ab.i = ac.i AND ab.j < ac.j JOIN e bc ON {_on('bc', 'ab')} AND bc.i = ab.j AND bc.j = ac.j), pn AS (SELECT {_GK}, node, sum(g) AS g FROM (SELECT {_GK}, a AS node, g FROM tri UNION ALL SELECT {_GK}, b, g FROM tri UNION ALL SELECT {_GK}, c, g FROM tri) GROUP BY ALL), dg AS (SELECT {_GK}, s AS node, count(*) AS d FROM f_arcs WHERE s <> t GROUP BY ALL), cl AS (SELECT {_GK}, sum(2*g/(d*(d-1)))/20 AS c FROM pn JOIN dg USING ({_GK}, node) GROUP BY ALL)"
+_CLUST = f"mx AS (SELECT {_GK}, max(w) AS top FROM f_graph GROUP BY ALL), e AS (SELECT {_GK}, i, j, w/top AS w FROM f_graph JOIN mx USING ({_GK}) WHERE i <> j), tri AS MATERIALIZED (SELECT {_pre('ab')}, ab.i AS a, ab.j AS b, ac.j AS c, cbrt(ab.w*ac.w*bc.w) AS g FROM e ab JOIN e ac ON {_on('ab', 'ac')} AND ab.i = ac.i AND ab.j < ac.j JOIN e bc ON {_on('bc', 'ab')} AND bc.i = ab.j AND bc.j = ac.j), pn AS (SELECT {_GK}, node, sum(g) AS g FROM (SELECT {_GK}, a AS node, g FROM tri UNION ALL SELECT {_GK}, b, g FROM tri UNION ALL SELECT {_GK}, c, g FROM tri) GROUP BY ALL), dg AS (SELECT {_GK}, s AS node, count(*) AS d FROM f_arcs WHERE s <> t GROUP BY ALL), cl AS (SELECT {_GK}, sum(2*g/(d*(d-1)))/20 AS c FROM pn JOIN dg USING ({_GK}, node) GROUP BY ALL)"
 
 
 @query("g3_average_clustering", f"{GR}, {_CLUST} SELECT {_pre('mx')}, round(coalesce(c, 0), 6) AS average_clustering FROM mx LEFT JOIN cl USING ({_GK})")
@@ -122,33 +122,41 @@ def g12(spark, d):
 
 @query("g12_label_communities")
 def g12_labels(spark, d):
+    """Modularity of the labels, and whether they had settled after the rounds."""
     g = kept(graphs(spark, d))
-    return G.modularity(g, G.label_communities(g, S), S)
+    labels, settled = G.propagated_labels(g, S)
+    return G.modularity(g, labels, S).join(settled, S)
+
+
+@query("g12_greedy_communities")
+def g12_greedy(spark, d):
+    return G.community_score(graphs(spark, d), S, A20)
 
 
 @query("g13_graph_metrics_table")
 def g13(spark, d):
     """All tiers."""
-    return G.graph_metrics(kept(graphs(spark, d)), S, A20, ("basic", "advanced", "centrality", "community"))
+    return G.graph_metrics(graphs(spark, d), S, A20, tuple(G.TIERS))
 
 
-_G13 = f"{GR}, {_REACH}, {_CLUST}, {_STR}, {_ASSORT}, zc AS (SELECT {_GK}, label, count(*) AS k FROM cc GROUP BY ALL), gm AS (SELECT {_GK}, 'num_nodes' AS metric, 20.0::DOUBLE AS value FROM mx UNION ALL SELECT {_GK}, 'num_edges', CAST(count(*) AS DOUBLE) FROM f_graph GROUP BY ALL UNION ALL SELECT {_GK}, 'density', 2*count(*)/380.0 FROM f_graph GROUP BY {_GK} UNION ALL SELECT {_GK}, 'n_components', CAST(count(*) + 20 - sum(k) AS DOUBLE) FROM zc GROUP BY {_GK} UNION ALL SELECT {_GK}, 'largest', CAST(max(k) AS DOUBLE) FROM zc GROUP BY {_GK} UNION ALL SELECT {_pre('mx')}, 'average_clustering', coalesce(c, 0) FROM mx LEFT JOIN cl USING ({_GK}) UNION ALL SELECT {_GK}, 'degree_assortativity', {pearson_sql('k')} FROM za)"
+_G13 = f"{GR}, {_REACH}, {_CLUST}, {_STR}, {_ASSORT}, zc AS (SELECT {_GK}, label, count(*) AS k FROM cc GROUP BY ALL), gm AS MATERIALIZED (SELECT {_GK}, 'num_nodes' AS metric, 20.0::DOUBLE AS value FROM mx UNION ALL SELECT {_GK}, 'num_edges', CAST(count(*) AS DOUBLE) FROM f_graph GROUP BY ALL UNION ALL SELECT {_GK}, 'density', 2*count(*)/380.0 FROM f_graph GROUP BY {_GK} UNION ALL SELECT {_GK}, 'n_components', CAST(count(*) + 20 - sum(k) AS DOUBLE) FROM zc GROUP BY {_GK} UNION ALL SELECT {_GK}, 'largest', CAST(max(k) AS DOUBLE) FROM zc GROUP BY {_GK} UNION ALL SELECT {_pre('mx')}, 'average_clustering', coalesce(c, 0) FROM mx LEFT JOIN cl USING ({_GK}) UNION ALL SELECT {_GK}, 'degree_assortativity', {pearson_sql('k')} FROM za)"
 
 
 @query("g13_graph_metrics_basic", f"{_G13} SELECT {_GK}, metric, round(value, 6) + 0.0 AS value FROM gm")
 def g13_basic(spark, d):
-    return rounded(G.graph_metrics(kept(graphs(spark, d)), S, A20), ["value"])
+    return rounded(G.graph_metrics(graphs(spark, d), S, A20), ["value"])
 
 
-@query("x10_graph_metric_similarity", f"{_G13}, xt AS (SELECT t.subject_id, t.session, t.metric, t.value AS true_value, p.value AS pred_value FROM gm t JOIN gm p ON t.subject_id = p.subject_id AND t.session = p.session AND t.metric = p.metric AND t.version = 'true' AND p.version = 'pred') SELECT subject_id, session, metric, round(true_value, 6) + 0.0 AS true_value, round(pred_value, 6) + 0.0 AS pred_value, round(abs(true_value - pred_value), 6) AS abs_diff, round(abs(true_value - pred_value)/(abs(true_value) + 1e-10), 6) AS rel_diff, round(1 - abs(true_value - pred_value)/(abs(true_value) + 1e-10), 6) AS similarity FROM xt WHERE metric <> 'degree_assortativity'")
+# Metrics count to nine places: a difference relative to a true value of 0 would multiply its rounding error by 10^10.
+@query("x10_graph_metric_similarity", f"{_G13}, xt AS (SELECT t.subject_id, t.session, t.metric, round(t.value, 9) + 0.0 AS true_value, round(p.value, 9) + 0.0 AS pred_value FROM gm t JOIN gm p ON t.subject_id = p.subject_id AND t.session = p.session AND t.metric = p.metric AND t.version = 'true' AND p.version = 'pred') SELECT subject_id, session, metric, round(true_value, 6) + 0.0 AS true_value, round(pred_value, 6) + 0.0 AS pred_value, round(abs(true_value - pred_value), 6) AS abs_diff, round(abs(true_value - pred_value)/(abs(true_value) + 1e-10), 6) AS rel_diff, round(1 - abs(true_value - pred_value)/(abs(true_value) + 1e-10), 6) AS similarity FROM xt")
 def x10(spark, d):
-    m = G.graph_metrics(kept(graphs(spark, d)), S, A20).where("metric <> 'degree_assortativity'")
+    m = kept(rounded(G.graph_metrics(graphs(spark, d), S, A20), ["value"], 9))
     return rounded(X.metric_similarity(m, ["subject_id", "session"]), ["true_value", "pred_value", "abs_diff", "rel_diff", "similarity"])
 
 
-@query("x11_graph_metric_summary", f"{_G13}, xt AS (SELECT t.session, t.metric, t.value AS tv, p.value AS pv FROM gm t JOIN gm p ON t.subject_id = p.subject_id AND t.session = p.session AND t.metric = p.metric AND t.version = 'true' AND p.version = 'pred' WHERE t.metric <> 'degree_assortativity'), s AS (SELECT session, metric, avg(tv) AS tm, avg(pv) AS pm, avg(abs(tv - pv)) AS ad, avg(1 - abs(tv - pv)/(abs(tv) + 1e-10)) AS si, count(*) AS n, sum(tv) AS sx, sum(pv) AS sy, sum(tv*tv) AS sxx, sum(pv*pv) AS syy, sum(tv*pv) AS sxy FROM xt GROUP BY ALL) SELECT session, metric, round(tm, 6) AS true_mean, round(pm, 6) AS pred_mean, round(ad, 6) AS abs_diff_mean, round(si, 6) AS similarity_mean, n, round({pearson_sql('n')}, 4) + 0.0 AS corr FROM s")
+@query("x11_graph_metric_summary", f"{_G13}, xt AS (SELECT t.session, t.metric, round(t.value, 9) + 0.0 AS tv, round(p.value, 9) + 0.0 AS pv FROM gm t JOIN gm p ON t.subject_id = p.subject_id AND t.session = p.session AND t.metric = p.metric AND t.version = 'true' AND p.version = 'pred'), s AS (SELECT session, metric, avg(tv) AS tm, avg(pv) AS pm, avg(abs(tv - pv)) AS ad, avg(1 - abs(tv - pv)/(abs(tv) + 1e-10)) AS si, count(*) AS n, sum(tv) AS sx, sum(pv) AS sy, sum(tv*tv) AS sxx, sum(pv*pv) AS syy, sum(tv*pv) AS sxy FROM xt GROUP BY ALL) SELECT session, metric, round(tm, 6) AS true_mean, round(pm, 6) AS pred_mean, round(ad, 6) AS abs_diff_mean, round(si, 6) AS similarity_mean, n, round({pearson_sql('n')}, 4) + 0.0 AS corr FROM s")
 def x11(spark, d):
-    m = G.graph_metrics(kept(graphs(spark, d)), S, A20).where("metric <> 'degree_assortativity'")
+    m = kept(rounded(G.graph_metrics(graphs(spark, d), S, A20), ["value"], 9))
     out = X.metric_summary(X.metric_similarity(m, ["subject_id", "session"]), ["session"])
     return rounded(rounded(out, ["true_mean", "pred_mean", "abs_diff_mean", "similarity_mean"]), ["corr"], 4)
 
@@ -156,7 +164,7 @@ def x11(spark, d):
 @query("x10_graph_metric_similarity_all")
 def x10_all(spark, d):
     """Metrics of all tiers."""
-    m = G.graph_metrics(kept(graphs(spark, d)), S, A20, ("basic", "advanced", "centrality", "community"))
+    m = kept(G.graph_metrics(graphs(spark, d), S, A20, tuple(G.TIERS)))
     return X.metric_similarity(m, ["subject_id", "session"])
 
 
