@@ -2,7 +2,7 @@
 
 Vectors are whole numbers and mostly sparse to the search: a block of candidates becomes an inverted file, one posting list a term
 (a position of the vectors) with the rows and weights that aren't 0. The queries of a batch add up one term after another: each
-scatters its weight times the posting's weights into a dense array of scores, candidates down and queries across. The k best of each
+scatters its weight times the posting's weights into its dense array of scores. The k best of each
 query are picked by partition, not by sorting, and the blocks' best are merged.
 
 Every block of queries meets every block of candidates in a task of its own, which sends on k rows a query: no pair leaves its task.
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from trajgraph.llm import vectors as V
 from trajgraph.llm.common import read
 
-#: Candidates and queries of a score array: 1 or 2 MB, which stay in a core's cache.
-CANDIDATES, QUERIES = 8192, 64
+#: Candidates and queries of a score array: 1 or 2 MB, which stay in a core's cache, as do their products.
+CANDIDATES, QUERIES = 4096, 64
 #: Blocks of candidates whose best rows are merged before all are.
 SUPERBLOCK = 64
 #: What a task finds; twin and query_twin tell rows of one id apart, n and copies are the numbers of equal rows.
@@ -35,24 +35,28 @@ def postings(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first query, first candidate, scores[candidate, query]) of each batch of queries with each part of the candidates."""
+    """(first query, first candidate, scores[candidate, query]) of each batch of queries with each part of the candidates.
+
+    A posting list of more than half of the part's rows is added as a whole column, its zeros included: that is faster than scattering.
+    """
     for c in range(0, len(candidates), step := V.steps_of(len(candidates), CANDIDATES)):
         part = candidates[c : c + step]
         start, rows, weights = postings(part)
+        columns = {t: np.ascontiguousarray(part[:, t]) for t in np.flatnonzero(2 * np.diff(start) > len(part)).tolist()}
         for q in range(0, len(queries), QUERIES):
             batch = queries[q : q + QUERIES]
             q_start, q_rows, q_weights = postings(batch)
-            scores = np.zeros((len(part), len(batch)), dtype=candidates.dtype)
+            scores = np.zeros((len(batch), len(part)), dtype=candidates.dtype)
+            added = np.empty_like(scores)
             for t in range(batch.shape[1]):
                 own, asks = slice(start[t], start[t + 1]), slice(q_start[t], q_start[t + 1])
                 if own.start == own.stop or asks.start == asks.stop:
                     continue
-                added = np.multiply.outer(weights[own], q_weights[asks])
-                if asks.stop - asks.start == len(batch):
-                    scores[rows[own]] += added
+                if t in columns and 2 * (asks.stop - asks.start) > len(batch):
+                    scores += np.multiply.outer(batch[:, t], columns[t], out=added)
                 else:
-                    scores[np.ix_(rows[own], q_rows[asks])] += added
-            yield q, c, scores
+                    scores[np.ix_(q_rows[asks], rows[own])] += np.multiply.outer(q_weights[asks], weights[own])
+            yield q, c, scores.T
 
 
 def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,12 +64,19 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     the type) are left out."""
     n, k = len(scores), min(k, len(scores))
     least = np.iinfo(scores.dtype).min
-    kth = np.partition(scores, n - k, axis=0)[n - k]
-    over = scores > kth
-    need = k - over.sum(0)
-    same = (scores == kth) & (kth > least)
-    few = np.cumsum(same, axis=0, dtype=np.int32) <= need
-    return np.nonzero(over | (same & few))
+    lanes = scores.T.copy()
+    lanes.partition(n - k, axis=1)
+    kth = lanes[:, n - k]
+    row, column = np.nonzero((scores >= kth) & (scores > least))
+    # Of those equal to the k-th only the upper ones count.
+    over = scores[row, column] > kth[column]
+    need = k - np.bincount(column[over], minlength=len(kth))
+    tied = np.flatnonzero(~over)
+    tied = tied[np.argsort(column[tied], kind="stable")]
+    place = np.arange(len(tied)) - np.searchsorted(column[tied], column[tied])
+    keep = over
+    keep[tied[place < need[column[tied]]]] = True
+    return row[keep], column[keep]
 
 
 def search(rows: DataFrame, k: int, is_query: Column, scale: float, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
