@@ -294,8 +294,7 @@ def test_near_classes(spark, monkeypatch, large):
         for k in (1, 2):
             p = int(rng.integers(0, len(t)))
             texts.append(t[:p] + "#" * k + t[p + k :])
-    edge = next(n for n in range(900, 3000) if fingerprints.level_of(fingerprints.steps_of(n)) != fingerprints.level_of(fingerprints.steps_of(n + 1)))
-    across = "".join(rng.choice(letters, edge))
+    across = "".join(rng.choice(letters, 1700))
     texts += [across, across[:-9] + "#" + across[-9:], made[0], "", None]
     prints = spark.createDataFrame(list(enumerate(fingerprints.fingerprints([t or "" for t in texts]))), "doc_id long, fingerprint string")
     f = [r.fingerprint for r in prints.orderBy("doc_id").collect()]
@@ -320,6 +319,63 @@ def test_near_classes(spark, monkeypatch, large):
     assert all(blocks[a, b] == (fingerprints.likeness(f[a], f[b]) >= fingerprints.LEAST) for a in range(0, len(f), 3) for b in range(len(f)))
 
 
+def test_near_copies_of_the_documents_are_found():
+    """Pairs of different texts of the given documents with a Jaccard of 0.8 or more over 4-word shingles: at least 0.9 of them reach
+    LEAST, strangers stay far below it."""
+    table = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = sorted({t for t in table["text"] if t})
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))})
+    where = defaultdict(list)
+    for k, s in enumerate(sets):
+        for g in s:
+            where[g].append(k)
+    common = Counter(pair for ks in where.values() for pair in itertools.combinations(ks, 2))
+    near = [(a, b) for (a, b), k in common.items() if 100 * k >= 80 * len(sets[a] | sets[b])]
+    prints = fingerprints.fingerprints(texts)
+    found = sum(fingerprints.likeness(prints[a], prints[b]) >= fingerprints.LEAST for a, b in near)
+    assert len(near) >= 10 and found >= 0.9 * len(near)
+    strangers = [fingerprints.likeness(prints[a], prints[b]) for a, b in zip(range(len(texts) - 1), range(1, len(texts)), strict=True) if not common[a, b]]
+    assert np.quantile(strangers, 0.99) < 0.1
+
+
+def test_fingerprints_of_scattered_edits_and_long_texts(monkeypatch):
+    """Edits of every 60th word leave most likeness, and pieces change nothing."""
+    rng = np.random.default_rng(11)
+    words = [w for w in (sentence(rng, 1) + str(k) for k in range(2500))]
+    changed = [("edit" + w if k % 60 == 7 else w) for k, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(changed), "x", "xy", "", "né" * 700]
+    whole = fingerprints.fingerprints(texts)
+    assert fingerprints.likeness(whole[0], whole[1]) > 0.75 and fingerprints.likeness(whole[2], whole[4]) == 0
+    for piece in (50, 1000):
+        monkeypatch.setattr(fingerprints, "PIECE", piece)
+        monkeypatch.setattr(fingerprints, "LOT", 100)
+        assert fingerprints.fingerprints(texts) == whole
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_fingerprints_of_a_hot_id(spark, parts):
+    """An id with most of the rows is dealt to several slots; what follows each row is as by sorting."""
+    rng = np.random.default_rng(12)
+    rows = [(int(i), sentence(rng, 4)) for i in rng.permutation(40)] + [(17, f"copy {k % 3}") for k in range(200)] + [(39, "last again")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1)
+    first = {}
+    for i, t in rows:
+        first[i] = min(first.get(i, t), t, key=lambda x: squeeze.compress(x.encode()))
+    want = Counter((i, len(t), hashlib.sha256(fingerprints.edited(t, first[(i + 1) % 40]).encode()).hexdigest()) for i, t in rows)
+    assert got == want
+
+
 def test_fingerprints_without_ids(spark):
     df = spark.createDataFrame([(None, "abc"), (2, "second"), (1, "first"), (None, None)], "doc_id long, text string")
     got = {(r.doc_id, r.n_chars): r for r in fingerprints.fingerprint_and_link(df).collect()}

@@ -1,22 +1,25 @@
 """Document fingerprints by a randomised edit embedding.
 
-All documents share one random walk: at step j the walk writes the place it stands on and moves on by 0 or 1, as a random bit
-of j and of the character there says. Walks over two texts that differ by an edit fall into step again soon after it, so a small
-edit distance becomes a small Hamming distance of what the walks write. The walk goes over the whole text; of its steps a nested
-random sample (each step has a level, like the levels of a skip list) is kept, some SAMPLES to 2 * SAMPLES of them, one byte each.
-A fingerprint is the text's length and these bytes in hexadecimal. Texts of other lengths are compared on the levels that both keep;
-steps that only the longer walk takes count as different.
-
-Near copies are found by banding: runs of BAND sampled bytes of a text's level, and of the next one where a text of that level can
-still be alike, are keys of buckets. Texts of a bucket are compared by their whole fingerprints; as in near_dedup, what a bucket of
-several components could still join is compared too, in blocks if it is large, so no likeness within a bucket is lost.
-
-Many walks go in lockstep, the longest first, as steps of NumPy arrays.
+All documents share SLOTS random walks over characters. A walk starts at an anchor that the content chooses: of all places of the
+text those whose window of WINDOW characters hashes into the walk's slot compete, and the one of the smallest hash wins. From there
+the walk goes on by 0 or 1, as a random bit of the step and of the character there says, stops after a number of steps of its own,
+and writes one byte of the WIDTH characters it stands on. Walks that pass an edit fall into step again or write another byte; walks
+elsewhere write what they wrote before, wherever the edit has moved them. So a small edit distance becomes a small Hamming distance
+of what the walks write. Every place of the text competes. Slots without an anchor (in short texts) borrow that of another slot.
+
+A fingerprint is the text's length and these bytes in hexadecimal. With the share h of equal bytes of two fingerprints, which
+estimates the stretches that both texts have to those that either has, their likeness is 2h / (1 + h), the share of one text that
+the other has too.
+
+Near copies are found by banding: runs of BAND sampled bytes are keys of buckets. Texts of a bucket are compared by their whole
+fingerprints; as in near_dedup, what a bucket of several components could still join is compared too, in blocks if it is large, so
+no likeness within a bucket is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,93 +32,110 @@ from pyspark.sql import types as T
 from trajgraph.llm.common import FEW_ROWS, join_hot, read, splitmix, stored
 from trajgraph.llm.near_dedup import linked_components
 
-SAMPLES = 64
-#: Characters that are written together at a step.
-WIDTH = 3
-#: Characters walked over at once.
-LOT = 12_000_000
+#: Walks (a power of two), characters of an anchor's window, steps of a walk at most, and characters that are written together.
+SLOTS, WINDOW, STEPS, WIDTH = 128, 12, 24, 3
+#: Places that compete for a slot, on average: of longer texts those of the smallest hashes.
+RIVALS = 6
+#: Characters held at once, and characters hashed at once; a longer text is held alone and hashed in pieces.
+LOT, PIECE = 3_000_000, 1 << 20
 #: Bytes of a band, and the least likeness of near copies.
-BAND, LEAST = 6, 0.85
+BAND, LEAST = 5, 0.8
 #: Fingerprints of a block that is held against another one.
 BLOCK = 4096
 
+_BITS = SLOTS.bit_length() - 1
+_PAD = WINDOW + STEPS + WIDTH
+_MIX = splitmix(np.arange(16, dtype=np.uint64) + np.uint64(99)) | np.uint64(1)
+_COINS = splitmix(np.arange(SLOTS * STEPS, dtype=np.uint64) + np.uint64(1 << 33)).reshape(SLOTS, STEPS)
+_STOPS = (splitmix(np.arange(SLOTS, dtype=np.uint64) + np.uint64(1 << 35)) % np.uint64(STEPS)).astype(np.int64)
+_BY_STOP = np.argsort(-_STOPS, kind="stable")  # walks that still go on come first
+_LENDERS = (splitmix(np.arange(SLOTS * 32, dtype=np.uint64) + np.uint64(1 << 36)) % np.uint64(SLOTS)).astype(np.int64).reshape(32, SLOTS)
 
-def steps_of(n: int) -> int:
-    """Steps after which a walk has passed n characters (its mean place is half the steps, six deviations are spared)."""
-    return 0 if n == 0 else 2 * n + 6 * int(np.sqrt(2 * n)) + 8
 
-
-def level_of(steps: int) -> int:
-    """The sampling level of a walk: of its steps those of this level or higher are kept."""
-    return max(0, int(steps // SAMPLES).bit_length() - 1)
-
-
-_levels = np.zeros(0, dtype=np.int8)
-
-
-def levels(n: int) -> np.ndarray:
-    """The level of each step: zeros at the end of a random number."""
-    global _levels
-    if len(_levels) < n:
-        x = splitmix(np.arange(max(n, 1 << 16), dtype=np.uint64) + np.uint64(1 << 40))
-        low = x & (~x + np.uint64(1))
-        _levels = np.where(x == 0, 63, np.log2(np.maximum(low, 1).astype(np.float64))).astype(np.int8)
-    return _levels[:n]
-
-
-def walk(texts: list[str]) -> list[bytes]:
-    """The sampled bytes of each text."""
-    n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    order = np.argsort(-n, kind="stable")
-    steps = np.array([steps_of(int(x)) for x in n[order]], dtype=np.int64)
-    level = np.array([level_of(int(x)) for x in steps], dtype=np.int64)
-    # Laid end to end, each with WIDTH ends after it, on which walks that are through stand still.
-    chars = np.frombuffer(("\0" * WIDTH).join([*(texts[i] for i in order), ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def hashes(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place: the hash of its window, the byte that is written there, and which bit of a coin moves a walk on from there."""
     codes = splitmix(chars.astype(np.uint64))
     with np.errstate(over="ignore"):
+        wide, size = codes, 1
+        for mix in _MIX:
+            if size == WINDOW:
+                break
+            step = min(size, WINDOW - size)
+            longer = wide * mix
+            longer[:-step] += wide[step:]
+            wide, size = longer, size + step
         together = codes.copy()
         for k in range(1, WIDTH):
             together[:-k] += codes[k:] * np.uint64(2 * k + 1)
-    symbol = np.maximum((splitmix(together) >> np.uint64(56)).astype(np.uint8), 1)
-    choice = codes >> np.uint64(58)
-    del codes, together
-    begin = np.cumsum(n[order] + WIDTH) - n[order] - WIDTH
-    last = begin + n[order]
-    symbol[last] = 0  # written by a walk that is through
-    at = begin.copy()
-    coins = splitmix(np.arange(int(steps.max(initial=0)), dtype=np.uint64))
-    all_levels = levels(len(coins))
-    sizes = np.array([int((all_levels[:s] >= m).sum()) for s, m in zip(steps, level, strict=True)], dtype=np.int64)
-    kept = np.zeros((len(texts), int(sizes.max(initial=0))), dtype=np.uint8)
-    filled = np.zeros(64, dtype=np.int64)
-    # Rows of a level lie together, as levels fall with the lengths: first row of those with level <= m.
-    from_level = np.searchsorted(-level, -np.arange(64), side="left")
-    active_at = np.searchsorted(-steps, -np.arange(1, len(coins) + 1), side="right") if len(coins) else []
-    one = np.uint64(1)
-    for coin, lv, active in zip(coins, all_levels.tolist(), active_at, strict=True):
-        here = at[:active]
-        first = from_level[lv]
-        if first < active:
-            where = level[first:active]
-            kept[np.arange(first, active), filled[where]] = symbol[here[first:]]
-        filled[: lv + 1] += 1
-        here += ((coin >> choice[here]) & one).view(np.int64)
-        np.minimum(here, last[:active], out=here)
-    out: list[bytes] = [b""] * len(texts)
-    for r, i in enumerate(order):
-        out[i] = kept[r, : sizes[r]].tobytes()
+    return splitmix(wide), np.maximum((splitmix(together) >> np.uint64(56)).astype(np.uint8), 1), (codes >> np.uint64(58)).astype(np.uint8)
+
+
+def borrowed(at: np.ndarray) -> np.ndarray:
+    """at[text, slot] with the anchors of other slots where it is -1; a text has one anchor at least."""
+    out, there = at.copy(), at >= 0
+    for lender in _LENDERS:
+        need = out < 0
+        if not need.any():
+            return out
+        out = np.where(need & there[:, lender], at[:, lender], out)
+    for k in range(1, SLOTS):
+        out = np.where(out < 0, np.roll(at, k, axis=1), out)
     return out
 
 
+def walk(texts: list[str]) -> np.ndarray:
+    """The bytes that the walks write: written[text, slot], 0 for an empty text."""
+    n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    gap = "\0" * _PAD  # a walk that leaves its text stays in the gap after it
+    chars = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    begin = np.cumsum(n + _PAD) - n - _PAD
+    limit = np.minimum(2.0**63 * RIVALS * SLOTS / np.maximum(n, 1), 2.0**63 - 1024).astype(np.uint64)
+    symbol, choice = np.zeros(len(chars), dtype=np.uint8), np.zeros(len(chars), dtype=np.uint8)
+    best = np.full(len(texts) * SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    found: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, len(chars), PIECE):
+        z = min(a + PIECE, len(chars))
+        key, sign, bit = hashes(chars[a : z + WINDOW])
+        symbol[a:z], choice[a:z] = sign[: z - a], bit[: z - a]
+        value = (key[: z - a] << np.uint64(_BITS)) >> np.uint64(1)
+        first, last = np.searchsorted(begin, [a, z - 1], side="right") - 1
+        of = np.arange(first, last + 1)
+        # The bound of each place: that of its text, 0 in the gaps.
+        edges = np.clip(np.stack([begin[of], begin[of] + n[of]], axis=1).ravel(), a, z)
+        runs = np.diff(np.concatenate((edges, [z])))
+        bound = np.repeat(np.stack([limit[of], np.zeros(len(of), dtype=np.uint64)], axis=1).ravel(), runs)
+        place = np.flatnonzero(value < bound)
+        text = np.searchsorted(begin, place + a, side="right") - 1
+        slot = text * SLOTS + (key[place] >> np.uint64(64 - _BITS)).astype(np.int64)
+        np.minimum.at(best, slot, value[place])
+        found.append((slot, value[place], place + a))
+    slot, value, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    won = value == best[slot]
+    at = np.full(len(texts) * SLOTS, -1, dtype=np.int64)
+    at[slot[won][::-1]] = place[won][::-1]  # of equal hashes the first place
+    at = at.reshape(len(texts), SLOTS)
+    lacking = np.flatnonzero((at < 0).any(1) & (at >= 0).any(1))
+    at[lacking] = borrowed(at[lacking])
+    none = np.flatnonzero((at < 0).any(1))  # empty texts
+    at[none] = begin[none][:, None]
+    here, stops = np.ascontiguousarray(at[:, _BY_STOP].T), _STOPS[_BY_STOP]
+    for j in range(STEPS):
+        going = int(np.searchsorted(-stops, -j, side="left"))
+        here[:going] += ((_COINS[_BY_STOP[:going], j][:, None] >> choice[here[:going]]) & np.uint64(1)).astype(np.int64)
+    written = np.empty((len(texts), SLOTS), dtype=np.uint8)
+    written[:, _BY_STOP] = symbol[here].T
+    written[n == 0] = 0
+    return written
+
+
 def fingerprints(texts: list[str]) -> list[str]:
     """Length and sampled bytes of each whole text in hexadecimal; equal texts have equal fingerprints."""
-    unique = list(dict.fromkeys(texts))
     found: dict[str, str] = {}
     lot: list[str] = []
     total = 0
-    for text in [*unique, None]:
-        if text is None or (lot and total + len(text) > LOT):
-            found.update((t, f"{len(t):08x}{b.hex()}") for t, b in zip(lot, walk(lot), strict=True))
+    for text in [*dict.fromkeys(texts), None]:
+        if lot and (text is None or total + len(text) > LOT):
+            found.update((t, f"{len(t):08x}{b.tobytes().hex()}") for t, b in zip(lot, walk(lot), strict=True))
             lot, total = [], 0
         if text is not None:
             lot.append(text)
@@ -123,55 +143,29 @@ def fingerprints(texts: list[str]) -> list[str]:
     return [found[t] for t in texts]
 
 
-def at_level(fingerprint: str, level: int) -> np.ndarray:
-    """The sampled bytes of a fingerprint that a level keeps, its own or a higher one."""
-    x = np.frombuffer(bytes.fromhex(fingerprint[8:]), dtype=np.uint8)
-    steps = steps_of(int(fingerprint[:8], 16))
-    own = level_of(steps)
-    if level == own:
-        return x
-    lv = levels(steps)
-    return x[lv[lv >= own] >= level]
-
-
 def likeness(a: str, b: str) -> float:
-    """Share of equal bytes over the steps that either walk takes, at the level that both keep; 1 for two equal texts.
-
-    Steps at which both walks are through say nothing and are left out.
-    """
+    """2h / (1 + h) of the share h of equal bytes; 1 for two equal fingerprints, 0 for an empty text and another one."""
     if a == b:
         return 1.0
-    level = max(level_of(steps_of(int(f[:8], 16))) for f in (a, b))
-    x, y = at_level(a, level), at_level(b, level)
-    if len(x) < len(y):
-        x, y = y, x
-    y = np.concatenate([y, np.zeros(len(x) - len(y), dtype=np.uint8)])
-    taken = int(((x != 0) | (y != 0)).sum())
-    return float(((x == y) & (x != 0)).sum() / taken) if taken else 0.0
+    x, y = (np.frombuffer(bytes.fromhex(f[8:]), dtype=np.uint8) for f in (a, b))
+    h = float(((x == y) & (x != 0)).mean())
+    return 2 * h / (1 + h)
+
+
+def least_equal(least: float) -> int:
+    """Equal bytes of a likeness of `least` or more."""
+    return int(np.ceil(SLOTS * least / (2 - least) - 1e-9))
 
 
 def alike_blocks(x: list[bytes], y: list[bytes], least: float) -> np.ndarray:
     """Whether the likeness of each pair of fingerprints (as bytes) of two blocks is `least` or more."""
-    xs, ys = [v.hex() for v in x], [v.hex() for v in y]
-    level = [np.array([level_of(steps_of(int(f[:8], 16))) for f in v]) for v in (xs, ys)]
-    size = [np.array([int(f[:8], 16) for f in v]) for v in (xs, ys)]
-    out = np.zeros((len(xs), len(ys)), dtype=bool)
-    for a in np.unique(level[0]):
-        for b in np.unique(level[1]):
-            rows, cols, top = np.flatnonzero(level[0] == a), np.flatnonzero(level[1] == b), int(max(a, b))
-            if abs(int(a) - int(b)) > 1:
-                continue  # lengths too far apart
-            p, q = [at_level(xs[i], top) for i in rows], [at_level(ys[i], top) for i in cols]
-            width = max(map(len, [*p, *q]))
-            m, w = (np.zeros((len(v), width), dtype=np.uint8) for v in (p, q))
-            for mat, v in ((m, p), (w, q)):
-                for r, f in enumerate(v):
-                    mat[r, : len(f)] = f
-            for r in range(len(rows)):
-                same = ((w == m[r]) & (m[r] != 0)).sum(1)
-                taken = ((w != 0) | (m[r] != 0)).sum(1)
-                out[rows[r], cols] = (same >= least * taken) & (taken > 0)
-    return out | (size[0][:, None] == 0) & (size[1][None, :] == 0)
+    m, w = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(len(v), 4 + SLOTS) for v in (x, y))
+    out = np.zeros((len(x), len(y)), dtype=bool)
+    need = least_equal(least)
+    for r, row in enumerate(m):
+        same = w[:, 4:] == row[4:]
+        out[r] = (same & (row[4:] != 0)).sum(1) >= need if row[4:].any() else (w == row).all(1)
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -180,38 +174,72 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and the compressed text: texts cross the network once, and small."""
+def packed(docs: DataFrame, cuts: np.ndarray, hot: dict[float, int], first: dict[int, int], sent: dict[int, list[int]]) -> DataFrame:
+    """(slot, own, doc_id, packed): each document with an id, compressed, in the slot of its range of ids; own is false for copies of a
+    document in slots in which it follows the last one. Texts cross the network once, and small.
+
+    first: the slot of each range; a hot id has slots of its own after that of its range. sent: the slots that need a copy of an id;
+    of repeated rows of it only the least of each batch is sent.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "packed": [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]})
-
-    slim = docs.select("doc_id", "text")
-    return slim.mapInPandas(pack, slim.select("doc_id", F.lit(b"").alias("packed")).schema)
+            ids = pdf["doc_id"].to_numpy()
+            raw = [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in pdf["text"]]
+            slot = np.array([first[p] for p in np.searchsorted(cuts, ids.astype(np.float64), side="right").tolist()], dtype=np.int32)
+            for k, i in enumerate(ids.tolist()):
+                if float(i) in hot:
+                    slot[k] += 1 + k % hot[float(i)]
+            least: dict[int, bytes] = {}
+            for i, x in zip(ids.tolist(), raw, strict=True):
+                if i in sent and x <= least.get(i, x):
+                    least[i] = x
+            more = [(to, i, x) for i, x in least.items() for to in sent[i]]
+            yield pd.DataFrame({"slot": np.concatenate((slot, np.array([m[0] for m in more], dtype=np.int32))), "own": [True] * len(ids) + [False] * len(more), "doc_id": np.concatenate((ids, np.array([m[1] for m in more], dtype=np.int64))), "packed": raw + [m[2] for m in more]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(pack, "slot int, own boolean, doc_id long, packed binary")
 
 
 def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(part, doc_id, packed, own) of the documents with an id, so that each part, in order of doc_id, also holds the document after
-    its last one (own false).
+    """The rows of packed, so that each slot also holds the document that follows the largest id in it; and the number of slots.
 
-    Parts are ranges of doc_id between quantiles. Only the smallest id of each part, as many as parts, comes to the driver.
+    Ranges of doc_id lie between quantiles. An id that is several quantiles, one with more rows than a range, is dealt to as many
+    slots of its own. Only the smallest id of each range and the one after each hot id come to the driver: as many as partitions.
     """
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.col("doc_id").cast("double").alias("x"))
-    cuts = sorted({*ids.approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    place = lambda id_: F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= id_.cast("double"))).cast("int") if cuts else F.lit(0)
-    first = sorted((r.part, r.id) for r in docs.groupBy(place(F.col("doc_id")).alias("part")).agg(F.min("doc_id").alias("id")).collect())
-    numbered = packed(docs).withColumn("part", place(F.col("doc_id")))
-    # The first document of a part also goes to the part before it; that of the first one to the last.
-    ahead = {(p, i): first[k - 1][0] for k, (p, i) in enumerate(first)}
-    if not ahead:
-        return numbered.withColumn("own", F.lit(True)), 0
-    to = F.element_at(F.create_map(*[c for (_, i), p in ahead.items() for c in (F.lit(i), F.lit(p))]), F.col("doc_id"))
-    numbered = numbered.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(False).alias("own")))))))
-    return numbered.select("to.part", "to.own", "doc_id", "packed"), len(first)
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    each = ids.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    hot = {float(c): k for c, k in Counter(each).items() if k > 1}
+    cuts, warm = np.unique(np.array(each, dtype=np.float64)), np.array(sorted(hot), dtype=np.float64)
+
+    def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = pdf["doc_id"].to_numpy()
+            x = own.astype(np.float64)
+            after = np.searchsorted(warm, x, side="left")  # hot ids below
+            kinds = [("range", np.searchsorted(cuts, x, side="right"), own), ("after", after[after > 0] - 1, own[after > 0])]
+            yield pd.concat([pd.DataFrame({"kind": kind, "k": k, "id": i}).groupby(["kind", "k"], as_index=False).min() for kind, k, i in kinds])
+
+    # An id after several hot ones follows only the last of them; those before have that one after them.
+    found = ids.mapInPandas(marks, "kind string, k long, id long").groupBy("kind", "k").agg(F.min("id").alias("id")).collect()
+    least = {r.k: r.id for r in found if r.kind == "range"}
+    after = {r.k: r.id for r in found if r.kind == "after"}
+    first: dict[int, int] = {}
+    sent: dict[int, list[int]] = {}
+    slots = 0
+    there = sorted(least)
+    for at, p in enumerate(there):
+        first[p] = slots
+        following = least[there[(at + 1) % len(there)]]
+        sent.setdefault(following, []).append(slots)
+        own = [c for c in hot if np.searchsorted(cuts, c, side="right") == p]
+        slots += 1
+        for c in own:
+            following = after.get(int(np.searchsorted(warm, c)), least[there[0]])
+            sent.setdefault(following, []).extend(range(slots, slots + hot[c]))
+            slots += hot[c]
+    return packed(docs, cuts, hot, first, sent), slots
 
 
 SHAPE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -254,91 +282,68 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     columns of docs are not read.
     """
     named = docs.where(F.col("doc_id").isNotNull())
-    parted, parts = in_order(named)
-    dealt = parted.repartitionByRange(max(1, parts), "part").sortWithinPartitions("part", F.col("own").desc(), "doc_id", "packed")
+    parted, slots = in_order(named)
+    # From the largest id down, copies first: what follows a document is known when it comes, and rows of one id aren't gathered.
+    dealt = parted.repartitionByRange(max(1, slots), "slot").sortWithinPartitions("slot", "own", F.col("doc_id").desc(), "packed")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, str]] = []
         unpack = zstandard.ZstdDecompressor()
-
-        def finish(rows: list[tuple[int, str]], following: str | None) -> pd.DataFrame:
-            """Rows of whole ids; following: the text after the last of them."""
-            nexts: list[str] = [""] * len(rows)
-            after = following if following is not None else rows[0][1]
-            k = len(rows)
-            while k:
-                j = k - 1
-                while j and rows[j - 1][0] == rows[k - 1][0]:
-                    j -= 1
-                nexts[j:k] = [after] * (k - j)
-                after, k = rows[j][1], j
-            return described([r[0] for r in rows], [r[1] for r in rows], nexts)
-
-        size, part = 0, None
+        held: list[tuple[int, str, str]] = []
+        size, at, now, here, after = 0, None, None, "", ""
         for pdf in batches:
-            for p, own, doc_id, raw in zip(pdf["part"], pdf["own"], pdf["doc_id"], pdf["packed"], strict=True):
-                key, text = int(doc_id), unpack.decompress(raw).decode("utf-8", "surrogatepass")
-                if not own:  # ids ascend, so the first of these is what follows the part's last document
-                    if held:
-                        yield finish(held, text)
-                        held, size = [], 0
+            for slot, own, doc_id, raw in zip(pdf["slot"].tolist(), pdf["own"].tolist(), pdf["doc_id"].tolist(), pdf["packed"], strict=True):
+                text = unpack.decompress(raw).decode("utf-8", "surrogatepass")
+                if slot != at:
+                    at, now, after = slot, None, None
+                if not own:
+                    after = text if after is None else after
                     continue
-                if held and p != part:
-                    yield finish(held, None)
-                    held, size = [], 0
-                elif held and size > LOT and key != held[-1][0]:
-                    yield finish(held, text)
-                    held, size = [], 0
-                part = p
-                held.append((key, text))
+                if doc_id != now:
+                    after = after if now is None else here
+                    now, here = doc_id, text
+                held.append((doc_id, text, after))
                 size += len(text)
+                if size > LOT:
+                    yield described(*map(list, zip(*held, strict=True)))
+                    held, size = [], 0
         if held:
-            yield finish(held, None)
+            yield described(*map(list, zip(*held, strict=True)))
 
-    out = dealt.select("part", "own", "doc_id", "packed").mapInPandas(work, SHAPE)
+    out = dealt.mapInPandas(work, SHAPE)
     if not docs.where(F.col("doc_id").isNull()).limit(1).count():
         return out
     least = named.agg(F.min("doc_id")).first()[0]
-    first = min((r.packed for r in packed(named.where(F.col("doc_id") == least)).collect()), default=None)
-    return out.unionByName(without_id(docs, "" if first is None else zstandard.ZstdDecompressor().decompress(bytes(first)).decode("utf-8", "surrogatepass")))
+    first = named.where(F.col("doc_id") == least)
+    texts = [zstandard.ZstdDecompressor().decompress(bytes(r.packed)).decode("utf-8", "surrogatepass") for r in first.transform(first_packed).collect()]
+    return out.unionByName(without_id(docs, texts[0] if texts else ""))
+
 
+def first_packed(rows: DataFrame) -> DataFrame:
+    """One row (packed): the first of the compressed texts."""
+    return packed(rows, np.zeros(0), {}, {0: 0}, {}).groupBy().agg(F.min("packed").alias("packed")).where(F.col("packed").isNotNull())
 
-def bands(classes: DataFrame, least: float) -> DataFrame:
-    """(node, key) of each class (node, fingerprint): keys of the runs of BAND sampled bytes, of its level and of the next one where a
-    text of that level can be alike; runs of which no step is taken have none."""
+
+def bands(classes: DataFrame) -> DataFrame:
+    """(node, key) of each class (node, fingerprint): keys of the runs of BAND sampled bytes."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            nodes, keys = [], []
-            for node, f in zip(pdf["node"], pdf["fingerprint"], strict=True):
-                steps = steps_of(int(f[:8], 16))
-                own = level_of(steps)
-                upper = [own + 1] if steps < SAMPLES * (2 << own) <= (steps + 8) / (least - 0.05) else []
-                for level in (own, *upper):
-                    taken = at_level(f, level)
-                    for b in range(0, len(taken), BAND):
-                        run = taken[b : b + BAND]
-                        if run.any():
-                            nodes.append(node)
-                            keys.append(int.from_bytes(hashlib.blake2b(run.tobytes().ljust(BAND, b"\0"), digest_size=8, key=b"%d:%d" % (level, b)).digest(), "little", signed=True))
-            yield pd.DataFrame({"node": np.array(nodes, dtype=np.int64), "key": np.array(keys, dtype=np.int64)})
+            m = np.frombuffer(bytes.fromhex("".join(f[8:] for f in pdf["fingerprint"])), dtype=np.uint8).reshape(len(pdf), SLOTS)
+            runs = m[:, : SLOTS // BAND * BAND].reshape(len(pdf), -1, BAND).astype(np.uint64)
+            raw = np.tile(np.arange(runs.shape[1], dtype=np.uint64) << np.uint64(8 * BAND), (len(pdf), 1))
+            for k in range(BAND):
+                raw |= runs[:, :, k] << np.uint64(8 * k)
+            yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), runs.shape[1]), "key": splitmix(raw).view(np.int64).ravel()})
 
     return classes.mapInPandas(cut, "node long, key long")
 
 
 @F.pandas_udf(T.BooleanType())
 def alike(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([likeness(x.hex(), y.hex()) >= v for x, y, v in zip(a, b, least, strict=True)], dtype=bool)
-
-
-@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("level", "taken", "upper")]))
-def taken_of(fingerprints_: pd.Series) -> pd.DataFrame:
-    """The level of each fingerprint, and the sampled steps that its walk takes at that level and at the next one."""
-    rows = []
-    for f in fingerprints_:
-        level = level_of(steps_of(int(f[:8], 16)))
-        rows.append((level, int(np.count_nonzero(at_level(f, level))), int(np.count_nonzero(at_level(f, level + 1)))))
-    return pd.DataFrame(rows, columns=["level", "taken", "upper"]).astype("int32")
+    if not len(a):
+        return pd.Series([], dtype=bool)
+    x, y = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(len(v), 4 + SLOTS)[:, 4:] for v in (a, b))
+    return pd.Series(((x == y) & (x != 0)).sum(1) >= least_equal(float(least.iloc[0])))
 
 
 def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
@@ -346,8 +351,8 @@ def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
     of the documents that likeness joins it to, directly or over others; prints: doc_id, fingerprint."""
     keyed = prints.select("doc_id", "fingerprint", *print_keys())
     classes = keyed.groupBy("print", "check").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m"), F.first("fingerprint").alias("fingerprint"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("t", taken_of("fingerprint")).select("*", "t.*").drop("t"))
-    banded = bands(classes.where(F.substring("fingerprint", 1, 8) != "00000000").select("node", "fingerprint"), least)
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+    banded = bands(classes.where(F.substring("fingerprint", 1, 8) != "00000000").select("node", "fingerprint"))
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where(F.col("size") > 1)
     buckets = stored(join_hot(banded, crowded, ["key"], "size", "node").select(F.lit(0).alias("band"), "key", "node", "least"))
     whole = F.unhex("fingerprint")
@@ -357,14 +362,9 @@ def near_classes(prints: DataFrame, least: float = LEAST) -> DataFrame:
         return pairs.join(of("a"), "a").join(of("b"), "b").where(alike("_a", "_b", F.lit(least))).select("a", "b")
 
     def candidates(few: DataFrame) -> DataFrame:
-        few = few.join(classes.select("node", "level", "taken", "upper"), "node")
-        left = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("level").alias("la"), F.col("taken").alias("ta"), F.col("upper").alias("ua"))
-        right = few.select(F.col("key").alias("key"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("level").alias("lb"), F.col("taken").alias("tb"), F.col("upper").alias("ub"))
-        # Steps that the longer walk alone takes are different: a likeness is at most the ratio of the steps taken.
-        x = F.when(F.col("la") < F.col("lb"), F.col("ua")).otherwise(F.col("ta"))
-        y = F.when(F.col("lb") < F.col("la"), F.col("ub")).otherwise(F.col("tb"))
-        near = (F.abs(F.col("la") - F.col("lb")) <= 1) & (F.least(x, y) >= F.lit(least) * F.greatest(x, y))
-        return left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+        left = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
+        right = few.select(F.col("key").alias("key"), F.col("node").alias("b"), F.col("component").alias("cb"))
+        return left.join(right, "key").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
 
     payload = classes.select("node", whole.alias("set"))
     found = linked_components(buckets, confirm_, candidates, payload, lambda x, y: alike_blocks(x, y, least), BLOCK)
