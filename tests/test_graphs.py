@@ -391,3 +391,34 @@ def test_labels_tell_whether_they_settled(spark):
     labels, settled = G.propagated_labels(e, ["graph_id"], 8)
     assert values(settled, "settled") == {"two": False, "loop": True}  # two nodes that only know each other swap for ever
     assert labels.count() == 5
+
+
+def test_sums_of_pairs_without_pairs(spark, monkeypatch):
+    """Subjects in many blocks: sums of all ordered and unordered pairs; a subject without a true graph, one without a predicted one."""
+    monkeypatch.setattr(S, "BLOCK", 3)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(11, 6))
+    df = spark.createDataFrame([("g", i, [float(x) for x in r]) for i, r in enumerate(v)], "g string, s int, z array<double>")
+    dots = v @ v.T
+    upper = dots[np.triu_indices(11, 1)]
+    got = S.pair_sums(df, df, ["g"], "s", "z", "dot", False).first()
+    assert got.k == 55 and math.isclose(got.total, upper.sum()) and math.isclose(got.squares, (upper**2).sum())
+    each = {r.s: r for r in S.pair_sums(df, df.where("s < 5"), ["g"], "s", "z", "distance", True).collect()}
+    for i in range(11):
+        far = [np.linalg.norm(v[i] - v[j]) for j in range(5) if j != i]
+        assert each[i].k == len(far) and math.isclose(each[i].total, sum(far), rel_tol=1e-9) and math.isclose(each[i].squares, sum(x * x for x in far), rel_tol=1e-9)
+    graphs = {(side, i): np.triu(rng.integers(0, 3, (4, 4))).astype(float) + np.eye(4) for i in range(5) for side in "tp"}
+    rows = [("c", i, r + 1, c + 1, float(graphs["t", i][r, c]) if i != 2 else 0.0, float(graphs["p", i][r, c]) if i != 3 else 0.0) for i in range(5) for r in range(4) for c in range(r, 4)]
+    b = spark.createDataFrame(rows, "ctype string, subject_id int, i int, j int, t double, p double")
+    iu = np.triu_indices(4)
+    r = lambda x, y: np.corrcoef(x[iu], y[iu])[0, 1]
+    got = {x.subject_id: x.value for x in S.inter_of_both(b, ["ctype"], "subject_id", 4).collect()}
+    want = {i: np.mean([r(graphs["p", i], graphs["t", j]) for j in range(5) if j not in (i, 2)]) for i in range(5) if i != 3}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
+def test_graphs_without_a_logarithm_are_counted(spark):
+    logs = spark.createDataFrame([("c", i, v, [float(i), 1.0]) for i in range(3) for v in ("true", "pred") if (i, v) != (2, "true")], "ctype string, subject_id int, version string, log array<double>")
+    subjects = spark.createDataFrame([("c", i) for i in range(3)], "ctype string, subject_id int")
+    got = {r.subject_id: (r.value, r.left_out) for r in S.inter_lerm(logs, ["ctype"], "subject_id", subjects).collect()}
+    assert got == {0: (1.0, 1), 1: (1.0, 1), 2: (1.5, 0)}

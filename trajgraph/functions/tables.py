@@ -26,7 +26,26 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The file system that holds a path, and the path as an object of it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder in ascending order; none if it isn't there."""
+    fs, at = file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def create(spark: SparkSession, path: str) -> None:
+    """An empty file, whose name is the message; fails if it is there."""
+    fs, at = file_system(spark, path)
+    if not fs.createNewFile(at):
+        raise FileExistsError(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes the steps that kept has written in this application; no table that reads them may be used afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/steps")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, at = file_system(spark, f"{shared_dir(spark)}/steps")
+    fs.delete(at, True)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from trajgraph.functions.ranks import quantiles
+from trajgraph.functions.tables import kept
+
 #: Weightings whose zeros mean "not measured".
 MASKED = ("fa", "md", "ad", "rd")
 EPS = 1e-10
@@ -409,5 +412,6 @@ def bland_altman(b: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def clip_range(e: DataFrame, keys: list[str], share: float = 0.99) -> DataFrame:
     """(keys, lo, hi): the percentile of absolute weights; about 0 if some weight is negative, else from 0."""
-    s = e.where((F.col("w") != 0) & ~F.isnan("w") & (F.abs("w") < float("inf"))).groupBy(*keys).agg(F.percentile(F.abs("w"), F.lit(share)).alias("hi"), F.min("w").alias("least"))
-    return s.select(*keys, F.when(F.col("least") < 0, -F.col("hi")).otherwise(0.0).alias("lo"), "hi")
+    finite = kept(e.where((F.col("w") != 0) & ~F.isnan("w") & (F.abs("w") < float("inf"))).select(*keys, "w", F.abs("w").alias("size")))
+    s = finite.groupBy(*keys).agg(F.min("w").alias("least")).join(quantiles(finite, keys, "size", [share]), keys)
+    return s.select(*keys, F.when(F.col("least") < 0, -F.col("q")[0]).otherwise(0.0).alias("lo"), F.col("q")[0].alias("hi"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trajgraph.functions.polyline import AXES
+from trajgraph.functions.ranks import largest_group, row_numbers
+from trajgraph.functions.tables import kept
 
 
 def recenter(df: DataFrame, keys: list[str], id_: str, points: str, centre: tuple[float, float, float]) -> DataFrame:
@@ -61,46 +65,141 @@ def nearest(x: np.ndarray, y: np.ndarray, turned: np.ndarray | None, ids: np.nda
     return row[top], ids[col[top]], dist[top], flip[top]
 
 
+#: Pivots of an index, and the lines from which they are chosen.
+PIVOTS, PIVOT_SAMPLE = 32, 1024
+
+
+def between(x: np.ndarray, y: np.ndarray, flip: bool, n_points: int) -> np.ndarray:
+    """Distances of every row of x to every row of y; with flip the smaller one of a line and its reverse."""
+    norms = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    d = norms - 2 * (x @ y.T)
+    if flip:
+        d = np.minimum(d, norms - 2 * (x @ y.reshape(len(y), -1, 3)[:, ::-1].reshape(len(y), -1).T))
+    return np.sqrt(np.maximum(d, 0.0)) / n_points
+
+
+def pivots_of(lines: DataFrame, flip: bool, n_points: int) -> np.ndarray:
+    """PIVOTS lines far from each other, the later ones nearer: each is the farthest from those before in a sample of PIVOT_SAMPLE
+    lines with the smallest hashes. The first few of them are pivots of a coarser index."""
+    rows = lines.orderBy(F.xxhash64("_id", "_v"), "_id").limit(PIVOT_SAMPLE).select("_v").collect()
+    v = np.array([r[0] for r in rows], dtype=np.float64)
+    d, chosen = between(v, v, flip, n_points), [0]
+    while len(chosen) < min(PIVOTS, len(v)) and (gap := d[chosen].min(0)).max() > 0:
+        chosen.append(int(gap.argmax()))
+    return v[chosen]
+
+
+def indexed(lines: DataFrame, on: list[str], flip: bool, n_points: int) -> DataFrame:
+    """lines (on, _id, _v, ...) with _part, their block, and _d, their distances to all pivots; a stored table.
+
+    A group with lines for b blocks uses the first b pivots: a line goes to its nearest one, and the lines of a pivot with more than
+    BLOCK_LINES are parted by a hash. So blocks are compact, and few in small groups.
+    """
+    pivots = pivots_of(lines, flip, n_points)
+    size = lines.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counted = lines.join(size, on)
+    names = [*lines.columns, "_cell", "_d"]
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            d = between(np.vstack(pdf["_v"]), pivots, flip, n_points)
+            used = np.clip(-(-pdf["_n"].to_numpy() // BLOCK_LINES), 1, len(pivots))
+            cell = np.where(np.arange(len(pivots)) < used[:, None], d, np.inf).argmin(1)
+            yield pdf.drop(columns="_n").assign(_cell=cell, _d=list(d))[names]
+
+    shape = T.StructType([*lines.schema, T.StructField("_cell", T.LongType()), T.StructField("_d", T.ArrayType(T.DoubleType()))])
+    placed = kept(counted.select(*lines.columns, "_n").mapInPandas(measure, shape)) if lines.take(1) else kept(lines.withColumn("_cell", F.lit(0)).withColumn("_d", F.array(F.lit(0.0))))
+    chunks = placed.groupBy(*on, "_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_LINES).alias("_chunks"))
+    chunk = F.pmod(F.xxhash64("_id"), F.col("_chunks"))
+    return kept(placed.join(chunks, [*on, "_cell"]).withColumn("_part", F.col("_cell") * (1 << 32) + chunk).drop("_cell", "_chunks"))
+
+
+def near_blocks(lines: DataFrame, home: DataFrame, on: list[str], k: int) -> DataFrame:
+    """(on, _part, _to): pairs of blocks that may hold neighbours for each other, a block with itself left out.
+
+    home: the neighbours found in the own block; the k-th distance of the worst placed line of a block bounds what it still looks for.
+    A pair is skipped when, for some pivot, the ranges of distances of both blocks lie farther apart than that: by the triangle
+    inequality (which a line and its reverse taken as one keep) no line of the one is so near to one of the other.
+    """
+    n = len(lines.first()["_d"]) if lines.take(1) else 0
+    bound = home.groupBy(*on, "_id").agg(F.count(F.lit(1)).alias("found"), F.max("dist").alias("far"))
+    reach = F.max(F.when(F.col("found") >= k, F.col("far")).otherwise(float("inf"))).alias("reach")
+    reaches = lines.where("_asks").join(bound, [*on, "_id"], "left").groupBy(*on, "_part").agg(reach)
+    each = lambda f: F.array(*[f(F.element_at("_d", i + 1)) for i in range(n)])
+    stats = lines.groupBy(*on, "_part").agg(each(F.min).alias("lo"), each(F.max).alias("hi"), F.max("_offers").alias("offers")).join(reaches, [*on, "_part"], "left")
+
+    def pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, part = np.vstack(pdf["lo"]), np.vstack(pdf["hi"]), pdf["_part"].to_numpy()
+        reach = pdf["reach"].to_numpy(dtype=float)
+        reach = np.where(np.isnan(reach), -1.0, reach + 1e-6 * (1.0 + np.where(np.isfinite(reach), reach, 0.0)))
+        offers, out = pdf["offers"].to_numpy(dtype=bool), []
+        for a in np.flatnonzero(reach >= 0):
+            apart = np.maximum(lo - hi[a], lo[a] - hi).max(1)
+            to = np.flatnonzero(offers & (apart <= reach[a]) & (np.arange(len(part)) != a))
+            out.append(pd.DataFrame({c: np.full(len(to), key[i], dtype=object) for i, c in enumerate(on)} | {"_part": np.full(len(to), part[a]), "_to": part[to]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*on, "_part", "_to"])
+
+    shape = T.StructType([*[lines.schema[c] for c in on], T.StructField("_part", T.LongType()), T.StructField("_to", T.LongType())])
+    return kept(stats.groupBy(*on).applyInPandas(pair, shape))  # a group has a row a block
+
+
 def knn(df: DataFrame, keys: list[str], id_: str, points: str, k: int, candidates: DataFrame | None = None, block: int | None = None, endpoints: bool = False, flip: bool = True) -> DataFrame:
     """(keys, id, rank, neighbour, dist, flip): the k nearest lines of the same keys (and block), the line itself included.
 
     candidates: rows to choose from, by default all; block: search only among about so many lines of consecutive ids. Ties go to the
-    smaller id. Lines are dealt to blocks of BLOCK_LINES; every block of lines meets every block of candidates in a task of its own
-    and sends on its k nearest, so all candidates are compared and no pair leaves its task.
+    smaller id. Groups of up to BLOCK_LINES lines are compared in a task each. Larger ones get an index of pivots (see indexed): lines
+    look in their own block first, and then only in blocks that the triangle inequality doesn't rule out. The k nearest rows of a
+    line leave a task, never its pairs, and nothing is left out that could be nearer.
     """
     on = list(keys)
-    left, right = df, df if candidates is None else candidates
+    ends = F.array(F.element_at(points, 1), F.element_at(points, -1)) if endpoints else F.col(points)
+    flat = F.flatten(F.transform(ends, lambda p: F.array(*[p[c].cast("double") for c in AXES]))).alias("_v")
+    lines = df
     if block:
         n = df.groupBy(*keys).agg((F.greatest(F.floor(F.count(F.lit(1)) / block), F.lit(1))).alias("_blocks"), F.count(F.lit(1)).alias("_n"))
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(id_)) - 1
-        placed = df.withColumn("_rank", rank).join(n, keys).withColumn("_block", F.floor(F.col("_rank") / (F.floor(F.col("_n") / F.col("_blocks")) + 1)))
-        placed = placed.drop("_rank", "_blocks", "_n")
-        left = placed
-        right = placed if candidates is None else placed.join(candidates.select(*keys, id_), [*keys, id_], "left_semi")
+        placed = row_numbers(df, keys, [id_], "_rank").join(n, keys)
+        lines = placed.withColumn("_block", F.floor(F.col("_rank") / (F.floor(F.col("_n") / F.col("_blocks")) + 1))).drop("_rank", "_blocks", "_n")
         on.append("_block")
-    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    parts = -(-min(most, 2 * block if block else most) // BLOCK_LINES)
-    ends = F.array(F.element_at(points, 1), F.element_at(points, -1)) if endpoints else F.col(points)
-    flat = F.flatten(F.transform(ends, lambda p: F.array(*[p[c].cast("double") for c in AXES]))).alias("_v")
-    part, every = F.pmod(F.xxhash64(id_), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    x = left.select(*on, F.col(id_).alias("_id"), flat, part.alias("_p"), every.alias("_q"))
-    y = right.select(*[F.col(c).alias(c) for c in on], F.col(id_).alias("_id"), flat, every.alias("_p"), part.alias("_q"))  # named anew: it may be one table with x
+    lines = lines.select(*on, F.col(id_).alias("_id"), flat, F.lit(True).alias("_asks"))
+    if candidates is None:
+        lines = lines.withColumn("_offers", F.lit(True))
+    else:
+        chosen = candidates.select(*keys, F.col(id_).alias("_id"), F.lit(True).alias("_offers")).distinct()
+        lines = lines.join(chosen, [*keys, "_id"], "left").withColumn("_offers", F.coalesce("_offers", F.lit(False)))
+    types = df.schema
+    shape = T.StructType([*[lines.schema[c] for c in on], T.StructField("_id", types[id_].dataType), T.StructField("neighbour", types[id_].dataType), T.StructField("dist", T.DoubleType()), T.StructField("flip", T.IntegerType())])
 
     def work(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        row, ids, dist, flips = (np.zeros(0, dtype=np.int64), q["_id"].to_numpy()[:0], np.zeros(0), np.zeros(0, dtype=np.int32))
-        if len(p) and len(q):
-            a, b = np.vstack(p["_v"]), np.vstack(q["_v"])
-            turned = b.reshape(len(b), -1, 3)[:, ::-1].reshape(len(b), -1) if flip else None
-            row, ids, dist, flips = nearest(a, b, turned, q["_id"].to_numpy(), k, 15)
-        return pd.DataFrame({c: np.full(len(row), key[i], dtype=object) for i, c in enumerate(keys)} | {id_: p["_id"].to_numpy()[row], "neighbour": ids, "dist": dist, "flip": flips})
-
-    types = df.schema
-    shape = T.StructType([*[types[c] for c in keys], T.StructField(id_, types[id_].dataType), T.StructField("neighbour", types[id_].dataType), T.StructField("dist", T.DoubleType()), T.StructField("flip", T.IntegerType())])
-    dealt = [*on, "_p", "_q"]
-    pairs = x.groupBy(*dealt).cogroup(y.groupBy(*dealt)).applyInPandas(work, shape)
+        if not len(p) or not len(q):
+            return pd.DataFrame(columns=shape.names)
+        a, b = np.vstack(p["_v"]), np.vstack(q["_v"])
+        out = []
+        for x0 in range(0, len(a), BLOCK_LINES):
+            for y0 in range(0, len(b), BLOCK_LINES):
+                y, ids = b[y0 : y0 + BLOCK_LINES], q["_id"].to_numpy()[y0 : y0 + BLOCK_LINES]
+                turned = y.reshape(len(y), -1, 3)[:, ::-1].reshape(len(y), -1) if flip else None
+                row, near, dist, flips = nearest(a[x0 : x0 + BLOCK_LINES], y, turned, ids, k, 15)
+                out.append(pd.DataFrame({c: np.full(len(row), key[i], dtype=object) for i, c in enumerate(on)} | {"_id": p["_id"].to_numpy()[x0:][row], "neighbour": near, "dist": dist, "flip": flips}))
+        return pd.concat(out)
+
+    def meet(x: DataFrame, y: DataFrame, dealt: list[str]) -> DataFrame:
+        renamed = y.select(*[F.col(c).alias(c) for c in y.columns])  # named anew: it may be one table with x
+        return x.groupBy(*dealt).cogroup(renamed.groupBy(*dealt)).applyInPandas(work, shape)
+
+    lines = kept(lines)
+    if largest_group(lines, on) <= BLOCK_LINES:
+        found = meet(lines.where("_asks"), lines.where("_offers"), on)
+    else:
+        lines = indexed(lines, on, flip, 15)
+        home = kept(meet(lines.where("_asks"), lines.where("_offers"), [*on, "_part"]))
+        pairs = near_blocks(lines, home, on, k)
+        asking = lines.where("_asks").drop("_d", "_offers").join(pairs, [*on, "_part"])
+        offering = lines.where("_offers").select(*on, "_id", "_v", F.col("_part").alias("_to")).join(pairs, [*on, "_to"])
+        found = home.unionByName(meet(asking, offering, [*on, "_part", "_to"]))
     # Equal to the last bits, lines may tie: distances are compared to nine places.
-    near = Window.partitionBy(*keys, id_).orderBy(F.round("dist", 9), "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    near = Window.partitionBy(*keys, "_id").orderBy(F.round("dist", 9), "neighbour")
+    top = found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    return top.select(*keys, F.col("_id").alias(id_), "neighbour", "dist", "flip", "rank")
 
 
 def capped_sample(df: DataFrame, keys: list[str], order: Column, n: int, tie: str) -> DataFrame:
@@ -113,8 +212,8 @@ def rate_sample(df: DataFrame, keys: list[str], order: Column, rate: float, tie:
     if not 0 < rate < 1:
         return df
     n = df.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) * rate).alias("_n"))
-    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order, tie))).join(n, keys)
-    return ranked.where(F.col("_k") <= F.col("_n")).drop("_k", "_n")
+    ranked = row_numbers(df.withColumn("_order", order), keys, ["_order", tie], "_k").join(n, keys)
+    return ranked.where(F.col("_k") < F.col("_n")).drop("_k", "_n", "_order")
 
 
 def global_sample(df: DataFrame, keys: list[str], id_: str, k: int, seed: int = 42, number: Column | None = None) -> DataFrame:
@@ -122,7 +221,7 @@ def global_sample(df: DataFrame, keys: list[str], id_: str, k: int, seed: int =
 
     number: a whole number of 0 or more from keys and `draw`, by default a hash.
     """
-    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(id_)) - 1)
+    ranked = row_numbers(df, keys, [id_], "_k")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     draws = n.select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("draw"))
     draws = draws.withColumn("_k", F.pmod(F.xxhash64(*keys, "draw", F.lit(seed)) if number is None else number, F.col("_n")))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajgraph.functions.ranks import largest_group
+from trajgraph.functions.tables import kept
 from trajgraph.operators import compare
 from trajgraph.operators.compare import EPS, cells, guarded
 
@@ -32,33 +34,47 @@ def vectors(e: DataFrame, keys: list[str], n: int) -> DataFrame:
     return e.select(*keys, "i", "j", "w").groupBy(*keys).applyInPandas(work, shape)
 
 
-def pair_blocks(x: DataFrame, y: DataFrame, group: list[str], subject: str, column: str, measure: str, keep: str = "all") -> DataFrame:
-    """(group, a, b, value) of every subject of x against every subject of y: the dot product or the distance of their vectors.
+def pair_sums(x: DataFrame, y: DataFrame, group: list[str], subject: str, column: str, measure: str, each: bool) -> DataFrame:
+    """Sums over pairs of subjects: (group, subject, total, squares, k) of each subject of x with all other subjects of y, or, without
+    `each`, (group, total, squares, k) of all unordered pairs of x (which is y then). measure: dot product or distance of the vectors.
 
-    Subjects are dealt to blocks; a task holds one block of each side and makes one matrix product. keep: all, other (a <> b) or
-    ordered (a < b).
+    Subjects are dealt to blocks; a task holds one block of each side, makes one matrix product and adds up what it made: a row a
+    subject (or one row) leaves it, never a pair.
     """
-    most = x.unionByName(y).groupBy(*group).agg(F.countDistinct(subject).alias("n")).agg(F.max("n")).first()[0] or 1
-    blocks = -(-most // BLOCK)
-    block, every = F.pmod(F.xxhash64(subject), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = x.select(*group, F.col(subject).alias("id"), F.col(column).alias("v"), block.alias("_p"), every.alias("_q"))
+    blocks = -(-max(largest_group(s, group) for s in ((x,) if x is y else (x, y))) // BLOCK) or 1
+    block = F.pmod(F.xxhash64(subject), F.lit(blocks)).cast("int")
+    every = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    first, last = F.lit(0), F.lit(blocks - 1)
+    left = x.select(*group, F.col(subject).alias("id"), F.col(column).alias("v"), block.alias("_p"), every(first if each else block, last).alias("_q"))
     # Named anew, as both sides may be one table.
-    right = y.select(*[F.col(g).alias(g) for g in group], F.col(subject).alias("id"), F.col(column).alias("v"), every.alias("_p"), block.alias("_q"))
-
-    def compare_blocks(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        a, b, value = p["id"].to_numpy(), q["id"].to_numpy(), np.zeros((len(p), len(q)))
-        if len(p) and len(q):
-            m, w = np.vstack(p["v"]), np.vstack(q["v"])
-            value = m @ w.T
-            if measure == "distance":
-                value = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (w * w).sum(1)[None, :] - 2 * value, 0.0))
-        r, c = np.nonzero({"all": np.ones_like(value, dtype=bool), "other": a[:, None] != b[None, :], "ordered": a[:, None] < b[None, :]}[keep])
-        return pd.DataFrame({g: np.full(len(r), key[i], dtype=object) for i, g in enumerate(group)} | {"a": a[r], "b": b[c], "value": value[r, c]})
-
-    id_type = x.schema[subject].dataType
-    shape = T.StructType([*[x.schema[g] for g in group], T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("value", T.DoubleType())])
+    right = y.select(*[F.col(g).alias(g) for g in group], F.col(subject).alias("id"), F.col(column).alias("v"), every(first, last if each else block).alias("_p"), block.alias("_q"))
+    id_ = [T.StructField(subject, x.schema[subject].dataType)] if each else []
+    shape = T.StructType([*[x.schema[g] for g in group], *id_, *[T.StructField(c, T.DoubleType()) for c in ("total", "squares")], T.StructField("k", T.LongType())])
+
+    def add_up(key: tuple, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame(columns=shape.names)
+        m, w, a, b = np.vstack(p["v"]), np.vstack(q["v"]), p["id"].to_numpy(), q["id"].to_numpy()
+        value = m @ w.T
+        if measure == "distance":
+            value = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (w * w).sum(1)[None, :] - 2 * value, 0.0))
+        # Of two blocks all pairs count once, of a block with itself half of them.
+        count = (a[:, None] != b[None, :]) if each or key[-2] != key[-1] else a[:, None] < b[None, :]
+        value = np.where(count, value, 0.0)
+        sums = [value.sum(1), (value * value).sum(1), count.sum(1)]
+        if not each:
+            sums = [[v.sum()] for v in sums]
+        return pd.DataFrame({g: np.full(len(sums[0]), key[i], dtype=object) for i, g in enumerate(group)} | ({subject: a} if each else {}) | dict(zip(("total", "squares", "k"), sums, strict=True)))
+
     on = [*group, "_p", "_q"]
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(compare_blocks, shape)
+    parts = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(add_up, shape)
+    return parts.groupBy(*group, *([subject] if each else [])).agg(*[F.sum(c).alias(c) for c in ("total", "squares", "k")])
+
+
+def spread_of_pairs(sums: DataFrame, group: list[str], mean: str, std: str) -> DataFrame:
+    """Mean, population deviation and number of pairs from their sums."""
+    m = F.col("total") / F.col("k")
+    return sums.where(F.col("k") > 0).select(*group, m.alias(mean), F.sqrt(F.greatest(F.col("squares") / F.col("k") - m * m, F.lit(0.0))).alias(std), F.col("k").alias("n_pairs"))
 
 
 def intra_similarity(b: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
@@ -75,16 +91,44 @@ def intra_lerm(logs: DataFrame, group: list[str], subject: str, versions: tuple[
 
 def inter_similarity(true: DataFrame, pred: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
     """Mean over the other subjects' true graphs for each predicted one; a lone subject has none."""
-    keys = [*group, subject]
-    pairs = pair_blocks(vectors(pred, keys, n), vectors(true, keys, n), group, subject, "z", "dot", "other")
-    return pairs.groupBy(*group, F.col("a").alias(subject)).agg(F.avg("value").alias("value"))
+    on = [*group, subject, "i", "j"]
+    tagged = lambda e, t, p: e.select(*on, t.alias("t"), p.alias("p"))
+    both = tagged(true, F.col("w"), F.lit(0.0)).unionByName(tagged(pred, F.lit(0.0), F.col("w")))
+    return inter_of_both(both.groupBy(*on).agg(F.sum("t").alias("t"), F.sum("p").alias("p")), group, subject, n)
 
 
-def inter_lerm(logs: DataFrame, group: list[str], subject: str) -> DataFrame:
-    """Mean log-Euclidean distance of each predicted graph to the other subjects' true ones that have a logarithm."""
+def inter_of_both(b: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
+    """(group, subject, value): mean correlation of each predicted graph (p) with the other subjects' true ones (t); a lone subject has none.
+
+    A correlation is (sum of products / cells - product of means) / product of deviations, so its sum over all true graphs needs only
+    the sum of their cells over their deviations, and that of their means; the subject's own is taken off again. No pair is made.
+    """
+    keys, k = [*group, subject], cells(n)
+    dev = lambda s, q: F.sqrt(F.greatest(F.col(q) / k - F.pow(F.col(s) / k, 2), F.lit(0.0))) + EPS
+    own = b.groupBy(*keys).agg(*compare.sums(), F.max((F.col("t") != 0).cast("int")).alias("has_t"), F.max((F.col("p") != 0).cast("int")).alias("has_p"))
+    own = own.select(*keys, (F.col("sx") / k).alias("mt"), (F.col("sy") / k).alias("mp"), dev("sx", "sxx").alias("dt"), dev("sy", "syy").alias("dp"), "sxy", "has_t", "has_p")
+    true = b.where(F.col("t") != 0).join(own.select(*keys, "dt"), keys).groupBy(*group, "i", "j").agg(F.sum(F.col("t") / F.col("dt")).alias("all_t"))
+    of = own.where("has_t = 1").groupBy(*group).agg(F.sum(F.col("mt") / F.col("dt")).alias("all_m"), F.count(F.lit(1)).alias("k_t"))
+    product = b.where(F.col("p") != 0).join(true, [*group, "i", "j"]).groupBy(*keys).agg(F.sum(F.col("p") * F.col("all_t")).alias("product"))
+    s = own.where("has_p = 1").join(of, group).join(product, keys, "left")
+    total = (F.coalesce("product", F.lit(0.0)) / k - F.col("mp") * F.col("all_m")) / F.col("dp")
+    itself = F.when(F.col("has_t") == 1, (F.col("sxy") / k - F.col("mp") * F.col("mt")) / (F.col("dp") * F.col("dt"))).otherwise(0.0)
+    others = F.col("k_t") - F.col("has_t")
+    return s.where(others > 0).select(*keys, ((total - itself) / others).alias("value"))
+
+
+def inter_lerm(logs: DataFrame, group: list[str], subject: str, subjects: DataFrame | None = None) -> DataFrame:
+    """(group, subject, value, left_out): mean log-Euclidean distance of each predicted graph to the other subjects' true ones.
+
+    A graph without a logarithm has no distance; it is left out of the means and counted: left_out is the number of other subjects
+    without one, of those in `subjects` (group, subject; by default only those in logs, of which none is left out).
+    """
     side = lambda v: logs.where(F.col("version") == v).drop("version")
-    pairs = pair_blocks(side("pred"), side("true"), group, subject, "log", "distance", "other")
-    return pairs.groupBy(*group, F.col("a").alias(subject)).agg(F.avg("value").alias("value"))
+    sums = pair_sums(side("pred"), side("true"), group, subject, "log", "distance", True).where(F.col("k") > 0)
+    if subjects is None:
+        return sums.select(*group, subject, (F.col("total") / F.col("k")).alias("value"), F.lit(0).cast("long").alias("left_out"))
+    all_ = subjects.select(*group, subject).distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("all"))
+    return sums.join(all_, group).select(*group, subject, (F.col("total") / F.col("k")).alias("value"), (F.col("all") - 1 - F.col("k")).alias("left_out"))
 
 
 def with_population(b: DataFrame, group: list[str], subject: str) -> DataFrame:
@@ -132,15 +176,13 @@ def trt_similarity(e: DataFrame, keys: list[str], n: int, session: str = "sessio
 
 def intersubject_within(e: DataFrame, group: list[str], subject: str, n: int) -> DataFrame:
     """Mean, population deviation and number of the similarities of all unordered pairs of subjects of a group."""
-    v = vectors(e, [*group, subject], n)
-    pairs = pair_blocks(v, v, group, subject, "z", "dot", "ordered")
-    return pairs.groupBy(*group).agg(F.avg("value").alias("mean_r"), F.stddev_pop("value").alias("std_r"), F.count("value").alias("n_pairs"))
+    v = kept(vectors(e, [*group, subject], n))  # read as both sides
+    return spread_of_pairs(pair_sums(v, v, group, subject, "z", "dot", False), group, "mean_r", "std_r")
 
 
 def intersubject_lerm(logs: DataFrame, group: list[str], subject: str) -> DataFrame:
     """The same of the log-Euclidean distances of graphs that have a logarithm."""
-    pairs = pair_blocks(logs, logs, group, subject, "log", "distance", "ordered")
-    return pairs.groupBy(*group).agg(F.avg("value").alias("mean_lerm"), F.stddev_pop("value").alias("std_lerm"), F.count("value").alias("n_pairs"))
+    return spread_of_pairs(pair_sums(logs, logs, group, subject, "log", "distance", False), group, "mean_lerm", "std_lerm")
 
 
 def trt_vs_intersubject(trt: DataFrame, inter: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from trajgraph.functions.ranks import quantiles, row_numbers, running_sums
+from trajgraph.functions.tables import kept
+
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("count"))
@@ -19,8 +22,9 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def describe(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, column, mean, std, median, min, max, q25, q75) of each numeric column."""
     long_ = df.unpivot(keys, columns, "column", "x") if keys else df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select("s.*")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = long_.groupBy(*keys, "column").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q.alias("q"))
+    long_ = kept(long_)
+    s = long_.groupBy(*keys, "column").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    s = s.join(quantiles(long_, [*keys, "column"], "x", [0.25, 0.5, 0.75]), [*keys, "column"], "left")
     return s.select(*keys, "column", "mean", "std", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
 
 
@@ -39,12 +43,11 @@ def wilcoxon(df: DataFrame, x: str, y: str, keys: list[str], min_n: int = 2) ->
     Groups of fewer than min_n pairs have no row. z2 is the variance of the sum under the null with ties.
     """
     d = df.select(*keys, F.round(F.col(x) - F.col(y), 12).alias("d")).where(F.col("d") != 0)
-    size = F.abs("d")
-    by = Window.partitionBy(*keys)
-    same = F.count(F.lit(1)).over(Window.partitionBy(*keys, size))
-    rank = F.rank().over(by.orderBy(size)) + (same - 1) / 2
-    r = d.withColumn("rank", rank).withColumn("same", same)
-    s = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("same") * F.col("same") - 1).cast("double").alias("ties"))
+    # Differences of one size are one row with their numbers; their average rank lies in the middle of their places.
+    sizes = d.groupBy(*keys, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("same"), F.sum((F.col("d") > 0).cast("long")).alias("up"))
+    r = running_sums(sizes, keys, ["size"], F.col("same"), "below").withColumn("rank", F.col("below") + (F.col("same") + 1) / 2)
+    same = F.col("same")
+    s = r.groupBy(*keys).agg(F.sum(same).alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum((same - F.col("up")) * F.col("rank")).alias("w_minus"), F.sum(same * (same * same - 1)).cast("double").alias("ties"))
     return s.where(F.col("n") >= min_n).withColumn("w", F.least("w_plus", "w_minus"))
 
 
@@ -69,8 +72,8 @@ def representatives(df: DataFrame, keys: list[str], columns: list[str], tie: str
     """n rows of each key at even ranks of the mean of the columns (nulls skipped), from the least to the largest; all if fewer."""
     filled = [F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(c)) for c in columns]
     mean = F.try_divide(sum((F.coalesce(c, F.lit(0.0)) for c in filled[1:]), F.coalesce(filled[0], F.lit(0.0))), sum((c.isNotNull().cast("int") for c in filled[1:]), filled[0].isNotNull().cast("int")))
-    by = Window.partitionBy(*keys)
-    ranked = df.withColumn("mean_score", mean).withColumn("rank", F.row_number().over(by.orderBy("mean_score", tie)) - 1).withColumn("_n", F.count(F.lit(1)).over(by))
+    ranked = row_numbers(df.withColumn("mean_score", mean), keys, ["mean_score", tie], "rank")
+    ranked = ranked.join(ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
     places = F.array(*[F.floor(F.col("_n") * k / (n - 1)) if k < n - 1 else F.col("_n") - 1 for k in range(n)])
     return ranked.where((F.col("_n") < n) | F.array_contains(places, F.col("rank").cast("long"))).drop("_n")
 
@@ -82,7 +85,8 @@ def leaderboard(df: DataFrame, keys: list[str], value: str, tie: str, k: int = 5
 
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles, and the least and largest value within 1.5 interquartile ranges of them."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    df = kept(df)
+    q = quantiles(df, keys, value, [0.25, 0.5, 0.75])
     q = q.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(q, keys).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))

@@ -75,7 +75,7 @@ _agg("c3_pearson_z", lambda b: C.pearson_z(b, CMP_KEYS, A40), {"r": _Z}, sums_sq
 _agg("c4_pearson_full", lambda b: C.pearson_full(b, CMP_KEYS, A40), {"r": pearson_sql("1600")}, sums_sql(f"({_M})"))
 _agg("c7_errors", lambda b: C.errors(b, CMP_KEYS, A40), {"mse": f"dd/{N40}", "rmse": f"sqrt(dd/{N40})", "mae": f"ad/{N40}"}, "sum((t-p)*(t-p)) AS dd, sum(abs(t-p)) AS ad", digits=7)
 _agg("c8_errors_off_diagonal", lambda b: C.errors_off_diagonal(b, CMP_KEYS, A40), {"rmse": "sqrt(2*dd/1560)", "mae": "2*ad/1560"}, "sum(CASE WHEN i <> j THEN (t-p)*(t-p) ELSE 0 END) AS dd, sum(CASE WHEN i <> j THEN abs(t-p) ELSE 0 END) AS ad", digits=7)
-_agg("c9_errors_legacy", lambda b: C.errors_legacy(b, CMP_KEYS, A40).withColumn("mse", F.col("mse") + 1e-11), {"mse": "dd/1600 + 1e-11", "abs_err_sum": "ad", "mape": "CASE WHEN st > 0 THEN ad/st ELSE 0 END"}, f"sum(({_M})*(t-p)*(t-p)) AS dd, sum(({_M})*abs(t-p)) AS ad, sum(({_M})*t) AS st", digits=9)
+_agg("c9_errors_legacy", lambda b: C.errors_legacy(b, CMP_KEYS, A40), {"mse": "dd/1600", "abs_err_sum": "ad", "mape": "CASE WHEN st > 0 THEN ad/st ELSE 0 END"}, f"sum(({_M})*(t-p)*(t-p)) AS dd, sum(({_M})*abs(t-p)) AS ad, sum(({_M})*t) AS st", digits=10)
 _agg("c10_mean_relative_error", lambda b: C.mean_relative_error(b, CMP_KEYS, A40), {"mean_relative_error": f"x/{N40}"}, "sum(abs(t-p)/(abs(t)+abs(p)+1e-10)) AS x")
 _agg("c11_norms", lambda b: C.norms(b, CMP_KEYS), {"frobenius": "sqrt(dd)", "max_abs_error": "mx"}, f"sum(({_M})*(t-p)*(t-p)) AS dd, max(abs(t-p)) AS mx", digits=7)
 _agg("c13_overlap", lambda b: C.overlap(b, CMP_KEYS), {"edge_overlap": "kb/greatest(nt, 1)", "jaccard": "kb/greatest(ne, 1)"}, "count(*) FILTER (t > 0 AND p > 0) AS kb, count(*) FILTER (t > 0) AS nt, count(*) FILTER (t > 0 OR p > 0) AS ne")
@@ -89,10 +89,14 @@ _DENSE = f"k0 AS (SELECT DISTINCT {K} FROM f_both), grid AS (SELECT {K}, a.range
 _FEW = BOTH.replace("WHERE w IS NOT NULL AND w <> 0", "WHERE w IS NOT NULL AND w <> 0 AND ctype IN ('nos', 'fa')").replace("avg(fa) AS fa", "round(avg(fa), 12) AS fa")
 
 
-@query("c5_spearman", f"{_FEW}, {_DENSE}, rk AS (SELECT {K}, rank() OVER (PARTITION BY {K} ORDER BY t) + (count(*) OVER (PARTITION BY {K}, t) - 1) / 2.0 AS t, rank() OVER (PARTITION BY {K} ORDER BY p) + (count(*) OVER (PARTITION BY {K}, p) - 1) / 2.0 AS p FROM dense), s AS (SELECT {K}, {sums_sql()} FROM rk GROUP BY {K}) SELECT {K}, round({pearson_sql('k')}, 6) + 0.0 AS r FROM s")
+#: Weights at twelve places: means of equal values may differ in their last bits, which ranks would tell apart.
+_ROUND12 = f"{with_edges(A40)}, {both_sql().replace('coalesce(a.w, 0) AS t', 'round(coalesce(a.w, 0), 12) AS t').replace('coalesce(b.w, 0) AS p', 'round(coalesce(b.w, 0), 12) AS p')}"
+
+
+@query("c5_spearman", f"{_ROUND12}, {_DENSE}, rk AS (SELECT {K}, rank() OVER (PARTITION BY {K} ORDER BY t) + (count(*) OVER (PARTITION BY {K}, t) - 1) / 2.0 AS t, rank() OVER (PARTITION BY {K} ORDER BY p) + (count(*) OVER (PARTITION BY {K}, p) - 1) / 2.0 AS p FROM dense), s AS (SELECT {K}, {sums_sql()} FROM rk GROUP BY {K}) SELECT {K}, round({pearson_sql('k')}, 6) + 0.0 AS r FROM s")
 def c5(spark, d):
     # Means of equal values may differ in the last bit: they are ranked at 12 places.
-    b = _both(spark, d, metrics=["nos", "fa"]).withColumns({c: F.round(c, 12) for c in "tp"})
+    b = _both(spark, d).withColumns({c: F.round(c, 12) for c in "tp"})
     return rounded(C.spearman(b, CMP_KEYS, A40), ["r"])
 
 
@@ -123,31 +127,36 @@ def c17_gated(spark, d):
     return C.lerm(_both(spark, d), CMP_KEYS, A40, "gated")
 
 
-# Means of short decimals end on a tie: both sides are pushed up by the same little.
-_TIE = 1e-12
 _C18 = {
     "pearson_r": pearson_sql(str(N40)), "mse": f"dd/{N40}", "rmse": f"sqrt(dd/{N40})", "mae": f"ad/{N40}", "mean_relative_error": f"re/{N40}", "frobenius": "sqrt(mdd)", "max_abs_error": "mx", "mape": "CASE WHEN mt > 0 THEN mad/mt ELSE 0 END",
-    "edge_overlap": "kb/greatest(n_true, 1)", "jaccard": "kb/greatest(ke, 1)", "true_strength": "mt", "pred_strength": "mp", "strength_ratio": "mp/greatest(mt, 1e-10)", "true_mean": "mt/1600 + 1e-12", "pred_mean": "mp/1600 + 1e-12", "rel_diff_mean": f"rd/{N40}", "log_diff_mean": f"ld/{N40_OFF}",
+    "edge_overlap": "kb/greatest(n_true, 1)", "jaccard": "kb/greatest(ke, 1)", "true_strength": "mt", "pred_strength": "mp", "strength_ratio": "mp/greatest(mt, 1e-10)", "rel_diff_mean": f"rd/{N40}", "log_diff_mean": f"ld/{N40_OFF}",
 }
 _C18_SUMS = f"{sums_sql()}, sum((t-p)*(t-p)) AS dd, sum(abs(t-p)) AS ad, sum(abs(t-p)/(abs(t)+abs(p)+1e-10)) AS re, sum(({_M})*(t-p)*(t-p)) AS mdd, sum(({_M})*abs(t-p)) AS mad, max(abs(t-p)) AS mx, count(*) FILTER (t > 0 AND p > 0) AS kb, count(*) FILTER (t > 0) AS n_true, count(*) FILTER (p > 0) AS n_pred, count(*) FILTER (t > 0 OR p > 0) AS ke, sum(({_M})*t) AS mt, sum(({_M})*p) AS mp, sum(CASE WHEN t + p = 0 THEN 0 ELSE 2*abs(t-p)/(t+p) END) AS rd, sum(CASE WHEN i <> j THEN abs(ln(p+1e-10) - ln(t+1e-10)) ELSE 0 END) AS ld"
 
 
-@query("c18_graph_compare", f"{BOTH}, s AS (SELECT {K}, {_C18_SUMS} FROM f_both GROUP BY {K}) SELECT {K}, {', '.join(f'round({v}, 7) + 0.0 AS {c}' for c, v in _C18.items())}, n_true, n_pred FROM s")
+# Means over all cells are short decimals that may end on a tie: their totals are rounded, not they.
+_C18_COLS = ", ".join(f"round({v}, 9) + 0.0 AS {c}" for c, v in _C18.items()) + ", round(mt, 9) / 1600 AS true_mean, round(mp, 9) / 1600 AS pred_mean"
+
+
+def _c18(out):
+    means, other = ("true_mean", "pred_mean"), (*CMP_KEYS, "n_true", "n_pred", "n_masked")
+    return rounded(out, [c for c in out.columns if c not in (*other, *means)], 9).withColumns({c: F.round(F.col(c) * 1600, 9) / 1600 for c in means})
+
+
+@query("c18_graph_compare", f"{BOTH}, s AS (SELECT {K}, {_C18_SUMS} FROM f_both GROUP BY {K}) SELECT {K}, {_C18_COLS}, n_true, n_pred FROM s")
 def c18(spark, d):
-    out = C.graph_compare(_both(spark, d), CMP_KEYS, A40, spread=False).withColumns({c: F.col(c) + _TIE for c in ("true_mean", "pred_mean")})
-    return rounded(out, [c for c in out.columns if c not in (*CMP_KEYS, "n_true", "n_pred")], 7)
+    return _c18(C.graph_compare(_both(spark, d), CMP_KEYS, A40, spread=False))
 
 
 _W12 = f"a12 AS (SELECT {K}, t, row_number() OVER (PARTITION BY {K} ORDER BY t) AS q FROM dense), b12 AS (SELECT {K}, p, row_number() OVER (PARTITION BY {K} ORDER BY p) AS q FROM dense), ws AS (SELECT {K}, avg(abs(t - p)) AS wasserstein FROM a12 JOIN b12 USING ({K}, q) GROUP BY {K})"
 _RK = f"rk AS (SELECT {K}, rank() OVER (PARTITION BY {K} ORDER BY t) + (count(*) OVER (PARTITION BY {K}, t) - 1) / 2.0 AS t, rank() OVER (PARTITION BY {K} ORDER BY p) + (count(*) OVER (PARTITION BY {K}, p) - 1) / 2.0 AS p FROM dense), rs AS (SELECT {K}, {sums_sql()} FROM rk GROUP BY {K}), sp AS (SELECT {K}, {pearson_sql('k')} AS spearman_r FROM rs)"
 
 
-@query("c18_graph_compare_masked", f"{_FEW.replace('f_both AS (', 'f_all AS (')}, f_both AS (SELECT * FROM f_all WHERE ctype = 'nos' OR (t <> 0 AND p <> 0)), nm AS (SELECT {K}, CAST(CASE WHEN ctype = 'nos' THEN 0 ELSE 1600 - sum(CASE WHEN t <> 0 AND p <> 0 THEN {_M} ELSE 0 END) END AS BIGINT) AS n_masked FROM f_all GROUP BY {K}), {_DENSE}, {_W12}, {_RK}, s AS (SELECT {K}, {_C18_SUMS} FROM f_both GROUP BY {K}) SELECT {K}, {', '.join(f'round({v}, 7) + 0.0 AS {c}' for c, v in _C18.items())}, n_true, n_pred, n_masked, round(spearman_r, 7) + 0.0 AS spearman_r, round(wasserstein, 7) + 0.0 AS wasserstein FROM s JOIN nm USING ({K}) JOIN ws USING ({K}) JOIN sp USING ({K})")
+@query("c18_graph_compare_masked", f"{_FEW.replace('f_both AS (', 'f_all AS (')}, f_both AS (SELECT * FROM f_all WHERE ctype = 'nos' OR (t <> 0 AND p <> 0)), nm AS (SELECT {K}, CAST(CASE WHEN ctype = 'nos' THEN 0 ELSE 1600 - sum(CASE WHEN t <> 0 AND p <> 0 THEN {_M} ELSE 0 END) END AS BIGINT) AS n_masked FROM f_all GROUP BY {K}), {_DENSE}, {_W12}, {_RK}, s AS (SELECT {K}, {_C18_SUMS} FROM f_both GROUP BY {K}) SELECT {K}, {_C18_COLS}, n_true, n_pred, n_masked, round(spearman_r, 9) + 0.0 AS spearman_r, round(wasserstein, 9) + 0.0 AS wasserstein FROM s JOIN nm USING ({K}) JOIN ws USING ({K}) JOIN sp USING ({K})")
 def c18_masked(spark, d):
     """All comparisons that SQL can say, fa by the cells that both sides have."""
     b = _both(spark, d, metrics=["nos", "fa"]).withColumns({c: F.round(c, 12) for c in "tp"})
-    out = C.graph_compare(b, CMP_KEYS, A40, mask="ctype").withColumn("n_masked", F.col("n_masked").cast("long")).withColumns({c: F.col(c) + _TIE for c in ("true_mean", "pred_mean")})
-    return rounded(out, [c for c in out.columns if c not in (*CMP_KEYS, "n_true", "n_pred", "n_masked")], 7)
+    return _c18(C.graph_compare(b, CMP_KEYS, A40, mask="ctype").withColumn("n_masked", F.col("n_masked").cast("long")))
 
 
 @query("c18_graph_compare_full")
@@ -202,8 +211,7 @@ def x1(spark, d):
 
 @query("x2_inter_similarity", f"{EDGES1}, {_SIM} SELECT ctype, a AS subject_id, round(avg(r), 6) AS value FROM sim WHERE a <> b GROUP BY ALL")
 def x2(spark, d):
-    e = _versions(_one(spark, d))
-    return rounded(S.inter_similarity(side(e, "true"), side(e, "pred"), GROUP, "subject_id", A40), ["value"])
+    return rounded(S.inter_of_both(kept(_one(spark, d)), GROUP, "subject_id", A40), ["value"])
 
 
 _POPR = f"pm AS (SELECT ctype, sum(w)/{N40} AS m, sqrt(sum(w*w)/{N40} - (sum(w)/{N40})*(sum(w)/{N40})) + 1e-10 AS sd FROM f_pop WHERE version = 'true' GROUP BY ctype), px AS (SELECT e.ctype, e.subject_id, sum(e.w*q.w) AS xy FROM f_edges e JOIN f_pop q ON q.version = 'true' AND e.version = 'pred' AND e.ctype = q.ctype AND e.i = q.i AND e.j = q.j GROUP BY ALL), gr AS (SELECT mo.ctype, mo.subject_id, (xy/{N40} - mo.m*pm.m)/(mo.sd*pm.sd) AS value FROM mo JOIN pm ON mo.ctype = pm.ctype AND mo.version = 'pred' JOIN px ON px.ctype = mo.ctype AND px.subject_id = mo.subject_id)"
@@ -216,9 +224,11 @@ def x3(spark, d):
 
 def similarity_long(spark, d):
     # Three comparisons read the same graphs: they are built and written once.
-    b = kept(_one(spark, d))
-    e = _versions(b)
-    return S.similarity_table(S.intra_similarity(C.for_both(b, _K1), GROUP, "subject_id", A40), S.inter_similarity(side(e, "true"), side(e, "pred"), GROUP, "subject_id", A40), S.group_similarity(b, GROUP, "subject_id", A40))
+    return _table(kept(_one(spark, d)))
+
+
+def _table(b):
+    return S.similarity_table(S.intra_similarity(C.for_both(b, _K1), GROUP, "subject_id", A40), S.inter_of_both(b, GROUP, "subject_id", A40), S.group_similarity(b, GROUP, "subject_id", A40))
 
 
 SIM_LONG = f"{EDGES1}, {_SIM}, {_POPR}, sl AS (SELECT ctype, a AS subject_id, r AS value, 'Intrasubject' AS comparison_type FROM sim WHERE a = b UNION ALL SELECT ctype, a, avg(r), 'Intersubject' FROM sim WHERE a <> b GROUP BY ctype, a UNION ALL SELECT ctype, subject_id, value, 'Group-average' FROM gr)"
@@ -236,7 +246,8 @@ def x1_lerm(spark, d):
 
 @query("x2_inter_lerm")
 def x2_lerm(spark, d):
-    return S.inter_lerm(_logs(_one(spark, d)), GROUP, "subject_id")
+    b = kept(_one(spark, d))
+    return S.inter_lerm(_logs(b), GROUP, "subject_id", b)
 
 
 @query("x3_group_lerm")
@@ -249,9 +260,8 @@ def x3_lerm(spark, d):
 def x4_lerm(spark, d):
     """The similarity table with both columns, pearson_r and lerm_dist."""
     b = kept(_one(spark, d))
-    e, logs = _versions(b), _logs(b)
-    r = S.similarity_table(S.intra_similarity(C.for_both(b, _K1), GROUP, "subject_id", A40), S.inter_similarity(side(e, "true"), side(e, "pred"), GROUP, "subject_id", A40), S.group_similarity(b, GROUP, "subject_id", A40))
-    dist = S.similarity_table(S.intra_lerm(logs, GROUP, "subject_id"), S.inter_lerm(logs, GROUP, "subject_id"), S.group_lerm(logs, S.population_logs(b, GROUP, "subject_id", A40), GROUP, "subject_id"))
+    r, logs = _table(b), _logs(b)
+    dist = S.similarity_table(S.intra_lerm(logs, GROUP, "subject_id"), S.inter_lerm(logs, GROUP, "subject_id").drop("left_out"), S.group_lerm(logs, S.population_logs(b, GROUP, "subject_id", A40), GROUP, "subject_id"))
     on = [*_K1, "comparison_type"]
     return r.withColumnRenamed("value", "pearson_r").join(dist.withColumnRenamed("value", "lerm_dist"), on, "left")
 
@@ -322,12 +332,11 @@ def x8_lerm(spark, d):
     return S.test_vs_population_lerm(_logs(b, True), S.population_logs(b, GROUP, "subject_id", A40, True), GROUP, "subject_id")
 
 
-@query("x8_test_vs_population", f"{_X8} SELECT ctype, subject_id, comparison, round(r, 6) + 0.0 AS r, round(rmse + 1e-12, 7) AS rmse, round(mae + 1e-12, 7) AS mae, n_a, n_b FROM x8r")
+@query("x8_test_vs_population", f"{_X8} SELECT ctype, subject_id, comparison, round(r, 6) + 0.0 AS r, round(rmse, 9) AS rmse, round(mae, 9) AS mae, n_a, n_b FROM x8r")
 def x8(spark, d):
-    out = population_table(spark, d).withColumns({c: F.col(c) + _TIE for c in ("rmse", "mae")})
-    return rounded(rounded(out, ["r"]), ["rmse", "mae"], 7)
+    return rounded(rounded(population_table(spark, d), ["r"]), ["rmse", "mae"], 9)
 
 
-@query("x9_three_way_long", f"{_X8}, u AS (SELECT ctype, subject_id, comparison, 'r' AS metric, r AS value FROM x8r UNION ALL SELECT ctype, subject_id, comparison, 'rmse', rmse FROM x8r UNION ALL SELECT ctype, subject_id, comparison, 'mae', mae FROM x8r) SELECT ctype, subject_id, comparison, metric, round(value + 1e-12, 6) + 0.0 AS value FROM u WHERE value IS NOT NULL")
+@query("x9_three_way_long", f"{_X8}, u AS (SELECT ctype, subject_id, comparison, 'r' AS metric, r AS value FROM x8r UNION ALL SELECT ctype, subject_id, comparison, 'rmse', rmse FROM x8r UNION ALL SELECT ctype, subject_id, comparison, 'mae', mae FROM x8r) SELECT ctype, subject_id, comparison, metric, round(value, 8) + 0.0 AS value FROM u WHERE value IS NOT NULL")
 def x9(spark, d):
-    return rounded(S.three_way_long(population_table(spark, d), _K1).withColumn("value", F.col("value") + _TIE), ["value"])
+    return rounded(S.three_way_long(population_table(spark, d), _K1), ["value"], 8)

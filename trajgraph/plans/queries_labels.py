@@ -135,10 +135,10 @@ def s8(spark, d):
     return c.select(*[x.alias(k) for k, x in text.parse_artifact_name(path).items()])
 
 
-@query("s9_load_pairs", f"{with_edges()}, e AS (SELECT * FROM f_edges WHERE NOT (version = 'pred' AND subject_id % 4 = 0 AND ctype = 'fa')), k AS (SELECT subject_id, session, ctype FROM e GROUP BY ALL HAVING count(DISTINCT version) = 2) SELECT subject_id, session, ctype, version, count(*) AS n, round(sum(w) + 1e-12, 6) AS total FROM e JOIN k USING (subject_id, session, ctype) GROUP BY ALL")
+@query("s9_load_pairs", f"{with_edges()}, e AS (SELECT * FROM f_edges WHERE NOT (version = 'pred' AND subject_id % 4 = 0 AND ctype = 'fa')), k AS (SELECT subject_id, session, ctype FROM e GROUP BY ALL HAVING count(DISTINCT version) = 2) SELECT subject_id, session, ctype, version, count(*) AS n, round(sum(w), 9) AS total FROM e JOIN k USING (subject_id, session, ctype) GROUP BY ALL")
 def s9(spark, d):
     e = edge_table(spark, d).where(~((F.col("version") == "pred") & (F.col("subject_id") % 4 == 0) & (F.col("ctype") == "fa")))
-    return E.load_pairs(e, [*KEYS, "ctype"]).groupBy(*KEYS, "ctype", "version").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w") + 1e-12, 6).alias("total"))
+    return E.load_pairs(e, [*KEYS, "ctype"]).groupBy(*KEYS, "ctype", "version").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 9).alias("total"))
 
 
 @query("s10_config_dims", "SELECT a AS atlas, n AS n_nodes, m AS metric, g AS agg, count(*) AS n_rows FROM nation, (VALUES ('aparc+aseg', 84), ('aparc.a2009s+aseg', 164)) x(a, n), (VALUES ('nos', 'count'), ('fa', 'mean'), ('md', 'mean'), ('ad', 'mean'), ('rd', 'mean'), ('sift2', 'sum')) y(m, g) WHERE (n_nationkey % 2 = 0) = (n = 84) GROUP BY ALL")
@@ -149,17 +149,16 @@ def s10(spark, d):
     return n.join(F.broadcast(atlas), "n_nodes").join(F.broadcast(metric)).groupBy("atlas", "n_nodes", "metric", "agg").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_K1 = f"{with_edges()}, e AS (SELECT subject_id, session, i, j, w FROM f_edges WHERE version = 'true' AND ctype = 'nos'), k AS (SELECT DISTINCT subject_id, session FROM e), g AS (SELECT subject_id, session, x.range AS i, y.range AS j FROM k, range(1, 21) x, range(1, 21) y)"
+_K1 = f"{with_edges()}, e AS (SELECT * FROM f_edges), k AS (SELECT DISTINCT subject_id, session, version, ctype FROM e), g AS (SELECT k.*, x.range AS i, y.range AS j FROM k, range(1, 21) x, range(1, 21) y)"
 
 
-@query("k1_write_matrix_csv", f"{_K1} SELECT g.subject_id, g.session, g.i AS row, string_agg(printf('%.6f', coalesce(w, 0.0)), ',' ORDER BY g.j) AS line FROM g LEFT JOIN e ON e.subject_id = g.subject_id AND e.session = g.session AND e.i = least(g.i, g.j) AND e.j = greatest(g.i, g.j) GROUP BY ALL")
+@query("k1_write_matrix_csv", f"{_K1} SELECT g.subject_id, g.session, g.version, g.ctype, g.i AS row, string_agg(printf('%.8f', coalesce(w, 0.0)), ',' ORDER BY g.j) AS line FROM g LEFT JOIN e ON e.subject_id = g.subject_id AND e.session = g.session AND e.version = g.version AND e.ctype = g.ctype AND e.i = least(g.i, g.j) AND e.j = greatest(g.i, g.j) GROUP BY ALL")
 def k1(spark, d):
     """Matrices written as files and their lines read back."""
-    e = side(edge_table(spark, d, metrics=["nos"]), "true").select(*KEYS, "i", "j", "w")
     path = f"{shared_dir(spark)}/matrices/{uuid.uuid4().hex}"
-    sinks.write_matrices(e, KEYS, A20, path)
+    sinks.write_matrices(edge_table(spark, d), [*KEYS, "version", "ctype"], A20, path, 8)
     key = lambda name: F.regexp_extract("file", f"{name}=([^/]*)/", 1)
-    return text.lines(spark, path).select(key("subject_id").cast("int").alias("subject_id"), key("session").alias("session"), (F.col("line") + 1).alias("row"), F.col("value").alias("line"))
+    return text.lines(spark, path).select(key("subject_id").cast("int").alias("subject_id"), *[key(c).alias(c) for c in ("session", "version", "ctype")], (F.col("line") + 1).alias("row"), F.col("value").alias("line"))
 
 
 @query("k2_write_predictions", f"WITH {assign_sql()}, k AS (SELECT *, {NUM} AS ln FROM f_assign) SELECT subject_id, ln AS id, CAST(least(pa, pb) AS VARCHAR) || ' ' || CAST(greatest(pa, pb) AS VARCHAR) AS decoded, CAST(least(pa, pb) * 21 - (least(pa, pb) * (least(pa, pb) - 1)) // 2 + greatest(pa, pb) - least(pa, pb) AS VARCHAR) AS encoded FROM k")
@@ -180,9 +179,9 @@ def k3(spark, d):
     return sinks.decode_lines(labels, 21)
 
 
-@query("k4_write_results", f"{with_edges()} SELECT subject_id, session, version, ctype, count(*) AS n_edges, round(sum(w) + 1e-12, 6) AS total FROM f_edges GROUP BY ALL")
+@query("k4_write_results", f"{with_edges()} SELECT subject_id, session, version, ctype, count(*) AS n_edges, round(sum(w), 9) AS total FROM f_edges GROUP BY ALL")
 def k4(spark, d):
-    e = edge_table(spark, d).groupBy(*KEYS, "version", "ctype").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("w") + 1e-12, 6).alias("total"))
+    e = edge_table(spark, d).groupBy(*KEYS, "version", "ctype").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("w"), 9).alias("total"))
     path = f"{shared_dir(spark)}/results/{uuid.uuid4().hex}"
     sinks.write_results(e, path)
     return spark.read.option("header", True).schema(e.schema).csv(path)
@@ -191,34 +190,38 @@ def k4(spark, d):
 _NUMBERS = ["mean", "std", "min", "q25", "median", "q75", "max"]
 
 
-@query("k5_json_report", f"{with_edges()}, t AS (SELECT ctype, subject_id, round(sum(w) + 1e-12, 6) AS total FROM f_edges GROUP BY ALL) SELECT ctype, count(*) AS n, round(avg(total), 5) AS mean, round(stddev_samp(total), 5) AS std, round(min(total), 5) AS min, round(quantile_cont(total, 0.25), 5) AS q25, round(quantile_cont(total, 0.5), 5) AS median, round(quantile_cont(total, 0.75), 5) AS q75, round(max(total), 5) AS max, count(total) AS count, round(sum(total), 4) AS record_total, max(subject_id) AS last_subject FROM t GROUP BY ctype")
+@query("k5_json_report", f"{with_edges()}, t AS (SELECT ctype, subject_id, round(sum(w), 5) AS total FROM f_edges GROUP BY ALL) SELECT ctype, count(*) AS n, round(avg(total), 5) AS mean, round(stddev_samp(total), 5) AS std, round(min(total), 5) AS min, round(quantile_cont(total, 0.25), 5) AS q25, round(quantile_cont(total, 0.5), 5) AS median, round(quantile_cont(total, 0.75), 5) AS q75, round(max(total), 5) AS max, count(total) AS count, round(sum(total), 4) AS record_total, max(subject_id) AS last_subject FROM t GROUP BY ctype")
 def k5(spark, d):
     """Reports written as JSON and read back: the summary, and sums over the records."""
-    e = edge_table(spark, d).groupBy("ctype", "subject_id").agg(F.round(F.sum("w") + 1e-12, 6).alias("total"))
+    e = edge_table(spark, d).groupBy("ctype", "subject_id").agg(F.round(F.sum("w"), 5).alias("total"))
     path = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
-    sinks.report(e, ["ctype"], ["subject_id", "total"], ["total"]).write.partitionBy("ctype").text(path)
-    shape = f"n long, summary struct<total: struct<{', '.join(f'{c}: double' for c in _NUMBERS)}, count: long>>, records array<struct<subject_id: int, total: double>>"
-    back = spark.read.text(path).select("ctype", F.from_json("value", shape).alias("r"))
-    total = F.aggregate("r.records", F.lit(0.0), lambda a, x: a + x["total"])
-    return rounded(rounded(back.select("ctype", "r.n", "r.summary.total.*", total.alias("record_total"), F.array_max(F.transform("r.records", lambda x: x["subject_id"])).alias("last_subject")), _NUMBERS, 5), ["record_total"], 4)
+    sinks.write_reports(e, ["ctype"], ["subject_id", "total"], ["total"], path)
+    # A document in lines: the head, closed, has number and summary; each record is a line, all but the first after a comma.
+    lines = spark.read.text(path)
+    head = f"n long, summary struct<total: struct<{', '.join(f'{c}: double' for c in _NUMBERS)}, count: long>>"
+    heads = lines.where(F.col("value").startswith('{"n"')).select("ctype", F.from_json(F.concat("value", F.lit("]}")), head).alias("r")).select("ctype", "r.n", "r.summary.total.*")
+    record = F.from_json(F.regexp_replace("value", "^,", ""), "subject_id int, total double").alias("r")
+    records = lines.where(~F.col("value").startswith('{"n"') & (F.col("value") != "]}")).select("ctype", record).groupBy("ctype").agg(F.sum("r.total").alias("record_total"), F.max("r.subject_id").alias("last_subject"))
+    return rounded(rounded(heads.join(records, "ctype"), _NUMBERS, 5), ["record_total"], 4)
 
 
 @query("k6_append_splits", f"WITH {assign_sql()} SELECT CASE WHEN subject_id % 5 = 0 THEN 'test' WHEN subject_id % 5 = 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM f_assign WHERE subject_id % 7 <> 3 OR subject_id NOT IN (SELECT subject_id FROM f_assign WHERE l_linenumber = 2) GROUP BY ALL")
 def k6(spark, d):
-    """Chunks of subjects appended to their splits; subjects with another number of labels than of features are left out."""
+    """Chunks of subjects appended to their splits as they stream in; subjects with another number of labels than of features wait."""
     from trajgraph.streaming.append import append_stream, counts_by_split
 
     base = f"{shared_dir(spark)}/append/{uuid.uuid4().hex}"
     all_ = assign(spark, d)
     labels = all_.where("subject_id % 7 <> 3 or l_linenumber <> 2")
-    chunk = sinks.equal_counts(all_, labels, "subject_id").select("subject_id", "ta", "tb", "length_mm")
-    chunk.where("subject_id < 12").write.parquet(f"{base}/in/a")
-    chunk.where("subject_id >= 12").write.mode("append").parquet(f"{base}/in/b")
+    chunk, told = all_.select("subject_id", "ta", "tb", "length_mm"), labels.select("subject_id", "ta")
     subjects = chunk.select("subject_id").distinct()
     s = F.col("subject_id") % 5
     splits = subjects.withColumn("split", F.when(s == 0, "test").when(s == 1, "val").otherwise("train"))
-    for part in "ab":
-        append_stream(spark, f"{base}/in/{part}", chunk.schema, splits, "subject_id", f"{base}/out", f"{base}/state-{part}")
+    # The second round has the labels of all subjects of the first one, so those wait for it.
+    for rows, more in ((chunk.where("subject_id < 12"), told.where("subject_id < 6")), (chunk.where("subject_id >= 12"), told.where("subject_id >= 6"))):
+        rows.write.mode("append").parquet(f"{base}/in")
+        more.write.mode("append").parquet(f"{base}/labels")
+        append_stream(spark, f"{base}/in", chunk.schema, splits, "subject_id", f"{base}/out", f"{base}/state", f"{base}/labels", told.schema)
     return counts_by_split(spark, f"{base}/out")
 
 
@@ -239,12 +242,13 @@ def k8(spark, d):
     return E.missing_outputs(x, x.where((F.col("subject_id") * 7 + F.length("ctype")) % 10 != 2), ["subject_id", "ctype"], ["subject_id"])
 
 
-@query("k9_load_or_compute", f"{with_edges()} SELECT ctype, count(*) AS n, round(sum(w) + 1e-12, 6) AS total FROM f_edges GROUP BY ctype")
+@query("k9_load_or_compute", f"{with_edges()} SELECT ctype, count(*) AS n, round(sum(w), 9) AS total FROM f_edges GROUP BY ctype")
 def k9(spark, d):
     path = f"{shared_dir(spark)}/cache/{uuid.uuid4().hex}"
-    make = lambda: edge_table(spark, d).groupBy("ctype").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w") + 1e-12, 6).alias("total"))
-    sinks.load_or_compute(spark, path, make)
-    return sinks.load_or_compute(spark, path, make)
+    make = lambda: edge_table(spark, d).groupBy("ctype").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 9).alias("total"))
+    inputs = [f"{d}/{t}.parquet" for t in ("lineitem", "orders", "customer")]
+    sinks.load_or_compute(spark, path, make, inputs=inputs)
+    return sinks.load_or_compute(spark, path, make, inputs=inputs)
 
 
 _ENC = "least(ta, tb) * 21 - (least(ta, tb) * (least(ta, tb) - 1)) // 2 + greatest(ta, tb) - least(ta, tb)"
@@ -362,16 +366,16 @@ def _labelled(spark, d):
     return assign(spark, d).withColumn("label", L.encode_symmetric(F.col("ta"), F.col("tb"), 21))
 
 
-@query("t1_rare_labels_fit", f"WITH {assign_sql(40)}, k AS (SELECT *, least(ta, tb) * 41 - (least(ta, tb) * (least(ta, tb) - 1)) // 2 + greatest(ta, tb) - least(ta, tb) AS label FROM f_assign WHERE length_mm > 45) SELECT label FROM k GROUP BY label HAVING count(DISTINCT subject_id) < 0.5 * (SELECT count(DISTINCT subject_id) FROM k)")
+@query("t1_rare_labels_fit", f"WITH {assign_sql(40)}, k AS (SELECT *, least(ta, tb) * 41 - (least(ta, tb) * (least(ta, tb) - 1)) // 2 + greatest(ta, tb) - least(ta, tb) AS label FROM f_assign) SELECT label FROM k GROUP BY label HAVING count(DISTINCT subject_id) < 0.95 * (SELECT count(DISTINCT subject_id) FROM k)")
 def t1(spark, d):
-    a = assign(spark, d, 40).where("length_mm > 45").withColumn("label", L.encode_symmetric(F.col("ta"), F.col("tb"), 41))
-    return C.rare_labels_fit(a, "label", "subject_id", 50.0)
+    a = assign(spark, d, 40).withColumn("label", L.encode_symmetric(F.col("ta"), F.col("tb"), 41))
+    return C.rare_labels_fit(a, "label", "subject_id", 95.0)
 
 
-@query("t2_rare_labels_apply", f"WITH {assign_sql(40)}, k AS (SELECT *, least(ta, tb) * 41 - (least(ta, tb) * (least(ta, tb) - 1)) // 2 + greatest(ta, tb) - least(ta, tb) AS label FROM f_assign WHERE length_mm > 45), fit AS (SELECT label FROM k WHERE subject_id < 18 GROUP BY label HAVING count(DISTINCT subject_id) < 0.5 * (SELECT count(DISTINCT subject_id) FROM k WHERE subject_id < 18)) SELECT CASE WHEN label IN (SELECT label FROM fit) THEN 0 ELSE label END AS label, count(*) AS n FROM k WHERE subject_id >= 18 GROUP BY 1")
+@query("t2_rare_labels_apply", f"WITH {assign_sql(40)}, k AS (SELECT *, least(ta, tb) * 41 - (least(ta, tb) * (least(ta, tb) - 1)) // 2 + greatest(ta, tb) - least(ta, tb) AS label FROM f_assign), fit AS (SELECT label FROM k WHERE subject_id < 18 GROUP BY label HAVING count(DISTINCT subject_id) < 0.95 * (SELECT count(DISTINCT subject_id) FROM k WHERE subject_id < 18)) SELECT CASE WHEN label IN (SELECT label FROM fit) THEN 0 ELSE label END AS label, count(*) AS n FROM k WHERE subject_id >= 18 GROUP BY 1")
 def t2(spark, d):
-    a = assign(spark, d, 40).where("length_mm > 45").withColumn("label", L.encode_symmetric(F.col("ta"), F.col("tb"), 41))
-    rare = C.rare_labels_fit(a.where("subject_id < 18"), "label", "subject_id", 50.0)
+    a = assign(spark, d, 40).withColumn("label", L.encode_symmetric(F.col("ta"), F.col("tb"), 41))
+    rare = C.rare_labels_fit(a.where("subject_id < 18"), "label", "subject_id", 95.0)
     return C.rare_labels_apply(a.where("subject_id >= 18"), rare, "label").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -387,15 +391,15 @@ def t4(spark, d):
     return C.select_subjects(assign(spark, d), s, "subject_id").groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t5_class_histogram", f"WITH {assign_sql(40)}, k AS (SELECT least(ta, tb) * 41 - (least(ta, tb) * (least(ta, tb) - 1)) // 2 + greatest(ta, tb) - least(ta, tb) AS label, count(*) AS n FROM f_assign WHERE length_mm > 48 GROUP BY 1) SELECT r.range AS label, coalesce(n, 0) AS n FROM range(0, 861) r LEFT JOIN k ON k.label = r.range")
+@query("t5_class_histogram", f"WITH {assign_sql(40)}, k AS (SELECT least(ta, tb) * 41 - (least(ta, tb) * (least(ta, tb) - 1)) // 2 + greatest(ta, tb) - least(ta, tb) AS label, count(*) AS n FROM f_assign GROUP BY 1) SELECT r.range AS label, coalesce(n, 0) AS n FROM range(0, 861) r LEFT JOIN k ON k.label = r.range")
 def t5(spark, d):
-    a = assign(spark, d, 40).where("length_mm > 48").select(L.encode_symmetric(F.col("ta"), F.col("tb"), 41).alias("label"))
+    a = assign(spark, d, 40).select(L.encode_symmetric(F.col("ta"), F.col("tb"), 41).alias("label"))
     return C.class_histogram(a, "label", L.label_dimension(spark, 41))
 
 
-@query("t6_label_coverage", f"WITH {assign_sql(40)} SELECT round(count(DISTINCT least(ta, tb) * 100 + greatest(ta, tb)) / 861.0, 6) AS coverage FROM f_assign WHERE length_mm > 48")
+@query("t6_label_coverage", f"WITH {assign_sql(40)} SELECT round(count(DISTINCT least(ta, tb) * 100 + greatest(ta, tb)) / 861.0, 6) AS coverage FROM f_assign")
 def t6(spark, d):
-    a = assign(spark, d, 40).where("length_mm > 48").withColumn("label", L.encode_symmetric(F.col("ta"), F.col("tb"), 41))
+    a = assign(spark, d, 40).withColumn("label", L.encode_symmetric(F.col("ta"), F.col("tb"), 41))
     return rounded(C.label_coverage(a, "label", 861), ["coverage"])
 
 
