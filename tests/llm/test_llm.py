@@ -603,6 +603,35 @@ def test_toxicity_against_plain_sums(spark, monkeypatch, contexts):
             assert np.allclose((row.a, row.b, row.c), want)
 
 
+def test_measures_of_texts():
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 1, 2, 5, 0, 40, 3, 0])
+    v = np.round(rng.normal(size=sizes.sum()), 1)
+    got = toxicity.measures(v, sizes)
+    for row, end, n in zip(got, np.cumsum(sizes), sizes, strict=True):
+        u = v[end - n : end]
+        want = [u.mean(), u.max(), max(u[i : i + 3].sum() for i in range(max(1, n - 2))), np.sort(u)[-2] if n > 1 else 0, np.log(np.exp(u).mean()), np.log1p(n)] if n else [0] * 6
+        assert np.allclose(row, want)
+
+
+def test_discounts_estimated_from_counts_of_counts():
+    assert toxicity.discounts_of([0, 5, 5, 5]) == toxicity.DISCOUNTS
+    y = 100 / (100 + 2 * 40)
+    assert np.allclose(toxicity.discounts_of([100, 40, 20, 10]), (1 - 2 * y * 40 / 100, 2 - 3 * y * 20 / 40, 3 - 4 * y * 10 / 20))
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """The given documents: at 0.7 most held-out toxic ones are found and few others; numerals alone are no evidence."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    odd = spark.createDataFrame([(10_000_001, "½ ² Ⅷ"), (10_000_002, None), (10_000_003, "")], "doc_id long, text string")
+    got = toxicity.classify(docs.select("doc_id", "text").unionByName(odd), labels, F.crc32(F.col("doc_id").cast("string")) % 3 == 1).join(labels.select("doc_id", "toxic"), "doc_id", "left").toPandas()
+    assert got[got["doc_id"] > 10_000_000]["score"].nunique() == 1
+    held = got[got["held_out"] & got["toxic"].notna()]
+    toxic, called = held["toxic"] == 1, held["predicted"] == 1
+    assert (toxic & called).sum() >= 0.75 * toxic.sum() and (toxic & called).sum() >= 0.95 * called.sum()
+
+
 def brute_forward(word, p, index):
     """Sums over all segmentations of word, in logarithms."""
     total = [0.0] + [-np.inf] * len(word)
@@ -662,3 +691,46 @@ def test_labelled_ids_are_bounded(labels):
 
 def test_langid_takes_three_steps():
     assert langid.STEPS == 3
+
+
+def drawn_by_hand(doc_id, leaves):
+    """The shard of an id by the definition: at each level the child with the least draw among those of the branch reached."""
+    weights = Counter()
+    for x in leaves:
+        for path in ((x.region,), (x.region, x.rack), (x.region, x.rack, x.shard)):
+            weights[path] += x.weight
+    at = ()
+    for depth in (1, 2, 3):
+
+        def least(path):
+            digits = hashlib.md5(f"{'' if doc_id is None else doc_id}/{'.'.join(map(str, path))}".encode()).hexdigest()[:13]
+            return -np.log((int(digits, 16) + 0.5) / 2**52) / weights[path]
+
+        at = min((p for p in weights if len(p) == depth and p[:-1] == at), key=least)
+    return at[-1]
+
+
+def test_sharding_by_naive_draws(spark):
+    ids = spark.createDataFrame([(i,) for i in [*range(300), None, -7, 2**60]], "doc_id long")
+    for leaves in (sharding.tree(16), sharding.tree(19), [sharding.Shard(0, 0, 0, 3.0), sharding.Shard(0, 1, 1, 0.5), sharding.Shard(1, 0, 2, 1.0)]):
+        got = sharding.descend(ids, leaves).collect()
+        assert all(r.shard == drawn_by_hand(r.doc_id, leaves) for r in got)
+
+
+def test_weight_changes_move_rows_within_their_subtree(spark):
+    """Less weight for a shard is less for its rack and region: rows leave that region for others, that rack for its siblings, and
+    within the rack the shard itself; nothing else moves. More weight: the same the other way round."""
+    ids = spark.range(6000).withColumnRenamed("id", "doc_id")
+    before = sharding.tree(16)
+    changed, of = before[5], {x.shard: x for x in before}
+    for factor in (0.25, 4.0):
+        after = [sharding.Shard(x.region, x.rack, x.shard, x.weight * factor if x is changed else x.weight) for x in before]
+        rows = sharding.descend(sharding.descend(ids, before), after, "new").select("shard", "new").collect()
+        moved = [(of[r.shard], of[r.new]) for r in rows if r.shard != r.new]
+        assert len(moved) > 50
+        for out, into in moved:
+            own, other = (out, into) if factor < 1 else (into, out)  # the side whose weight is the lesser part now
+            assert own.region == changed.region
+            assert other.region != own.region or (own.rack == changed.rack and (other.rack != own.rack or own == changed))
+        counts = [sum(r[c] == changed.shard for r in rows) for c in ("shard", "new")]
+        assert counts[1] < 0.6 * counts[0] if factor < 1 else counts[1] > 1.6 * counts[0]

@@ -341,7 +341,8 @@ def removed_spans(found: DataFrame, masks: DataFrame, length: int) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc": pdf["doc"], "print": pdf["print"], "spans": [runs(got) for got in pdf["got"]]})
 
-    lists = places_.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "strings", "mask")).alias("got"))
+    # A set: equal rows without an id have the same places, which are one in each task before they are shuffled.
+    lists = places_.groupBy("doc", "print").agg(F.collect_set(F.struct("start", "strings", "mask")).alias("got"))
     return lists.mapInPandas(merge, "doc long, print long, spans array<long>")
 
 

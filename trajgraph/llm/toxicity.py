@@ -10,14 +10,13 @@ meet no other context is scored where it is read. Words with other contexts are
 are kept as blocks of word numbers, and only those words, in blocks of n-gram numbers of their own, meet the ratios in one join and
 their documents in another. Both ways add up the same ratios.
 
-A document is judged by its length-normalised log-likelihood ratio and by the largest one of its words and of stretches of three
-words. A logistic curve over these gives the score; it is fitted on labelled rows by counts that leave these rows out.
+A document is judged by its length-normalised log-likelihood ratio, by the largest ones of its words and of stretches of three words,
+and by its length. A logistic curve over these gives the score; it is fitted on labelled rows by counts that leave these rows out.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
 from array import array
@@ -31,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajgraph.llm.common import fold, read, splitmix, stored
+from trajgraph.llm.langid import words_of
 
 ORDER = 6
-#: Taken off counts of 1, of 2 and of more in a class (a single sight in a class says nothing), and off continuation counts.
+#: Taken off counts of 1, of 2 and of more in a class where they can't be estimated, and off continuation counts.
 DISCOUNTS = (1.0, 1.5, 2.0)
 SHARED_DISCOUNT = 0.75
 #: Words of documents, or n-grams of words, in a block (a longer text is a block of its own).
@@ -43,15 +43,10 @@ TABLE_CONTEXTS, TABLE_ENTRIES = 1 << 19, 1 << 20
 #: Most labelled rows that the final curve is fitted on; the counts take all.
 MAX_ROWS = 20_000
 THRESHOLD = 0.7
-WORD = re.compile(r"[^\W\d_]+")
 #: Counts held in a Python worker before they are sent on.
 HELD_WORDS = 300_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
-
 def count_words(texts: DataFrame) -> DataFrame:
     """(text, toxic boolean, apart boolean) -> (word, toxic, ordinary, toxic_apart, ordinary_apart): counts over all texts, summed
     in each task before the shuffle.
@@ -79,11 +74,21 @@ def count_words(texts: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
 
 
-def ratios(words: DataFrame, order: int = ORDER, discounts: tuple[float, float, float] = DISCOUNTS, shared: float = SHARED_DISCOUNT) -> tuple[DataFrame, DataFrame]:
+def discounts_of(kinds: list[int]) -> tuple[float, float, float]:
+    """What to take off counts of 1, of 2 and of more, from the numbers of n-grams seen once, twice, three and four times (the
+    estimate of modified Kneser-Ney smoothing); DISCOUNTS where too few kinds were seen."""
+    one, two, three, four = kinds
+    if not (one and two and three):
+        return DISCOUNTS
+    y = one / (one + 2 * two)
+    return tuple(float(np.clip(k - (k + 1) * y * b / a, 0.0, k)) for k, a, b in ((1, one, two), (2, two, three), (3, three, four)))
+
+
+def ratios(words: DataFrame, order: int = ORDER, discounts: tuple[float, float, float] | None = DISCOUNTS, shared: float = SHARED_DISCOUNT) -> tuple[DataFrame, DataFrame]:
     """Word counts -> (gram, ratio, rest) and (context, weight, ratio, rest): natural logarithms, toxic to ordinary.
 
     ratio is of all counts, rest of those that aren't apart; what both classes share is of all. A word is read as ^word$; an n-gram
-    is a character with up to order - 1 characters before it.
+    is a character with up to order - 1 characters before it. discounts: None for those that discounts_of gives for each class.
     """
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     counts = [(F.col("toxic") + F.col("toxic_apart")).alias("t"), (F.col("ordinary") + F.col("ordinary_apart")).alias("o"), F.col("toxic").alias("tr"), F.col("ordinary").alias("or")]
@@ -92,6 +97,11 @@ def ratios(words: DataFrame, order: int = ORDER, discounts: tuple[float, float,
     begin = F.greatest(F.col("end") - (order - 1), F.lit(1))
     top = places.groupBy(F.col("m").substr(begin, F.col("end") - begin + 1).alias("gram")).agg(*(F.sum(c).alias(c) for c in names))
     top = stored(top)
+    given = dict.fromkeys(names, discounts)
+    if discounts is None:
+        kinds = top.agg(*(F.sum((F.col(c) == k).cast("long")) for c in "to" for k in range(1, 5))).first()
+        of = {c: discounts_of([x or 0 for x in kinds[4 * i : 4 * i + 4]]) for i, c in enumerate("to")}
+        given = {c: of[c[0]] for c in names}
     # Continuation counts, shared: how many different characters stand before a shorter n-gram.
     n = F.length("gram")
     ends = top.select(F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.col("gram").substr(n - k + 1, k))).alias("g")).distinct()
@@ -104,7 +114,7 @@ def ratios(words: DataFrame, order: int = ORDER, discounts: tuple[float, float,
     chain = tails.join(own, "g").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("k", "a", "b"))).alias("chain"))
     backoff = chain.select("gram", F.aggregate("chain", F.lit(1e-6), lambda p, x: x["a"] + x["b"] * p).alias("q"))
     history = F.expr("substr(gram, 1, length(gram) - 1)")
-    off = lambda c: F.when(F.col(c) <= 0, 0.0).when(F.col(c) == 1, discounts[0]).when(F.col(c) == 2, discounts[1]).otherwise(discounts[2])
+    off = lambda c: F.when(F.col(c) <= 0, 0.0).when(F.col(c) == 1, given[c][0]).when(F.col(c) == 2, given[c][1]).otherwise(given[c][2])
     contexts = top.withColumn("h", history).groupBy("h").agg(*(x for c in names for x in (F.sum(c).alias(f"{c}_sum"), F.sum(off(c)).alias(f"{c}_off"))))
     share = lambda c: F.when(F.col(f"{c}_sum") > 0, F.col(f"{c}_off") / F.greatest(F.col(f"{c}_sum"), F.lit(1))).otherwise(F.lit(1.0))
     weight = F.col("t_sum") + F.col("o_sum")
@@ -115,11 +125,11 @@ def ratios(words: DataFrame, order: int = ORDER, discounts: tuple[float, float,
     return grams, contexts.select(F.col("h").alias("context"), "weight", F.log(F.col("t_share") / F.col("o_share")).alias("ratio"), F.log(F.col("tr_share") / F.col("or_share")).alias("rest"))
 
 
-def by_context(words: DataFrame) -> DataFrame:
+def by_context(words: DataFrame, discounts: tuple[float, float, float] | None = DISCOUNTS) -> DataFrame:
     """Word counts -> (context, weight, backed, after): how often a context stands, its ratio and rest, and those of the characters
     counted after it.
     """
-    grams, contexts = ratios(words)
+    grams, contexts = ratios(words, discounts=discounts)
     both = F.struct("ratio", "rest")
     last = F.struct(F.expr("substr(gram, length(gram), 1)").alias("k"), both.alias("v"))
     after = grams.groupBy(F.expr("substr(gram, 1, length(gram) - 1)").alias("context")).agg(F.map_from_entries(F.collect_list(last)).alias("after"))
@@ -322,7 +332,7 @@ _values = Values()
 
 
 def measured(rows: DataFrame, table: DataFrame, which: str) -> DataFrame:
-    """(id string, text) -> id and the measures a, b, c of each row."""
+    """(id string, text) -> id and the MEASURES of each row."""
     sc = rows.sparkSession.sparkContext
     held = sc.broadcast(frequent(table, which))
 
@@ -336,7 +346,7 @@ def measured(rows: DataFrame, table: DataFrame, which: str) -> DataFrame:
                 sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
                 m = measures(np.concatenate([np.zeros(0), *values]), sizes)
                 open_ = np.isnan(m[:, 0])
-                yield part.loc[~open_, ["id"]].assign(**dict(zip("abc", m[~open_].T, strict=True)))
+                yield part.loc[~open_, ["id"]].assign(**dict(zip(MEASURES, m[~open_].T, strict=True)))
                 for r in np.flatnonzero(open_):
                     if own.full(len(lists[r])):
                         yield pd.DataFrame([own.packed()])
@@ -345,7 +355,7 @@ def measured(rows: DataFrame, table: DataFrame, which: str) -> DataFrame:
         if own.ids:
             yield pd.DataFrame([own.packed()])
 
-    shape = f"id string, a double, b double, c double, {PACKED}"
+    shape = f"id string, {', '.join(f'{c} double' for c in MEASURES)}, {PACKED}"
     columns = [x.split()[0] for x in shape.split(", ")]
 
     def whole(x: pd.DataFrame) -> pd.DataFrame:
@@ -354,11 +364,11 @@ def measured(rows: DataFrame, table: DataFrame, which: str) -> DataFrame:
 
     out = rows.select("id", "text").mapInPandas(lambda batches: map(whole, gather(batches)), shape)
     if held.value.whole:
-        return out.select("id", "a", "b", "c")
+        return out.select("id", *MEASURES)
     out = stored(out)
     parts = out.where(F.col("block").isNotNull()).select(*[x.split()[0] for x in PACKED.split(", ")])
-    joined = told(parts, word_values(parts, table, which), measures, ["a", "b", "c"])
-    return out.where(F.col("block").isNull()).select("id", "a", "b", "c").union(joined)
+    joined = told(parts, word_values(parts, table, which), measures, MEASURES)
+    return out.where(F.col("block").isNull()).select("id", *MEASURES).union(joined)
 
 
 def asked(parts: DataFrame) -> DataFrame:
@@ -393,20 +403,38 @@ def total(v: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (sums[ends] - sums[ends - n])[:, None]
 
 
+#: The measures of a text: its ratio a word, the largest ratio of a word and of three words in a row, the second largest of a word,
+#: the logarithm of the mean of the words' ratios as powers of e (within SOFT), and the logarithm of its length.
+MEASURES = ["a", "b", "c", "d", "e", "f"]
+SOFT = (-5.0, 12.0)
+
+
 def measures(v: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each text: its ratio a word, the largest ratio of a word, and of three words in a row; zeros without words."""
-    out = np.zeros((len(n), 3))
+    """The MEASURES of each text; zeros without words.
+
+    The largest of many ratios is large by chance alone, so the length stands beside it; the second one tells an expression from a
+    chance, as a text with one often has another.
+    """
+    out = np.zeros((len(n), len(MEASURES)))
     some = np.flatnonzero(n)
     if not len(some):
         return out
     sizes = n[some]
     ends = np.cumsum(sizes)
     starts = ends - sizes
+    mean = np.add.reduceat(v, starts) / sizes  # nan where a word isn't known yet: the row is measured again elsewhere
+    v = np.nan_to_num(v, nan=0.0)
     sums = np.add.reduceat(v, starts)
     three = np.full(len(v), -np.inf)
     three[:-2] = v[:-2] + v[1:-1] + v[2:]
     three[np.arange(len(v)) + 3 > np.repeat(ends, sizes)] = -np.inf
-    out[some] = np.column_stack([sums / sizes, np.maximum.reduceat(v, starts), np.where(sizes < 3, sums, np.maximum.reduceat(three, starts))])
+    first = np.maximum.reduceat(v, starts)
+    top = np.flatnonzero(v == np.repeat(first, sizes))
+    rest = v.copy()
+    rest[top[np.searchsorted(top, starts)]] = -np.inf  # one of the largest of each text
+    second = np.where(sizes > 1, np.maximum.reduceat(rest, starts), 0.0)
+    soft = np.log(np.add.reduceat(np.exp(np.clip(v, *SOFT)), starts) / sizes)
+    out[some] = np.column_stack([mean, first, np.where(sizes < 3, sums, np.maximum.reduceat(three, starts)), second, soft, np.log1p(sizes)])
     return out
 
 
@@ -440,7 +468,7 @@ class Judge:
     """Ratios by context, and the coefficients of the measures with a constant (by default a fixed curve over the largest ratio)."""
 
     table: DataFrame
-    curve: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 0.0, -3.0]))
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0, 0.0, 0.0, 0.0, 0.0, -3.0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS) -> Judge:
@@ -458,7 +486,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS) ->
     sample = known.where("apart").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = texts.join(F.broadcast(sample), ["doc_id", "print"]).dropDuplicates(["doc_id", "print"]).select(F.col("toxic").cast("string").alias("id"), "text")
     got = measured(rows, table, "rest").toPandas()
-    x, y = np.clip(got[["a", "b", "c"]].to_numpy(dtype=float), -20, 20), (got["id"] == "true").to_numpy(dtype=float)
+    x, y = np.clip(got[MEASURES].to_numpy(dtype=float), -20, 20), (got["id"] == "true").to_numpy(dtype=float)
     if not len(y) or y.min() == y.max():
         return Judge(table)
     return Judge(table, logistic(x, y))
@@ -466,8 +494,9 @@ def train(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS) ->
 
 def scores(docs: DataFrame, model: Judge) -> DataFrame:
     """(doc_id, score) of each row of docs, by its whole text."""
-    a, b, c = (F.least(F.greatest(F.col(x), F.lit(-20.0)), F.lit(20.0)) * F.lit(float(w)) for x, w in zip("abc", model.curve, strict=False))
-    z = a + b + c + F.lit(float(model.curve[3]))
+    z = F.lit(float(model.curve[-1]))
+    for x, w in zip(MEASURES, model.curve, strict=False):
+        z = z + F.least(F.greatest(F.col(x), F.lit(-20.0)), F.lit(20.0)) * F.lit(float(w))
     out = measured(docs.select(F.col("doc_id").cast("string").alias("id"), "text"), model.table, "ratio")
     return out.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
 
