@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from trajgraph.functions.tables import kept
 from trajgraph.operators import compare as C
-from trajgraph.operators import edges as E
 from trajgraph.operators import similarity as S
 from trajgraph.plans.fixtures import A20, A40, CMP_KEYS, both_sql, both_table, edge_table, rounded, side, with_edges
 from trajgraph.plans.queries_polylines import POP_SQL

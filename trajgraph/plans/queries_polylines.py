@@ -8,7 +8,7 @@ from trajgraph.functions import polyline as P
 from trajgraph.operators import compare as C
 from trajgraph.operators import edges as E
 from trajgraph.operators import neighbors as N
-from trajgraph.plans.fixtures import A20, A40, CMP_KEYS, FEAT_SQL, KEYS, METRICS, POINTS_SQL, VERSIONS, assign, assign_sql, both_sql, both_table, edge_table, edges_sql, features, polylines, rounded, side, with_edges
+from trajgraph.plans.fixtures import A20, A40, CMP_KEYS, FEAT_SQL, KEYS, METRICS, POINTS_SQL, VERSIONS, assign, assign_sql, both_sql, both_table, edge_table, edges_sql, features, polylines, rounded, with_edges
 
 QUERIES, SQL = {}, {}
 
