@@ -60,6 +60,11 @@ def round_half_even(x: Column, digits: int = 4) -> Column:
     return F.bround(x, digits)
 
 
+def settled(x: Column, digits: int = 12) -> Column:
+    """x to so many digits, so that what the order of additions leaves in the last bits of a sum or mean decides no tie."""
+    return F.round(x, digits)
+
+
 def parse_numbers(s: Column) -> Column:
     """"45_10_10" -> [45.0, 10.0, 10.0]."""
     return F.transform(F.split(s, "_"), lambda x: x.try_cast("double"))

@@ -152,9 +152,9 @@ def s10(spark, d):
 _K1 = f"{with_edges()}, e AS (SELECT * FROM f_edges), k AS (SELECT DISTINCT subject_id, session, version, ctype FROM e), g AS (SELECT k.*, x.range AS i, y.range AS j FROM k, range(1, 21) x, range(1, 21) y)"
 
 
-@query("k1_write_matrix_csv", f"{_K1} SELECT g.subject_id, g.session, g.version, g.ctype, g.i AS row, string_agg(printf('%.8f', coalesce(w, 0.0)), ',' ORDER BY g.j) AS line FROM g LEFT JOIN e ON e.subject_id = g.subject_id AND e.session = g.session AND e.version = g.version AND e.ctype = g.ctype AND e.i = least(g.i, g.j) AND e.j = greatest(g.i, g.j) GROUP BY ALL")
+@query("k1_write_matrix_csv", f"{_K1} SELECT g.subject_id, g.session, g.version, g.ctype, g.i AS row, string_agg(printf('%.8f', CAST(round(CAST(round(coalesce(w, 0.0), 12) AS DECIMAL(28, 12)), 8) AS DOUBLE)), ',' ORDER BY g.j) AS line FROM g LEFT JOIN e ON e.subject_id = g.subject_id AND e.session = g.session AND e.version = g.version AND e.ctype = g.ctype AND e.i = least(g.i, g.j) AND e.j = greatest(g.i, g.j) GROUP BY ALL")
 def k1(spark, d):
-    """Matrices written as files and their lines read back."""
+    """Matrices written as files and their lines read back; cells to 12 digits, of which halves of the eighth go up."""
     path = f"{shared_dir(spark)}/matrices/{uuid.uuid4().hex}"
     sinks.write_matrices(edge_table(spark, d), [*KEYS, "version", "ctype"], A20, path, 8)
     key = lambda name: F.regexp_extract("file", f"{name}=([^/]*)/", 1)

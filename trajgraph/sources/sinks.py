@@ -9,16 +9,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajgraph.functions.labels import decode_symmetric, encode_symmetric
+from trajgraph.functions.labels import decode_symmetric, encode_symmetric, settled
 from trajgraph.functions.tables import create, file_system, kept, names_in
 from trajgraph.operators.compare import densify
 
 
 def matrix_lines(e: DataFrame, keys: list[str], n: int, digits: int | None = 6) -> DataFrame:
-    """(keys, row, line): the full symmetric matrix as comma-separated lines, with so many digits or in full precision."""
+    """(keys, row, line): the full symmetric matrix as comma-separated lines, with so many digits or in full precision.
+
+    Halves of the last digit go away from 0; which cells are halves is told at four digits more.
+    """
     upper = densify(e, keys, n)
     full = upper.select(*keys, F.col("i").alias("row"), F.col("j").alias("col"), "w").union(upper.where(F.col("i") < F.col("j")).select(*keys, "j", "i", "w"))
-    text = F.col("w").cast("string") if digits is None else F.format_string(f"%.{digits}f", "w")
+    text = F.col("w").cast("string") if digits is None else F.format_string(f"%.{digits}f", F.round(settled(F.col("w"), digits + 4), digits))
     lists = full.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", text.alias("text")))).alias("cells"))
     return lists.select(*keys, "row", F.array_join(F.transform("cells", lambda c: c["text"]), ",").alias("line"))
 
