@@ -34,7 +34,7 @@ def tables(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["k1_write_matrix_csv"])
+@pytest.mark.parametrize("name", ["k1_write_matrix_csv", "l15_display_name"])
 def test_ties_agree_with_sql(spark, tables, name):
     c = duckdb.connect()
     for t in ("lineitem", "orders", "customer"):
@@ -44,6 +44,12 @@ def test_ties_agree_with_sql(spark, tables, name):
     assert sorted(map(tuple, df.collect())) == sorted(want)
 
 
+def test_marks_of_a_mean_on_the_bound(spark, tables):
+    got = {(r.ctype, r.mark): r.n for r in catalogue.QUERIES["l15_display_name"](spark, tables).collect()}
+    # True graphs: 210 cells a subject; a mean of 0.05 isn't below 0.05, nor one of 0.001 below 0.001.
+    assert got[("fa", "n.s.")] == 2 * 2 * 210 and ("fa", "*") not in got and ("ad", "***") not in got
+
+
 def test_halves_of_the_last_digit(spark):
     half = 0.000478125
     rows = [(k, 1, 2, w) for k, w in enumerate((math.nextafter(half, 0), half, math.nextafter(half, 1), -half, 0.1234567849))]

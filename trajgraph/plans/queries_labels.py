@@ -344,10 +344,11 @@ def l14(spark, d):
     return assign(spark, d).select(c.alias("id"), s.alias("subject"), k.alias("aug")).distinct()
 
 
-@query("l15_display_name", f"{with_edges()} SELECT ctype, CASE ctype WHEN 'nos' THEN 'NoS-weighted' WHEN 'fa' THEN 'FA-weighted' WHEN 'md' THEN 'MD-weighted' WHEN 'ad' THEN 'AD-weighted' WHEN 'rd' THEN 'RD-weighted' ELSE 'SIFT2-weighted' END AS name, CASE WHEN w < 0.001 THEN '***' WHEN w < 0.01 THEN '**' WHEN w < 0.05 THEN '*' ELSE 'n.s.' END AS mark, count(*) AS n FROM f_edges GROUP BY ALL")
+@query("l15_display_name", f"{with_edges()} SELECT ctype, CASE ctype WHEN 'nos' THEN 'NoS-weighted' WHEN 'fa' THEN 'FA-weighted' WHEN 'md' THEN 'MD-weighted' WHEN 'ad' THEN 'AD-weighted' WHEN 'rd' THEN 'RD-weighted' ELSE 'SIFT2-weighted' END AS name, CASE WHEN round(w, 12) < 0.001 THEN '***' WHEN round(w, 12) < 0.01 THEN '**' WHEN round(w, 12) < 0.05 THEN '*' ELSE 'n.s.' END AS mark, count(*) AS n FROM f_edges GROUP BY ALL")
 def l15(spark, d):
+    """Names and marks of all cells, to 12 digits: a mean on a bound isn't below it."""
     e = edge_table(spark, d)
-    return e.groupBy("ctype", L.display_name(F.col("ctype")).alias("name"), L.stars(F.col("w")).alias("mark")).agg(F.count(F.lit(1)).alias("n"))
+    return e.groupBy("ctype", L.display_name(F.col("ctype")).alias("name"), L.stars(L.settled(F.col("w"))).alias("mark")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("l16_weight_transform", f"{with_edges()}, m AS (SELECT *, max(w) OVER (PARTITION BY ctype, version) AS hi FROM f_edges) SELECT ctype, version, round(sum(ln(1 + w)), 6) AS log1p, round(sum(sqrt(w)), 6) AS root, round(sum(CASE WHEN ctype IN ('nos', 'sift2') AND hi > 100 THEN ln(1 + w) ELSE w END), 6) AS auto FROM m GROUP BY ALL")
