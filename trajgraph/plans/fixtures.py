@@ -27,13 +27,21 @@ def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: rnd(F.col(c), digits) for c in columns})
 
 
+#: Orders that every task may hold.
+FEW_ORDERS = 200_000
+
+
 def assign(spark: SparkSession, d: str, nodes: int = A20) -> DataFrame:
-    """One row a streamline: lineitem with the subject of its order's customer."""
+    """One row a streamline: lineitem with the subject of its order's customer.
+
+    Orders get their subject first, so lineitem is shuffled once, or not at all where orders are few.
+    """
     n = nodes + 1
     li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_extendedprice")
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     c = read(spark, d, "customer").select("c_custkey", "c_nationkey")
-    j = li.join(o, "l_orderkey").join(c, "c_custkey")
+    subjects = o.join(c, "c_custkey").select("l_orderkey", "c_nationkey")
+    j = li.join(F.broadcast(subjects) if o.count() <= FEW_ORDERS else subjects, "l_orderkey")
     disc = F.col("l_discount")
     return j.select(
         F.col("c_nationkey").alias("subject_id"), F.when(F.col("l_linestatus") == "F", "test").otherwise("retest").alias("session"),

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trajgraph.functions import labels as L
-from trajgraph.functions.tables import shared_dir
+from trajgraph.functions.tables import kept, shared_dir
 from trajgraph.operators import clean as C
 from trajgraph.operators import edges as E
 from trajgraph.plans.fixtures import A20, KEYS, assign, assign_sql, edge_table, read, rounded, side, with_edges
@@ -211,12 +211,13 @@ def k6(spark, d):
     from trajgraph.streaming.append import append_stream, counts_by_split
 
     base = f"{shared_dir(spark)}/append/{uuid.uuid4().hex}"
-    all_ = assign(spark, d)
+    # Stored, as all four writes and the splits read it.
+    all_ = kept(assign(spark, d).select("subject_id", "ta", "tb", "length_mm", "l_linenumber"))
     labels = all_.where("subject_id % 7 <> 3 or l_linenumber <> 2")
     chunk, told = all_.select("subject_id", "ta", "tb", "length_mm"), labels.select("subject_id", "ta")
     subjects = chunk.select("subject_id").distinct()
     s = F.col("subject_id") % 5
-    splits = subjects.withColumn("split", F.when(s == 0, "test").when(s == 1, "val").otherwise("train"))
+    splits = kept(subjects.withColumn("split", F.when(s == 0, "test").when(s == 1, "val").otherwise("train")))
     # The second round has the labels of all subjects of the first one, so those wait for it.
     for rows, more in ((chunk.where("subject_id < 12"), told.where("subject_id < 6")), (chunk.where("subject_id >= 12"), told.where("subject_id >= 6"))):
         rows.write.mode("append").parquet(f"{base}/in")

@@ -76,7 +76,9 @@ def take(batch_rows: DataFrame, number: int, stream: str, splits: DataFrame, sub
         ready = spark.read.parquet(f"{at}/released")
         if past:
             last = read_part(spark, path, past, "released").groupBy(subject).agg(F.max("_place").alias("_since"))
-            ready = ready.join(last, subject, "left")
+            # Stored like the released subjects, so that their size is known: a few go to every task, and no waiting row is shuffled.
+            ready.join(last, subject, "left").write.parquet(f"{at}/since")
+            ready = spark.read.parquet(f"{at}/since")
         waiting = waiting.join(ready, subject).where(F.col("_place") > F.coalesce("_since", F.lit(-1)) if past else F.lit(True)).drop("_since")
     out = waiting.drop("_place").join(splits, subject)
     any_ = out.limit(1).count() > 0
