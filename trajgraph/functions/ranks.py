@@ -42,6 +42,22 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str) ->
     return running_sums(df, keys, order, F.lit(1), name)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str) -> DataFrame:
+    """(keys, columns, name): the number of each row among those of its keys, from 0, in ascending order of the columns `order`.
+
+    One shuffle for groups of any size: rows are dealt by ranges and stored in order with their places, the order columns stay behind.
+    Rows of null keys are left out.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.dropna(subset=keys).repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    dealt = kept(ordered.select(*keys, *columns, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_id")))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts_of = dealt.groupBy(*keys, "_range").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # Stored, so that their size is known: a few go to every task, and no row is shuffled again.
+    starts = kept(parts_of.select(*keys, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start")))
+    return dealt.join(starts, [*keys, "_range"]).select(*keys, *columns, (F.col("_id") + F.col("_start")).alias(name))
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], name: str = "q") -> DataFrame:
     """(keys, q): exact quantiles between neighbouring values, as `percentile` gives them; nulls don't count.
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trajgraph.functions import labels as L
+from trajgraph.functions.ranks import numbered
 from trajgraph.functions.tables import kept, shared_dir
 from trajgraph.operators import clean as C
 from trajgraph.operators import edges as E
@@ -164,11 +165,13 @@ def k1(spark, d):
 @query("k2_write_predictions", f"WITH {assign_sql()}, k AS (SELECT *, {NUM} AS ln FROM f_assign) SELECT subject_id, ln AS id, CAST(least(pa, pb) AS VARCHAR) || ' ' || CAST(greatest(pa, pb) AS VARCHAR) AS decoded, CAST(least(pa, pb) * 21 - (least(pa, pb) * (least(pa, pb) - 1)) // 2 + greatest(pa, pb) - least(pa, pb) AS VARCHAR) AS encoded FROM k")
 def k2(spark, d):
     """Predictions written as decoded and encoded files, a line each streamline, and read back."""
-    k = _lines(assign(spark, d), F.col("subject_id"), ORDER, L.encode_symmetric(F.col("pa"), F.col("pb"), 21))
+    a = assign(spark, d).select(F.col("subject_id").cast("string").alias("file"), *ORDER, L.encode_symmetric(F.col("pa"), F.col("pb"), 21).alias("value"))
+    k = numbered(a, ["file"], ORDER, ["value"], "line")
     path = f"{shared_dir(spark)}/predictions/{uuid.uuid4().hex}"
     sinks.write_predictions(k, ["file"], "line", "value", 21, path)
     back = lambda name: text.lines(spark, f"{path}/{name}").select(F.regexp_extract("file", "file=([^/]*)/", 1).cast("int").alias("subject_id"), F.col("line").alias("id"), F.col("value").alias(name))
-    return back("decoded").join(back("encoded"), ["subject_id", "id"])
+    # Lines of a few characters are far larger as rows than their files tell Spark, so neither side is one for every task.
+    return back("decoded").join(back("encoded").hint("merge"), ["subject_id", "id"])
 
 
 @query("k3_encode_decode_file", f"WITH {assign_sql()}, k AS (SELECT *, {NUM} AS ln FROM f_assign) SELECT CAST(subject_id AS VARCHAR) AS file, ln AS ordinal, CAST(least(ta, tb) AS VARCHAR) || ' ' || CAST(greatest(ta, tb) AS VARCHAR) AS line FROM k")

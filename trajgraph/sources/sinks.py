@@ -39,8 +39,10 @@ def prediction_lines(df: DataFrame, id_: str, label: str, n: int) -> DataFrame:
 
 def write_predictions(df: DataFrame, keys: list[str], id_: str, label: str, n: int, path: str) -> None:
     """Folders `decoded` and `encoded` with one for each key, its lines in order of the id."""
+    # Stored, so that both are written from one run of what df comes from.
+    stored = kept(df.select(*keys, id_, label))
     for name in ("decoded", "encoded"):
-        rows = prediction_lines(df.select(F.struct(*keys, id_).alias("_row"), label), "_row", label, n).select("_row.*", name)
+        rows = prediction_lines(stored.select(F.struct(*keys, id_).alias("_row"), label), "_row", label, n).select("_row.*", name)
         rows.repartition(*keys).sortWithinPartitions(*keys, id_).select(*keys, name).write.partitionBy(*keys).text(f"{path}/{name}")
 
 

@@ -14,14 +14,15 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value): lines of text files (folders too) in order, from 0.
 
     Files are read in splits of any number: a line's place among those of its split comes from the order in which a task reads them,
-    and the lines of the splits before it are counted first. No file has to fit into a task, and no line is shuffled.
+    and the lines of the splits before it are counted first. No file has to fit into a task, and no line is shuffled: the counts, one
+    row a split, of which the driver has the list anyway, go to every task.
     """
     raw = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(path)
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r\z", "").alias("value"))
     splits = rows.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(starts, ["file", "_at"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
+    return rows.join(F.broadcast(starts), ["file", "_at"]).select("file", (F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
 
 
 def _clean(value: Column) -> Column:
